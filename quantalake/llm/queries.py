@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import load
+from quantalake.llm.common import load, scratch
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,28 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quantalake.llm.tokenfiles import read_token_files, write_token_files
+
+    out = scratch(spark, "tokens")
+    write_token_files(load(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_token_files(spark, out)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quantalake.llm.packing import pack
+
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 SQL = {

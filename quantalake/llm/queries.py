@@ -33,9 +33,32 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.fingerprint import fingerprints
+
+    return fingerprints(load(spark, sf_dir, "documents"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.neardup import near_duplicates
+
+    classes = near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.substring import substring_dedup
+
+    kept = substring_dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_line_dedup": op5_line_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
 }
 
@@ -54,5 +77,36 @@ frequent AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DI
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN frequent f USING (k) GROUP BY doc_id
+""",
+    "op6_minhash_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+          FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON u = x.doc_id JOIN sizes y ON v = y.doc_id
+          WHERE 100 * common >= 75 * (x.n + y.n - common)),
+edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+reach AS (SELECT u AS doc_id, u AS r FROM edges UNION SELECT reach.doc_id, e.v FROM reach JOIN edges e ON reach.r = e.u),
+least AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(c, s.doc_id) AS component_id, coalesce(c, s.doc_id) = s.doc_id AS kept
+FROM sizes s LEFT JOIN least USING (doc_id)
+""",
+    "op8_substring_dedup": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35),
+windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i+34], ' ')) AS h FROM starts JOIN words USING (doc_id)),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+covered AS (SELECT DISTINCT doc_id, i + k AS j FROM windows JOIN again USING (h), range(0, 35) t(k)),
+each_word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM words),
+kept AS (SELECT e.doc_id, count(c.j)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY e.j) FILTER (WHERE c.j IS NULL) AS t
+         FROM each_word e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.j = c.j GROUP BY e.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
 """,
 }

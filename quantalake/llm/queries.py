@@ -53,13 +53,45 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.quality import fit, score
+
+    docs = load(spark, sf_dir, "documents")
+    return score(docs, fit(docs, load(spark, sf_dir, "labels")))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.langid import fit, identify
+
+    docs = load(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.decontam import leaks
+
+    found = leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", F.size("tiles").cast("long").alias("n_tiles"))
+
+
+def op10_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.chat import REPLY, conversation_calls, link_tool_calls
+
+    calls, results = conversation_calls(load(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, REPLY)
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_language_id": op3_language_id,
     "op4_fingerprints": op4_fingerprints,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
+    "op10_chat_tool_calls": op10_chat_tool_calls,
 }
 
 SQL = {
@@ -108,5 +140,19 @@ kept AS (SELECT e.doc_id, count(c.j)::BIGINT AS n_removed, string_agg(word, ' '
          FROM each_word e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.j = c.j GROUP BY e.doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)
+""",
+    "op10_chat_tool_calls": r"""
+WITH calls AS (
+  SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM conversations WHERE role = 'user'),
+results AS (
+  SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, text AS content,
+         row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS LAST) AS nth
+  FROM conversations WHERE role = 'assistant')
+SELECT c.conv_id, c.turn, c.call_id, 'reply' AS name, r.result_turn, 0 AS level,
+       CASE WHEN c.text IS NULL THEN '$: text is missing' WHEN r.call_id IS NULL THEN 'no result' ELSE 'ok' END AS status,
+       '{"arguments":{' || CASE WHEN c.text IS NULL THEN '' ELSE '"text":' || to_json(c.text)::VARCHAR || ',' END
+       || '"turn":' || c.turn || '},"call_id":"' || c.call_id || '","name":"reply","result":'
+       || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
+FROM calls c LEFT JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND nth = 1
 """,
 }

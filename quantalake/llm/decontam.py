@@ -157,12 +157,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     """The rows of ``docs`` that cover no benchmark item (see ``leaks``), with all their columns; null texts stay."""
     out = docs
     for items in _blocks(benchmark, item_col, "text"):
-        known = Benchmark(items, tile)
+        out = out.where(_clean(Benchmark(items, tile), coverage)(F.col(f"`{text_col}`").cast("string")))
+    return out
 
-        @F.arrow_udf("boolean")
-        def clean(column: pa.Array, known=known) -> pa.Array:
-            words = WordHashes()
-            return pa.array([next(known.matches(words.of(tokens(x)), coverage), None) is None for x in blobs(column)])
 
-        out = out.where(clean(F.col(f"`{text_col}`").cast("string")))
-    return out
+def _clean(known: Benchmark, coverage: float):
+    """A function of a text column: whether the text covers none of the items."""
+
+    @F.arrow_udf("boolean")
+    def clean(column: pa.Array) -> pa.Array:
+        words = WordHashes()
+        return pa.array([next(known.matches(words.of(tokens(x)), coverage), None) is None for x in blobs(column)], pa.bool_())
+
+    return clean

@@ -153,6 +153,6 @@ def keep_known(docs: DataFrame, filters: Filters, least: float = 0.1, text_col:
 
     @F.arrow_udf("boolean")
     def known(column: pa.Array) -> pa.Array:
-        return pa.array([filters.predict(x)[1] >= least for x in column.to_pylist()])
+        return pa.array([filters.predict(x)[1] >= least for x in column.to_pylist()], pa.bool_())
 
     return docs.where(known(F.col(f"`{text_col}`").cast("string")))

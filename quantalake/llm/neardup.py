@@ -283,8 +283,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = 5, id_col
 
     same = full.join(classes, ["s", "n"]).where("d <> first").select(F.col("d").alias("u"), F.col("first").alias("v"))
     linked = components(links.unionByName(same)).withColumnsRenamed({"node": f"{OWN}node", "component": f"{OWN}component"})
-    sizes = signed.select(F.col("d").alias(f"{OWN}d"), F.col("tie").alias(f"{OWN}tie"), F.col("n").alias(f"{OWN}n")).dropDuplicates()
-    joined = docs.withColumn(f"{OWN}own", F.xxhash64(text))
-    joined = joined.join(sizes, ident.eqNullSafe(F.col(f"{OWN}d")) & (F.col(f"{OWN}own") == F.col(f"{OWN}tie"))).join(linked, ident == F.col(f"{OWN}node"), "left")
+    found = signed.select(F.col("d").alias(f"{OWN}d"), F.col("tie").alias(f"{OWN}tie"), F.col("n").alias(f"{OWN}n")).dropDuplicates()
+    found = found.join(linked, F.col(f"{OWN}d") == F.col(f"{OWN}node"), "left").drop(f"{OWN}node")
+    joined = docs.withColumn(f"{OWN}own", F.xxhash64(text)).join(found, ident.eqNullSafe(F.col(f"{OWN}d")) & (F.col(f"{OWN}own") == F.col(f"{OWN}tie")))
     component = F.coalesce(F.col(f"{OWN}component"), ident)
     return with_outputs(joined, {"n_shingles": F.col(f"{OWN}n"), "component_id": component, "kept": component.isNull() | (component == ident)})

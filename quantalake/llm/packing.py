@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import blobs, stored
-from quantalake.llm.tokens import Encoder, kind_of
+from quantalake.llm.common import stored
+from quantalake.llm.tokens import Encoder, blocks, kind_of
 
 BINS, PARTS = 128, 4
 
@@ -150,14 +150,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_path, kind, "I"), int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        own, end = Encoder(tokenizer_path, kind), int(end_id).to_bytes(4, "little")
+        for batch in (part for whole in batches for part in blocks(whole, 1)):
             rows = []
-            for ident, text in zip(batch[0].to_pylist(), blobs(batch[1]), strict=True):
-                ids = encoder(text) + end
+            for ident, ids in zip(batch[0].to_pylist(), own.encode(batch[1]), strict=True):
+                ids = ids.tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * seq_len)):
-                    own = ids[at : at + 4 * seq_len]
-                    rows.append((ident, k, at // 4, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<i4") if keep_ids else None))
+                    part = ids[at : at + 4 * seq_len]
+                    rows.append((ident, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if keep_ids else None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + keep_ids]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])

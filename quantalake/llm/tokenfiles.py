@@ -19,8 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import blobs
-from quantalake.llm.tokens import Encoder, code_of, kind_of
+from quantalake.llm.tokens import Encoder, blocks, code_of, kind_of
 
 NULL_ID = -(1 << 63)
 _PART = "part string, first_id long, tie long, docs long, tokens long, width int"
@@ -47,7 +46,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(out_dir)
-        encoder, end = Encoder(tokenizer_path, kind, code), array(code, [end_id]).tobytes()
+        own, end = Encoder(tokenizer_path, kind, code), np.array([end_id], code).tobytes()
         name, mark = f"part-{TaskContext.get().partitionId():06d}", uuid.uuid4().hex
         files, ids, offsets, at, key = {}, array("q"), array("q", [0]), 0, None
         for batch in batches:
@@ -57,12 +56,13 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
                 fs.create_dir(root, recursive=True)
                 files = {x: fs.open_output_stream(f"{root}/.{name}.{x}.{mark}") for x in ("tokens", "offsets", "ids")}
                 key = (batch[0][0].as_py(), batch[1][0].as_py())
-            for ident, text in zip(batch[0].to_pylist(), blobs(batch[2]), strict=True):
-                data = encoder(text) + end
-                files["tokens"].write(data)
-                at += len(data) // len(end)
-                ids.append(NULL_ID if ident is None else ident)
-                offsets.append(at)
+            for part in blocks(batch, 2):
+                for ident, own_ids in zip(part[0].to_pylist(), own.encode(part[2]), strict=True):
+                    data = own_ids.tobytes() + end
+                    files["tokens"].write(data)
+                    at += len(data) // len(end)
+                    ids.append(NULL_ID if ident is None else ident)
+                    offsets.append(at)
         if files:
             files["offsets"].write(offsets.tobytes())
             files["ids"].write(ids.tobytes())

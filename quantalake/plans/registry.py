@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    return []
+    from quantalake.plans import summaries
+
+    return [summaries]
 
 
 def queries() -> dict:

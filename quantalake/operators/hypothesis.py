@@ -254,14 +254,14 @@ def kruskal_wallis(df: DataFrame, by: list[str], sample: str, x: str) -> DataFra
     own = values(df.where(F.col(sample).isNotNull()), [*by, sample], x)
     ranks = value_ranks(df.where(F.col(sample).isNotNull()), by, x).select(*by, x, "rank")
     joined = own.join(ranks, [*by, x])
-    each = joined.groupBy(*by, sample).agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("rank")).alias("s"), F.sum(F.col("n") * F.col("rank") * F.col("rank")).alias("q"))
-    total = each.groupBy(*by).agg(F.count("*").alias("k"), F.min("size").alias("least"), F.sum("size").alias("size"), F.sum(F.col("s") * F.col("s") / F.col("size")).alias("b"), F.sum("q").alias("q"))
-    mean = (F.col("size") + 1) / 2
-    middle = F.col("size") * mean * mean
-    stat = (F.col("size") - 1) * ieee.divide(F.col("b") - middle, F.col("q") - middle)
-    own = total.select(*by, stat.alias("stat"), "k", (F.col("k") - 1).alias("df"), "least")
+    each = joined.groupBy(*by, sample).agg(F.sum("n").alias("__size"), F.sum(F.col("n") * F.col("rank")).alias("__s"), F.sum(F.col("n") * F.col("rank") * F.col("rank")).alias("__q"))
+    total = each.groupBy(*by).agg(F.count("*").alias("__k"), F.min("__size").alias("__least"), F.sum("__size").alias("__size"), F.sum(F.col("__s") * F.col("__s") / F.col("__size")).alias("__b"), F.sum("__q").alias("__q"))
+    mean = (F.col("__size") + 1) / 2
+    middle = F.col("__size") * mean * mean
+    stat = (F.col("__size") - 1) * ieee.divide(F.col("__b") - middle, F.col("__q") - middle)
+    own = total.select(*by, stat.alias("stat"), F.col("__k").alias("k"), (F.col("__k") - 1).alias("df"), "__least")
     p = special.column(special.gamma_q, F.greatest(F.col("df"), F.lit(1)) / 2, F.greatest("stat", F.lit(0.0)) / 2)
-    return own.select(*by, "stat", "k", "df", F.when((F.col("least") > 4) & (F.col("df") > 0), p).alias("p"))
+    return own.select(*by, "stat", "k", "df", F.when((F.col("__least") > 4) & (F.col("df") > 0), p).alias("p"))
 
 
 def f_tail(stat: Column, df1: Column, df2: Column) -> Column:
@@ -274,9 +274,9 @@ def trimmed(df: DataFrame, by: list[str], x: str, share: float) -> DataFrame:
     if not 0 <= share < 0.5:
         raise ValueError("the share must be in [0, 0.5)")
     own = running(values(df, by, x), by, x, {"before": "n"})
-    joined = own.join(own.groupBy(*by).agg(F.sum("n").alias("size")), by)
-    cut = F.ceil(F.lit(share) * F.col("size"))
-    left = F.least(F.col("before") + F.col("n"), F.col("size") - cut) - F.greatest(F.col("before"), cut)
+    joined = own.join(own.groupBy(*by).agg(F.sum("n").alias("__size")), by)
+    cut = F.ceil(F.lit(share) * F.col("__size"))
+    left = F.least(F.col("before") + F.col("n"), F.col("__size") - cut) - F.greatest(F.col("before"), cut)
     return joined.withColumn("n", left).where("n > 0").select(*by, x, "n")
 
 
@@ -289,36 +289,36 @@ def levene_test(df: DataFrame, by: list[str], sample: str, x: str, center: str =
     keys = [*by, sample]
     if center == "trimmed":
         own = trimmed(df, keys, x, share)
-        centres = own.groupBy(*keys).agg((F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias("c"))
+        centres = own.groupBy(*keys).agg((F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias("__c"))
     else:
         own = values(df, keys, x)
-        centres = own.groupBy(*keys).agg((F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias("c")) if center == "mean" else median(df, keys, x, MEDIAN_UNBIASED).withColumnRenamed("median", "c")
-    z = F.abs(F.col(x) - F.col("c"))
-    deviations = own.join(centres, keys).select(*keys, z.alias("z"), "n")
-    means = deviations.groupBy(*keys).agg((F.sum(F.col("n") * F.col("z")) / F.sum("n")).alias("m"))
-    d = F.col("z") - F.col("m")
-    each = deviations.join(means, keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.max("m").alias("m"), F.sum(F.col("n") * d * d).alias("inside"))
-    total = each.groupBy(*by).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum(F.col("n") * F.col("m")).alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
-    between = F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    ok = (F.col("k") > 1) & (F.col("inside") > 0) & (F.col("n") > F.col("k"))
-    stat = F.when(ok, (F.col("n") - F.col("k")) * between / (F.when(ok, F.col("k") - 1) * F.when(ok, F.col("inside"))))
-    out = total.select(*by, stat.alias("stat"), (F.col("k") - 1).alias("df1"), (F.col("n") - F.col("k")).alias("df2"))
+        centres = own.groupBy(*keys).agg((F.sum(F.col("n") * F.col(x)) / F.sum("n")).alias("__c")) if center == "mean" else median(df, keys, x, MEDIAN_UNBIASED).withColumnRenamed("median", "__c")
+    z = F.abs(F.col(x) - F.col("__c"))
+    deviations = own.join(centres, keys).select(*keys, z.alias("__z"), "n")
+    means = deviations.groupBy(*keys).agg((F.sum(F.col("n") * F.col("__z")) / F.sum("n")).alias("__m"))
+    d = F.col("__z") - F.col("__m")
+    each = deviations.join(means, keys).groupBy(*keys).agg(F.sum("n").alias("__n"), F.max("__m").alias("__m"), F.sum(F.col("n") * d * d).alias("__inside"))
+    total = each.groupBy(*by).agg(F.count("*").alias("__k"), F.sum("__n").alias("__n"), F.sum("__inside").alias("__inside"), F.sum(F.col("__n") * F.col("__m")).alias("__s"), F.sum(F.col("__n") * F.col("__m") * F.col("__m")).alias("__q"))
+    between = F.col("__q") - F.col("__s") * F.col("__s") / F.col("__n")
+    ok = (F.col("__k") > 1) & (F.col("__inside") > 0) & (F.col("__n") > F.col("__k"))
+    stat = F.when(ok, (F.col("__n") - F.col("__k")) * between / (F.when(ok, F.col("__k") - 1) * F.when(ok, F.col("__inside"))))
+    out = total.select(*by, stat.alias("stat"), (F.col("__k") - 1).alias("df1"), (F.col("__n") - F.col("__k")).alias("df2"))
     return out.select(*by, "stat", "df1", "df2", f_tail(F.col("stat"), F.col("df1"), F.col("df2")).alias("p"))
 
 
 def bartlett_test(df: DataFrame, by: list[str], sample: str, x: str) -> DataFrame:
     """``by``, stat, df, p: equal variances of normal samples. Null with one sample, one value, or no variance."""
-    each = df.groupBy(*by, sample).agg(F.count(x).cast("double").alias("n"), F.var_samp(x).alias("v"))
-    n, v = F.col("n"), F.col("v")
+    each = df.groupBy(*by, sample).agg(F.count(x).cast("double").alias("__n"), F.var_samp(x).alias("__v"))
+    n, v = F.col("__n"), F.col("__v")
     ok = (n > 1) & (v > 0)
     total = each.groupBy(*by).agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.min(F.when(ok, 1).otherwise(0)).alias("ok"), F.sum(F.when(ok, (n - 1) * v)).alias("pooled"),
-        F.sum(F.when(ok, (n - 1) * F.ln(F.when(v > 0, v)))).alias("logs"), F.sum(1 / F.when(ok, n - 1)).alias("inverse"),
+        F.count("*").alias("__k"), F.sum("__n").alias("__n"), F.min(F.when(ok, 1).otherwise(0)).alias("__ok"), F.sum(F.when(ok, (n - 1) * v)).alias("__pooled"),
+        F.sum(F.when(ok, (n - 1) * F.ln(F.when(v > 0, v)))).alias("__logs"), F.sum(1 / F.when(ok, n - 1)).alias("__inverse"),
     )
-    k, free = F.col("k"), F.col("n") - F.col("k")
-    ok = (F.col("ok") == 1) & (k > 1)
-    top = free * F.ln(F.when(ok, F.col("pooled") / F.when(free > 0, free))) - F.col("logs")
-    stat = F.greatest(F.lit(0.0), top / (1 + (F.col("inverse") - 1 / F.when(free > 0, free)) / (3 * F.when(ok, k - 1))))
+    k, free = F.col("__k"), F.col("__n") - F.col("__k")
+    ok = (F.col("__ok") == 1) & (k > 1)
+    top = free * F.ln(F.when(ok, F.col("__pooled") / F.when(free > 0, free))) - F.col("__logs")
+    stat = F.greatest(F.lit(0.0), top / (1 + (F.col("__inverse") - 1 / F.when(free > 0, free)) / (3 * F.when(ok, k - 1))))
     out = total.select(*by, F.when(ok, stat).alias("stat"), (k - 1).alias("df"))
     return out.select(*by, "stat", "df", special.column(special.gamma_q, F.greatest(F.col("df"), F.lit(1)) / 2, F.col("stat") / 2).alias("p"))
 
@@ -440,9 +440,9 @@ def _runs_p(runs: float, a: float, b: float) -> float:
 def runs_test(df: DataFrame, by: list[str], idx: str, flag: str) -> DataFrame:
     """``by``, runs, n_true, n_false, p (at most so many runs). ``idx`` is the 0-based place without gaps."""
     own = df.select(*by, F.col(idx).alias("i"), F.col(flag).alias("f"))
-    before = own.select(*by, (F.col("i") + 1).alias("i"), F.col("f").alias("g"))
+    before = own.select(*by, (F.col("i") + 1).alias("i"), F.col("f").alias("__f"))
     joined = own.join(before, [*by, "i"], "left")
-    out = joined.groupBy(*by).agg(F.count(F.when(F.col("g").isNull() | (F.col("f") != F.col("g")), 1)).alias("runs"), F.count(F.when(F.col("f"), 1)).alias("n_true"), F.count(F.when(~F.col("f"), 1)).alias("n_false"))
+    out = joined.groupBy(*by).agg(F.count(F.when(F.col("__f").isNull() | (F.col("f") != F.col("__f")), 1)).alias("runs"), F.count(F.when(F.col("f"), 1)).alias("n_true"), F.count(F.when(~F.col("f"), 1)).alias("n_false"))
     p = special.column(lambda *v: np.array([_runs_p(*row) for row in zip(*v, strict=True)], float), *[F.col(c).cast("double") for c in ("runs", "n_true", "n_false")])
     return out.withColumn("p", p)
 

@@ -9,13 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANGES = 64
 
 
+def _number(df: DataFrame, x: str) -> Column:
+    """A column of numbers, dates or times as doubles."""
+    return (F.unix_date(x) if isinstance(df.schema[x].dataType, T.DateType) else F.col(x)).cast("double")
+
+
 def cut_points(df: DataFrame, x: str, ranges: int = RANGES) -> list[float]:
     """At most ``ranges`` - 1 approximate quantiles of a column: a fixed number of values on the driver."""
-    own = df.agg(F.percentile_approx(F.col(x).cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
+    own = df.agg(F.percentile_approx(_number(df, x), [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
     return sorted({v for v in own or [] if v == v})
 
 
@@ -32,7 +38,7 @@ def running(df: DataFrame, by: list[str], x: str, sums: dict[str, str], points:
     ``sums``: new column -> column that is summed. ``x`` must be unique within a group (sum by distinct value first).
     """
     points = cut_points(df, x) if points is None else points
-    cut = df.withColumn("__range", range_of(F.col(x), points))
+    cut = df.withColumn("__range", range_of(_number(df, x), points))
     totals = cut.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
     bases = totals.select(*by, "__range", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums])

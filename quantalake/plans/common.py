@@ -48,19 +48,19 @@ PARTS = "pa AS (SELECT p_brand AS g, p_retailprice / 100 AS x, p_size::DOUBLE AS
 
 
 def sr(x: str, digits: int = 6) -> str:
-    return f"(round({x}, {digits}) + 0.0)"
+    return f"(round(({x})::DOUBLE, {digits}) + 0.0)"
 
 
 def gamma_p(a: str, x: str, terms: int = 400) -> str:
     """The regularised lower incomplete gamma function by its series."""
-    return f"(CASE WHEN {x} <= 0 THEN 0.0 ELSE list_sum([exp(({a} + n) * ln({x}) - ({x}) - lgamma({a} + n + 1)) FOR n IN range(0, {terms})]) END)"
+    return f"(CASE WHEN {x} <= 0 THEN 0.0 ELSE list_sum([exp(({a} + i_) * ln({x}) - ({x}) - lgamma({a} + i_ + 1)) FOR i_ IN range(0, {terms})]) END)"
 
 
 def beta_i(a: str, b: str, x: str, terms: int = 600) -> str:
     """The regularised incomplete beta function by its series."""
     return (
-        f"(CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 ELSE list_sum([exp(({a} + n) * ln({x}) + ({b}) * ln(1 - ({x})) + lgamma({a} + {b} + n)"
-        f" - lgamma({a} + n + 1) - lgamma({b})) FOR n IN range(0, {terms})]) END)"
+        f"(CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 ELSE list_sum([exp(({a} + i_) * ln({x}) + ({b}) * ln(1 - ({x})) + lgamma({a} + {b} + i_)"
+        f" - lgamma({a} + i_ + 1) - lgamma({b})) FOR i_ IN range(0, {terms})]) END)"
     )
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from quantalake.plans import summaries
+    from quantalake.plans import inference, summaries
 
-    return [summaries]
+    return [summaries, inference]
 
 
 def queries() -> dict:

@@ -13,9 +13,25 @@ from pyspark.sql import functions as F
 TINY, STEPS = 1e-300, 400
 EULER = 0.5772156649015329
 
-lgamma = np.vectorize(lambda x: math.lgamma(x) if x > 0 or x != math.floor(x) else math.inf, otypes=[float])
-erf = np.vectorize(math.erf, otypes=[float])
-erfc = np.vectorize(math.erfc, otypes=[float])
+def _lgamma(x: float) -> float:
+    return math.lgamma(x) if x > 0 or x != math.floor(x) else math.inf
+
+
+_lgamma_all = np.vectorize(_lgamma, otypes=[float])
+_erf_all = np.vectorize(math.erf, otypes=[float])
+_erfc_all = np.vectorize(math.erfc, otypes=[float])
+
+
+def lgamma(x):
+    return _lgamma_all(x)
+
+
+def erf(x):
+    return _erf_all(x)
+
+
+def erfc(x):
+    return _erfc_all(x)
 
 
 def digamma(x):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from quantalake.plans import inference, summaries
+    from quantalake.plans import analysis, distributions, inference, summaries
 
-    return [summaries, inference]
+    return [summaries, inference, distributions, analysis]
 
 
 def queries() -> dict:

@@ -80,10 +80,10 @@ def kendall(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
         total = sum(int(grid[i, j]) * int(above[i + 1, j - 1]) for i in range(STRIPES) for j in range(1, STRIPES + 1))
         return pa.table([*[table[b].slice(0, 1) for b in by], pa.array([total])], names=[*by, "d"])
 
-    key = by or [F.lit(0)]
+    key = by or ["__all"]
     parts = own.groupBy(*by, "sx").applyInArrow(counted(("x", "y")), schema)
     parts = parts.unionByName(own.groupBy(*by, "sy").applyInArrow(counted(("sx", "y")), schema))
-    parts = parts.unionByName(own.groupBy(*by, "sx", "sy").agg(F.count("*").alias("n")).groupBy(*key).applyInArrow(cells, schema))
+    parts = parts.unionByName(own.groupBy(*by, "sx", "sy").agg(F.count("*").alias("n")).withColumn("__all", F.lit(0)).groupBy(*key).applyInArrow(cells, schema))
     d = parts.groupBy(*by).agg(F.sum("d").alias("d"))
 
     def ties(*columns: str) -> DataFrame:

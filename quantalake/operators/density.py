@@ -161,7 +161,7 @@ def kde(df: DataFrame, by: list[str], x: str, points: int, low: float | None = N
         mesh, density = botev(table["n"].to_numpy()[order].astype(float), table["__lo"][0].as_py(), table["__hi"][0].as_py())
         return pa.table([*[table[b].take(pa.array(np.zeros(n, int))) for b in by], pa.array(np.arange(n), pa.int32()), pa.array(mesh), pa.array(density)], names=names)
 
-    return counted.groupBy(*(by or [F.lit(0)])).applyInArrow(solve, "".join(f"{b} {kinds[b]}, " for b in by) + "i int, x double, density double")
+    return counted.withColumn("__all", F.lit(0)).groupBy(*(by or ["__all"])).applyInArrow(solve, "".join(f"{b} {kinds[b]}, " for b in by) + "i int, x double, density double")
 
 
 # Simple kernels

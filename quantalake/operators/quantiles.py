@@ -49,7 +49,8 @@ def quantiles(df: DataFrame, by: list[str], x: str, ks: list[int], q: int, param
         low, high = (F.least(F.greatest(i, F.lit(0)), F.col("size") - 1) for i in (whole - 1, whole))
         held = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
         out.append((F.sum(F.when(held(low), (1 - part) * F.col(x)).otherwise(F.lit(0.0)) + F.when(held(high), part * F.col(x)).otherwise(F.lit(0.0)))))
-    return ranked.groupBy(*by).agg(F.array(*out).cast("array<double>").alias("quantiles"))
+    found = ranked.groupBy(*by).agg(F.array(*out).cast("array<double>").alias("quantiles"), F.count("*").alias("__n"))
+    return found.where("__n > 0").drop("__n")
 
 
 def quantile(df: DataFrame, by: list[str], x: str, k: int, q: int, param: ContParam = S) -> DataFrame:

@@ -72,9 +72,10 @@ def resample_poisson(df: DataFrame, by: list[str], key: list[str], x: str, repli
         total += term
         w = w + F.when(u > total, 1).otherwise(0)
         term /= k + 1
-    own = reps.withColumn("__w", w.cast("double")).groupBy(*by, "rep").agg(F.sum("__w").alias("n"), F.sum(F.col("__w") * F.col(x)).alias("s"), F.sum(F.col("__w") * F.col(x) * F.col(x)).alias("q"))
-    mean = F.col("s") / F.when(F.col("n") > 0, F.col("n"))
-    return own.select(*by, "rep", mean.alias("mean"), (F.col("q") / F.when(F.col("n") > 0, F.col("n")) - mean * mean).alias("variance"))
+    own = reps.withColumn("__w", w.cast("double")).groupBy(*by, "rep").agg(F.sum("__w").alias("__n"), F.sum(F.col("__w") * F.col(x)).alias("__s"), F.sum(F.col("__w") * F.col(x) * F.col(x)).alias("__q"))
+    n = F.when(F.col("__n") > 0, F.col("__n"))
+    mean = F.col("__s") / n
+    return own.select(*by, "rep", mean.alias("mean"), (F.col("__q") / n - mean * mean).alias("variance"))
 
 
 def jackknife(df: DataFrame, by: list[str], x: str, estimator: str, out: str = "value") -> DataFrame:

@@ -37,6 +37,14 @@ def _short(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (_buckets(hashes, buckets) << np.uint64(32)) | (hashes & _LOW)
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal values begins and ends."""
+    if not len(x):
+        return []
+    cuts = [*np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])).tolist(), len(x)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 _PACK = "bucket long, batch long, one binary, many binary, index_one binary, index_many binary"
 _PACK_NAMES = ["bucket", "batch", "one", "many", "index_one", "index_many"]
 _PACK_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -52,10 +60,9 @@ def _packs(batch: int, hashes: np.ndarray, indexed: np.ndarray | None, buckets:
     several = np.diff(np.append(starts, len(ordered))) > 1
     inside = np.logical_or.reduceat(indexed[order], starts) if indexed is not None and len(starts) else np.zeros(len(values), bool)
     bucket = _buckets(values, buckets)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(values) else []
     packed = (values & _LOW).astype(np.uint32) if kind is np.uint32 else values
     rows = []
-    for a, b in zip(cuts, [*cuts[1:], len(values)], strict=True):
+    for a, b in _runs(bucket):
         own, s, x = packed[a:b], several[a:b], inside[a:b]
         rows.append((int(bucket[a]), batch, own[~s & ~x].tobytes(), own[s & ~x].tobytes(), own[~s & x].tobytes(), own[s & x].tobytes()))
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
@@ -84,10 +91,10 @@ def _repeated(packs: pa.Table, kind: type, need_index: bool) -> pa.Table:
     hit = order[np.repeat(good, sizes)]
     hit = hit[np.argsort(owner[hit], kind="stable")]
     own = owner[hit]
-    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])).tolist() if len(own) else []
-    found = [value[hit[a:b]].tobytes() for a, b in zip(cuts, [*cuts[1:], len(own)], strict=True)]
+    runs = _runs(own)
+    found = [value[hit[a:b]].tobytes() for a, b in runs]
     bucket = packs["bucket"][0].as_py()
-    return pa.table([pa.array([batches[own[a]] for a in cuts], pa.int64()), pa.array([bucket] * len(cuts), pa.int64()), pa.array(found, pa.binary())], names=["batch", "bucket", "found"])
+    return pa.table([pa.array([batches[own[a]] for a, _ in runs], pa.int64()), pa.array([bucket] * len(runs), pa.int64()), pa.array(found, pa.binary())], names=["batch", "bucket", "found"])
 
 
 def _within(hashes: np.ndarray, found: np.ndarray) -> np.ndarray:

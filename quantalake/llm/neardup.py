@@ -271,8 +271,8 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = 5, id_col
     texts = full.join(classes, ["s", "n"]).where("d = first").select("d", "s", "keys", "sketch").dropDuplicates(["d", "s"])
     texts = stored(texts, "texts")
 
-    keyed = texts.select("d", F.explode("keys").alias("key"), "sketch")
-    paired = in_blocks(keyed, "key", "d", "keys").select("key", "p", "q", "d", "sketch")
+    keyed = texts.select("d", F.explode("keys").alias("key"))
+    paired = in_blocks(keyed, "key", "d", "keys").join(texts.select("d", "sketch"), "d").select("key", "p", "q", "d", "sketch")
     candidates = candidate_edges(paired.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "d"), most)
     groups = stored(components(candidates).select(F.col("node"), F.col("component").alias("g")), "groups")
 

@@ -120,3 +120,10 @@ def blobs(column) -> list:
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
+
+
+def few(batches, rows: int = 512):
+    """Slices of batches, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)

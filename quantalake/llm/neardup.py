@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import OWN, WordHashes, blobs, mix, shingles, stored, with_outputs
+from quantalake.llm.common import OWN, WordHashes, blobs, few, mix, shingles, stored, with_outputs
 from quantalake.llm.components import components
 
 SAMPLES, ROWS = 128, 4
@@ -74,7 +74,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
+        for batch in few(batches):
             out: list[list] = [[], [], [], []]
             for text in blobs(batch[1]):
                 own = _sets(text, words, size)
@@ -194,9 +194,9 @@ def confirmed(sets: list[np.ndarray], bits: np.ndarray, similarity: int, most: i
     for i in range(n - 1):
         far = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1)
         j = np.flatnonzero(far <= most)
-        first.append(np.full(len(j), i))
-        second.append(j + i + 1)
-        distance.append(far[j])
+        first.append(np.full(len(j), i, np.int32))
+        second.append((j + i + 1).astype(np.int32))
+        distance.append(far[j].astype(np.int16))
     if not first:
         return []
     first, second, distance = (np.concatenate(x) for x in (first, second, distance))
@@ -243,7 +243,7 @@ def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
+        for batch in few(batches):
             sets = [_sets(x, words, size) for x in blobs(batch[2])]
             columns = [batch[0].to_pylist(), batch[1].to_pylist(), [x.tobytes() for x in sets], [odd_sketch(samples(x)).tobytes() for x in sets]]
             yield _table(columns, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["g", "d", "shingles", "sketch"])

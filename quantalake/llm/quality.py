@@ -1,10 +1,10 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network with calibrated probabilities.
 
-A word is split into pieces: a letter run in lower case, its shape (case and length), a digit run, a run of marks; a
-word that repeats the one before has a piece for that. Each piece has a sparse random index vector, which its hash
-gives. Its context vector is the sum of the index vectors around it in the training texts, kept for ``BUCKETS`` hashed
-pieces. A word's vector is the sum of the index and scaled context vectors of its pieces; a text's features are the
-mean over its words, their spread, and the logarithm of its length.
+A word is split into pieces: a letter run in lower case, its shape (case and length), a digit run, a run of marks.
+Each piece has a sparse random index vector, which its hash gives; a word's index vector is their sum. Words with the
+same hash bucket of their first letter run share a context vector: the scaled sum of the index vectors of the words
+around them in the training texts. A word's vector is the sum of both. A text's features are the mean over its words
+(a word that repeats the one before adds a vector for that), their spread, and the logarithm of its length.
 
 The classifier is fitted on at most ``MAX_TRAIN`` labelled texts (a documented bound); every text is scored whole.
 """
@@ -16,116 +16,153 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import blobs, stored
+from quantalake.llm.common import stored
 from quantalake.llm.sampling import held_out, share
+from quantalake.llm.tokens import MARKS, blocks
 
+#: 64 dimensions and 4096 buckets take 6 and 12 bits of a hash; NONZERO entries take 7 each.
 DIM, NONZERO, BUCKETS, WINDOW = 64, 6, 4096, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.005, 1e-4
-MAX_TRAIN = 8000
-CACHE_WORDS = 1 << 16
-#: The most texts of one job on the driver's way: context sums come from so many tasks.
+MAX_TRAIN = 6000
+#: Bytes of text whose distinct words are held at a time, and pieces that are remembered.
+BLOCK_BYTES, CACHE = 8 << 20, 1 << 15
+#: Context sums come to the driver from so many tasks.
 TASKS = 8
+REPEAT = 4.0
 _PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
+def shape(run: str) -> str:
+    case = "A" if len(run) > 1 and run.isupper() else "a" if run.islower() else "Aa" if run[0].isupper() else "aA"
+    return f"\x01{case}{min(len(run), 12)}"
+
+
 def pieces(word: str) -> list[str]:
     out = []
     for run in _PIECE.findall(word):
         if run.isalpha():
-            case = "A" if len(run) > 1 and run.isupper() else "a" if run.islower() else "Aa" if run[0].isupper() else "aA"
-            out += [run.lower(), f"\x01{case}{min(len(run), 12)}"]
-        elif run.isdigit():
-            out.append(f"\x01{min(len(run), 6)}d")
+            out += [run.lower(), shape(run)]
         else:
-            out.append(run[:8])
+            out.append(f"\x01{min(len(run), 6)}d" if run.isdigit() else run[:8])
     return out
 
 
-def index_vector(piece: str) -> np.ndarray:
-    """NONZERO entries of 1 or -1 at places that the hash gives."""
-    h, v = xxhash.xxh3_128_intdigest(piece.encode("utf-8", "surrogatepass")), np.zeros(DIM, np.float32)
+def hashed(texts: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts), np.uint64, len(texts))
+
+
+def index_vectors(h: np.ndarray) -> np.ndarray:
+    """A row a hash, with NONZERO entries of 1 or -1 at places that the hash gives."""
+    out, rows = np.zeros((len(h), DIM), np.float32), np.arange(len(h))
     for k in range(NONZERO):
-        v[(h >> (16 * k)) % DIM] += 1.0 if (h >> (16 * k + 12)) & 1 else -1.0
-    return v
+        own = (h >> np.uint64(8 * k)) & np.uint64(0x7F)
+        out[rows, (own & np.uint64(63)).astype(np.int64)] += np.where(own >> np.uint64(6), 1.0, -1.0).astype(np.float32)
+    return out
 
 
-def bucket(piece: str) -> int:
-    return xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass"), 7) % BUCKETS
+def buckets(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(52)).astype(np.int64)
 
 
-class WordTable:
-    """Vectors of words in the rows of a matrix; row 0 is that of a repeated word. Holds a fixed number of words."""
+class Words:
+    """Vectors of the distinct words of a block of texts; remembers those of frequent pieces."""
 
     def __init__(self, context: np.ndarray | None):
         self.context = context
-        self.rows: dict[bytes, int] = {}
-        self.matrix = np.zeros((1024, DIM), np.float32)
-        self.matrix[0] = self._vector(["\x01again"])
-
-    def _vector(self, own: list[str]) -> np.ndarray:
-        v = np.zeros(DIM, np.float32)
-        for p in own:
-            v += index_vector(p)
-            if self.context is not None:
-                v += self.context[bucket(p)]
-        return v
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.rows) > CACHE_WORDS:
-            self.rows.clear()
-        for w in set(words).difference(self.rows):
-            n = len(self.rows) + 1
-            if n >= len(self.matrix):
-                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-            self.rows[w] = n
-            self.matrix[n] = self._vector(pieces(w.decode("utf-8", "replace")))
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-
-    def features(self, text: bytes | None) -> np.ndarray:
-        words = text.split() if text else []
-        out = np.zeros(2 * DIM + 1, np.float32)
-        if not words:
-            return out
-        n = self.numbers(words)
-        total, square = np.zeros(DIM, np.float64), np.zeros(DIM, np.float64)
-        for a in range(0, len(n), 8192):  # a very long text a part at a time
-            own = self.matrix[n[a : a + 8192]]
-            total += own.sum(axis=0)
-            square += np.einsum("ij,ij->j", own, own)
-        again = int((n[1:] == n[:-1]).sum())
-        mean = (total + 4.0 * again * self.matrix[0]) / len(n)
-        out[:DIM], out[DIM:-1] = mean, np.sqrt(np.maximum(square / len(n) - (total / len(n)) ** 2, 0))
-        out[-1] = np.log1p(len(n)) / 10
+        self.known: dict[str, np.ndarray] = {}
+        self.again = self.piece("\x01again")
+
+    def piece(self, p: str) -> np.ndarray:
+        if p not in self.known:
+            if len(self.known) > CACHE:
+                self.known.clear()
+            self.known[p] = index_vectors(hashed([p]))[0]
+        return self.known[p]
+
+    def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The vector and the bucket of each word; -1 for a word without a letter run."""
+        body = pc.utf8_rtrim(words, MARKS)
+        simple = pc.utf8_is_alpha(body).to_numpy(zero_copy_only=False)  # a letter run, and marks after it
+        out, bucket = np.zeros((len(words), DIM), np.float32), np.full(len(words), -1)
+        some = np.flatnonzero(simple)
+        run = body.filter(pa.array(simple))
+        lower = pc.dictionary_encode(pc.utf8_lower(run))
+        h = hashed(lower.dictionary.to_pylist())[lower.indices.to_numpy(zero_copy_only=False)]
+        bucket[some] = buckets(h)
+        vectors = index_vectors(h)
+        length = np.minimum(pc.utf8_length(run).to_numpy(zero_copy_only=False), 12)
+        upper, low, title = (f(run).to_numpy(zero_copy_only=False) for f in (pc.utf8_is_upper, pc.utf8_is_lower, lambda x: pc.utf8_is_upper(pc.utf8_slice_codeunits(x, 0, 1))))
+        case = np.where(upper & (length > 1), 0, np.where(low, 1, np.where(title, 2, 3)))
+        shapes = np.stack([self.piece(f"\x01{c}{n}") for c in ("A", "a", "Aa", "aA") for n in range(13)])
+        vectors += shapes[case * 13 + length]
+        after = (pc.binary_length(words).to_numpy(zero_copy_only=False) - pc.binary_length(body).to_numpy(zero_copy_only=False))[some]
+        marked = np.flatnonzero(after)
+        ends: dict[str, int] = {}
+        numbers = [ends.setdefault(t[-n:][:8], len(ends)) for t, n in zip(words.take(pa.array(some[marked])).to_pylist(), after[marked].tolist(), strict=True)]
+        if ends:
+            vectors[marked] += index_vectors(hashed(list(ends)))[numbers]
+        out[some] = vectors
+        other = np.flatnonzero(~simple)
+        for k, w in zip(other.tolist(), words.take(pa.array(other)).to_pylist(), strict=True):
+            own = pieces(w)
+            for p in own:
+                out[k] += self.piece(p)
+            first = next((p for p in own if p.isalpha()), None)
+            if first is not None:
+                bucket[k] = buckets(hashed([first]))[0]
+        if self.context is not None:
+            has = bucket >= 0
+            out[has] += self.context[bucket[has]]
+        return out, bucket
+
+    def split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of all words, where each text begins among them, and vectors and buckets by number."""
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat = parts.flatten()
+        there = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.cumsum(there)])[parts.offsets.to_numpy(zero_copy_only=False) - parts.offsets[0].as_py()]
+        words = pc.dictionary_encode(flat.filter(pa.array(there)))
+        return words.indices.to_numpy(zero_copy_only=False), cuts, *self.table(words.dictionary)
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        numbers, cuts, vectors, _ = self.split(texts)
+        out = np.zeros((len(texts), 2 * DIM + 1), np.float32)
+        for k, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+            if a == b:
+                continue
+            n = numbers[a:b]
+            total, square = np.zeros(DIM, np.float64), np.zeros(DIM, np.float64)
+            for at in range(0, len(n), 8192):  # a very long text a part at a time
+                own = vectors[n[at : at + 8192]]
+                total += own.sum(axis=0)
+                square += np.einsum("ij,ij->j", own, own)
+            again = int((n[1:] == n[:-1]).sum())
+            out[k, :DIM] = (total + REPEAT * again * self.again) / len(n)
+            out[k, DIM:-1] = np.sqrt(np.maximum(square / len(n) - (total / len(n)) ** 2, 0))
+            out[k, -1] = np.log1p(len(n)) / 10
         return out
 
-
-def context_sums(texts: Iterator[bytes]) -> np.ndarray:
-    """For each bucket, the sum of the index vectors of the pieces within WINDOW of its pieces."""
-    sums, known = np.zeros((BUCKETS, DIM), np.float32), {}
-    for text in texts:
-        own = [p for w in text.split() for p in pieces(w.decode("utf-8", "replace"))]
-        rows = []
-        for p in own:
-            if p not in known:
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                known[p] = (bucket(p), index_vector(p))
-            rows.append(known[p])
-        if not rows:
-            continue
-        at, vectors = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
-        around = np.zeros_like(vectors)
-        for k in range(1, WINDOW + 1):
-            around[k:] += vectors[:-k]
-            around[:-k] += vectors[k:]
-        order = np.argsort(at, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
-        sums[at[order][starts]] += np.add.reduceat(around[order], starts, axis=0)
-    return sums
+    def context_sums(self, texts: pa.Array, sums: np.ndarray) -> None:
+        """Add to each bucket the index vectors of the words within WINDOW of its words."""
+        numbers, cuts, vectors, bucket = self.split(texts)
+        for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+            for at in range(a, b, 8192):
+                n = numbers[at : min(b, at + 8192)]
+                own, around = vectors[n], np.zeros((len(n), DIM), np.float32)
+                for k in range(1, WINDOW + 1):
+                    around[k:] += own[:-k]
+                    around[:-k] += own[k:]
+                keys = bucket[n]
+                order = np.argsort(keys, kind="stable")
+                order = order[keys[order] >= 0]
+                if len(order):
+                    starts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+                    sums[keys[order][starts]] += np.add.reduceat(around[order], starts, axis=0)
 
 
 class Network:
@@ -193,7 +230,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
     sample = stored(sample.select("d", "t", "y").repartition(TASKS, "d"), "labelled")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = context_sums(x for batch in batches for x in blobs(batch[0]) if x)
+        words, out = Words(None), np.zeros((BUCKETS, DIM), np.float32)
+        for block in (b for batch in batches for b in blocks(batch, 0, BLOCK_BYTES)):
+            words.context_sums(block[0], out)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
 
     context = np.zeros((BUCKETS, DIM), np.float32)
@@ -203,9 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
     model = Model(context, None, 0.5)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(model.context)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array([table.features(x).tobytes() for x in blobs(batch[2])], pa.binary())], names=["d", "y", "x"])
+        words = Words(model.context)
+        for block in (b for batch in batches for b in blocks(batch, 2, BLOCK_BYTES)):
+            yield pa.RecordBatch.from_arrays([block[0], block[1], pa.array([x.tobytes() for x in words.features(block[2])], pa.binary())], names=["d", "y", "x"])
 
     rows = sorted(sample.select("d", "y", "t").mapInArrow(features, "d long, y int, x binary").collect())  # at most max_train
     if not rows:
@@ -221,12 +260,10 @@ def score(docs: DataFrame, model: Model, cut: float = 0.7, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(model.context)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = model.scores(np.stack([table.features(x) for x in blobs(batch[2])]))
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        words = Words(model.context)
+        for block in (b for batch in batches for b in blocks(batch, 2, BLOCK_BYTES)):
+            scores = model.scores(words.features(block[2]))
+            yield pa.RecordBatch.from_arrays([block[0], block[1], pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     ident = F.col(f"`{id_col}`").cast("long")
     return docs.select(ident.alias("d"), held_out(ident).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

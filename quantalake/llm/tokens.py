@@ -26,13 +26,13 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PLAIN)} | {32: 32}
 
 
-def blocks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` whose texts have about BLOCK_BYTES at most; a longer text is alone."""
+def blocks(batch: pa.RecordBatch, text: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts have about ``most`` bytes at most; a longer text is alone."""
     sizes = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     before = np.concatenate([[0], np.cumsum(sizes)])
     a = 0
     while a < batch.num_rows:
-        b = max(a + 1, int(np.searchsorted(before, before[a] + BLOCK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(before, before[a] + most, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
 

@@ -156,40 +156,40 @@ def quantile_sql(rel: str, by: str, x: str, k: int, q: int, p: Q.ContParam) -> s
 
 def _quantile(name: str, param: Q.ContParam) -> None:
     def run(spark, d):
-        return rounded(Q.quantile(lines(spark, d), ["g", "s"], "x", 1, 4, param), "quantile")
+        return rounded(Q.quantile(lines(spark, d), ["g", "s"], "x", 1, 4, param), "quantile", digits=9)
 
     QUERIES[name] = run
-    SQL[name] = f"WITH {LINES} SELECT g, s, {sr('v')} AS quantile FROM ({quantile_sql('li', 'g, s', 'x', 1, 4, param)})"
+    SQL[name] = f"WITH {LINES} SELECT g, s, {sr('v', 9)} AS quantile FROM ({quantile_sql('li', 'g, s', 'x', 1, 4, param)})"
 
 
 for _name, _param in PARAMS.items():
     _quantile(_name, _param)
 
 
-@query(f"WITH {ORDERS} SELECT g, {sr('quantile_cont(x, 0.1)')} AS q10, {sr('quantile_cont(x, 0.5)')} AS q50, {sr('quantile_cont(x, 0.9)')} AS q90 FROM ord GROUP BY g")
+@query(f"WITH {ORDERS} SELECT g, {sr('quantile_cont(x, 0.1)', 9)} AS q10, {sr('quantile_cont(x, 0.5)', 9)} AS q50, {sr('quantile_cont(x, 0.9)', 9)} AS q90 FROM ord GROUP BY g")
 def quantiles_multi(spark, d):
     own = Q.quantiles(orders(spark, d), ["g"], "x", [1, 5, 9], 10)
-    return own.select("g", *[r(F.col("quantiles")[i]).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
+    return own.select("g", *[r(F.col("quantiles")[i], 9).alias(n) for i, n in enumerate(("q10", "q50", "q90"))])
 
 
-@query(f"WITH {ORDERS} SELECT g, {sr('quantile_cont(x, 0.75)')} AS quantile FROM ord GROUP BY g")
+@query(f"WITH {ORDERS} SELECT g, {sr('quantile_cont(x, 0.75)', 9)} AS quantile FROM ord GROUP BY g")
 def weighted_avg_quantile(spark, d):
-    return rounded(Q.weighted_avg(orders(spark, d), ["g"], "x", 3, 4), "quantile")
+    return rounded(Q.weighted_avg(orders(spark, d), ["g"], "x", 3, 4), "quantile", digits=9)
 
 
-@query(f"WITH {PARTS} SELECT g, {sr('median(x)')} AS median FROM pa GROUP BY g")
+@query(f"WITH {PARTS} SELECT g, {sr('median(x)', 9)} AS median FROM pa GROUP BY g")
 def median_grp(spark, d):
-    return rounded(Q.median(parts(spark, d), ["g"], "x"), "median")
+    return rounded(Q.median(parts(spark, d), ["g"], "x"), "median", digits=9)
 
 
-@query(f"WITH {PARTS} SELECT g, {sr('b.v - a.v')} AS midspread FROM ({quantile_sql('pa', 'g', 'x', 1, 4, Q.MEDIAN_UNBIASED)}) a JOIN ({quantile_sql('pa', 'g', 'x', 3, 4, Q.MEDIAN_UNBIASED)}) b USING (g)")
+@query(f"WITH {PARTS} SELECT g, {sr('b.v - a.v', 9)} AS midspread FROM ({quantile_sql('pa', 'g', 'x', 1, 4, Q.MEDIAN_UNBIASED)}) a JOIN ({quantile_sql('pa', 'g', 'x', 3, 4, Q.MEDIAN_UNBIASED)}) b USING (g)")
 def midspread_iqr(spark, d):
-    return rounded(Q.midspread(parts(spark, d), ["g"], "x", 4, Q.MEDIAN_UNBIASED), "midspread")
+    return rounded(Q.midspread(parts(spark, d), ["g"], "x", 4, Q.MEDIAN_UNBIASED), "midspread", digits=9)
 
 
-@query(f"WITH {PARTS} SELECT g, {sr('mad(x)')} AS mad FROM pa GROUP BY g")
+@query(f"WITH {PARTS} SELECT g, {sr('mad(x)', 9)} AS mad FROM pa GROUP BY g")
 def mad_grp(spark, d):
-    return rounded(Q.mad(parts(spark, d), ["g"], "x"), "mad")
+    return rounded(Q.mad(parts(spark, d), ["g"], "x"), "mad", digits=9)
 
 
 # Ranks

@@ -300,7 +300,7 @@ def levene_test(df: DataFrame, by: list[str], sample: str, x: str, center: str =
     each = deviations.join(means, keys).groupBy(*keys).agg(F.sum("n").alias("__n"), F.max("__m").alias("__m"), F.sum(F.col("n") * d * d).alias("__inside"))
     total = each.groupBy(*by).agg(F.count("*").alias("__k"), F.sum("__n").alias("__n"), F.sum("__inside").alias("__inside"), F.sum(F.col("__n") * F.col("__m")).alias("__s"), F.sum(F.col("__n") * F.col("__m") * F.col("__m")).alias("__q"))
     between = F.col("__q") - F.col("__s") * F.col("__s") / F.col("__n")
-    ok = (F.col("__k") > 1) & (F.col("__inside") > 0) & (F.col("__n") > F.col("__k"))
+    ok = (F.col("__k") > 1) & (F.col("__inside") > 1e-24 * F.col("__q")) & (F.col("__n") > F.col("__k"))  # not rounding alone
     stat = F.when(ok, (F.col("__n") - F.col("__k")) * between / (F.when(ok, F.col("__k") - 1) * F.when(ok, F.col("__inside"))))
     out = total.select(*by, stat.alias("stat"), (F.col("__k") - 1).alias("df1"), (F.col("__n") - F.col("__k")).alias("df2"))
     return out.select(*by, "stat", "df1", "df2", f_tail(F.col("stat"), F.col("df1"), F.col("df2")).alias("p"))

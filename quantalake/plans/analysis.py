@@ -179,11 +179,11 @@ def ols_multi(spark, d):
 
 def _jackknife(name: str, estimator: str, sql: str) -> None:
     def run(spark, d):
-        return K.jackknife(customers(spark, d), ["g"], "x", estimator).select("g", "k", r("value").alias("value"))
+        return K.jackknife(customers(spark, d), ["g"], "x", estimator).select("g", "k", r("value", 9 if estimator == "mean" else 6).alias("value"))
 
     QUERIES[name] = run
     s1, s2, n = "(sum(x) OVER w - x)", "(sum(x * x) OVER w - x * x)", "(count(*) OVER w - 1)"
-    SQL[name] = f"WITH {CUSTOMERS} SELECT g, k, {sr(sql.format(s1=s1, s2=s2, n=n))} AS value FROM cu WINDOW w AS (PARTITION BY g)"
+    SQL[name] = f"WITH {CUSTOMERS} SELECT g, k, {sr(sql.format(s1=s1, s2=s2, n=n), 9 if estimator == 'mean' else 6)} AS value FROM cu WINDOW w AS (PARTITION BY g)"
 
 
 _jackknife("jackknife_mean", "mean", "{s1} / {n}")
@@ -211,7 +211,7 @@ def resample(spark, d):
     reps = K.resample(own, ["g"], "idx", "x", {"mean": "mean", "variance": "variance"}, 200, 3)
     sample = own.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.count("*").alias("n"))
     joined = reps.join(sample, "g")
-    return joined.groupBy("g").agg(F.count("*").alias("replicates"), F.min((F.col("mean") >= F.col("a")) & (F.col("mean") <= F.col("b"))).alias("inside"), (F.abs(F.avg("mean") - F.max("m")) <= 5 * F.max(F.col("sd") / F.sqrt("n")) / 200**0.5).alias("near"))
+    return joined.groupBy("g").agg(F.count("*").alias("replicates"), F.min((F.col("mean") >= F.col("a") - 1e-9) & (F.col("mean") <= F.col("b") + 1e-9)).alias("inside"), (F.abs(F.avg("mean") - F.max("m")) <= 5 * F.max(F.col("sd") / F.sqrt("n")) / 200**0.5).alias("near"))
 
 
 @query(f"WITH {CUSTOMERS} SELECT g, 50::BIGINT AS replicates FROM cu GROUP BY g")

@@ -261,8 +261,8 @@ def kruskal_wallis(spark, d):
 
 
 LEVENE = """z AS (SELECT g, s, abs(x - c) AS z FROM base JOIN ce USING (g, s)), e AS (SELECT g, s, count(*) AS n, avg(z) AS m, var_pop(z) * count(*) AS w FROM z GROUP BY g, s),
-t AS (SELECT g, count(*) AS k, sum(n) AS n, sum(w) AS w, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS b FROM e GROUP BY g),
-f AS (SELECT g, k - 1 AS df1, (n - k)::BIGINT AS df2, (n - k) * b / ((k - 1) * w) AS stat FROM t)"""
+t AS (SELECT g, count(*) AS k, sum(n) AS n, sum(w) AS w, sum(n * m * m) - pow(sum(n * m), 2) / sum(n) AS b, sum(n * m * m) AS q FROM e GROUP BY g),
+f AS (SELECT g, k - 1 AS df1, (n - k)::BIGINT AS df2, CASE WHEN k > 1 AND n > k AND w > 1e-24 * q THEN (n - k) * b / ((k - 1) * w) END AS stat FROM t)"""
 LEVENE_OUT = f"SELECT g, {sr('stat')} AS stat, df1, df2, {sr('1 - ' + beta_i('(df1 / 2)', '(df2 / 2)', '(df1 * stat / (df1 * stat + df2))', 3000))} AS p FROM f"
 
 
@@ -282,8 +282,8 @@ def levene_trimmed(spark, d):
     return rounded(T.levene_test(customers(spark, d), ["g"], "s", "x", "trimmed", 0.1), "stat", "p")
 
 
-@query(f"""WITH {CUSTOMERS}, e AS (SELECT g, s, count(*) AS n, var_samp(x) AS v FROM cu GROUP BY g, s), t AS (SELECT g, count(*) AS k, sum(n) AS n, sum((n - 1) * v) AS pv, sum((n - 1) * ln(v)) AS l, sum(1 / (n - 1)) AS i FROM e GROUP BY g),
-b AS (SELECT g, k - 1 AS df, greatest(0, ((n - k) * ln(pv / (n - k)) - l) / (1 + (i - 1 / (n - k)) / (3 * (k - 1)))) AS stat FROM t)
+@query(f"""WITH {CUSTOMERS}, e AS (SELECT g, s, count(*) AS n, var_samp(x) AS v FROM cu GROUP BY g, s), t AS (SELECT g, count(*) AS k, sum(n) AS n, sum((n - 1) * v) AS pv, sum((n - 1) * CASE WHEN v > 0 THEN ln(v) END) AS l, sum(1 / (n - 1)) AS i, min(n) > 1 AND min(v) > 0 AND count(*) > 1 AS ok FROM e GROUP BY g),
+b AS (SELECT g, k - 1 AS df, CASE WHEN ok THEN greatest(0, ((n - k) * ln(pv / (n - k)) - l) / (1 + (i - 1 / (n - k)) / (3 * (k - 1)))) END AS stat FROM t)
 SELECT g, {sr('stat')} AS stat, df, {sr('1 - ' + gamma_p('(df / 2)', '(stat / 2)'))} AS p FROM b""")
 def bartlett(spark, d):
     return rounded(T.bartlett_test(customers(spark, d), ["g"], "s", "x"), "stat", "p")
@@ -315,7 +315,7 @@ QUERIES["ks_prob"] = ks_prob
 
 @query(f"""WITH {CUSTOMERS}, c AS (SELECT g, x, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb FROM cu GROUP BY g, x),
 s AS (SELECT g, sum(na) OVER w / sum(na) OVER (PARTITION BY g) - sum(nb) OVER w / sum(nb) OVER (PARTITION BY g) AS d, sum(na) OVER (PARTITION BY g) AS n1, sum(nb) OVER (PARTITION BY g) AS n2 FROM c WINDOW w AS (PARTITION BY g ORDER BY x)),
-m AS (SELECT g, max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2, max(abs(d)) AS d, sqrt(max(n1) * max(n2) / (max(n1) + max(n2))) AS en FROM s GROUP BY g), z AS (SELECT *, d * (en + 0.12 + 0.11 / en) AS z FROM m)
+m AS (SELECT g, max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2, max(abs(d)) AS d, sqrt(max(n1) * max(n2) / (max(n1) + max(n2))) AS en FROM s GROUP BY g), z AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN d * (en + 0.12 + 0.11 / en) END AS z FROM m)
 SELECT g, n1, n2, {sr('z')} AS stat, {sr('CASE WHEN z < 1.18 THEN 1 - 2.25675833419102515e0 * sqrt(1.23370055013616983e0 / (z * z)) * (exp(-1.23370055013616983e0 / (z*z)) + exp(-9 * 1.23370055013616983e0 / (z*z)) + exp(-25 * 1.23370055013616983e0 / (z*z)) + exp(-49 * 1.23370055013616983e0 / (z*z))) ELSE 2 * (exp(-2*z*z) - exp(-8*z*z) + exp(-18*z*z)) END')} AS p FROM z""")
 def ks_two(spark, d):
     return rounded(T.ks_two_test(customers(spark, d), ["g"], F.col("a"), "x"), "stat", "p")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 from typing import ClassVar
 
 import numpy as np
@@ -41,12 +42,15 @@ def _positive(**values: float) -> None:
 class Distribution:
     discrete: ClassVar[bool] = False
     FUNCTIONS: ClassVar[tuple[str, ...]] = ("cdf", "sf", "pdf", "logpdf", "ppf", "isf")
+    #: The functions that need special functions: they run as one Arrow function, the others as expressions.
+    ARROW: ClassVar[tuple[str, ...]] = ()
 
     def __getattr__(self, name: str):
         names = {"pmf": "pdf", "logpmf": "logpdf"}
         if name in self.FUNCTIONS or name in names:
-            own = getattr(type(self), "_" + names.get(name, name))
-            return lambda x: own(self, Columns, Columns.value(x))
+            name = names.get(name, name)
+            own = getattr(type(self), "_" + name)
+            return lambda x: special.column(partial(self.host, name), Columns.value(x)) if name in self.ARROW else own(self, Columns, Columns.value(x))
         raise AttributeError(name)
 
     def host(self, name: str, x):
@@ -92,6 +96,7 @@ def from_json(value: dict) -> Distribution:
 
 @dataclass(frozen=True)
 class Normal(Distribution):
+    ARROW = ("cdf", "sf", "ppf", "isf")
     mu: float = 0.0
     sigma: float = 1.0
 
@@ -127,6 +132,7 @@ class Normal(Distribution):
 
 @dataclass(frozen=True)
 class Lognormal(Distribution):
+    ARROW = ("cdf", "sf", "ppf", "isf")
     mu: float = 0.0
     sigma: float = 1.0
 
@@ -205,6 +211,7 @@ class Exponential(Distribution):
 
 @dataclass(frozen=True)
 class Gamma(Distribution):
+    ARROW = ("cdf", "sf", "ppf", "isf")
     shape: float
     scale: float = 1.0
 
@@ -233,6 +240,7 @@ class Gamma(Distribution):
 
 @dataclass(frozen=True)
 class Beta(Distribution):
+    ARROW = ("cdf", "sf", "ppf", "isf")
     alpha: float
     beta: float
 
@@ -265,6 +273,7 @@ class Beta(Distribution):
 
 @dataclass(frozen=True)
 class ChiSquared(Distribution):
+    ARROW = ("cdf", "sf", "ppf", "isf")
     df: int
 
     def __post_init__(self):
@@ -291,6 +300,7 @@ class ChiSquared(Distribution):
 
 @dataclass(frozen=True)
 class StudentT(Distribution):
+    ARROW = ("cdf", "sf", "ppf", "isf")
     df: float
 
     def __post_init__(self):
@@ -334,6 +344,7 @@ def student_unstandardized(df: float, mu: float, sigma: float) -> LinearTransfor
 
 @dataclass(frozen=True)
 class FisherF(Distribution):
+    ARROW = ("cdf", "sf", "ppf", "isf")
     df1: float
     df2: float
 
@@ -528,6 +539,7 @@ class Discrete(Distribution):
 
 @dataclass(frozen=True)
 class Binomial(Discrete):
+    ARROW = ("cdf", "sf", "pdf", "logpdf")
     n: int
     p: float
 
@@ -562,6 +574,7 @@ class Binomial(Discrete):
 
 @dataclass(frozen=True)
 class Poisson(Discrete):
+    ARROW = ("cdf", "sf", "pdf", "logpdf")
     rate: float
 
     def __post_init__(self):
@@ -645,6 +658,7 @@ class Geometric0(Geometric):
 class NegativeBinomial(Discrete):
     """Failures before the r-th success; r needn't be whole."""
 
+    ARROW = ("cdf", "sf", "pdf", "logpdf")
     r: float
     p: float
 
@@ -677,6 +691,7 @@ class NegativeBinomial(Discrete):
 class Hypergeometric(Discrete):
     """Marked ones among k drawn from l, of which m are marked."""
 
+    ARROW = ("cdf", "sf", "pdf", "logpdf")
     m: int
     l: int  # noqa: E741
     k: int
@@ -760,6 +775,8 @@ class LinearTransform(Distribution):
     def __post_init__(self):
         _positive(scale=self.scale)
 
+    ARROW = property(lambda s: s.base.ARROW)
+
     @staticmethod
     def around(point: float, factor: float, base: Distribution) -> LinearTransform:
         """``base`` stretched by ``factor`` around ``point``, which stays where it is."""

@@ -85,7 +85,7 @@ def _gamma_both(a, x):
             f = np.where(np.abs(f) < TINY, TINY, f)
             step = d * f
             h = h * step
-            if (np.abs(step - 1) < 1e-16).all():
+            if (np.abs(step - 1) < 5e-16).all():
                 break
         upper[c] = np.clip(h * head[c], 0, 1)
         lower[c] = 1 - upper[c]
@@ -138,7 +138,7 @@ def beta_i(a, b, x):
                 c = 1 + up / c
                 c = np.where(np.abs(c) < TINY, TINY, c)
                 h = h * d * c
-            if (np.abs(d * c - 1) < 1e-16).all():
+            if (np.abs(d * c - 1) < 5e-16).all():
                 break
         part = np.clip(head * h, 0, 1)
         out[inside] = np.where(turn, 1 - part, part)

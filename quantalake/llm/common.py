@@ -6,6 +6,7 @@ changes A-Z alone; so the operators work on UTF-8 bytes and never depend on the
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -127,3 +128,24 @@ def few(batches, rows: int = 512):
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system: idle workers wait for later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def tidy(run):
+    """``run`` over batches, with ``release`` at its end."""
+
+    def own(batches):
+        yield from run(batches)
+        release()
+
+    return own

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import WordHashes, blobs, window_hashes
+from quantalake.llm.common import WordHashes, blobs, release, window_hashes
 
 TILE, COVERAGE = 5, 0.6
 #: Benchmark text held by a task at once; larger benchmarks are worked in blocks of about this size.
@@ -167,6 +167,8 @@ def _clean(known: Benchmark, coverage: float):
     @F.arrow_udf("boolean")
     def clean(column: pa.Array) -> pa.Array:
         words = WordHashes()
-        return pa.array([next(known.matches(words.of(tokens(x)), coverage), None) is None for x in blobs(column)], pa.bool_())
+        own = [next(known.matches(words.of(tokens(x)), coverage), None) is None for a in range(0, len(column), 512) for x in blobs(column.slice(a, 512))]
+        release()
+        return pa.array(own, pa.bool_())
 
     return clean

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import mix
+from quantalake.llm.common import mix, release
 from quantalake.llm.sampling import held_out, share
 
 SIZES = (3, 4)
@@ -26,6 +26,8 @@ SLOTS, HASHES = 1 << 18, 4
 PER_LANGUAGE, GRAMS, LEAST, RELATIVE = 2000, 8192, 3, 0.1
 UNKNOWN = "und"
 CHUNK = 1 << 16
+#: Texts that are Python objects at a time.
+ROWS = 512
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -153,6 +155,8 @@ def keep_known(docs: DataFrame, filters: Filters, least: float = 0.1, text_col:
 
     @F.arrow_udf("boolean")
     def known(column: pa.Array) -> pa.Array:
-        return pa.array([filters.predict(x)[1] >= least for x in column.to_pylist()], pa.bool_())
+        own = [filters.predict(x)[1] >= least for a in range(0, len(column), ROWS) for x in column.slice(a, ROWS).to_pylist()]
+        release()
+        return pa.array(own, pa.bool_())
 
     return docs.where(known(F.col(f"`{text_col}`").cast("string")))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import OWN, WordHashes, blobs, few, mix, shingles, stored, with_outputs
+from quantalake.llm.common import OWN, WordHashes, blobs, few, mix, shingles, stored, tidy, with_outputs
 from quantalake.llm.components import components
 
 SAMPLES, ROWS = 128, 4
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     column.append(value)
             yield _table([batch[0], batch[2], *out], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()], ["d", "tie", "n", "s", "keys", "sketch"])
 
-    return docs.mapInArrow(run, "d long, tie long, n long, s binary, keys array<long>, sketch binary")
+    return docs.mapInArrow(tidy(run), "d long, tie long, n long, s binary, keys array<long>, sketch binary")
 
 
 def in_blocks(rows: DataFrame, group: str, ident: str, name: str) -> DataFrame:
@@ -184,7 +184,7 @@ def candidate_edges(rows: DataFrame, most: int) -> DataFrame:
                     label = classes.labels()
             yield _table([u, v], [pa.int64(), pa.int64()], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(tidy(run), "u long, v long")
 
 
 def confirmed(sets: list[np.ndarray], bits: np.ndarray, similarity: int, most: int) -> list[tuple[int, int]]:
@@ -235,7 +235,7 @@ def confirmed_edges(rows: DataFrame, similarity: int, most: int) -> DataFrame:
                     v.append(int(d[a + j]))
             yield _table([u, v], [pa.int64(), pa.int64()], ["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(tidy(run), "u long, v long")
 
 
 def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -248,7 +248,7 @@ def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
             columns = [batch[0].to_pylist(), batch[1].to_pylist(), [x.tobytes() for x in sets], [odd_sketch(samples(x)).tobytes() for x in sets]]
             yield _table(columns, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["g", "d", "shingles", "sketch"])
 
-    return docs.mapInArrow(run, "g long, d long, shingles binary, sketch binary")
+    return docs.mapInArrow(tidy(run), "g long, d long, shingles binary, sketch binary")
 
 
 def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -99,31 +99,61 @@ def _order(calls: DataFrame) -> DataFrame:
     """conv_id, call_id and level: 0 without known dependencies, else one more than the highest of them; null in a
     cycle or after one.
 
-    Where every dependency stands before its call, places are an order already, and levels follow the places. Only
-    conversations with a dependency that doesn't are worked in rounds, one a level.
+    Calls with one known dependency form chains. Each looks for its anchor, the first call on its chain that has none
+    or several, by doubling its steps: as many rounds as the longest chain's length has binary digits. Only calls with
+    several dependencies are then worked in rounds, one a level of them.
     """
-    spark = calls.sparkSession
-    own = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn")).alias("at"), F.flatten(F.collect_set(F.coalesce("depends_on", F.array().cast("array<string>")))).alias("depends_on"))
-    own = stored(own.select("conv_id", "call_id", "at", "depends_on"), "calls")
-    needs = own.select("conv_id", "call_id", "at", F.explode(F.array_distinct("depends_on")).alias("needs"))
-    known = own.select("conv_id", F.col("call_id").alias("needs"), F.col("at").alias("needs_at"))
-    needs = stored(needs.join(known, ["conv_id", "needs"]), "needs")
-    late = stored(needs.where("not (needs_at < at)").select("conv_id").distinct(), "late")
-    ordered = own.join(late, "conv_id", "left_anti").select("conv_id", "call_id", F.lit(0).alias("level"))
-    rest = own.join(late, "conv_id").select("conv_id", "call_id")
-    open_needs = needs.join(late, "conv_id").select("conv_id", "call_id", "needs")
-    done = spark.createDataFrame([], "conv_id long, call_id string, level int")
-    level = 0
+    own = calls.groupBy("conv_id", "call_id").agg(F.flatten(F.collect_set(F.coalesce("depends_on", F.array().cast("array<string>")))).alias("depends_on"))
+    own = stored(own, "calls")
+    needs = own.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    needs = stored(needs.join(own.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"]), "needs")
+    count = needs.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("needs").alias("up"))
+    nodes = own.select("conv_id", "call_id").join(count, ["conv_id", "call_id"], "left")
+    one, several = F.coalesce(F.col("n") == 1, F.lit(False)), F.coalesce(F.col("n") > 1, F.lit(False))
+    # ``steps`` up, at ``up``; ``found``: that is the anchor
+    state = nodes.select("conv_id", "call_id", F.when(one, F.col("up")).otherwise(F.col("call_id")).alias("up"), one.cast("long").alias("steps"), (~one).alias("found"), several.alias("several"))
+    state = stored(state, "chains")
+    columns, anchored = state.columns, state.where("found")
+    seen, still = anchored, state.where("not found")
+    while not still.isEmpty():
+        above = seen.unionByName(still).select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("to"), F.col("steps").alias("more"), F.col("found").alias("at"), F.col("several").alias("s"))
+        moved = still.select("conv_id", "call_id", "up", "steps").join(above, ["conv_id", "up"])
+        moved = stored(moved.select("conv_id", "call_id", F.col("to").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("at").alias("found"), F.col("s").alias("several")).select(*columns), "moved")
+        fresh, still = moved.where("found"), moved.where("not found")
+        if fresh.isEmpty():  # a path to an anchor has a call at every distance: the rest is in cycles or after them
+            break
+        anchored = anchored.unionByName(fresh)
+        wanted = still.select("conv_id", F.col("up").alias("call_id")).distinct()
+        seen = stored(seen.unionByName(fresh).join(wanted, ["conv_id", "call_id"], "left_semi").select(*columns), "seen")
+    lost = still.select("conv_id", "call_id", F.lit(None).cast("int").alias("level"))
+    level = F.col("steps").cast("int").alias("level")
+    forks = anchored.where("several and steps = 0").select("conv_id", "call_id")
+    if forks.isEmpty():
+        return anchored.select("conv_id", "call_id", level).unionByName(lost)
+    # what a call with several dependencies waits for: an anchor, and how far above it the call stands at least
+    ends = anchored.select("conv_id", F.col("call_id").alias("needs"), "up", "steps", "several")
+    waits = needs.join(forks, ["conv_id", "call_id"], "left_semi").join(ends, ["conv_id", "needs"], "left")
+    waits = waits.groupBy("conv_id", "call_id", "up", "several").agg(F.max(F.col("steps") + 1).cast("int").alias("far"))
+    waits = stored(waits, "waits")
+    known = waits.where("not several").groupBy("conv_id", "call_id").agg(F.max("far").alias("least"))
+    rest = stored(forks.join(known, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.coalesce("least", F.lit(0)).alias("least")), "forks")
+    open_waits = waits.where("several or up is null").select("conv_id", "call_id", "up", "far")  # null: never
+    done = rest.where("false").select("conv_id", "call_id", F.col("least").alias("level"))
     while True:
-        blocked = open_needs.select("conv_id", "call_id").distinct()
-        free = stored(rest.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)), "free")
+        blocked = open_waits.select("conv_id", "call_id").distinct()
+        free = stored(rest.join(blocked, ["conv_id", "call_id"], "left_anti").select("conv_id", "call_id", F.col("least").alias("level")), "free")
         if free.isEmpty():
             break
-        done = stored(done.unionByName(free), "done")
-        rest = stored(rest.join(free.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti"), "rest")
-        open_needs = stored(open_needs.join(free.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti").select("conv_id", "call_id", "needs"), "open")
-        level += 1
-    return ordered.unionByName(done).unionByName(rest.withColumn("level", F.lit(None).cast("int")))
+        done = done.unionByName(free)
+        met = open_waits.join(free.select("conv_id", F.col("call_id").alias("up"), "level"), ["conv_id", "up"], "left")
+        met = stored(met.select("conv_id", "call_id", "up", "far", "level"), "met")
+        open_waits = met.where("level is null").drop("level")
+        gained = met.where("level is not null").groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("far")).alias("gain"))
+        rest = rest.join(free.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti").join(gained, ["conv_id", "call_id"], "left")
+        rest = stored(rest.select("conv_id", "call_id", F.greatest("least", "gain").alias("least")), "rest")
+    base = done.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("base"))
+    below = anchored.where("several").join(base, ["conv_id", "up"], "left").select("conv_id", "call_id", (F.col("base") + F.col("steps")).cast("int").alias("level"))
+    return anchored.where("not several").select("conv_id", "call_id", level).unionByName(below).unionByName(lost)
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

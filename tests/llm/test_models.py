@@ -156,6 +156,64 @@ def test_tool_calls(spark):
     assert chat.link_tool_calls(calls.where("false"), results, SCHEMA).count() == 0
 
 
+def brute_levels(needs: dict) -> dict:
+    """Levels of the calls of one conversation by relaxation; calls in cycles and after them get None."""
+    level = dict.fromkeys(needs)
+    for _ in needs:
+        for k, own in needs.items():
+            own = [level[x] for x in own if x in needs]
+            if level[k] is None and None not in own:
+                level[k] = 1 + max(own, default=-1)
+    return level
+
+
+def test_levels(spark):
+    rng, rows, want = random.Random(3), [], {}
+
+    def conversation(conv: int, needs: dict) -> None:
+        places = list(needs)
+        rows.extend((conv, t, k, "f", '{"x":1}', needs[k]) for t, k in enumerate(places))
+        want.update({(conv, k): v for k, v in brute_levels(needs).items()})
+
+    chain = {f"c{k}": [f"c{k - 1}"] for k in range(21)}  # in order; the first one's dependency is unknown
+    conversation(0, chain)
+    conversation(1, dict(rng.sample(sorted(chain.items()), 21)))  # out of order
+    conversation(2, {"a": [], "b": ["a", "none"], "c": ["a", "b"], "d": ["c"], "e": ["d"], "f": ["b", "e"], "g": ["f"]})
+    conversation(3, {"a": ["c"], "b": ["a"], "c": ["b"], "d": ["c"], "e": ["d", "f"], "f": [], "g": ["f"], "h": ["e"], "i": ["i"], "j": ["h", "g"]})  # cycles
+    for conv in range(4, 30):
+        names = [f"n{k}" for k in range(rng.randrange(1, 14))]
+        cyclic = conv % 3 == 0
+        needs = {n: rng.sample(names if cyclic else names[:k], min(k, rng.choice([0, 1, 1, 1, 2, 3]))) for k, n in enumerate(names)}
+        conversation(conv, dict(rng.sample(sorted(needs.items()), len(needs))))
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    got = chat.link_tool_calls(calls, results, SCHEMA).collect()
+    assert {(r.conv_id, r.call_id): r.level for r in got} == want and len(got) == len(rows)
+    assert want[0, "c20"] == want[1, "c20"] == 20 and want[3, "d"] is None and want[2, "g"] == 6
+    assert all((r.status == "cycle") == (want[r.conv_id, r.call_id] is None) for r in got)
+
+
+def test_levels_of_conversations(spark):
+    """The registered query's levels, by recursive SQL."""
+    import os
+
+    import duckdb
+
+    from quantalake.llm.queries import QUERIES
+
+    data = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no tables here")
+    want = duckdb.sql(f"""
+WITH RECURSIVE calls AS (SELECT DISTINCT conv_id, turn FROM '{data}/conversations.parquet' WHERE role = 'user'),
+levels AS (
+  SELECT conv_id, turn, 0 AS level FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+  UNION ALL SELECT c.conv_id, c.turn, level + 1 FROM levels p JOIN calls c ON c.conv_id = p.conv_id AND c.turn = p.turn + 2)
+SELECT conv_id, turn, level FROM levels""").fetchall()
+    got = {(r.conv_id, r.turn, r.level) for r in QUERIES["op10_chat_tool_calls"](spark, data).collect()}
+    assert got == set(want) and max(r[2] for r in got) > 1
+
+
 def test_faults():
     f = chat.fault
     assert f(True, {"type": "integer"}) and f(1, {"type": "boolean"}) and not f(2.0, {"type": "integer"}) and f(2.5, {"type": "integer"})

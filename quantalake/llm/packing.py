@@ -150,7 +150,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = Encoder(tokenizer_path, kind), int(end_id).to_bytes(4, "little")
+        own, end = Encoder(tokenizer_path, kind, special=True), int(end_id).to_bytes(4, "little")
         for batch in (part for whole in batches for part in blocks(whole, 1)):
             rows = []
             for ident, ids in zip(batch[0].to_pylist(), own.encode(batch[1]), strict=True):

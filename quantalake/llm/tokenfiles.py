@@ -46,7 +46,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(out_dir)
-        own, end = Encoder(tokenizer_path, kind, code), np.array([end_id], code).tobytes()
+        own, end = Encoder(tokenizer_path, kind, code, special=True), np.array([end_id], code).tobytes()
         name, mark = f"part-{TaskContext.get().partitionId():06d}", uuid.uuid4().hex
         files, ids, offsets, at, key = {}, array("q"), array("q", [0]), 0, None
         for batch in batches:

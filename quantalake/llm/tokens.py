@@ -7,6 +7,7 @@ all texts together. A block has a bounded number of bytes, so the memory that th
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,7 +56,10 @@ class Table:
 
 
 class Encoder:
-    """Encodes texts to ids as ``encode(text, add_special_tokens=False)`` does; special strings are plain text.
+    """Encodes texts to ids as ``encode(text, add_special_tokens=False)`` does.
+
+    ``special``: the strings of added tokens get their own ids, as the library has it by default; a text that holds one
+    is encoded in one go. Without it they are plain text (``encode_special_tokens`` of the library).
 
     ``kind`` says where a text may be cut without changing its ids. ``spaced``: byte-level vocabularies whose pieces
     may start with one space and never hold a space after another character; cuts are before single spaces and at
@@ -67,16 +71,20 @@ class Encoder:
     ``<u2`` or ``<u4``.
     """
 
-    def __init__(self, path: str, kind: str, code: str = "<u4"):
+    def __init__(self, path: str, kind: str, code: str = "<u4", special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder().values() if special else []
         self.bare = Tokenizer(self.tokenizer.model)  # for runs of letters, which the rules for text leave whole
         self.bare.pre_tokenizer = CharDelimiterSplit(" ")
         self.spaced, self.code = kind == "spaced", code
+        #: What makes a text one that is encoded in one go; tokens that are sought in normalised text could be anywhere.
+        whole = [_ODD] * self.spaced + [re.escape(t.content) for t in added]
+        self.whole = "" if any(t.normalized for t in added) and self.tokenizer.normalizer else "|".join(whole) or None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin (spaced) or end a word
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if self.spaced else t.endswith("</w>"))]] = True
@@ -143,9 +151,12 @@ class Encoder:
         odd = np.zeros(len(texts), bool)
         if self.spaced:
             texts = pc.binary_join_element_wise("\n", texts, "")  # the first part, too, comes after a newline
-            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-            whole = texts.filter(pa.array(odd)).to_pylist()
-            texts = pc.if_else(pa.array(odd), "\n", texts)
+        skip = 1 if self.spaced else 0
+        if self.whole is not None:
+            odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+            whole = [t[skip:] for t in texts.filter(pa.array(odd)).to_pylist()]
+            texts = pc.if_else(pa.array(odd), "\n" * skip, texts)
+        if self.spaced:
             split = pc.split_pattern(pc.utf8_slice_codeunits(pc.replace_substring(texts, "\n", " \n"), 1), " ")
         else:
             split = pc.ascii_split_whitespace(texts)
@@ -153,10 +164,10 @@ class Encoder:
         table, numbers = self._parts(words.dictionary), words.indices.to_numpy(zero_copy_only=False)
         cuts = split.offsets.to_numpy(zero_copy_only=False) - split.offsets[0].as_py()
         ends = np.concatenate([[0], np.cumsum(table.lengths[numbers])])[cuts]
-        flat, skip = table.of(numbers), 1 if self.spaced else 0
+        flat = table.of(numbers)
         out = [flat[a + skip : b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
         if odd.any():
-            for k, ids in zip(np.flatnonzero(odd).tolist(), self._ids([t[1:] for t in whole]), strict=True):
+            for k, ids in zip(np.flatnonzero(odd).tolist(), self._ids(whole), strict=True):
                 out[k] = np.array(ids, self.code)
         return out
 

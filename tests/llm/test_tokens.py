@@ -50,6 +50,30 @@ def test_encoder_on_any_text(name, texts):
 _encoders: dict = {}
 
 
+SPECIAL = [*ODD, "see <|endoftext|> here", "<|endoftext|>", " <|endoftext|>\n<|startoftext|>x", "a<|endoftext|>b  c", "<|ENDOFTEXT|> <|endoftext |>", "é<|startoftext|>É!!", "x\n<|endoftext|>\n\n y"]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_special_strings(name):
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    own = Encoder(path, kind_of(path), code_of(path), special=True)
+    for texts in (SPECIAL, ODD[:4], [SPECIAL[-1]], []):
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in own.encode(pa.array(texts, pa.string()))] == want
+
+
+def test_special_strings_in_operators(spark, docs, tmp_path):
+    want = {name: [[*Tokenizer.from_file(public_tokenizers.path(name)).encode(t or "", add_special_tokens=False).ids, 0] for t in SPECIAL] for name in FILES}
+    assert 50256 in want["byte_bpe_50k.json"][len(ODD)] and 49407 in want["word_bpe_49k.json"][len(ODD)]
+    rows = pack(docs(SPECIAL), public_tokenizers.path("word_bpe_49k.json"), keep_ids=True).collect()
+    assert [r.ids for r in sorted(rows, key=lambda r: r.doc_id)] == want["word_bpe_49k.json"]
+    out = f"file://{tmp_path}/special"
+    write_token_files(docs(SPECIAL), out, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = read_token_files(spark, out, keep_tokens=True).collect()
+    assert [r.tokens for r in sorted(rows, key=lambda r: r.doc_id)] == want["byte_bpe_50k.json"]
+
+
 def test_blocks():
     batch = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (5, 50, 1, 1, 1, 200)])], names=["t"])
     assert [b.num_rows for b in blocks(batch, 0, 20)] == [1, 1, 3, 1]

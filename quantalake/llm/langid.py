@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import mix, release
+from quantalake.llm.common import few, mix, release, tidy
 from quantalake.llm.sampling import held_out, share
 
 SIZES = (3, 4)
 SLOTS, HASHES = 1 << 18, 4
 PER_LANGUAGE, GRAMS, LEAST, RELATIVE = 2000, 8192, 3, 0.1
+#: Cuts: half of what 99 % of a language's own texts reach. Sentences in languages that aren't learned score 0.1 to 0.4.
+LOWEST, PART, FLOOR = 0.01, 0.5, 0.1
 UNKNOWN = "und"
 CHUNK = 1 << 16
 #: Texts that are Python objects at a time.
@@ -96,19 +98,26 @@ class Filters:
         return self.languages[best], float(own[best])
 
 
+def _sample(docs: DataFrame, lang_col: str, per_language: int, id_col: str, text_col: str) -> tuple[DataFrame | None, dict[str, int]]:
+    """The languages ``l`` and texts ``t`` that are learned from, and how many texts each language has."""
+    ident, lang = F.col(f"`{id_col}`").cast("long"), F.col(f"`{lang_col}`").cast("string")
+    rows = docs.select(ident.alias("d"), lang.alias("l"), F.col(f"`{text_col}`").cast("string").alias("t")).where("l is not null and d is not null").where(~held_out(F.col("d")))
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not sizes:
+        return None, sizes
+    limits = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "l string, most double")
+    return rows.join(F.broadcast(limits), "l").where(share(F.col("d")) <= F.col("most")).select("l", "t"), sizes
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> Filters:
     """Learn from texts with a language that aren't held out: at most about ``per_language`` of each.
 
     A language keeps its GRAMS most frequent n-grams that occur LEAST times and at least RELATIVE as often as in the
     language where they are most frequent. The driver gets those hashes only: so many for each language.
     """
-    ident, lang = F.col(f"`{id_col}`").cast("long"), F.col(f"`{lang_col}`").cast("string")
-    rows = docs.select(ident.alias("d"), lang.alias("l"), F.col(f"`{text_col}`").cast("string").alias("t")).where("l is not null and d is not null").where(~held_out(F.col("d")))
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
+    sample, sizes = _sample(docs, lang_col, per_language, id_col, text_col)
     if not sizes:
         return Filters([], [])
-    limits = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "l string, most double")
-    sample = rows.join(F.broadcast(limits), "l").where(share(F.col("d")) <= F.col("most")).select("l", "t")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,17 +154,40 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     return docs.select(ident.alias("d"), held_out(ident).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, filters: Filters, least: float = 0.1, text_col: str = "text") -> DataFrame:
+def cuts(docs: DataFrame, filters: Filters, lang_col: str = "lang", per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
+    """For each language, the score below which a text isn't taken to be in it: PART of what all but LOWEST of the texts
+    that were learned from reach in their own language, and at least FLOOR. The driver gets a row a language."""
+    sample, _ = _sample(docs, lang_col, per_language, id_col, text_col)
+    if sample is None:
+        return {}
+    places = {k: n for n, k in enumerate(filters.languages)}
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in few(batches, ROWS):
+            found = [(k, None if (x := filters.shares(t)) is None else float(x[places[k]])) for k, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if k in places]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["l", "score"])
+
+    low = sample.mapInArrow(tidy(own), "l string, score double").groupBy("l").agg(F.percentile_approx("score", LOWEST).alias("low"))
+    return dict.fromkeys(filters.languages, FLOOR) | {r.l: max(FLOOR, PART * (r.low or 0.0)) for r in low.collect()}
+
+
+def keep_known(docs: DataFrame, filters: Filters, least: float | dict[str, float] = FLOOR, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a known language with a score of ``least`` or more, with all columns.
 
-    Null texts and texts without letters go. If no language was learned, all rows stay.
+    ``least``: one number, or a number a language (``cuts``). Null texts and texts without letters go. If no language
+    was learned, all rows stay.
     """
     if not filters.languages:
         return docs
+    lowest = least if isinstance(least, dict) else dict.fromkeys(filters.languages, least)
+
+    def enough(text: str | None) -> bool:
+        lang, score = filters.predict(text)
+        return lang != UNKNOWN and score >= lowest[lang]
 
     @F.arrow_udf("boolean")
     def known(column: pa.Array) -> pa.Array:
-        own = [filters.predict(x)[1] >= least for a in range(0, len(column), ROWS) for x in column.slice(a, ROWS).to_pylist()]
+        own = [enough(x) for a in range(0, len(column), ROWS) for x in column.slice(a, ROWS).to_pylist()]
         release()
         return pa.array(own, pa.bool_())
 

@@ -42,6 +42,30 @@ def test_language(spark):
     assert langid.keep_known(docs, none).count() == docs.count()
 
 
+FOREIGN = [
+    "De regering heeft gisteren besloten dat de nieuwe wet pas volgend jaar in werking treedt.",
+    "Il governo ha deciso ieri che la nuova legge entrerà in vigore soltanto il prossimo anno.",
+    "O governo decidiu ontem que a nova lei só entrará em vigor no próximo ano, segundo o ministro.",
+    "Hallitus päätti eilen, että uusi laki tulee voimaan vasta ensi vuonna.",
+    "Rząd zdecydował wczoraj, że nowa ustawa wejdzie w życie dopiero w przyszłym roku.",
+    "Regeringen beslutade i går att den nya lagen träder i kraft först nästa år.",
+]
+
+
+def test_language_stage_drops_other_languages(spark):
+    import os
+
+    import corpus_pipeline as p
+
+    data = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no tables here")
+    docs = p.load(spark, data, "documents").select(*p.COLUMNS)
+    other = spark.createDataFrame([(-1 - k, t, None, "s", len(t)) for k, t in enumerate(FOREIGN)], docs.schema)
+    kept = p.language_stage(spark, docs.unionByName(other), data)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
 def test_language_filters_hold_what_they_learned():
     rng = np.random.default_rng(1)
     members = [rng.integers(0, 1 << 63, 3000, np.uint64) for _ in range(70)]  # more than a word of bits

@@ -1,5 +1,6 @@
 """Operators against published values, brute force and properties."""
 
+import itertools
 import math
 import random
 
@@ -17,6 +18,7 @@ from quantalake.operators import quantiles as Q
 from quantalake.operators import ranks as R
 from quantalake.operators import resampling as K
 from quantalake.operators import transform as X
+from quantalake.plans import registry
 
 
 def sample(spark, rows):
@@ -244,3 +246,47 @@ def test_one_value_bootstrap(spark):
     reps = K.resample(df, ["g"], "idx", "x", {"mean": "mean"}, 20, 1)
     got = K.bootstrap_bca(df, reps, ["g"], "x", "mean", 20, I.CL95).first()
     assert (got.point, got.lo, got.hi) == (7, 7, 7)
+
+
+def _folder(spark, path, name, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+
+
+def test_wilcoxon_query_has_all_groups(spark, tmp_path):
+    """Small groups by all signs of the ranks; a large one by the normal approximation."""
+    rng, rows = random.Random(5), []
+    for g, n in ((1, 3), (2, 7), (3, 9), (4, 130)):
+        rows += [(k, g, float(k + 1 if rng.random() < 0.85 else -k - 1), 0.0) for k in range(n)]  # differences without ties
+    rows += [(0, 5, 0.0, 0.0), (1, 5, 0.0, 0.0)]
+    _folder(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_suppkey long, l_quantity double, l_discount double")
+    got = {r.g: r for r in registry.queries()["wilcoxon_test"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    assert got[5].n == 0 and got[5].p is None and got[5].significant is None
+    for g in (1, 2, 3):
+        d = [x for _, k, x, _ in rows if k == g]
+        n, plus, minus = len(d), sum(x for x in d if x > 0), -sum(x for x in d if x < 0)
+        below = sum(sum(s) <= min(plus, minus) for s in itertools.product(*[(0, k + 1) for k in range(n)])) / 2**n
+        assert (got[g].n, got[g].t_plus, -got[g].t_minus) == (n, plus, minus)
+        assert got[g].p == pytest.approx(min(1, 2 * below), abs=1e-6)
+        lowest = [t for t in range(n * (n + 1) // 2 + 1) if sum(sum(s) <= t for s in itertools.product(*[(0, k + 1) for k in range(n)])) / 2**n <= 0.025]
+        assert got[g].significant == (min(plus, minus) <= lowest[-1] if lowest else None)
+    assert got[4].n == 130 and got[4].significant is True
+
+
+def test_mannwhitney_query_has_all_groups(spark, tmp_path):
+    """Small groups by all arrangements of the ranks; a large one by the normal approximation."""
+    rng, rows = random.Random(6), []
+    for g, n1, n2 in ((1, 1, 1), (2, 4, 5), (3, 3, 6), (4, 30, 40), (5, 0, 4)):
+        rows += [(len(rows) + k, g, 1000.0 * x, "BUILDING" if k < n1 else "OTHER") for k, x in enumerate(rng.sample(range(n1 + n2), n1 + n2) if g != 3 else range(n1 + n2))]
+    _folder(spark, tmp_path, "customer", rows, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string")
+    got = {r.g: r for r in registry.queries()["mannwhitney_test"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    for g in (1, 2, 3):
+        own = [(x, s == "BUILDING") for _, k, x, s in rows if k == g]
+        n1, n2 = sum(a for _, a in own), sum(not a for _, a in own)
+        u1 = sum(x > y for x, a in own for y, b in own if a and not b)
+        us = [sum(c) - n1 * (n1 - 1) // 2 for c in itertools.combinations(range(n1 + n2), n1)]
+        lowest = [t for t in range(n1 * n2 + 1) if sum(u <= t for u in us) / len(us) < 0.2]
+        assert (got[g].n1, got[g].n2, got[g].u1, got[g].u2) == (n1, n2, u1, n1 * n2 - u1)
+        assert got[g].significant == (min(u1, n1 * n2 - u1) <= lowest[-1] if lowest else None)
+    assert got[3].significant is True and got[4].significant is not None and got[5].significant is None

@@ -142,10 +142,12 @@ def release() -> None:
 
 
 def tidy(run):
-    """``run`` over batches, with ``release`` at its end."""
+    """``run`` over batches, with ``release`` at its end, however it ends."""
 
     def own(batches):
-        yield from run(batches)
-        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
     return own

@@ -28,8 +28,8 @@ PER_LANGUAGE, GRAMS, LEAST, RELATIVE = 2000, 8192, 3, 0.1
 LOWEST, PART, FLOOR = 0.01, 0.5, 0.1
 UNKNOWN = "und"
 CHUNK = 1 << 16
-#: Texts that are Python objects at a time.
-ROWS = 512
+#: Texts that are Python objects at a time, and n-grams that a task holds before it sums them up.
+ROWS, HELD = 512, 1 << 21
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -109,6 +109,14 @@ def _sample(docs: DataFrame, lang_col: str, per_language: int, id_col: str, text
     return rows.join(F.broadcast(limits), "l").where(share(F.col("d")) <= F.col("most")).select("l", "t"), sizes
 
 
+def _counts(by: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+    """How often each language has each n-gram: l, h, n."""
+    each = [(k, *np.unique(np.concatenate(own), return_counts=True)) for k, own in by.items()]
+    langs = [k for k, h, _ in each for _ in range(len(h))]
+    h, n = (np.concatenate([np.zeros(0, t), *[x[i] for x in each]]) for i, t in ((1, np.uint64), (2, np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(h.view(np.int64)), pa.array(n)], names=["l", "h", "n"])
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> Filters:
     """Learn from texts with a language that aren't held out: at most about ``per_language`` of each.
 
@@ -120,15 +128,19 @@ def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAG
         return Filters([], [])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, ROWS):
             by: dict[str, list[np.ndarray]] = {}
+            held = 0
             for k, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                by.setdefault(k, []).extend(grams(text))
-            for k, own in by.items():
-                h, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n)], names=["l", "h", "n"])
-
-    counted = sample.mapInArrow(count, "l string, h long, n long").groupBy("l", "h").agg(F.sum("n").alias("n"))
+                for own in grams(text):
+                    by.setdefault(k, []).append(own)
+                    held += len(own)
+                    if held > HELD:
+                        yield _counts(by)
+                        by, held = {}, 0
+            yield _counts(by)
+
+    counted = sample.mapInArrow(tidy(count), "l string, h long, n long").groupBy("l", "h").agg(F.sum("n").alias("n"))
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("l"))
     frequent = counted.withColumn("rate", rate).withColumn("top", F.max("rate").over(Window.partitionBy("h"))).where(F.col("n") >= LEAST).where(F.col("rate") >= RELATIVE * F.col("top"))
     best = frequent.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "h"))).where(F.col("nth") <= GRAMS).select("l", "h")
@@ -146,12 +158,12 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches, ROWS):
             found = [filters.predict(x) for x in batch[2].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     ident = F.col(f"`{id_col}`").cast("long")
-    return docs.select(ident.alias("d"), held_out(ident).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(ident.alias("d"), held_out(ident).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def cuts(docs: DataFrame, filters: Filters, lang_col: str = "lang", per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:

@@ -11,6 +11,7 @@ Pieces then get their places by their rank among the pieces of their length.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import stored, tidy
+from quantalake.llm.common import release, stored, tidy
 from quantalake.llm.tokens import Encoder, blocks, kind_of
 
 BINS, PARTS = 128, 4
@@ -151,16 +152,25 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = Encoder(tokenizer_path, kind, special=True), int(end_id).to_bytes(4, "little")
-        for batch in (part for whole in batches for part in blocks(whole, 1)):
-            rows = []
-            for ident, ids in zip(batch[0].to_pylist(), own.encode(batch[1]), strict=True):
+        for block in (part for whole in batches for part in blocks(whole, 1)):
+            row, piece, length, crc, flat = array("i"), array("i"), array("q"), array("q"), []
+            for n, ids in enumerate(own.encode(block[1])):
                 ids = ids.tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * seq_len)):
                     part = ids[at : at + 4 * seq_len]
-                    rows.append((ident, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if keep_ids else None))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + keep_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
+                    row.append(n)
+                    piece.append(k)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if keep_ids:
+                        flat.append(part)
+            own_piece, own_length = np.frombuffer(piece, np.int32), np.frombuffer(length, np.int64)
+            columns = [block[0].take(pa.array(np.frombuffer(row, np.int32))), pa.array(own_piece), pa.array(own_piece.astype(np.int64) * seq_len), pa.array(own_length), pa.array(np.frombuffer(crc, np.int64))]
+            if keep_ids:
+                offsets = np.concatenate([[0], np.cumsum(own_length)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), "<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
+            release()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(tidy(cut), schema)
 
@@ -201,7 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
 
     names = [c for c in ranked.columns if c != "rank"] + ["sequence_id", "offset"]
     kinds = dict(ranked.dtypes) | {"sequence_id": "bigint", "offset": "bigint"}
-    placed = ranked.mapInArrow(place, ", ".join(f"{n} {kinds[n]}" for n in names))
+    placed = ranked.mapInArrow(tidy(place), ", ".join(f"{n} {kinds[n]}" for n in names))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids)
 
 

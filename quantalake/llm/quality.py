@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import stored
+from quantalake.llm.common import stored, tidy
 from quantalake.llm.sampling import held_out, share
 from quantalake.llm.tokens import MARKS, blocks
 
@@ -227,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
         return Model(None, None, 0.5)
     chosen = own.where(share(F.col("d")) <= max_train / total).orderBy(F.xxhash64("d")).limit(max_train)
     sample = docs.select(ident.cast("long").alias("d"), F.col(f"`{text_col}`").cast("string").alias("t")).join(F.broadcast(chosen), "d")
+    sample = sample.groupBy("d", "y").agg(F.min("t").alias("t"))  # repeated ids are learned from once
     sample = stored(sample.select("d", "t", "y").repartition(TASKS, "d"), "labelled")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
 
     context = np.zeros((BUCKETS, DIM), np.float32)
-    for row in sample.select("t").coalesce(TASKS).mapInArrow(sums, "sums binary").toLocalIterator():
+    for row in sample.select("t").coalesce(TASKS).mapInArrow(tidy(sums), "sums binary").toLocalIterator():
         context += np.frombuffer(row.sums, np.float32).reshape(BUCKETS, DIM)
     context /= np.linalg.norm(context, axis=1, keepdims=True) + 1e-6
     model = Model(context, None, 0.5)
@@ -246,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_trai
         for block in (b for batch in batches for b in blocks(batch, 2, BLOCK_BYTES)):
             yield pa.RecordBatch.from_arrays([block[0], block[1], pa.array([x.tobytes() for x in words.features(block[2])], pa.binary())], names=["d", "y", "x"])
 
-    rows = sorted(sample.select("d", "y", "t").mapInArrow(features, "d long, y int, x binary").collect())  # at most max_train
+    rows = sorted(sample.select("d", "y", "t").mapInArrow(tidy(features), "d long, y int, x binary").collect())  # at most max_train
     if not rows:
         return Model(None, None, 0.5)
     x, y = np.stack([np.frombuffer(r.x, np.float32) for r in rows]).astype(float), np.array([r.y > 0 for r in rows])
@@ -266,4 +267,4 @@ def score(docs: DataFrame, model: Model, cut: float = 0.7, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([block[0], block[1], pa.array(scores, pa.float64()), pa.array((scores >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     ident = F.col(f"`{id_col}`").cast("long")
-    return docs.select(ident.alias("d"), held_out(ident).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(ident.alias("d"), held_out(ident).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantalake.llm.common import release, tidy
 from quantalake.llm.tokens import Encoder, blocks, code_of, kind_of
 
 NULL_ID = -(1 << 63)
@@ -63,6 +64,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
                     at += len(data) // len(end)
                     ids.append(NULL_ID if ident is None else ident)
                     offsets.append(at)
+                release()
         if files:
             files["offsets"].write(offsets.tobytes())
             files["ids"].write(ids.tobytes())
@@ -75,7 +77,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"), F.col(f"`{text_col}`").cast("string").alias("t"))
     ordered = rows.repartitionByRange("d", "tie").sortWithinPartitions("d", "tie")
-    parts = ordered.mapInArrow(write, _PART).collect()  # a row a part
+    parts = ordered.mapInArrow(tidy(write), _PART).collect()  # a row a part
     parts.sort(key=lambda r: (r.first_id is not None, r.first_id or 0, r.tie))
     bases = np.concatenate([[0], np.cumsum([r.tokens for r in parts], dtype=np.int64)])
     manifest = [(r.part, r.docs, r.tokens, r.width, int(b), k) for k, (r, b) in enumerate(zip(parts, bases, strict=False))]
@@ -119,4 +121,4 @@ def read_token_files(spark: SparkSession, out_dir: str, keep_tokens: bool = Fals
                         names.append("tokens")
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return manifest.select("part", "width", "base", "nth").repartitionByRange(parts, "nth").mapInArrow(read, schema)
+    return manifest.select("part", "width", "base", "nth").repartitionByRange(parts, "nth").mapInArrow(tidy(read), schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text of a block, words that are encoded as one text, and words whose ids are put together at a time.
-BLOCK_BYTES, JOINED, WORDS = 24 << 20, 400, 1 << 20
+BLOCK_BYTES, JOINED, WORDS = 8 << 20, 400, 1 << 17
 #: White space before a space or a newline: only there could cutting change the pieces of byte-level vocabularies.
 _ODD = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]"
 #: Letters whose lower case depends on others, or that rules for text may change.
@@ -42,17 +42,19 @@ class Table:
     """The ids of numbered things, end to end."""
 
     def __init__(self, flat: np.ndarray, lengths: np.ndarray):
-        self.flat, self.lengths = flat, lengths
-        self.starts = np.cumsum(lengths) - lengths
+        self.flat, self.lengths = flat, lengths.astype(np.int32)
+        self.starts = np.cumsum(lengths, dtype=np.int64) - lengths
 
     def of(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of things by their numbers, end to end."""
-        out = []
+        out, at = np.empty(int(self.lengths[numbers].sum()), self.flat.dtype), 0
         for a in range(0, len(numbers), WORDS):
             own = numbers[a : a + WORDS]
             n = self.lengths[own]
-            out.append(self.flat[np.repeat(self.starts[own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))])
-        return np.concatenate(out) if out else self.flat[:0]
+            size = int(n.sum())
+            np.take(self.flat, np.repeat(self.starts[own] - np.cumsum(n) + n, n) + np.arange(size), out=out[at : at + size])
+            at += size
+        return out
 
 
 class Encoder:
@@ -160,10 +162,12 @@ class Encoder:
             split = pc.split_pattern(pc.utf8_slice_codeunits(pc.replace_substring(texts, "\n", " \n"), 1), " ")
         else:
             split = pc.ascii_split_whitespace(texts)
+        del texts
+        cuts = split.offsets.to_numpy(zero_copy_only=False) - split.offsets[0].as_py()
         words = pc.dictionary_encode(split.flatten())
+        del split
         table, numbers = self._parts(words.dictionary), words.indices.to_numpy(zero_copy_only=False)
-        cuts = split.offsets.to_numpy(zero_copy_only=False) - split.offsets[0].as_py()
-        ends = np.concatenate([[0], np.cumsum(table.lengths[numbers])])[cuts]
+        ends = np.concatenate([[0], np.cumsum(table.lengths[numbers], dtype=np.int64)])[cuts]
         flat = table.of(numbers)
         out = [flat[a + skip : b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
         if odd.any():

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import stored
+from quantalake.llm.common import release, stored
 
 #: The types of JSON Schema and the Python types that they allow (booleans aren't numbers).
 TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
@@ -34,7 +34,8 @@ def _plain(value: Any) -> Any:
 
 
 def parsed(text: str | None) -> Any:
-    """The value of strict JSON text; ``...`` if it isn't any (a repeated key, NaN and infinity aren't)."""
+    """The value of strict JSON text; ``...`` if it isn't any. A repeated key, NaN, a number beyond doubles, half of a
+    surrogate pair and nesting beyond the interpreter's limit aren't."""
 
     def unique(pairs: list) -> dict:
         if len({k for k, _ in pairs}) < len(pairs):
@@ -44,13 +45,41 @@ def parsed(text: str | None) -> Any:
     def refuse(_: str) -> None:
         raise ValueError("not a number")
 
+    def finite(digits: str) -> float:
+        if math.isinf(value := float(digits)):
+            raise ValueError("too large")
+        return value
+
     try:
-        value = json.loads(text, object_pairs_hook=unique, parse_constant=refuse)
-        return ... if isinstance(value, float) and not math.isfinite(value) else value
+        value = json.loads(text, object_pairs_hook=unique, parse_constant=refuse, parse_float=finite)
+        canonical(value).encode()
+        return value
     except (TypeError, ValueError, RecursionError):
         return ...
 
 
+#: The keywords of JSON Schema that ``fault`` knows, and those that say nothing about a value.
+KEYWORDS = {"type", "enum", "required", "properties", "additionalProperties", "items", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems"}
+REMARKS = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "deprecated", "readOnly", "writeOnly"}
+
+
+def check_schema(schema: dict, at: str = "$") -> None:
+    """An error for a keyword that ``fault`` doesn't know, a type that there isn't, or a schema that isn't an object."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"{at}: a schema must be an object")
+    if unknown := sorted(set(schema) - KEYWORDS - REMARKS):
+        raise ValueError(f"{at}: unknown keywords {', '.join(unknown)}")
+    kinds = schema.get("type", [])
+    if wrong := [k for k in ([kinds] if isinstance(kinds, str) else kinds) if k not in TYPES]:
+        raise ValueError(f"{at}: unknown type {wrong[0]}")
+    if not isinstance(schema.get("additionalProperties", True), bool):
+        raise ValueError(f"{at}: additionalProperties must be true or false")
+    for k, own in schema.get("properties", {}).items():
+        check_schema(own, f"{at}.{k}")
+    if "items" in schema:
+        check_schema(schema["items"], f"{at}[]")
+
+
 def fault(value: Any, schema: dict, at: str = "$") -> str | None:
     """The first way in which ``value`` breaks ``schema``: type, enum, required, properties, additionalProperties
     (boolean), items, minimum, maximum, minLength, maxLength, minItems, maxItems. None if it holds."""
@@ -164,12 +193,15 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     ``cycle``, ``bad json``, ``no schema``, or the first fault against the schema. json: the canonical text of
     ``{"arguments", "call_id", "name", "result"}``; arguments that aren't JSON stay text.
 
-    ``schemas``: a JSON Schema a tool name (see ``fault``); a part of the program, not data.
+    ``schemas``: a JSON Schema a tool name (see ``fault``; an error if it has other keywords); a part of the program,
+    not data.
 
     Defined cases: calls without id or conversation never have a result (``no result``); of several results for one
     identifier the first by turn and content holds; repeated calls each get it; dependencies on unknown calls are
     ignored; null arguments are bad JSON; null content is null; other columns are ignored; either table may be empty.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     c = calls.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("call_id").cast("string"), F.col("name").cast("string"), F.col("arguments").cast("string"), F.col("depends_on").cast("array<string>"))
     r = results.select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("result_turn"), F.col("call_id").cast("string"), F.col("content").cast("string"))
     first = F.min(F.struct("result_turn", F.col("content").isNull().alias("no"), "content"))
@@ -189,6 +221,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
             else:
                 wrong = fault(value, schemas[tool])
             out.append({"fault": wrong, "json": canonical({"arguments": text if value is ... else value, "call_id": ident, "name": tool, "result": said})})
+        release()
         return pa.array(out, pa.struct([("fault", pa.string()), ("json", pa.string())]))
 
     joined = joined.withColumn("j", judged("name", "call_id", "arguments", "r.content"))

@@ -142,17 +142,24 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, s
 FROM words LEFT JOIN kept USING (doc_id)
 """,
     "op10_chat_tool_calls": r"""
-WITH calls AS (
+WITH RECURSIVE calls AS (
   SELECT conv_id, turn, conv_id || ':' || turn AS call_id, text FROM conversations WHERE role = 'user'),
 results AS (
   SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, text AS content,
          row_number() OVER (PARTITION BY conv_id, turn ORDER BY text NULLS LAST) AS nth
-  FROM conversations WHERE role = 'assistant')
-SELECT c.conv_id, c.turn, c.call_id, 'reply' AS name, r.result_turn, 0 AS level,
+  FROM conversations WHERE role = 'assistant'),
+nodes AS (SELECT DISTINCT conv_id, turn FROM calls),
+levels AS (
+  SELECT conv_id, turn, 0 AS level FROM nodes c
+  WHERE NOT EXISTS (SELECT 1 FROM nodes p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+  UNION ALL
+  SELECT c.conv_id, c.turn, level + 1 FROM levels p JOIN nodes c ON c.conv_id = p.conv_id AND c.turn = p.turn + 2)
+SELECT c.conv_id, c.turn, c.call_id, 'reply' AS name, r.result_turn, l.level,
        CASE WHEN c.text IS NULL THEN '$: text is missing' WHEN r.call_id IS NULL THEN 'no result' ELSE 'ok' END AS status,
        '{"arguments":{' || CASE WHEN c.text IS NULL THEN '' ELSE '"text":' || to_json(c.text)::VARCHAR || ',' END
        || '"turn":' || c.turn || '},"call_id":"' || c.call_id || '","name":"reply","result":'
        || coalesce(to_json(r.content)::VARCHAR, 'null') || '}' AS json
-FROM calls c LEFT JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND nth = 1
+FROM calls c JOIN levels l ON c.conv_id = l.conv_id AND c.turn = l.turn
+LEFT JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id AND nth = 1
 """,
 }

@@ -110,8 +110,8 @@ def test_temperature_is_fitted():
 
 
 def brute_tiles(a, b, least):
-    """The textbook: the longest unmarked common run, marked, again and again."""
-    ma, mb, total = [False] * len(a), [False] * len(b), 0
+    """The textbook: the longest unmarked common run, the first in the text and then in the item, again and again."""
+    ma, mb, out = [False] * len(a), [False] * len(b), []
     while True:
         best = (0, 0, 0)
         for i in range(len(a)):
@@ -120,42 +120,87 @@ def brute_tiles(a, b, least):
                 while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not ma[i + n] and not mb[j + n]:
                     n += 1
                 best = max(best, (n, -i, -j))
-        if best[0] < least:
-            return total
+        if best[0] < min(least, len(b)) or not best[0]:
+            return out
         n, i, j = best[0], -best[1], -best[2]
         for k in range(n):
             ma[i + k] = mb[j + k] = True
-        total += n
+        out.append((i, j, n))
 
 
-def test_tiling():
+def test_tiling(monkeypatch):
     rng = np.random.default_rng(7)
-    for _ in range(60):
-        a, b = rng.integers(0, 3, rng.integers(1, 40)).astype(np.uint64), rng.integers(0, 3, rng.integers(3, 25)).astype(np.uint64)
-        found = decontam.tiles(a, b, 3)
-        assert all((a[i : i + n] == b[j : j + n]).all() for i, j, n in found)
-        covered = [k for _, j, n in found for k in range(j, j + n)]
-        assert len(covered) == len(set(covered))
-        lengths = [n for *_, n in found]
-        assert lengths == sorted(lengths, reverse=True)
-        assert abs(len(covered) - brute_tiles(a.tolist(), b.tolist(), 3)) <= 3  # ties may fall out otherwise
-
-
-def test_decontamination(spark, docs, prose, monkeypatch):
+    for places in (1 << 19, 7):  # whole texts, and a few places at a time
+        monkeypatch.setattr(decontam, "PLACES", places)
+        for _ in range(60):
+            a, b = rng.integers(0, 3, rng.integers(1, 40)), rng.integers(-1, 3, rng.integers(3, 25))
+            assert decontam.tiles(a, b, 3) == brute_tiles(a.tolist(), b.tolist(), 3)
+    same = np.zeros(3000, np.int64)
+    assert decontam.tiles(same, same[:50], 5) == [(0, 0, 50)]
+    assert decontam.tiles(same[:0], same, 5) == decontam.tiles(same, same[:0], 5) == []
+
+
+def test_kept_seeds():
+    """The words under the seeds that go are fewer than the coverage asks for, and no more seeds could go."""
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        n = int(rng.integers(1, 40))
+        size = min(5, n)
+        count = rng.integers(1, 6, n - size + 1)
+        kept, free = decontam.kept_seeds(count, np.arange(n - size + 1), n, size, 0.6)
+        under = {p + k for p in np.flatnonzero(~kept).tolist() for k in range(size)}
+        assert len(under) == free and free / n < 0.6 and kept.any()
+        assert count[~kept].min(initial=9) >= count[kept].max()
+
+
+def test_decontamination(spark, docs, prose):
     items = [(k, prose(30, 500 + k)) for k in range(6)] + [(6, "tiny item"), (7, None), (8, "..."), (9, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     first, second = " ".join(items[1][1].split()[:15]), " ".join(items[1][1].split()[15:])
     texts = [prose(200, 1), prose(50, 2) + " " + items[0][1].upper() + ". " + prose(50, 3), second + " " + prose(20, 4) + " " + first, " ".join(items[2][1].split()[:12]), None, "", "a Tiny, item here"]
     want = {(1, 0), (2, 1), (6, 6)}
-    for size in (decontam.BLOCK_BYTES, 200):  # in one block, and in several
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
-        assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs(texts), bench).collect()} == want
-        kept = decontam.decontaminate(docs(texts), bench)
-        assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5] and "lang" in kept.columns
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs(texts), bench).collect()} == want
+    kept = decontam.decontaminate(docs(texts), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5] and kept.columns == docs(texts).columns
     assert decontam.leaks(docs(texts), bench.where("false")).count() == 0
+    assert decontam.decontaminate(docs(texts), bench.where("false")).count() == 7
     assert decontam.leaks(docs([]), bench).count() == 0
 
 
+def test_decontamination_by_brute_force(spark, docs, prose):
+    """All pairs by the textbook's tiling; phrases that many items share, repeated rows and items, null ids, long texts."""
+    rng = random.Random(11)
+    phrase = "what is the right answer to this question"
+    items = [(k, phrase + " " + prose(rng.randrange(3, 20), 700 + k)) for k in range(12)] + [(20, phrase), (21, phrase), (None, "one two three"), (22, prose(10, 700)), (22, prose(10, 700)), (23, "do do do do do do do do")]
+    texts = [None, "", phrase, "one, TWO three", "do " * 40]
+    for k in range(25):
+        parts = [prose(rng.randrange(5, 40), 900 + k)]
+        for _, item in rng.sample(items, 2):
+            words = item.split()
+            a, b = sorted(rng.sample(range(len(words) + 1), 2))
+            parts += [" ".join(words[b:]), prose(3, k), " ".join(words[:a])]
+        texts.append(" ".join(parts))
+    texts += [texts[7], texts[7], prose(30000, 5) + " " + items[3][1]]
+    ids = [*range(len(texts) - 4), None, None, 400, 401]
+    own = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    own = own.unionByName(own.where("doc_id = 7"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1.5))
+    want = []
+    for d, t in [*zip(ids, texts, strict=True), (7, texts[7])]:
+        a = decontam.tokens(t.encode()) if t else []
+        for k, item in set(items):
+            b = decontam.tokens(item.encode())
+            found = brute_tiles(a if len(a) < 1000 else a[-60:], b, 5)
+            if sum(x[2] for x in found) / len(b) >= 0.6:
+                want.append((d, k, sum(x[2] for x in found) / len(b), len(b), len(found)))
+    got = [(r.doc_id, r.item_id, r.coverage, r.item_words, len(r.tiles)) for r in decontam.leaks(own, bench).collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 20
+    leaking = {d for d, *_ in want}
+    clean = decontam.decontaminate(own, bench)
+    assert {r.doc_id for r in clean.collect()} == set(ids) - leaking
+
+
 SCHEMA = {"f": {"type": "object", "required": ["x"], "properties": {"x": {"type": "integer", "minimum": 0}}, "additionalProperties": False}}
 
 
@@ -177,6 +222,11 @@ def test_tool_calls(spark):
     assert got[1, "a"].json == '{"arguments":{"x":1},"call_id":"a","name":"f","result":"é"}'
     assert json.loads(got[5, "dup"].json)["result"] == "first"
     assert chat.link_tool_calls(calls, results, SCHEMA).count() == 12
+    alone = chat.link_tool_calls(calls, results.where("false"), SCHEMA).collect()
+    assert len(alone) == 12 and {r.status for r in alone if r.call_id in ("a", "p", "q", "dup")} == {"no result"}
+    big = json.dumps({"x": 10**30, "y": "w" * 300_000})
+    odd = spark.createDataFrame([(1, 0, "a", "f", '{"x":1e400}', None), (1, 1, "b", "f", '{"x":"\\ud800"}', None), (1, 2, "c", "f", big, None)], calls.drop("level").schema)
+    assert [r.status for r in chat.link_tool_calls(odd, results, SCHEMA).orderBy("turn").collect()] == ["bad json", "bad json", "$: y is unknown"]
     assert chat.link_tool_calls(calls.where("false"), results, SCHEMA).count() == 0
 
 
@@ -245,6 +295,13 @@ def test_faults():
     assert f(1, {"enum": [True]}) and not f(1, {"enum": [1]})
     assert f("abc", {"maxLength": 2}) == "$: maxLength" and f([], {"minItems": 1}) == "$: minItems"
     assert chat.parsed("NaN") is ... and chat.parsed(None) is ... and chat.parsed("null") is None
+    for bad in ('{"x":1e400}', "-1e999", '{"x":"\\ud800"}', '{"\\udfff":1}', "[" * 100000, "1" * 10000):
+        assert chat.parsed(bad) is ...
+    assert chat.parsed('"\\ud83d\\ude00"') == "\U0001f600"
+    chat.check_schema({"type": ["object", "null"], "title": "t", "properties": {"a": {"type": "array", "items": {"enum": [1]}}}})
+    for schema in ({"const": 1}, {"properties": {"a": {"pattern": "x"}}}, {"items": {"anyOf": []}}, {"type": "text"}, {"additionalProperties": {}}, {"$ref": "#"}, 1):
+        with pytest.raises(ValueError, match="unknown|must be"):
+            chat.check_schema(schema)
     assert chat.canonical({"b": 1.0, "a": [True, None, 0.5]}) == '{"a":[true,null,0.5],"b":1}'
 
 

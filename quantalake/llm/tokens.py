@@ -60,8 +60,7 @@ class Table:
 class Encoder:
     """Encodes texts to ids as ``encode(text, add_special_tokens=False)`` does.
 
-    ``special``: the strings of added tokens get their own ids, as the library has it by default; a text that holds one
-    is encoded in one go. Without it they are plain text (``encode_special_tokens`` of the library).
+    The strings of added tokens get their own ids, as the library has it; a text that holds one is encoded in one go.
 
     ``kind`` says where a text may be cut without changing its ids. ``spaced``: byte-level vocabularies whose pieces
     may start with one space and never hold a space after another character; cuts are before single spaces and at
@@ -73,14 +72,13 @@ class Encoder:
     ``<u2`` or ``<u4``.
     """
 
-    def __init__(self, path: str, kind: str, code: str = "<u4", special: bool = False):
+    def __init__(self, path: str, kind: str, code: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not special
-        added = self.tokenizer.get_added_tokens_decoder().values() if special else []
+        added = self.tokenizer.get_added_tokens_decoder().values()
         self.bare = Tokenizer(self.tokenizer.model)  # for runs of letters, which the rules for text leave whole
         self.bare.pre_tokenizer = CharDelimiterSplit(" ")
         self.spaced, self.code = kind == "spaced", code

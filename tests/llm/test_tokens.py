@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quantalake.llm import fingerprint as fp
+from quantalake.llm.common import WordHashes, window_hashes
 from quantalake.llm.packing import nnls, pack, patterns, plan, sequences
 from quantalake.llm.tokenfiles import read_token_files, write_token_files
 from quantalake.llm.tokens import Encoder, blocks, code_of, kind_of
@@ -33,7 +34,6 @@ def pair(request):
 
 def test_encoder_is_exact(pair):
     own, plain = pair
-    plain.encode_special_tokens = True
     for a, b in zip(own.encode(pa.array(ODD)), ODD, strict=True):
         assert a.tolist() == plain.encode(b or "", add_special_tokens=False).ids
 
@@ -57,7 +57,7 @@ SPECIAL = [*ODD, "see <|endoftext|> here", "<|endoftext|>", " <|endoftext|>\n<|s
 def test_special_strings(name):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    own = Encoder(path, kind_of(path), code_of(path), special=True)
+    own = Encoder(path, kind_of(path), code_of(path))
     for texts in (SPECIAL, ODD[:4], [SPECIAL[-1]], []):
         want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
         assert [x.tolist() for x in own.encode(pa.array(texts, pa.string()))] == want
@@ -179,6 +179,40 @@ def test_fingerprints_with_equal_and_null_ids(docs):
     assert sorted(r.doc_id or -1 for r in got) == [-1, -1, 3, 3]
 
 
+def brute_sketch(text):
+    """Hashes of all shingles one by one, the smallest 128 of them."""
+    words = WordHashes().of((text or "").encode().split())
+    return sorted({int(window_hashes(words[i : i + 5], min(5, len(words)))[0]) for i in range(max(1, len(words) - 4)) if len(words)})[:128]
+
+
+def test_fingerprints_by_brute_force(docs, prose, monkeypatch):
+    """Order, edited texts, sketches and likenesses from sets; many ranges, one id for a third of the rows, long texts."""
+    monkeypatch.setattr(fp, "RANGE_BYTES", 2000)
+    texts = [prose(random.Random(k).randrange(1, 200), k % 30) for k in range(60)] + [prose(3, k) for k in range(30)] + [None, "", "x" * 300_000, prose(70_000, 3)]
+    ids = [*random.Random(4).sample(range(-50, 1000), 60), *[7] * 25, *[None] * 5, 1001, 1002, 1003, 1004]
+    got = fp.fingerprints(docs(texts, ids)).collect()
+    assert len(got) == len(texts)
+    rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    by_sketch = {}
+    for d, t in rows:
+        by_sketch.setdefault((d, fp.to_text(np.array(brute_sketch(t), np.uint64))), []).append(t or "")
+    for r in got:
+        own = by_sketch[r.doc_id, r.fingerprint]
+        assert r.n_chars in map(len, own)
+    where = {d: n for n, (d, _) in enumerate(rows)}
+    for r in got:
+        if r.doc_id is None or r.doc_id == 7 or rows[(where[r.doc_id] + 1) % len(rows)][0] in (None, 7):
+            continue  # ties by hash
+        t, after = (rows[(where[r.doc_id] + k) % len(rows)][1] or "" for k in (0, 1))
+        other = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert r.edited_sha256 == hashlib.sha256(other.encode()).hexdigest()
+        a, b, c = (brute_sketch(x) for x in (t, other, after))
+        assert r.edited_fingerprint == fp.to_text(np.array(b, np.uint64))
+        for said, x in ((r.near_edited, b), (r.near_next, c)):
+            union = sorted(set(a) | set(x))[:128]
+            assert said == pytest.approx(sum(h in a and h in x for h in union) / len(union) if union else 1.0)
+
+
 def test_sketches_merge():
     rng = np.random.default_rng(3)
     h = np.unique(rng.integers(0, 1 << 63, 5000, np.uint64) << np.uint64(1))

@@ -2,9 +2,10 @@
 
 A repeat of ``window`` words holds, wherever it starts, one whole block of its text's grid of non-overlapping blocks of
 ``block`` = (window + 1) // 2 words. So the blocks of all texts are the index, and every rolling run of ``block`` words
-of all texts probes it. A run is an anchor if the index has it and it occurs twice. Around anchors, the runs of
-``window`` words are compared over all texts; those that start at more than one place are the exact repeats, and the
-words that they cover form the maximal ones.
+of all texts probes it. A run is an anchor if the index has it and it occurs twice; anchors are told apart by 32 bits
+and their bucket, so there may be too many, never too few. Around anchors, the runs of ``window`` words are compared
+over all texts by two independent hashes (128 bits, of words' 64-bit hashes); those that start at more than one place
+are the exact repeats, and the words that they cover form the maximal ones.
 
 Documents are dealt over batches of a few megabytes. A batch sends each distinct run once, as packed hashes with two
 bits (in the index; more than once in the batch), to the bucket of the hash; so a passage that a third of all texts
@@ -20,11 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import WordHashes, blobs, window_hashes
+from quantalake.llm.common import WordHashes, blobs, mix, release, window_hashes
 
-BATCH_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
-_LOW = np.uint64(0xFFFFFFFF)
+#: Bytes of text of a batch, of a bucket, and of a task's batches.
+BATCH_BYTES, BUCKET_BYTES, TASK_BYTES = 4 << 20, 8 << 20, 32 << 20
+_LOW, _OTHER = np.uint64(0xFFFFFFFF), np.uint64(0xD1342543DE82EF95)
+
+
+#: Entries of packs: the lower half of an anchor's hash; both hashes of a window, the first of which gives the bucket.
+SHORT, LONG = np.dtype("<u4"), np.dtype([("a", "<u8"), ("b", "<u8")])
 
 
 def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -33,10 +38,30 @@ def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _short(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and lower half: what packs of 32-bit entries tell of a hash."""
+    """Bucket and lower half: what packs of anchors tell of a hash."""
     return (_buckets(hashes, buckets) << np.uint64(32)) | (hashes & _LOW)
 
 
+def _long(words: np.ndarray, window: int) -> np.ndarray:
+    """Both hashes of each run of ``window`` words."""
+    out = np.empty(max(0, len(words) - window + 1), LONG)
+    out["a"], out["b"] = window_hashes(words, window), window_hashes(mix(words ^ _OTHER), window)
+    return out
+
+
+def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What sorts the entries, and where each run of equal ones begins in that order."""
+    if x.dtype == LONG:
+        order = np.lexsort((x["b"], x["a"]))
+        x = x[order]
+        new = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
+    else:
+        order = np.argsort(x, kind="stable")
+        x = x[order]
+        new = x[1:] != x[:-1]
+    return order, np.flatnonzero(np.concatenate([[True], new])) if len(x) else np.zeros(0, np.int64)
+
+
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
     """Where each run of equal values begins and ends."""
     if not len(x):
@@ -51,16 +76,18 @@ _PACK_KINDS = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa
 _REPLY = "batch long, bucket long, found binary"
 
 
-def _packs(batch: int, hashes: np.ndarray, indexed: np.ndarray | None, buckets: int, kind: type) -> pa.Table:
-    """The distinct hashes of a batch by bucket, in four classes: found once or more in the batch, in the index or not."""
-    order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-    values = ordered[starts]
-    several = np.diff(np.append(starts, len(ordered))) > 1
+def _packs(batch: int, hashes: np.ndarray, indexed: np.ndarray | None, buckets: int) -> pa.Table:
+    """The distinct hashes of a batch by bucket, in four classes: found once or more in the batch, in the index or not.
+
+    ``hashes``: 64 bits, of which packs get the lower half; or LONG.
+    """
+    order, starts = _order(hashes)
+    values = hashes[order[starts]]
+    several = np.diff(np.append(starts, len(order))) > 1
     inside = np.logical_or.reduceat(indexed[order], starts) if indexed is not None and len(starts) else np.zeros(len(values), bool)
-    bucket = _buckets(values, buckets)
-    packed = (values & _LOW).astype(np.uint32) if kind is np.uint32 else values
+    long = hashes.dtype == LONG
+    bucket = _buckets(values["a"] if long else values, buckets)
+    packed = values if long else (values & _LOW).astype(SHORT)
     rows = []
     for a, b in _runs(bucket):
         own, s, x = packed[a:b], several[a:b], inside[a:b]
@@ -69,7 +96,7 @@ def _packs(batch: int, hashes: np.ndarray, indexed: np.ndarray | None, buckets:
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, _PACK_KINDS, strict=True)], names=_PACK_NAMES)
 
 
-def _repeated(packs: pa.Table, kind: type, need_index: bool) -> pa.Table:
+def _repeated(packs: pa.Table, kind: np.dtype, need_index: bool) -> pa.Table:
     """For each batch, the entries of its pack that occur at two places, and in the index if that is asked for."""
     values, flags, owners = [], [], []
     batches = packs["batch"].to_pylist()
@@ -80,11 +107,9 @@ def _repeated(packs: pa.Table, kind: type, need_index: bool) -> pa.Table:
             flags.append(np.full(len(own), flag, np.uint8))
             owners.append(np.full(len(own), k, np.int32))
     value, flag, owner = np.concatenate(values), np.concatenate(flags), np.concatenate(owners)
-    order = np.argsort(value, kind="stable")
-    ordered = value[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    order, starts = _order(value)
     bits = np.bitwise_or.reduceat(flag[order], starts)
-    sizes = np.diff(np.append(starts, len(ordered)))
+    sizes = np.diff(np.append(starts, len(order)))
     good = (sizes > 1) | (bits & 1 > 0)
     if need_index:
         good &= bits & 2 > 0
@@ -94,6 +119,7 @@ def _repeated(packs: pa.Table, kind: type, need_index: bool) -> pa.Table:
     runs = _runs(own)
     found = [value[hit[a:b]].tobytes() for a, b in runs]
     bucket = packs["bucket"][0].as_py()
+    release()
     return pa.table([pa.array([batches[own[a]] for a, _ in runs], pa.int64()), pa.array([bucket] * len(runs), pa.int64()), pa.array(found, pa.binary())], names=["batch", "bucket", "found"])
 
 
@@ -106,11 +132,28 @@ def _within(hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
     return found[at] == hashes
 
 
-def _answers(replies: pa.Table, kind: type) -> np.ndarray:
-    own = [(np.frombuffer(x, kind).astype(np.uint64) | (np.uint64(b << 32) if kind is np.uint32 else np.uint64(0))) for b, x in zip(replies["bucket"].to_pylist(), replies["found"].to_pylist(), strict=True)]
+def _within_long(hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The same of LONG entries: each is sought among the few that share its first hash."""
+    if not len(found) or not len(hashes):
+        return np.zeros(len(hashes), bool)
+    low, high = (np.searchsorted(found["a"], hashes["a"], side) for side in ("left", "right"))
+    out = np.zeros(len(hashes), bool)
+    for k in range(int((high - low).max())):
+        at = np.minimum(low + k, len(found) - 1)
+        out |= (low + k < high) & (found["b"][at] == hashes["b"])
+    return out
+
+
+def _anchors(replies: pa.Table) -> np.ndarray:
+    own = [np.frombuffer(x, SHORT).astype(np.uint64) | np.uint64(b << 32) for b, x in zip(replies["bucket"].to_pylist(), replies["found"].to_pylist(), strict=True)]
     return np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
 
 
+def _repeats(replies: pa.Table) -> np.ndarray:
+    own = np.concatenate([np.zeros(0, LONG), *[np.frombuffer(x, LONG) for x in replies["found"].to_pylist()]])
+    return own[np.argsort(own["a"], kind="stable")]
+
+
 def _texts(docs: pa.Table) -> Iterator[list[bytes]]:
     for chunk in docs["t"].chunks:
         for text in blobs(chunk):
@@ -126,6 +169,9 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     Defined cases: words are split at ASCII white space, unchanged; a null or empty text, and one of white space only,
     has no words and an empty kept_text; runs are judged on the input; repeated rows repeat each other; null and
     repeated ids are fine, as ids are only carried along; other columns are ignored; an empty table gives no rows.
+
+    Rows are dealt by their id and text, so copies with ids of their own are spread; rows equal in both share a batch,
+    which a task holds whole.
     """
     spark = docs.sparkSession
     block = (window + 1) // 2
@@ -137,18 +183,18 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     dealt = docs.select(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(batches)).alias("batch"), F.col(f"`{id_col}`").cast("long").alias("d"), text.alias("t"))
 
     def probe(table: pa.Table) -> pa.Table:
-        words, hashes, indexed = WordHashes(), [], []
+        words, hashes, indexed = WordHashes(), [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
         for own in _texts(table):
             if len(own) >= window:
                 rolling = window_hashes(words.of(own), block)
                 hashes.append(rolling)
                 indexed.append(np.arange(len(rolling)) % block == 0)
-        if not hashes:
-            return _packs(0, np.zeros(0, np.uint64), None, buckets, np.uint32)
-        return _packs(table["batch"][0].as_py(), np.concatenate(hashes), np.concatenate(indexed), buckets, np.uint32)
+        out = _packs(table["batch"][0].as_py(), np.concatenate(hashes), np.concatenate(indexed), buckets)
+        release()
+        return out
 
     def extend(table: pa.Table, replies: pa.Table) -> pa.Table:
-        words, hashes, anchors = WordHashes(), [], _answers(replies, np.uint32)
+        words, hashes, anchors = WordHashes(), [np.zeros(0, LONG)], _anchors(replies)
         for own in _texts(table) if len(anchors) else ():
             if len(own) >= window:
                 h = words.of(own)
@@ -156,16 +202,19 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 if hit.any():
                     before = np.concatenate([[0], np.cumsum(hit)])
                     span = window - block + 1  # a window has so many rolling runs
-                    hashes.append(window_hashes(h, window)[before[span:] > before[:-span]])
-        if not hashes:
-            return _packs(0, np.zeros(0, np.uint64), None, buckets, np.uint64)
-        return _packs(table["batch"][0].as_py(), np.concatenate(hashes), None, buckets, np.uint64)
+                    hashes.append(_long(h, window)[before[span:] > before[:-span]])
+        out = _packs(table["batch"][0].as_py(), np.concatenate(hashes), None, buckets)
+        release()
+        return out
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
-        words, found = WordHashes(), _answers(replies, np.uint64)
+        words, found = WordHashes(), _repeats(replies)
         total, gone, kept, spans = [], [], [], []
         for own in _texts(table):
-            hit = _within(window_hashes(words.of(own), window), found) if len(own) >= window and len(found) else None
+            h = words.of(own) if len(own) >= window and len(found) else None
+            hit = _within(window_hashes(h, window), found["a"]) if h is not None else None
+            if hit is not None and hit.any():
+                hit = _within_long(_long(h, window), found)
             total.append(len(own))
             if hit is None or not hit.any():
                 gone.append(0)
@@ -181,11 +230,12 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
             step = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
             spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(step[::2], step[1::2], strict=True)])
         columns = [table["d"], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))]
+        release()
         return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept_text", "removed"])
 
-    by_batch = dealt.groupBy("batch")
+    by_batch = dealt.repartition(max(partitions, -(-size // TASK_BYTES)), "batch").groupBy("batch")
     probes = by_batch.applyInArrow(probe, _PACK)
-    anchors = probes.groupBy("bucket").applyInArrow(lambda t: _repeated(t, np.uint32, True), _REPLY)
+    anchors = probes.groupBy("bucket").applyInArrow(lambda t: _repeated(t, SHORT, True), _REPLY)
     windows = by_batch.cogroup(anchors.groupBy("batch")).applyInArrow(extend, _PACK)
-    repeats = windows.groupBy("bucket").applyInArrow(lambda t: _repeated(t, np.uint64, False), _REPLY)
+    repeats = windows.groupBy("bucket").applyInArrow(lambda t: _repeated(t, LONG, False), _REPLY)
     return by_batch.cogroup(repeats.groupBy("batch")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<first:long,last:long>>")

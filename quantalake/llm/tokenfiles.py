@@ -23,6 +23,8 @@ from quantalake.llm.common import release, tidy
 from quantalake.llm.tokens import Encoder, blocks, code_of, kind_of
 
 NULL_ID = -(1 << 63)
+#: Bytes of text of a part, and documents and ids that are read at a time.
+PART_BYTES, SLICE_DOCS, SLICE_IDS = 64 << 20, 2048, 1 << 21
 _PART = "part string, first_id long, tie long, docs long, tokens long, width int"
 
 
@@ -40,6 +42,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     Defined cases: a null or empty text is the end id alone; null document ids come first; rows that share an id are
     ordered by a hash of their text, and repeated rows stay; an empty table gives no parts.
 
+    Parts are about PART_BYTES of text; rows that are equal in id and text are in one, which streams through its task.
     Each task streams one range of ids into files of its own name and moves them into place when they are complete, so
     a task that runs twice leaves one copy. The driver sees one row a part.
     """
@@ -76,7 +79,9 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["part", "first_id", "tie", "docs", "tokens", "width"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    ordered = rows.repartitionByRange("d", "tie").sortWithinPartitions("d", "tie")
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
+    wanted = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    ordered = rows.repartitionByRange(wanted, "d", "tie").sortWithinPartitions("d", "tie")
     parts = ordered.mapInArrow(tidy(write), _PART).collect()  # a row a part
     parts.sort(key=lambda r: (r.first_id is not None, r.first_id or 0, r.tie))
     bases = np.concatenate([[0], np.cumsum([r.tokens for r in parts], dtype=np.int64)])
@@ -86,19 +91,36 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     return out
 
 
-def _mapped(fs, path: str, kind) -> np.ndarray:
-    """The file as an array: memory-mapped where the store is local, read in one piece elsewhere."""
-    from pyarrow.fs import LocalFileSystem
+class _File:
+    """Slices of a file as arrays: of a memory map where the store is local, by reads of their own elsewhere."""
 
-    if isinstance(fs, LocalFileSystem):
-        return np.memmap(path, kind, "r")
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+    def __init__(self, fs, path: str, kind):
+        from pyarrow.fs import LocalFileSystem
+
+        self.kind = np.dtype(kind)
+        local = isinstance(fs, LocalFileSystem)
+        self.map, self.file = (np.memmap(path, self.kind, "r"), None) if local else (None, fs.open_input_file(path))
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.map is not None:
+            return self.map[at]
+        self.file.seek(at.start * self.kind.itemsize)
+        return np.frombuffer(self.file.read((at.stop - at.start) * self.kind.itemsize), self.kind)
+
+
+def _slices(offsets: _File, docs: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The first document of each slice and its offsets: SLICE_DOCS documents and SLICE_IDS ids, or one longer one."""
+    a = 0
+    while a < docs:
+        cuts = np.asarray(offsets[a : min(docs, a + SLICE_DOCS) + 1])
+        n = max(1, int(np.searchsorted(cuts, cuts[0] + SLICE_IDS, "right")) - 1)
+        yield a, cuts[: n + 1]
+        a += min(n, len(cuts) - 1)
 
 
 def read_token_files(spark: SparkSession, out_dir: str, keep_tokens: bool = False) -> DataFrame:
     """A row a document: doc_id, ``start`` (ids of all documents before it), ``n_tokens``, ``ids_crc32`` and, on
-    request, ``tokens`` (array of int). Parts are read by tasks, each from the shared store."""
+    request, ``tokens`` (array of int). Parts are read by tasks, each from the shared store, a slice at a time."""
     manifest = spark.read.parquet(f"{out_dir}/manifest")
     parts = max(1, manifest.count())
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", tokens array<int>" * keep_tokens
@@ -107,18 +129,18 @@ def read_token_files(spark: SparkSession, out_dir: str, keep_tokens: bool = Fals
         fs, root = _store(out_dir)
         for batch in batches:
             for row in batch.to_pylist():
-                tokens = _mapped(fs, f"{root}/{row['part']}.tokens", f"<u{row['width']}")
-                offsets, ids = _mapped(fs, f"{root}/{row['part']}.offsets", "<i8"), _mapped(fs, f"{root}/{row['part']}.ids", "<i8")
-                for a in range(0, len(ids), 2048):
-                    own, cuts = ids[a : a + 2048], offsets[a : a + 2049]
-                    block = tokens[cuts[0] : cuts[-1]].astype("<u4")
+                tokens = _File(fs, f"{root}/{row['part']}.tokens", f"<u{row['width']}")
+                offsets, numbers = _File(fs, f"{root}/{row['part']}.offsets", "<i8"), _File(fs, f"{root}/{row['part']}.ids", "<i8")
+                for a, cuts in _slices(offsets, row["docs"]):
+                    ids = np.asarray(numbers[a : a + len(cuts) - 1])
+                    block = tokens[int(cuts[0]) : int(cuts[-1])].astype("<u4")
                     local = (cuts - cuts[0]).tolist()
                     crc = [zlib.crc32(block[i:j]) for i, j in zip(local, local[1:], strict=False)]
-                    columns = [pa.array(own, pa.int64(), mask=np.asarray(own == NULL_ID)), pa.array(row["base"] + cuts[:-1]), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())]
+                    columns = [pa.array(ids, pa.int64(), mask=ids == NULL_ID), pa.array(row["base"] + cuts[:-1]), pa.array(np.diff(cuts)), pa.array(crc, pa.int64())]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if keep_tokens:
                         columns.append(pa.ListArray.from_arrays(pa.array(local, pa.int32()), pa.array(block.astype(np.int32))))
                         names.append("tokens")
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return manifest.select("part", "width", "base", "nth").repartitionByRange(parts, "nth").mapInArrow(tidy(read), schema)
+    return manifest.select("part", "docs", "width", "base", "nth").repartitionByRange(parts, "nth").mapInArrow(tidy(read), schema)

@@ -95,6 +95,21 @@ def test_token_files(spark, docs, prose, tmp_path):
         at += len(want)
 
 
+def test_slices_of_any_store(tmp_path, monkeypatch):
+    """What is read of files in a store without memory maps, a slice at a time."""
+    from pyarrow.fs import LocalFileSystem, SubTreeFileSystem
+
+    from quantalake.llm import tokenfiles as tf
+
+    monkeypatch.setattr(tf, "SLICE_DOCS", 3)
+    monkeypatch.setattr(tf, "SLICE_IDS", 10)
+    offsets = np.array([0, 2, 4, 30, 31, 32, 33, 34, 44], "<i8")
+    offsets.tofile(tmp_path / "part.offsets")
+    for fs, root in ((LocalFileSystem(), f"{tmp_path}/"), (SubTreeFileSystem(str(tmp_path), LocalFileSystem()), "")):
+        got = [(a, cuts.tolist()) for a, cuts in tf._slices(tf._File(fs, f"{root}part.offsets", "<i8"), 8)]
+        assert got == [(0, [0, 2, 4]), (2, [4, 30]), (3, [30, 31, 32, 33]), (6, [33, 34]), (7, [34, 44])]
+
+
 def test_empty_token_files(spark, docs, tmp_path):
     write_token_files(docs([]), f"file://{tmp_path}/none", public_tokenizers.path("byte_bpe_50k.json"))
     assert read_token_files(spark, f"file://{tmp_path}/none").count() == 0

@@ -8,7 +8,12 @@
    classes is left that the sketches allow.
 
 Two texts at the threshold share none of the 32 keys with a probability of (1 - 0.75**4)**32 = 5e-6; the margin is over
-five standard deviations of the estimate. Large groups are worked in blocks; no step emits all pairs of a group.
+five standard deviations of the estimate. Sets are compared as 64-bit hashes of shingles, and equal sets are put together
+by 128 bits.
+
+Groups of more than BLOCK rows are worked in blocks, each with a few hubs of the whole group. That makes a large group
+of like texts one class, by work in proportion to its rows. Only where classes are left over are the rows outside the
+largest one compared with all other blocks, so nothing is missed; no step emits all pairs of a group.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantalake.llm.common import OWN, WordHashes, blobs, few, mix, shingles, stored, tidy, with_outputs
@@ -27,7 +32,7 @@ SAMPLES, ROWS = 128, 4
 BANDS = SAMPLES // ROWS
 BITS = 1024
 MARGIN = 0.2
-BLOCK = 512
+BLOCK, HUBS = 512, 8
 
 _random = np.random.Generator(np.random.PCG64(20240517))
 _MUL = _random.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
@@ -88,16 +93,45 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "d long, tie long, n long, s binary, keys array<long>, sketch binary")
 
 
-def in_blocks(rows: DataFrame, group: str, ident: str, name: str) -> DataFrame:
-    """``rows`` of groups of two or more, with p and q: a pair of blocks of at most about BLOCK rows of the group.
+def linked_edges(rows: DataFrame, group: str, edges, name: str) -> DataFrame:
+    """The edges u, v that ``edges`` finds within groups, as many as it takes to have all classes right.
 
-    A group of one block has p = q = 0. Of larger ones, each row is in every pair that has its block.
+    rows: ``group``, d, w (a hash, for rows that share d) and what else ``edges`` needs; it gets them with p, q (a pair
+    of blocks) and c (a class: rows of one class needn't be compared).
     """
     counts = stored(rows.groupBy(group).agg(F.count("*").alias("in_group")).where("in_group > 1"), name)
-    blocks = F.ceil(F.col("in_group") / F.lit(BLOCK)).cast("int")
-    paired = rows.join(counts, group).withColumn("b", F.pmod(F.xxhash64(ident), blocks).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("b", j).alias("p"), F.greatest("b", j).alias("q")))
-    return paired.withColumn("pq", F.explode(others)).withColumns({"p": F.col("pq.p"), "q": F.col("pq.q")}).drop("pq", "b", "in_group")
+    sized = rows.join(counts, group).withColumn("c", F.col("d"))
+    own = _block(F.col("in_group"), 0)
+    hub = (F.col("in_group") > BLOCK) & (F.pmod(F.xxhash64("d", "w", F.lit(5)), F.col("in_group")) < HUBS)
+    blocks = F.when(hub, F.sequence(F.lit(0), _blocks(F.col("in_group")) - 1)).otherwise(F.array(own))
+    first = edges(sized.withColumn("p", F.explode(blocks)).withColumn("q", F.col("p")).drop("in_group"))
+    if counts.where(F.col("in_group") > BLOCK).isEmpty():
+        return first
+    first = stored(first, f"{name}_first")
+    large = rows.join(counts.where(F.col("in_group") > BLOCK), group)
+    classes = components(first).select(F.col("node").alias("d"), F.col("component").alias("c"))
+    placed = large.select(group, "d", "in_group").distinct().join(classes, "d", "left").withColumn("c", F.coalesce("c", "d"))
+    placed = stored(placed, f"{name}_classes")
+    each = placed.groupBy(group, "c").agg(F.count("*").alias("m"), F.max("in_group").alias("in_group"))
+    best = each.groupBy(group).agg(F.max(F.struct("m", "c")).alias("best"), F.max("in_group").alias("n"), F.count("*").alias("k"))
+    best = stored(best.where("k > 1").select(group, "n", F.col("best.c").alias("most"), (F.col("n") - F.col("best.m")).alias("rest")), f"{name}_open")
+    if best.isEmpty():
+        return first
+    # the rows outside the largest class, in blocks, against all blocks of the group
+    open_rows = rows.join(placed.join(best, group).drop("in_group"), [group, "d"])
+    here, there = F.sequence(F.lit(0), _blocks(F.col("rest")) - 1), F.sequence(F.lit(0), _blocks(F.col("n")) - 1)
+    left = open_rows.where("c <> most").withColumn("p", _block(F.col("rest"), 1)).withColumn("q", F.explode(there))
+    right = open_rows.withColumn("q", _block(F.col("n"), 2)).withColumn("p", F.explode(here))
+    return first.unionByName(edges(left.unionByName(right).drop("n", "most", "rest")))
+
+
+def _blocks(rows: Column) -> Column:
+    """The number of blocks of about BLOCK rows."""
+    return F.ceil(rows / F.lit(BLOCK)).cast("int")
+
+
+def _block(rows: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("d", "w", F.lit(seed)), _blocks(rows)).cast("int")
 
 
 class Classes:
@@ -155,18 +189,18 @@ def _words64(column) -> np.ndarray:
 def candidate_edges(rows: DataFrame, most: int) -> DataFrame:
     """Edges u, v that put together what shares a key and differs in at most ``most`` sketch bits; no more than needed.
 
-    rows: key, p, q, d, sketch.
+    rows: key, p, q, d, c, sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_group(batches, 3):
-            key, p, q, d = (batch[k].to_numpy(zero_copy_only=False) for k in range(4))
-            bits = _words64(batch[4])
-            nodes, node = np.unique(d, return_inverse=True)
+            key, p, q, d, c = (batch[k].to_numpy(zero_copy_only=False) for k in range(5))
+            bits = _words64(batch[5])
+            known, node = np.unique(c, return_inverse=True)
             group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
             largest = int(np.bincount(group).max())
-            classes, u, v = Classes(len(nodes)), [], []
-            label = np.arange(len(nodes))
+            classes, u, v = Classes(len(known)), [], []
+            label = np.arange(len(known))
             for step in range(1, largest):
                 i = np.flatnonzero(group[:-step] == group[step:])
                 if not len(i):
@@ -175,25 +209,30 @@ def candidate_edges(rows: DataFrame, most: int) -> DataFrame:
                 if len(i):
                     i = i[np.bitwise_count(bits[i] ^ bits[i + step]).sum(axis=1) <= most]
                 joined = False
-                for a, b in zip(node[i].tolist(), node[i + step].tolist(), strict=True):
+                for k, a, b in zip(i.tolist(), node[i].tolist(), node[i + step].tolist(), strict=True):
                     if classes.join(a, b):
-                        u.append(int(nodes[a]))
-                        v.append(int(nodes[b]))
+                        u.append(int(d[k]))
+                        v.append(int(d[k + step]))
                         joined = True
                 if joined:
                     label = classes.labels()
             yield _table([u, v], [pa.int64(), pa.int64()], ["u", "v"])
 
-    return rows.mapInArrow(tidy(run), "u long, v long")
+    dealt = rows.select("key", "p", "q", "d", "c", "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "d")
+    return dealt.mapInArrow(tidy(run), "u long, v long")
+
 
+def confirmed(sets: list[np.ndarray], bits: np.ndarray, known: np.ndarray, similarity: int, most: int) -> list[tuple[int, int]]:
+    """Pairs with 100 |a & b| >= similarity |a | b|, as many as it takes to have all classes right.
 
-def confirmed(sets: list[np.ndarray], bits: np.ndarray, similarity: int, most: int) -> list[tuple[int, int]]:
-    """Pairs with 100 |a & b| >= similarity |a | b|, as many as it takes to have all classes right."""
+    ``known``: classes that there are already.
+    """
     n = len(sets)
+    known = np.unique(known, return_inverse=True)[1]
     first, second, distance = [], [], []
     for i in range(n - 1):
         far = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1)
-        j = np.flatnonzero(far <= most)
+        j = np.flatnonzero((far <= most) & (known[i + 1 :] != known[i]))
         first.append(np.full(len(j), i, np.int32))
         second.append((j + i + 1).astype(np.int32))
         distance.append(far[j].astype(np.int16))
@@ -201,41 +240,42 @@ def confirmed(sets: list[np.ndarray], bits: np.ndarray, similarity: int, most: i
         return []
     first, second, distance = (np.concatenate(x) for x in (first, second, distance))
     order = np.argsort(distance, kind="stable")
-    classes, links = Classes(n), []
+    classes, links = Classes(int(known.max()) + 1), []
     for at in range(0, len(order), 2048):
-        label = classes.labels()
+        label = classes.labels()[known]
         part = order[at : at + 2048]
         part = part[label[first[part]] != label[second[part]]]
         for a, b in zip(first[part].tolist(), second[part].tolist(), strict=True):
-            if classes.find(a) == classes.find(b):
+            if classes.find(known[a]) == classes.find(known[b]):
                 continue
             x, y = sets[a], sets[b]
             if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
                 continue
             both = len(np.intersect1d(x, y, True))
             if 100 * both >= similarity * (len(x) + len(y) - both):
-                classes.join(a, b)
+                classes.join(known[a], known[b])
                 links.append((a, b))
     return links
 
 
 def confirmed_edges(rows: DataFrame, similarity: int, most: int) -> DataFrame:
-    """Confirmed edges u, v within each (g, p, q); rows: g, p, q, d, shingles (binary), sketch."""
+    """Confirmed edges u, v within each (g, p, q); rows: g, p, q, d, c, shingles (binary), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_group(batches, 3):
-            g, p, q, d = (batch[k].to_numpy(zero_copy_only=False) for k in range(4))
-            bits = _words64(batch[5])
+            g, p, q, d, c = (batch[k].to_numpy(zero_copy_only=False) for k in range(5))
+            bits = _words64(batch[6])
             cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(g)]
             u, v = [], []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                sets = [np.frombuffer(x, np.uint64) for x in batch[4].slice(a, b - a).to_pylist()]
-                for i, j in confirmed(sets, bits[a:b], similarity, most):
+                sets = [np.frombuffer(x, np.uint64) for x in batch[5].slice(a, b - a).to_pylist()]
+                for i, j in confirmed(sets, bits[a:b], c[a:b], similarity, most):
                     u.append(int(d[a + i]))
                     v.append(int(d[a + j]))
             yield _table([u, v], [pa.int64(), pa.int64()], ["u", "v"])
 
-    return rows.mapInArrow(tidy(run), "u long, v long")
+    dealt = rows.select("g", "p", "q", "d", "c", "shingles", "sketch").repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "d")
+    return dealt.mapInArrow(tidy(run), "u long, v long")
 
 
 def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
@@ -268,18 +308,17 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = 5, id_col
     signed = stored(signatures(own, size), "signed")
     full = signed.where("n > 0 and d is not null")
     classes = stored(full.groupBy("s", "n").agg(F.min("d").alias("first")), "classes")  # equal sets
-    texts = full.join(classes, ["s", "n"]).where("d = first").select("d", "s", "keys", "sketch").dropDuplicates(["d", "s"])
+    texts = full.join(classes, ["s", "n"]).where("d = first").select("d", F.xxhash64("s").alias("w"), "keys", "sketch").dropDuplicates(["d", "w"])
     texts = stored(texts, "texts")
 
-    keyed = texts.select("d", F.explode("keys").alias("key"))
-    paired = in_blocks(keyed, "key", "d", "keys").join(texts.select("d", "sketch"), "d").select("key", "p", "q", "d", "sketch")
-    candidates = candidate_edges(paired.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "d"), most)
+    keyed = texts.select("d", "w", F.explode("keys").alias("key"))
+    sketched = lambda rows: rows.join(texts.select("d", "w", "sketch"), ["d", "w"])  # noqa: E731 (the sketches travel last)
+    candidates = linked_edges(keyed, "key", lambda rows: candidate_edges(sketched(rows), most), "keys")
     groups = stored(components(candidates).select(F.col("node"), F.col("component").alias("g")), "groups")
 
     chosen = own.join(groups, F.col("d") == F.col("node")).select("g", "d", "t").where("t is not null")
-    sets = stored(shingle_rows(chosen, size).dropDuplicates(["d", "shingles"]), "sets")
-    paired = in_blocks(sets, "g", "d", "sizes").select("g", "p", "q", "d", "shingles", "sketch")
-    links = confirmed_edges(paired.repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "d"), similarity, most)
+    sets = stored(shingle_rows(chosen, size).withColumn("w", F.xxhash64("shingles")).dropDuplicates(["d", "w"]), "sets")
+    links = linked_edges(sets, "g", lambda rows: confirmed_edges(rows, similarity, most), "sizes")
 
     same = full.join(classes, ["s", "n"]).where("d <> first").select(F.col("d").alias("u"), F.col("first").alias("v"))
     linked = components(links.unionByName(same)).withColumnsRenamed({"node": f"{OWN}node", "component": f"{OWN}component"})

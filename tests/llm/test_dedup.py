@@ -56,12 +56,13 @@ def brute_components(texts):
     return [len(s) for s in sets], label
 
 
-@pytest.mark.parametrize("block", [512, 8])
-def test_near_duplicates(docs, prose, monkeypatch, block):
-    """Chains, large groups and short texts; small blocks make groups of several blocks."""
+@pytest.mark.parametrize(("block", "hubs"), [(512, 8), (8, 2), (8, 0)])
+def test_near_duplicates(docs, prose, monkeypatch, block, hubs):
+    """Chains, large groups and short texts; small blocks make groups of several blocks, which hubs join or don't."""
     from quantalake.llm import neardup
 
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "HUBS", hubs)
     rng = random.Random(5)
     texts = [prose(60, i) for i in range(20)] + ["", None, " \t", "one two", "ONE two", "a b c d e", "a b c d e f"]
     base = prose(80, 99).split()
@@ -70,8 +71,8 @@ def test_near_duplicates(docs, prose, monkeypatch, block):
         for k in rng.sample(range(80), rng.randrange(6)):
             own[k] = "x%d" % rng.randrange(1000)
         texts.append(" ".join(own))
-    chain = prose(100, 7).split()
-    for k in range(8):  # each is near the one before only
+    chain = prose(200, 7).split()
+    for k in range(35):  # each is near the one before only
         texts.append(" ".join(chain[4 * k : 4 * k + 60]))
     texts += texts[:3]
     sizes, want = brute_components(texts)
@@ -104,7 +105,7 @@ def test_confirmed_needs_the_threshold():
     for over, linked in ((300, True), (299, False)):  # 300 of 400 is the threshold
         sets = [h, h[:over]]
         bits = np.stack([odd_sketch(samples(s)) for s in sets])
-        assert bool(confirmed(sets, bits, 75, most_bits(0.5))) == linked
+        assert bool(confirmed(sets, bits, np.arange(2), 75, most_bits(0.5))) == linked
 
 
 def test_components(spark):

@@ -28,7 +28,7 @@ from quantalake.llm.tokens import MARKS, blocks
 #: 64 dimensions and 4096 buckets take 6 and 12 bits of a hash; NONZERO entries take 7 each.
 DIM, NONZERO, BUCKETS, WINDOW = 64, 6, 4096, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 0.005, 1e-4
-MAX_TRAIN = 6000
+MAX_TRAIN = 8000
 #: Bytes of text whose distinct words are held at a time, and pieces that are remembered.
 BLOCK_BYTES, CACHE = 8 << 20, 1 << 15
 #: Context sums come to the driver from so many tasks.

@@ -16,8 +16,7 @@ def col(x: Column | str | float) -> Column:
 def divide(a: Column | float, b: Column | float) -> Column:
     """a / b with NaN for 0/0 and signed infinity for others over 0; null if either is null."""
     a, b = col(a).cast("double"), col(b).cast("double")
-    over_zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(b != 0, a / F.when(b != 0, b)).otherwise(over_zero)
+    return F.coalesce(F.try_divide(a, b), a * F.pow(F.abs(b), F.lit(-1.0)))
 
 
 def ln(x: Column | float) -> Column:

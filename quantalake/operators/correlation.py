@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantalake.functions import ieee
 from quantalake.functions.aggregates import correlation, with_mean
-from quantalake.operators.ranks import cut_points, range_of, with_ranks
+from quantalake.operators.ranks import range_of, with_ranks
 
-STRIPES = 64
+#: Points of a group that a task counts, and stripes into which a larger one is cut at a time.
+POINTS, STRIPES = 1 << 20, 256
 
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -37,66 +38,87 @@ def spearman_matrix(df: DataFrame, i: str = "i", j: str = "j", v: str = "v") ->
     return pearson_matrix(with_ranks(df, [i], v, "__r"), i, j, "__r")
 
 
-def discordant(x: np.ndarray, y: np.ndarray) -> int:
-    """The pairs with x rising and y falling: inversions, counted bit by bit of the ranks of y."""
+def discordant(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> float:
+    """The pairs with x rising and y falling: inversions, counted bit by bit of the ranks of y. ``w``: how many times
+    each point is there."""
     order = np.lexsort((y, x))
     rank = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
-    total = 0
+    weight = np.ones(len(x), np.int64) if w is None else w[order]
+    kind = np.int64 if float(weight.sum()) ** 2 < 2.0**62 else np.float64
+    total = kind(0)
     for bit in range(int(rank.max(initial=0)).bit_length() - 1, -1, -1):
         group = rank >> (bit + 1)
         by = np.argsort(group, kind="stable")
-        one = (rank[by] >> bit) & 1
+        one, n = (rank[by] >> bit) & 1, weight[by].astype(kind)
         starts = np.flatnonzero(np.concatenate([[True], np.diff(group[by]) != 0]))
-        before = np.cumsum(one) - one
+        before = np.cumsum(one * n) - one * n
         before -= np.repeat(before[starts], np.diff(np.append(starts, len(by))))
-        total += int(before[one == 0].sum())
-    return total
+        total += (before * n)[one == 0].sum()
+    return float(total)
 
 
-def kendall(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """``by`` and tau (the b variant); NaN for one pair or none.
+def _stripe(x: str, points: str, most: int) -> Column:
+    """A number that rises with x; a value that is a point has one of its own, however often it is there."""
+    below = range_of(F.col(x), F.col(points), most)
+    return 2 * below + F.when(F.get(points, below) == F.col(x), 1).otherwise(0)
+
 
-    Both axes are cut into STRIPES ranges. Discordant pairs within a stripe of x are counted by a task, those in
-    different stripes of both from the counts of cells, and those in one stripe of y only by a task a stripe of y; so
-    a task holds about 1/STRIPES of a group. Ties are counted by aggregates.
+def _discordant(own: DataFrame, by: list[str], depth: int = 0) -> DataFrame:
+    """``by`` and __d: the discordant pairs of points __x, __y that are there __n times, as partial counts.
+
+    A group of at most POINTS points is counted by a task. Larger ones are cut into stripes of both axes, at the
+    group's own quantiles: pairs in different stripes of both come from the counts of cells, those within a stripe of x,
+    and those in one stripe of y only, from the same count of the smaller groups.
     """
-    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    own = own.withColumns({"sx": range_of(F.col("x"), cut_points(own, "x", STRIPES)), "sy": range_of(F.col("y"), cut_points(own, "y", STRIPES))})
     kinds = {f.name: f.dataType.simpleString() for f in own.schema.fields}
-    schema = "".join(f"{b} {kinds[b]}, " for b in by) + "d long"
-
-    def counted(names: tuple[str, str]):
-        def run(table: pa.Table) -> pa.Table:
-            x, y = (table[n].to_numpy() for n in names)
-            return pa.table([*[table[b].slice(0, 1) for b in by], pa.array([discordant(x, y)])], names=[*by, "d"])
+    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "__d double"
+
+    def counted(table: pa.Table) -> pa.Table:
+        d = discordant(*(table[n].to_numpy() for n in ("__x", "__y", "__n")))
+        return pa.table([*[table[b].slice(0, 1) for b in by], pa.array([d])], names=[*by, "__d"])
+
+    sizes = own.groupBy(*by).agg(F.count("*").alias("__points"))
+    largest = sizes.agg(F.max("__points")).first()[0] or 0
+    if largest <= POINTS:
+        return own.groupBy(*by).applyInArrow(counted, schema)
+    stripes = min(STRIPES, 2 * -(-largest // POINTS))
+    shares, names = [i / stripes for i in range(1, stripes)], (f"__sx{depth}", f"__sy{depth}")
+    ends = own.groupBy(*by).agg(*[F.array_sort(F.array_distinct(F.percentile_approx(c, shares, 20 * stripes))).alias(f"__p{c}") for c in ("__x", "__y")], F.count("*").alias("__points"))
+    cut = own.join(ends, by)
+    small = cut.where(F.col("__points") <= POINTS).select(*own.columns).groupBy(*by).applyInArrow(counted, schema)
+    cut = cut.where(F.col("__points") > POINTS).select(*own.columns, *[_stripe(c, f"__p{c}", stripes - 1).alias(n) for c, n in zip(("__x", "__y"), names, strict=True)])
+    cells = cut.groupBy(*by, *names).agg(F.sum("__n").alias("__n")).withColumnsRenamed({names[0]: "__x", names[1]: "__y"})
+    parts = small.unionByName(cells.groupBy(*by).applyInArrow(counted, schema))  # at most (2 STRIPES)**2 cells a group
+    inner = cut.select(*by, names[0], "__x", "__y", "__n")
+    across = cut.groupBy(*by, names[1], names[0], "__y").agg(F.sum("__n").alias("__n")).withColumnRenamed(names[0], "__x")
+    for rest, stripe in ((inner, names[0]), (across.select(*by, names[1], "__x", "__y", "__n"), names[1])):
+        spread = rest.groupBy(*by, stripe).agg((F.min("__x") != F.max("__x")).alias("__a"), (F.min("__y") != F.max("__y")).alias("__b")).where("__a and __b").drop("__a", "__b")
+        parts = parts.unionByName(_discordant(rest.join(spread, [*by, stripe]), [*by, stripe], depth + 1).drop(stripe))
+    return parts
 
-        return run
 
-    def cells(table: pa.Table) -> pa.Table:
-        sx, sy, n = (table[c].to_numpy() for c in ("sx", "sy", "n"))
-        grid = np.zeros((STRIPES + 1, STRIPES + 1), object)
-        grid[sx, sy] = n
-        above = np.cumsum(np.cumsum(grid[::-1], axis=0)[::-1], axis=1)  # stripes of x from here on, of y up to here
-        total = sum(int(grid[i, j]) * int(above[i + 1, j - 1]) for i in range(STRIPES) for j in range(1, STRIPES + 1))
-        return pa.table([*[table[b].slice(0, 1) for b in by], pa.array([total])], names=[*by, "d"])
+def kendall(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """``by`` and tau (the b variant); NaN for one pair or none.
 
-    key = by or ["__all"]
-    parts = own.groupBy(*by, "sx").applyInArrow(counted(("x", "y")), schema)
-    parts = parts.unionByName(own.groupBy(*by, "sy").applyInArrow(counted(("sx", "y")), schema))
-    parts = parts.unionByName(own.groupBy(*by, "sx", "sy").agg(F.count("*").alias("n")).withColumn("__all", F.lit(0)).groupBy(*key).applyInArrow(cells, schema))
-    d = parts.groupBy(*by).agg(F.sum("d").alias("d"))
+    Equal points are summed first. No task holds more than about POINTS points of a group: see ``_discordant``. Ties are
+    counted by aggregates. The driver gets the size of the largest group.
+    """
+    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    own = own.groupBy(*by, (F.col(x).cast("double") + 0.0).alias("__x"), (F.col(y).cast("double") + 0.0).alias("__y")).agg(F.count("*").alias("__n"))
+    keyed = own if by else own.withColumn("__all", F.lit(0))
+    d = _discordant(keyed, by or ["__all"]).groupBy(*by).agg(F.sum("__d").alias("__d"))
 
     def ties(*columns: str) -> DataFrame:
-        n = F.col("n")
-        return own.groupBy(*by, *columns).agg(F.count("*").alias("n")).groupBy(*by).agg(F.sum(n * (n - 1) / 2).alias("t" + "".join(columns)), F.sum("n").alias("n" + "".join(columns)))
+        n, name = F.col("__n").cast("double"), "".join(columns)
+        return own.groupBy(*by, *columns).agg(F.sum("__n").alias("__n")).groupBy(*by).agg(F.sum(n * (n - 1) / 2).alias("__t" + name), F.sum(n).alias("__n" + name))
 
     out = d
-    for t in (ties("x"), ties("y"), ties("x", "y")):
+    for t in (ties("__x"), ties("__y"), ties("__x", "__y")):
         out = out.join(t, by) if by else out.crossJoin(F.broadcast(t))  # a single row
-    pairs = F.col("nx") * (F.col("nx") - 1) / 2
-    concordant = pairs - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d")
-    tau = ieee.divide(concordant - F.col("d"), F.sqrt(pairs - F.col("tx")) * F.sqrt(pairs - F.col("ty")))
-    return out.select(*by, F.when(F.col("nx") > 1, tau).otherwise(F.lit(ieee.NAN)).alias("tau"))
+    n, tx, ty, both, down = (F.col(c) for c in ("__n__x", "__t__x", "__t__y", "__t__x__y", "__d"))
+    pairs = n * (n - 1) / 2
+    tau = ieee.divide(pairs - tx - ty + both - 2 * down, F.sqrt(pairs - tx) * F.sqrt(pairs - ty))
+    return out.select(*by, F.when(n > 1, tau).otherwise(F.lit(ieee.NAN)).alias("tau"))
 
 
 def autocovariance(df: DataFrame, by: list[str], idx: str, x: str, max_lag: int | None = None) -> DataFrame:

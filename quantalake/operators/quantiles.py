@@ -1,18 +1,19 @@
-"""Continuous quantiles of all groups at once, by their order statistics.
+"""Continuous quantiles of all groups at once, by selection.
 
 The estimators differ in two parameters: with p = k/q and h = alpha + p (n + 1 - alpha - beta), the quantile lies between
-the order statistics floor(h) and floor(h) + 1, in the proportion of the fraction of h. The two are found by their ranks
-(see ``ranks``), so no group is gathered or sorted in one task.
+the floor(h)-th and the next value, in the proportion of the fraction of h. Rows are counted by group and range of
+values (see ``ranks``); only those in the ranges that hold the wanted places are then put in order. So no group is
+gathered or sorted in one task, and most rows are never shuffled.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantalake.operators.ranks import running, values
+from quantalake.operators.ranks import cut_points, numbers, range_of
 
 
 class ContParam(NamedTuple):
@@ -38,19 +39,27 @@ def quantiles(df: DataFrame, by: list[str], x: str, ks: list[int], q: int, param
     """
     for k in ks:
         _checked(k, q)
-    own = running(values(df, by, x), by, x, {"before": "n"})
-    sizes = own.groupBy(*by).agg(F.sum("n").alias("size"))
-    ranked = own.join(sizes, by) if by else own.crossJoin(F.broadcast(sizes))  # a single row
-    out: list[Column] = []
+    points = cut_points(df, x)
+    own, every = numbers(df, x).select(*by, F.col(x).alias("__x")), Window.partitionBy(*by)
+    places = []  # of each quantile: two places and what part of the second
     for k in ks:
-        h = F.lit(param.alpha) + F.lit(k / q) * (F.col("size") + 1 - param.alpha - param.beta)
+        h = F.lit(param.alpha) + F.lit(k / q) * (F.col("__size") + 1 - param.alpha - param.beta)
         whole = h.cast("long")  # towards zero
-        part = h - whole
-        low, high = (F.least(F.greatest(i, F.lit(0)), F.col("size") - 1) for i in (whole - 1, whole))
-        held = lambda i: (F.col("before") <= i) & (i < F.col("before") + F.col("n"))
-        out.append((F.sum(F.when(held(low), (1 - part) * F.col(x)).otherwise(F.lit(0.0)) + F.when(held(high), part * F.col(x)).otherwise(F.lit(0.0)))))
-    found = ranked.groupBy(*by).agg(F.array(*out).cast("array<double>").alias("quantiles"), F.count("*").alias("__n"))
-    return found.where("__n > 0").drop("__n")
+        places.append((*(F.least(F.greatest(i, F.lit(0)), F.col("__size") - 1) for i in (whole - 1, whole)), h - whole))
+    held = lambda i: (F.col("__from") <= i) & (i < F.col("__from") + F.col("__n"))
+    if points:
+        own = own.withColumn("__range", range_of(F.col("__x"), points))
+        ranges = own.groupBy(*by, "__range").agg(F.count("*").alias("__n"))  # a row a group and range
+        placed = ranges.select("*", (F.sum("__n").over(every.orderBy("__range")) - F.col("__n")).alias("__from"), F.sum("__n").over(every).alias("__size"))
+        wanted = placed.where(F.exists(F.array(*[i for low, high, _ in places for i in (low, high)]), held))
+        chosen = own.join(wanted.withColumnRenamed("__from", "__before").drop("__n"), [*by, "__range"])
+        counted = chosen.groupBy(*by, "__range", "__before", "__size", "__x").agg(F.count("*").alias("__n"))
+        within = F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy("__x")) - F.col("__n")
+        ranked = counted.withColumn("__from", F.col("__before") + within)
+    else:  # at most ROWS rows
+        ranked = own.select("*", F.lit(1).alias("__n"), F.row_number().over(every.orderBy("__x")).alias("__to"), F.count("*").over(every).alias("__size")).withColumn("__from", F.col("__to") - 1)
+    out = [F.sum(F.when(held(low), (1 - part) * F.col("__x")).otherwise(0.0) + F.when(held(high), part * F.col("__x")).otherwise(0.0)) for low, high, part in places]
+    return ranked.groupBy(*by).agg(F.array(*out).cast("array<double>").alias("quantiles"), F.count("*").alias("__n")).where("__n > 0").drop("__n")
 
 
 def quantile(df: DataFrame, by: list[str], x: str, k: int, q: int, param: ContParam = S) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Ranks, order statistics and cumulative counts that no single task has to compute for a whole group.
+"""Ranks, order values and cumulative counts that no single task has to compute for a whole group.
 
-A sample is first summed by distinct value. The values are cut into ranges at approximate quantiles of the whole
-column; running sums within a (group, range) and of the ranges' totals within a group give running sums over the group.
-So a group with a third of all rows is spread over as many tasks as there are ranges.
+A sample is first summed by distinct value. Tables of more than ROWS rows are cut into ranges of about as many, at
+approximate quantiles of the whole column; running sums within a (group, range) and of the ranges' totals within a group
+give running sums over the group. So a group with a third of all rows is spread over as many tasks as there are ranges.
+Smaller tables are one range.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RANGES = 64
+#: Rows of a range, and the most ranges: beyond RANGES * ROWS rows, ranges grow (their sorts spill).
+ROWS, RANGES = 1 << 20, 10_000
 
 
 def _number(df: DataFrame, x: str) -> Column:
@@ -19,17 +21,26 @@ def _number(df: DataFrame, x: str) -> Column:
     return (F.unix_date(x) if isinstance(df.schema[x].dataType, T.DateType) else F.col(x)).cast("double")
 
 
-def cut_points(df: DataFrame, x: str, ranges: int = RANGES) -> list[float]:
-    """At most ``ranges`` - 1 approximate quantiles of a column: a fixed number of values on the driver."""
+def cut_points(df: DataFrame, x: str, rows: int | None = None) -> list[float]:
+    """Approximate quantiles that cut a column into ranges of about ``rows`` (ROWS) rows: none for a smaller table, and
+    never more than RANGES - 1, which is all that comes to the driver."""
+    n = df.agg(F.count(x)).first()[0]
+    ranges = min(RANGES, -(-n // (rows or ROWS)))
+    if ranges < 2:
+        return []
     own = df.agg(F.percentile_approx(_number(df, x), [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
     return sorted({v for v in own or [] if v == v})
 
 
-def range_of(x: Column, points: list[float]) -> Column:
-    """The number of the range that x is in."""
-    if not points:
+def range_of(x: Column, points: list[float] | Column, most: int | None = None) -> Column:
+    """How many of the rising ``points`` are below x, by halving; ``most``: their largest number, for a column of them."""
+    most = len(points) if isinstance(points, list) else most
+    if not most:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(p)) for p in points]), lambda p: p < x.cast("double")))
+    array = F.array(*[F.lit(float(p)) for p in points]) if isinstance(points, list) else points
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    value = x.cast("double")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(array, at + step - 1) < value, at + step).otherwise(at))
 
 
 def running(df: DataFrame, by: list[str], x: str, sums: dict[str, str], points: list[float] | None = None) -> DataFrame:
@@ -38,9 +49,12 @@ def running(df: DataFrame, by: list[str], x: str, sums: dict[str, str], points:
     ``sums``: new column -> column that is summed. ``x`` must be unique within a group (sum by distinct value first).
     """
     points = cut_points(df, x) if points is None else points
+    if not points:  # at most ROWS rows
+        whole = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *[F.coalesce(F.sum(c).over(whole), F.lit(0)).alias(n) for n, c in sums.items()])
     cut = df.withColumn("__range", range_of(_number(df, x), points))
     totals = cut.groupBy(*by, "__range").agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     bases = totals.select(*by, "__range", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in sums])
     within = Window.partitionBy(*by, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     own = cut.select("*", *[F.coalesce(F.sum(c).over(within), F.lit(0)).alias(f"__w_{n}") for n, c in sums.items()])
@@ -48,21 +62,33 @@ def running(df: DataFrame, by: list[str], x: str, sums: dict[str, str], points:
     return out.withColumns({n: F.col(f"__w_{n}") + F.col(f"__b_{n}") for n in sums}).drop("__range", *[f"__{k}_{n}" for n in sums for k in "wb"])
 
 
+def numbers(df: DataFrame, x: str) -> DataFrame:
+    """The rows with a value, as a double; NaN is an error."""
+    value = F.col(x).cast("double")
+    return df.where(F.col(x).isNotNull()).withColumn(x, F.when(F.isnan(value), F.raise_error(F.lit("the sample has NaN")).cast("double")).otherwise(value + 0.0))
+
+
 def values(df: DataFrame, by: list[str], x: str, *counts: Column) -> DataFrame:
     """``by``, x, n (rows of that value) and further aggregates; nulls are left out, NaN is an error."""
-    own = df.where(F.col(x).isNotNull()).withColumn(x, F.when(F.isnan(F.col(x).cast("double")), F.raise_error(F.lit("the sample has NaN")).cast("double")).otherwise(F.col(x).cast("double") + 0.0))
-    return own.groupBy(*by, x).agg(F.count("*").alias("n"), *counts)
+    return numbers(df, x).groupBy(*by, x).agg(F.count("*").alias("n"), *counts)
 
 
 def value_ranks(df: DataFrame, by: list[str], x: str, *counts: Column) -> DataFrame:
     """``values`` with the 1-based ``rank`` of each value, averaged over ties."""
-    own = running(values(df, by, x, *counts), by, x, {"before": "n"})
+    own = running(values(df, by, x, *counts), by, x, {"before": "n"}, cut_points(df, x))
     return own.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
 
 
 def with_ranks(df: DataFrame, by: list[str], x: str, out: str = "rank") -> DataFrame:
     """``df`` with the average rank of each row's value within ``by``."""
-    own = value_ranks(df, by, x).select(*by, F.col(x).alias("__v"), F.col("rank").alias(out))
+    points = cut_points(df, x)
+    if not points:  # at most ROWS rows: peers are counted where they are sorted
+        order = Window.partitionBy(*by).orderBy("__v")
+        peers = Window.partitionBy(*by, "__v")
+        own = numbers(df.withColumn("__v", F.col(x)), "__v")
+        return own.withColumn(out, F.rank().over(order) + (F.count("*").over(peers) - 1) / 2).drop("__v")
+    own = running(values(df, by, x), by, x, {"__before": "n"}, points)
+    own = own.select(*by, F.col(x).alias("__v"), (F.col("__before") + (F.col("n") + 1) / 2).alias(out))
     return df.withColumn("__v", F.col(x).cast("double") + 0.0).join(own, [*by, "__v"]).drop("__v")
 
 

@@ -97,32 +97,48 @@ def linked_edges(rows: DataFrame, group: str, edges, name: str) -> DataFrame:
     """The edges u, v that ``edges`` finds within groups, as many as it takes to have all classes right.
 
     rows: ``group``, d, w (a hash, for rows that share d) and what else ``edges`` needs; it gets them with p, q (a pair
-    of blocks) and c (a class: rows of one class needn't be compared).
+    of blocks), c (a class: rows of one class needn't be compared) and ``large`` (report the class of each row: see
+    ``_LINKS``). A class found in a block has its smallest hub's name, so classes of several blocks come together.
     """
     counts = stored(rows.groupBy(group).agg(F.count("*").alias("in_group")).where("in_group > 1"), name)
-    sized = rows.join(counts, group).withColumn("c", F.col("d"))
-    own = _block(F.col("in_group"), 0)
-    hub = (F.col("in_group") > BLOCK) & (F.pmod(F.xxhash64("d", "w", F.lit(5)), F.col("in_group")) < HUBS)
-    blocks = F.when(hub, F.sequence(F.lit(0), _blocks(F.col("in_group")) - 1)).otherwise(F.array(own))
-    first = edges(sized.withColumn("p", F.explode(blocks)).withColumn("q", F.col("p")).drop("in_group"))
-    if counts.where(F.col("in_group") > BLOCK).isEmpty():
-        return first
-    first = stored(first, f"{name}_first")
-    large = rows.join(counts.where(F.col("in_group") > BLOCK), group)
-    classes = components(first).select(F.col("node").alias("d"), F.col("component").alias("c"))
-    placed = large.select(group, "d", "in_group").distinct().join(classes, "d", "left").withColumn("c", F.coalesce("c", "d"))
-    placed = stored(placed, f"{name}_classes")
-    each = placed.groupBy(group, "c").agg(F.count("*").alias("m"), F.max("in_group").alias("in_group"))
-    best = each.groupBy(group).agg(F.max(F.struct("m", "c")).alias("best"), F.max("in_group").alias("n"), F.count("*").alias("k"))
+    large = F.col("in_group") > BLOCK
+    sized = rows.join(counts, group).withColumns({"c": F.col("d"), "large": large})
+    hub = large & (F.pmod(F.xxhash64("d", "w", F.lit(5)), F.col("in_group")) < HUBS)
+    blocks = F.when(hub, F.sequence(F.lit(0), _blocks(F.col("in_group")) - 1)).otherwise(F.array(_block(F.col("in_group"), 0)))
+    found = edges(sized.withColumn("hub", hub).withColumn("p", F.explode(blocks)).withColumn("q", F.col("p")).drop("in_group"))
+    links = lambda x: x.where("v is not null").select("u", "v")
+    if counts.where(large).isEmpty():
+        return links(found)
+    found = stored(found, f"{name}_first")
+    placed = found.where("v is null").groupBy("key", "u").agg(F.min("c").alias("c")).withColumnsRenamed({"key": group, "u": "d"})
+    each = placed.groupBy(group, "c").agg(F.count("*").alias("m"))
+    best = each.groupBy(group).agg(F.max(F.struct("m", "c")).alias("best"), F.sum("m").alias("n"), F.count("*").alias("k"))
     best = stored(best.where("k > 1").select(group, "n", F.col("best.c").alias("most"), (F.col("n") - F.col("best.m")).alias("rest")), f"{name}_open")
     if best.isEmpty():
-        return first
+        return links(found)
     # the rows outside the largest class, in blocks, against all blocks of the group
-    open_rows = rows.join(placed.join(best, group).drop("in_group"), [group, "d"])
+    open_rows = rows.join(placed.join(best, group), [group, "d"]).withColumns({"large": F.lit(False), "hub": F.lit(False)})
     here, there = F.sequence(F.lit(0), _blocks(F.col("rest")) - 1), F.sequence(F.lit(0), _blocks(F.col("n")) - 1)
     left = open_rows.where("c <> most").withColumn("p", _block(F.col("rest"), 1)).withColumn("q", F.explode(there))
     right = open_rows.withColumn("q", _block(F.col("n"), 2)).withColumn("p", F.explode(here))
-    return first.unionByName(edges(left.unionByName(right).drop("n", "most", "rest")))
+    return links(found.unionByName(edges(left.unionByName(right).drop("n", "most", "rest"))))
+
+
+#: An edge is u, v; the class c of a row u of a large group ``key`` has no v.
+_LINKS = "key long, u long, v long, c long"
+
+
+def _links(edges: list[tuple[int, int]], key: np.ndarray, d: np.ndarray, c: np.ndarray, hub: np.ndarray) -> pa.RecordBatch:
+    """Edges between ids, and the classes ``c`` (any numbers) of rows, each under the name of its smallest hub."""
+    names = np.full(int(c.max(initial=0)) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(names, c[hub], d[hub])
+    alone = names == np.iinfo(np.int64).max
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(least, c, d)
+    names = np.where(alone, least, names)
+    u, v = ([x[k] for x in edges] for k in (0, 1))
+    none = [None] * len(u)
+    return _table([none + key.tolist(), u + d.tolist(), v + [None] * len(d), none + names[c].tolist()], [pa.int64()] * 4, ["key", "u", "v", "c"])
 
 
 def _blocks(rows: Column) -> Column:
@@ -189,17 +205,17 @@ def _words64(column) -> np.ndarray:
 def candidate_edges(rows: DataFrame, most: int) -> DataFrame:
     """Edges u, v that put together what shares a key and differs in at most ``most`` sketch bits; no more than needed.
 
-    rows: key, p, q, d, c, sketch.
+    rows: key, p, q, d, c, large, hub, sketch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_group(batches, 3):
-            key, p, q, d, c = (batch[k].to_numpy(zero_copy_only=False) for k in range(5))
-            bits = _words64(batch[5])
+            key, p, q, d, c, large, hub = (batch[k].to_numpy(zero_copy_only=False) for k in range(7))
+            bits = _words64(batch[7])
             known, node = np.unique(c, return_inverse=True)
             group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
             largest = int(np.bincount(group).max())
-            classes, u, v = Classes(len(known)), [], []
+            classes, edges = Classes(len(known)), []
             label = np.arange(len(known))
             for step in range(1, largest):
                 i = np.flatnonzero(group[:-step] == group[step:])
@@ -211,19 +227,21 @@ def candidate_edges(rows: DataFrame, most: int) -> DataFrame:
                 joined = False
                 for k, a, b in zip(i.tolist(), node[i].tolist(), node[i + step].tolist(), strict=True):
                     if classes.join(a, b):
-                        u.append(int(d[k]))
-                        v.append(int(d[k + step]))
+                        edges.append((int(d[k]), int(d[k + step])))
                         joined = True
                 if joined:
                     label = classes.labels()
-            yield _table([u, v], [pa.int64(), pa.int64()], ["u", "v"])
+            large = large.astype(bool)
+            own = np.unique(np.stack([group[large], label[node[large]]]), axis=1, return_inverse=True)[1].ravel()
+            yield _links(edges, key[large], d[large], own, hub.astype(bool)[large])
 
-    dealt = rows.select("key", "p", "q", "d", "c", "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "d")
-    return dealt.mapInArrow(tidy(run), "u long, v long")
+    dealt = rows.select("key", "p", "q", "d", "c", "large", "hub", "sketch").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "d")
+    return dealt.mapInArrow(tidy(run), _LINKS)
 
 
-def confirmed(sets: list[np.ndarray], bits: np.ndarray, known: np.ndarray, similarity: int, most: int) -> list[tuple[int, int]]:
-    """Pairs with 100 |a & b| >= similarity |a | b|, as many as it takes to have all classes right.
+def confirmed(sets: list[np.ndarray], bits: np.ndarray, known: np.ndarray, similarity: int, most: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Pairs with 100 |a & b| >= similarity |a | b|, as many as it takes to have all classes right, and the
+    class of each set.
 
     ``known``: classes that there are already.
     """
@@ -237,7 +255,7 @@ def confirmed(sets: list[np.ndarray], bits: np.ndarray, known: np.ndarray, simil
         second.append((j + i + 1).astype(np.int32))
         distance.append(far[j].astype(np.int16))
     if not first:
-        return []
+        return [], known
     first, second, distance = (np.concatenate(x) for x in (first, second, distance))
     order = np.argsort(distance, kind="stable")
     classes, links = Classes(int(known.max()) + 1), []
@@ -255,27 +273,29 @@ def confirmed(sets: list[np.ndarray], bits: np.ndarray, known: np.ndarray, simil
             if 100 * both >= similarity * (len(x) + len(y) - both):
                 classes.join(known[a], known[b])
                 links.append((a, b))
-    return links
+    return links, classes.labels()[known]
 
 
 def confirmed_edges(rows: DataFrame, similarity: int, most: int) -> DataFrame:
-    """Confirmed edges u, v within each (g, p, q); rows: g, p, q, d, c, shingles (binary), sketch."""
+    """Confirmed edges u, v within each (g, p, q); rows: g, p, q, d, c, large, hub, shingles (binary), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _by_group(batches, 3):
-            g, p, q, d, c = (batch[k].to_numpy(zero_copy_only=False) for k in range(5))
-            bits = _words64(batch[6])
+            g, p, q, d, c, large, hub = (batch[k].to_numpy(zero_copy_only=False) for k in range(7))
+            bits = _words64(batch[8])
             cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(g)]
-            u, v = [], []
+            edges = []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                sets = [np.frombuffer(x, np.uint64) for x in batch[5].slice(a, b - a).to_pylist()]
-                for i, j in confirmed(sets, bits[a:b], c[a:b], similarity, most):
-                    u.append(int(d[a + i]))
-                    v.append(int(d[a + j]))
-            yield _table([u, v], [pa.int64(), pa.int64()], ["u", "v"])
-
-    dealt = rows.select("g", "p", "q", "d", "c", "shingles", "sketch").repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "d")
-    return dealt.mapInArrow(tidy(run), "u long, v long")
+                sets = [np.frombuffer(x, np.uint64) for x in batch[7].slice(a, b - a).to_pylist()]
+                links, label = confirmed(sets, bits[a:b], c[a:b], similarity, most)
+                edges += [(int(d[a + i]), int(d[a + j])) for i, j in links]
+                if large[a]:
+                    yield _links([], g[a:b], d[a:b], label, hub[a:b].astype(bool))
+            none = np.zeros(0, np.int64)
+            yield _links(edges, none, none, none, none.astype(bool))
+
+    dealt = rows.select("g", "p", "q", "d", "c", "large", "hub", "shingles", "sketch").repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "d")
+    return dealt.mapInArrow(tidy(run), _LINKS)
 
 
 def shingle_rows(docs: DataFrame, size: int) -> DataFrame:

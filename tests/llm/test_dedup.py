@@ -105,7 +105,8 @@ def test_confirmed_needs_the_threshold():
     for over, linked in ((300, True), (299, False)):  # 300 of 400 is the threshold
         sets = [h, h[:over]]
         bits = np.stack([odd_sketch(samples(s)) for s in sets])
-        assert bool(confirmed(sets, bits, np.arange(2), 75, most_bits(0.5))) == linked
+        links, label = confirmed(sets, bits, np.arange(2), 75, most_bits(0.5))
+        assert bool(links) == (label[0] == label[1]) == linked
 
 
 def test_components(spark):

@@ -39,6 +39,12 @@ def _positive(**values: float) -> None:
             raise ValueError(f"{name} must be positive: {v}")
 
 
+def _not_negative(**values: float) -> None:
+    for name, v in values.items():
+        if not (v >= 0 and math.isfinite(v)):
+            raise ValueError(f"{name} must not be negative: {v}")
+
+
 class Distribution:
     discrete: ClassVar[bool] = False
     FUNCTIONS: ClassVar[tuple[str, ...]] = ("cdf", "sf", "pdf", "logpdf", "ppf", "isf")
@@ -88,6 +94,21 @@ def asdict_flat(d) -> dict:
     return {k: getattr(d, k) for k in d.__dataclass_fields__}
 
 
+def find_root(cdf, density, p: Column | str, low: float, high: float) -> Column:
+    """The x from ``low`` to ``high`` at which a rising ``cdf`` reaches each p, for a distribution of one's own.
+
+    ``cdf`` and ``density`` are functions of NumPy arrays. Newton steps, and halving where they leave the interval.
+    """
+    solve = lambda q: special._solve(lambda x, _: cdf(x), lambda x, _: density(x), q, float(low), float(high))
+    return special.column(solve, ieee.col(p))
+
+
+def sum_probabilities(own: Discrete, low: Column | str, high: Column | str) -> Column:
+    """The probability of the outcomes from ``low`` to ``high``, both included; at most 1."""
+    low, high = F.ceil(ieee.col(low)).cast("double"), F.floor(ieee.col(high)).cast("double")
+    return F.when(low > high, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), own.cdf(high) - own.cdf(low - 1))))
+
+
 def from_json(value: dict) -> Distribution:
     """The distribution that ``json()`` describes; parameters are checked again."""
     own = {k: from_json(v) if isinstance(v, dict) else v for k, v in value.items() if k != "family"}
@@ -238,6 +259,30 @@ class Gamma(Distribution):
     entropy = property(lambda s: s.shape + math.log(s.scale) + float(special.lgamma(s.shape)) + (1 - s.shape) * float(special.digamma(s.shape)))
 
 
+@dataclass(frozen=True)
+class ImproperGamma(Gamma):
+    """A gamma distribution whose parameters may be 0: then all of it lies at 0, and it has no entropy."""
+
+    def __post_init__(self):
+        _not_negative(shape=self.shape, scale=self.scale)
+
+    point = property(lambda s: s.shape == 0 or s.scale == 0)
+
+    def _cdf(self, m, x):
+        return m.where(x >= 0, 1.0, 0.0) if self.point else super()._cdf(m, x)
+
+    def _sf(self, m, x):
+        return m.where(x >= 0, 0.0, 1.0) if self.point else super()._sf(m, x)
+
+    def _logpdf(self, m, x):
+        return m.where(x == x, -math.inf, math.nan) if self.point else super()._logpdf(m, x)
+
+    def _ppf(self, m, p):
+        return m.probability(p, 0.0 * p) if self.point else super()._ppf(m, p)
+
+    entropy = property(lambda s: None if s.point else Gamma.entropy.fget(s))
+
+
 @dataclass(frozen=True)
 class Beta(Distribution):
     ARROW = ("cdf", "sf", "ppf", "isf")
@@ -271,6 +316,35 @@ class Beta(Distribution):
         return float(special.log_beta(a, b) - (a - 1) * psi(a) - (b - 1) * psi(b) + (a + b - 2) * psi(a + b))
 
 
+@dataclass(frozen=True)
+class ImproperBeta(Beta):
+    """A beta distribution whose parameters may be 0, as for an improper prior: without alpha all of it lies at 0,
+    without beta at 1, and without both half at each. It has no entropy then."""
+
+    def __post_init__(self):
+        _not_negative(alpha=self.alpha, beta=self.beta)
+
+    point = property(lambda s: s.alpha == 0 or s.beta == 0)
+    #: The probability at 0.
+    at_zero = property(lambda s: 0.5 if s.alpha == s.beta else float(s.alpha == 0))
+
+    def _cdf(self, m, x):
+        return m.where(x >= 1, 1.0, m.where(x >= 0, self.at_zero, 0.0)) if self.point else super()._cdf(m, x)
+
+    def _sf(self, m, x):
+        return m.where(x >= 1, 0.0, m.where(x >= 0, 1 - self.at_zero, 1.0)) if self.point else super()._sf(m, x)
+
+    def _logpdf(self, m, x):
+        return m.where(x == x, -math.inf, math.nan) if self.point else super()._logpdf(m, x)
+
+    def _ppf(self, m, p):
+        return m.probability(p, m.where(p <= self.at_zero, 0.0, 1.0)) if self.point else super()._ppf(m, p)
+
+    mean = property(lambda s: 1 - s.at_zero if s.point else Beta.mean.fget(s))
+    variance = property(lambda s: s.at_zero * (1 - s.at_zero) if s.point else Beta.variance.fget(s))
+    entropy = property(lambda s: None if s.point else Beta.entropy.fget(s))
+
+
 @dataclass(frozen=True)
 class ChiSquared(Distribution):
     ARROW = ("cdf", "sf", "ppf", "isf")

@@ -9,6 +9,7 @@ group to a row; an Arrow function turns that into a p-value. Tests return ``by``
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import lru_cache
 from math import comb
@@ -23,6 +24,8 @@ from quantalake.operators.quantiles import MEDIAN_UNBIASED, median
 from quantalake.operators.ranks import running, value_ranks, values, with_ranks
 
 DIFFER, A_GREATER, B_GREATER = "differ", "a_greater", "b_greater"
+#: Values up to which Kolmogorov-Smirnov probabilities are exact, and terms up to which those of runs are all summed.
+KS_EXACT, RUNS_TERMS = 2000, 1 << 22
 
 
 def significant(p: Column | str, alpha: float) -> Column:
@@ -30,6 +33,12 @@ def significant(p: Column | str, alpha: float) -> Column:
     return ieee.col(p) <= alpha
 
 
+def test_result(stat: Column | str, p: Column | str, family: str, *parameters: Column | str | float) -> Column:
+    """struct(statistic, p, distribution): what a test says, and how its statistic is distributed if nothing differs."""
+    own = F.struct(F.lit(family).alias("family"), F.array(*[ieee.col(x).cast("double") for x in parameters]).alias("parameters"))
+    return F.struct(ieee.col(stat).cast("double").alias("statistic"), ieee.col(p).cast("double").alias("p"), own.alias("distribution"))
+
+
 def _t_tail(t, df):
     """P(T >= |t|)"""
     return 0.5 * special.beta_i(df / 2, 0.5, df / (df + t * t))
@@ -75,10 +84,10 @@ def welch_t_test(df: DataFrame, by: list[str], is_a: Column, x: str, position: s
 
 def paired_t_test(df: DataFrame, by: list[str], x: str, y: str, position: str = DIFFER) -> DataFrame:
     d = F.col(x) - F.col(y)
-    own = df.groupBy(*by).agg(F.count(d).cast("double").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
-    n = F.col("n")
+    own = df.groupBy(*by).agg(F.count(d).cast("double").alias("__n"), F.avg(d).alias("__m"), F.var_samp(d).alias("__v"))
+    n = F.col("__n")
     ok = n > 1
-    t = ieee.divide(F.col("s"), F.sqrt(F.abs(n * F.col("q") - F.col("s") * F.col("s")) / F.when(ok, n - 1)))
+    t = ieee.divide(F.col("__m"), F.sqrt(F.col("__v") / n))
     return _t_row(own, by, position, ok, F.when(ok, t), n - 1)
 
 
@@ -338,12 +347,18 @@ def ks_d(df: DataFrame, by: list[str], x: str, cdf: Callable[[Column], Column])
 
 @lru_cache(maxsize=65536)
 def ks_probability(n: int, d: float) -> float:
-    """P(D < d) for n values: by powers of a matrix (Marsaglia, Tsang, Wang 2003), or the asymptote far out."""
+    """P(D < d) for n values: by powers of a matrix (Marsaglia, Tsang, Wang 2003), and 1 where that differs from it by
+    less than 1e-15; by the limit and three terms of its correction (Pelz, Good 1976) for n above KS_EXACT, where they
+    agree to 2e-8."""
     if d <= 0 or n < 1:
         return 0.0
+    if d >= 1:
+        return 1.0
     s = d * d * n
-    if s > 7.24 or (s > 3.76 and n > 99):
-        return float(1 - 2 * np.exp(-(2.000071 + 0.331 / np.sqrt(n) + 1.409 / n) * s))
+    if n > KS_EXACT:
+        return ks_limit(n, d)
+    if s > 18:
+        return 1.0
     k = int(n * d) + 1
     size, h = 2 * k - 1, k - n * d
     own = np.tril(np.ones((size, size)), 1)
@@ -374,6 +389,29 @@ def ks_probability(n: int, d: float) -> float:
     return float(value * 10.0**exponent)
 
 
+def ks_limit(n: int, d: float) -> float:
+    """Kolmogorov's limit at z = d sqrt(n) and the terms in n**-1/2, 1/n and n**-3/2."""
+    z, pi2 = d * math.sqrt(n), math.pi**2
+    if z < 0.04:
+        return 0.0
+    if z > 6:
+        return 1.0
+    z2 = z * z
+    odd = (2.0 * np.arange(1, int(16 * z) + 4) - 1) ** 2
+    even = np.arange(1.0, int(16 * z) + 4) ** 2
+    e, f = np.exp(-odd * pi2 / (8 * z2)), np.exp(-even * pi2 / (2 * z2))
+    a = pi2 * odd / 4
+    terms = (
+        (e / z).sum(),
+        ((a - z2) * e).sum() / (6 * z**4),
+        ((6 * z**6 + 2 * z**4 + (2 * z**4 - 5 * z2) * a + (1 - 2 * z2) * a * a) * e).sum() / (72 * z**7) - pi2 * (even * f).sum() / (36 * z**3),
+        ((-30 * z**6 - 90 * z**8 + (135 * z**4 - 96 * z**6) * a + (212 * z**4 - 60 * z2) * a**2 + (5 - 30 * z2) * a**3) * e).sum() / (6480 * z**10)
+        + pi2 * (even * (3 * z2 - pi2 * even) * f).sum() / (216 * z**6),
+    )
+    total = math.sqrt(2 * math.pi) * sum(float(t) * n ** (-k / 2) for k, t in enumerate(terms))
+    return min(1.0, max(0.0, total))
+
+
 def ks_test(df: DataFrame, by: list[str], x: str, cdf: Callable[[Column], Column]) -> DataFrame:
     """``by``, n, d, p."""
     own = ks_d(df, by, x, cdf)
@@ -400,9 +438,9 @@ def ks_two_test(df: DataFrame, by: list[str], is_a: Column, x: str) -> DataFrame
     en = F.sqrt(n1 * n2 / F.when(ok, n1 + n2))
     own = own.withColumn("stat", F.when(ok, F.col("d") * (en + 0.12 + 0.11 / en)))
     z = F.col("stat")
-    # fixed values: pi**2/8 and sqrt(2 pi) scaled by 0.9, of the two branches of Kolmogorov's distribution
-    y, x2 = F.exp(-1.23370055013616983 / F.when(z > 0, z * z)), F.exp(-2 * z * z)
-    low = 2.25675833419102515 * F.sqrt(-F.ln(F.when(y > 0, y))) * (y + F.pow(y, 9) + F.pow(y, 25) + F.pow(y, 49))
+    # the two series of Kolmogorov's distribution, for small and large z
+    y, x2 = F.exp(-(math.pi**2 / 8) / F.when(z > 0, z * z)), F.exp(-2 * z * z)
+    low = 4 / math.sqrt(math.pi) * F.sqrt(-F.ln(F.when(y > 0, y))) * (y + F.pow(y, 9) + F.pow(y, 25) + F.pow(y, 49))
     high = 1 - 2 * (x2 - F.pow(x2, 4) + F.pow(x2, 9))
     below = F.when(z == 0, F.lit(0.0)).when(z < 1.18, F.coalesce(low, F.lit(0.0))).otherwise(high)
     return own.select(*by, "n1", "n2", "stat", (1 - below).alias("p"))
@@ -426,24 +464,36 @@ def chi2_test(df: DataFrame, by: list[str], observed: str, expected: str, fitted
     return own.withColumn("p", F.when(F.col("df") > 0, p))
 
 
-def _runs_p(runs: float, a: float, b: float) -> float:
-    """P(at most so many runs of a and b things)"""
-    a, b = int(a), int(b)
-    total = 0
-    for r in range(2, int(runs) + 1):
-        k = r // 2
-        ways = 2 * comb(a - 1, k - 1) * comb(b - 1, k - 1) if r % 2 == 0 else comb(a - 1, k) * comb(b - 1, k - 1) + comb(a - 1, k - 1) * comb(b - 1, k)
-        total += ways
-    return total / comb(a + b, a) if a and b else 1.0
+@lru_cache(maxsize=65536)
+def runs_probability(runs: int, a: int, b: int) -> float:
+    """P(at most so many runs of a and b things in random order).
+
+    Ways for 2k and 2k + 1 runs come from those for one k less by a ratio, in logarithms, and are divided by their sum.
+    Beyond RUNS_TERMS terms only those within 60 deviations of the mean are summed: the others are below 1e-300.
+    """
+    if not a or not b:
+        return 1.0 if runs >= 1 else 0.0
+    most, mean = min(a, b), 1 + 2 * a * b / (a + b)
+    first = 1
+    if most > RUNS_TERMS:
+        wide = 60 * math.sqrt(max(1.0, (mean - 1) * (mean - 2) / (a + b - 1)))
+        first, most = max(1, int((mean - wide) / 2)), min(most, int((mean + wide) / 2) + 2)
+    k = np.arange(first, most + 1, dtype=float)
+    step = (a - k) / k * ((b - k) / k)
+    with np.errstate(divide="ignore"):
+        logs = np.concatenate([[0.0], np.cumsum(np.log(step[:-1]))])
+    even = 2 * np.exp(logs - logs.max())  # 2k runs
+    odd = even / 2 * ((a - k) / k + (b - k) / k)  # 2k + 1 runs
+    return float(min(1.0, (even[2 * k <= runs].sum() + odd[2 * k + 1 <= runs].sum()) / (even.sum() + odd.sum())))
 
 
 def runs_test(df: DataFrame, by: list[str], idx: str, flag: str) -> DataFrame:
     """``by``, runs, n_true, n_false, p (at most so many runs). ``idx`` is the 0-based place without gaps."""
-    own = df.select(*by, F.col(idx).alias("i"), F.col(flag).alias("f"))
-    before = own.select(*by, (F.col("i") + 1).alias("i"), F.col("f").alias("__f"))
-    joined = own.join(before, [*by, "i"], "left")
-    out = joined.groupBy(*by).agg(F.count(F.when(F.col("__f").isNull() | (F.col("f") != F.col("__f")), 1)).alias("runs"), F.count(F.when(F.col("f"), 1)).alias("n_true"), F.count(F.when(~F.col("f"), 1)).alias("n_false"))
-    p = special.column(lambda *v: np.array([_runs_p(*row) for row in zip(*v, strict=True)], float), *[F.col(c).cast("double") for c in ("runs", "n_true", "n_false")])
+    own = df.select(*by, F.col(idx).alias("__i"), F.col(flag).alias("__f"))
+    before = own.select(*by, (F.col("__i") + 1).alias("__i"), F.col("__f").alias("__b"))
+    joined = own.join(before, [*by, "__i"], "left")
+    out = joined.groupBy(*by).agg(F.count(F.when(F.col("__b").isNull() | (F.col("__f") != F.col("__b")), 1)).alias("runs"), F.count(F.when(F.col("__f"), 1)).alias("n_true"), F.count(F.when(~F.col("__f"), 1)).alias("n_false"))
+    p = special.column(lambda *v: np.array([runs_probability(*map(int, row)) for row in zip(*v, strict=True)], float), *[F.col(c).cast("double") for c in ("runs", "n_true", "n_false")])
     return out.withColumn("p", p)
 
 

@@ -78,3 +78,26 @@ def ranks(rel: str, by: str, x: str) -> str:
     """The average rank of x within ``by``, as an expression over a relation."""
     part = f"PARTITION BY {by} " if by else ""
     return f"(rank() OVER ({part}ORDER BY {x}) + (count(*) OVER (PARTITION BY {by + ', ' if by else ''}{x}) - 1) / 2.0)"
+
+
+#: Counts by recursion, for a WITH RECURSIVE clause. ``cum_u``: how many arrangements of m and n have at most u (below),
+#: of all (ways). ``cum_t``: the share of the sets of ranks 1..n whose sum is at most t. The first elements are added or
+#: not, one after the other.
+SUBSETS = """subsets(k, size, total, ways) AS (SELECT 0, 0, 0, 1::HUGEINT UNION ALL
+SELECT k + 1, size + t, total + t * (k + 1), sum(ways)::HUGEINT FROM subsets, (VALUES (0), (1)) c(t) WHERE k < 40 AND size + t <= 20 GROUP BY ALL),
+cum_u AS (SELECT size AS m, k - size AS n, total - size * (size + 1) // 2 AS u, sum(ways) OVER (PARTITION BY k, size ORDER BY total) AS below, sum(ways) OVER (PARTITION BY k, size) AS ways
+FROM subsets WHERE size >= 1 AND k - size BETWEEN 1 AND 20)"""
+SIGNS = """signs(k, total, ways) AS (SELECT 0, 0, 1::HUGEINT UNION ALL
+SELECT k + 1, total + t * (k + 1), sum(ways)::HUGEINT FROM signs, (VALUES (0), (1)) c(t) WHERE k < 99 GROUP BY ALL),
+cum_t AS (SELECT k AS n, total AS t, sum(ways) OVER (PARTITION BY k ORDER BY total) / pow(2::DOUBLE, k) AS p FROM signs WHERE k > 0)"""
+
+
+def ks_sql(rel: str, key: str) -> str:
+    """CTEs for ks_p (key, p): P(D < d) of a relation with key, n and d, by a row vector times a matrix, n times."""
+    return f"""sized AS (SELECT {key}, n, d, floor(n * d)::INTEGER + 1 AS k, floor(n * d) + 1 - n * d AS h FROM {rel}),
+mat AS (SELECT {key}, n, k, [[CASE WHEN i - j + 1 < 0 THEN 0.0::DOUBLE ELSE
+(1.0::DOUBLE - CASE WHEN j = 1 THEN pow(h, i) ELSE 0.0 END - CASE WHEN i = 2 * k - 1 THEN pow(h, 2 * k - j) ELSE 0.0 END + CASE WHEN i = 2 * k - 1 AND j = 1 AND h > 0.5 THEN pow(2 * h - 1, i) ELSE 0.0 END)
+/ gamma((i - j + 2)::DOUBLE) END FOR i IN range(1, 2 * k)] FOR j IN range(1, 2 * k)] AS cols FROM sized),
+steps({key}, i, v) AS (SELECT {key}, 0, [CASE WHEN j = k THEN 1.0::DOUBLE ELSE 0.0 END FOR j IN range(1, 2 * k)] FROM mat UNION ALL
+SELECT s.{key}, s.i + 1, [list_dot_product(s.v, c) * ((s.i + 1) / m.n::DOUBLE) FOR c IN m.cols] FROM steps s JOIN mat m ON m.{key} = s.{key} WHERE s.i < m.n),
+ks_p AS (SELECT s.{key}, s.v[m.k] AS p FROM steps s JOIN mat m ON m.{key} = s.{key} WHERE s.i = m.n)"""

@@ -8,7 +8,7 @@ from quantalake.functions.distributions import Normal
 from quantalake.operators import correlation as C
 from quantalake.operators import hypothesis as T
 from quantalake.operators import inference as I  # noqa: E741
-from quantalake.plans.common import CUSTOMERS, LINES, ORDERS, PARTS, beta_i, customers, gamma_p, lines, orders, parts, phi, r, ranks, rounded, sr
+from quantalake.plans.common import CUSTOMERS, LINES, ORDERS, PARTS, SIGNS, SUBSETS, beta_i, customers, gamma_p, ks_sql, lines, orders, parts, phi, r, ranks, rounded, sr
 from quantalake.plans.summaries import quantile_sql
 from quantalake.operators.quantiles import MEDIAN_UNBIASED
 from quantalake.sources.tables import load
@@ -175,11 +175,10 @@ def _pairs(spark, d):
     return load(spark, d, "lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_quantity").alias("a"), (F.col("l_discount") * 500).alias("b"))
 
 
-@query(f"""WITH {PAIRS}, s AS (SELECT g, count(*) AS n, sum(a - b) AS s, sum((a - b) * (a - b)) AS q FROM pr GROUP BY g), t AS (SELECT g, n - 1.0 AS df, s / sqrt((n * q - s * s) / (n - 1)) AS t FROM s WHERE n > 1)
+@query(f"""WITH {PAIRS}, s AS (SELECT g, count(*) AS n, sum(a - b) AS s, sum((a - b) * (a - b)) AS q FROM pr GROUP BY g), t AS (SELECT g, CASE WHEN n > 1 THEN n - 1.0 END AS df, CASE WHEN n > 1 THEN s / sqrt((n * q - s * s) / (n - 1)) END AS t FROM s)
 SELECT g, {sr('t', 5)} AS stat, df::DOUBLE AS df, {sr(t_two('t', 'df'), 5)} AS p FROM t""")
 def ttest_paired(spark, d):
-    own = T.paired_t_test(_pairs(spark, d), ["g"], "a", "b").where("stat is not null")
-    return rounded(own, "stat", "p", digits=5)
+    return rounded(T.paired_t_test(_pairs(spark, d), ["g"], "a", "b"), "stat", "p", digits=5)
 
 
 RANKSUM = f"WITH {CUSTOMERS}, k AS (SELECT g, a, {ranks('cu', 'g', 'x')} AS r FROM cu), w AS (SELECT g, count(*) FILTER (WHERE a) AS n1, count(*) FILTER (WHERE NOT a) AS n2, coalesce(sum(r) FILTER (WHERE a), 0) AS w1, coalesce(sum(r) FILTER (WHERE NOT a), 0) AS w2 FROM k GROUP BY g), u AS (SELECT *, w1 - n1 * (n1 + 1) / 2 AS u1, w2 - n2 * (n2 + 1) / 2 AS u2 FROM w)"
@@ -195,13 +194,16 @@ def mannwhitney_u(spark, d):
     return T.mann_whitney_u(customers(spark, d), ["g"], F.col("a"), "x")
 
 
-@query(f"{RANKSUM} SELECT g, n1, n2, u1, u2, 2 * (1 - {phi('abs(n1 * n2 / 2 - u1) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12)')}) < 0.2 AS significant FROM u WHERE n1 > 20 OR n2 > 20")
+@query(f"""{RANKSUM.replace("WITH ", "WITH RECURSIVE ", 1)}, {SUBSETS}, lim AS (SELECT m, n, max(u) FILTER (WHERE below < 0.2::DOUBLE * ways) AS crit FROM cum_u GROUP BY m, n)
+SELECT g, n1, n2, u1, u2, CASE WHEN n1 > 20 OR n2 > 20 THEN 2 * (1 - {phi('abs(n1 * n2 / 2 - u1) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12)')}) < 0.2 ELSE least(u1, u2) <= crit END AS significant
+FROM u LEFT JOIN lim ON m = n1 AND n = n2""")
 def mannwhitney_test(spark, d):
     return T.mann_whitney_test(customers(spark, d), ["g"], F.col("a"), "x", 0.2)
 
 
+@query(f"WITH RECURSIVE {SUBSETS} SELECT m::BIGINT AS m, n::BIGINT AS n, (max(u) FILTER (WHERE below < 0.025::DOUBLE * ways))::BIGINT AS crit FROM cum_u GROUP BY m, n")
 def mannwhitney_crit(spark, d):
-    """The table of critical values for samples of 1 to 20; tested against published ones."""
+    """The table of critical values for samples of 1 to 20; tested against published ones too."""
     import numpy as np
 
     from quantalake.functions import special
@@ -212,8 +214,6 @@ def mannwhitney_crit(spark, d):
     return own.withColumn("crit", F.when(~F.isnan(v), v.cast("long")))
 
 
-QUERIES["mannwhitney_crit"] = mannwhitney_crit
-
 SIGNED = f"WITH {PAIRS}, dd AS (SELECT g, round(a - b, 6) AS d FROM pr WHERE round(a - b, 6) <> 0), k AS (SELECT g, d, {ranks('dd', 'g', 'abs(d)')} AS r FROM dd), t AS (SELECT g, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS t_plus, (0 - coalesce(sum(r) FILTER (WHERE d < 0), 0)) + 0.0 AS t_minus FROM k GROUP BY g)"
 
 
@@ -226,7 +226,12 @@ def wilcoxon_signed_rank(spark, d):
     return T.signed_ranks(_differences(spark, d), ["g"], "a", "b")
 
 
-@query(f"{SIGNED} SELECT g, n, {sr('least(1, 2 * ' + phi('((least(t_plus, -t_minus) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24))') + ')')} AS p FROM t WHERE n >= 100")
+@query(f"""{SIGNED.replace("WITH ", "WITH RECURSIVE ", 1)}, {SIGNS}, lim AS (SELECT n, max(t) FILTER (WHERE p <= 0.025::DOUBLE) AS crit FROM cum_t GROUP BY n),
+every AS (SELECT DISTINCT pr.g, coalesce(n, 0) AS n, coalesce(t_plus, 0) AS t_plus, coalesce(t_minus, 0) AS t_minus, least(t_plus, -t_minus) AS low FROM pr LEFT JOIN t ON pr.g = t.g)
+SELECT g, e.n, t_plus::DOUBLE AS t_plus, t_minus::DOUBLE AS t_minus,
+{sr('least(1, 2 * CASE WHEN e.n < 100 THEN c.p ELSE ' + phi('((low - e.n * (e.n + 1) / 4) / sqrt(e.n * (e.n + 1) * (2 * e.n + 1) / 24))') + ' END)')} AS p,
+CASE WHEN e.n < 100 THEN low <= crit ELSE low <= round(e.n * (e.n + 1) / 4 - 1.959963984540054::DOUBLE * sqrt(e.n * (e.n + 1) * (2 * e.n + 1) / 24)) END AS significant
+FROM every e LEFT JOIN cum_t c ON c.n = e.n AND c.t = floor(low) LEFT JOIN lim ON lim.n = e.n""")
 def wilcoxon_test(spark, d):
     pairs = _differences(spark, d)
     own = T.wilcoxon_signed_rank_test(pairs.where("a <> b"), ["g"], "a", "b", p=0.05)
@@ -234,8 +239,10 @@ def wilcoxon_test(spark, d):
     return rounded(every.fillna({"n": 0, "t_plus": 0.0, "t_minus": 0.0}), "p")
 
 
+@query(f"""WITH RECURSIVE {SIGNS} SELECT v::BIGINT AS n, CASE WHEN v < 100 THEN max(t) FILTER (WHERE p <= 0.05::DOUBLE) ELSE round(v * (v + 1) / 4 - 1.6448536269514722::DOUBLE * sqrt(v * (v + 1) * (2 * v + 1) / 24)) END::BIGINT AS crit
+FROM range(1, 121) r(v) LEFT JOIN cum_t ON n = v GROUP BY v""")
 def wilcoxon_crit(spark, d):
-    """The table of critical values for 1 to 120 pairs; tested against published ones."""
+    """The table of critical values for 1 to 120 pairs; tested against published ones too."""
     import numpy as np
 
     from quantalake.functions import special
@@ -245,8 +252,6 @@ def wilcoxon_crit(spark, d):
     return spark.range(1, 121).withColumnRenamed("id", "n").withColumn("crit", F.when(~F.isnan(v), v.cast("long")))
 
 
-QUERIES["wilcoxon_crit"] = wilcoxon_crit
-
 
 @query(f"WITH {CUSTOMERS}, k AS (SELECT g, s, {ranks('cu', 'g', 'x')} AS r FROM cu) SELECT g, s, array_to_string([format('{{:.1f}}', v) FOR v IN list_sort(list(r))], ' ') AS ranks FROM k GROUP BY g, s")
 def kruskal_rank(spark, d):
@@ -294,15 +299,19 @@ def bartlett(spark, d):
 KS = f"WITH {CUSTOMERS}, o AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) AS i, count(*) OVER (PARTITION BY g) AS n FROM cu), e AS (SELECT g, x, min(i) - 1 AS lo, max(i) AS hi, max(n) AS n FROM o GROUP BY g, x)"
 
 
-@query(f"{KS}, f AS (SELECT *, CASE WHEN x < -1 THEN 0.0 WHEN x > 10 THEN 1.0 ELSE (x + 1) / 11 END AS f FROM e) SELECT g, max(n) AS n, {sr('max(greatest(abs(f - lo / n), abs(f - hi / n)))')} AS d FROM f GROUP BY g")
+@query(f"""{KS.replace("WITH ", "WITH RECURSIVE ", 1)}, f AS (SELECT *, CASE WHEN x < -1 THEN 0.0 WHEN x > 10 THEN 1.0 ELSE (x + 1) / 11 END AS f FROM e),
+dd AS (SELECT g, max(n) AS n, max(greatest(abs(f - lo / n), abs(f - hi / n)))::DOUBLE AS d FROM f GROUP BY g), {ks_sql('dd', 'g')}
+SELECT g, n, {sr('d')} AS d, {sr('1 - p')} AS p FROM dd JOIN ks_p USING (g)""")
 def ks_one(spark, d):
     from quantalake.functions.distributions import Uniform
 
-    return rounded(T.ks_test(customers(spark, d), ["g"], "x", Uniform(-1, 10).cdf), "d").select("g", "n", "d")
+    return rounded(T.ks_test(customers(spark, d), ["g"], "x", Uniform(-1, 10).cdf), "d", "p")
 
 
+@query(f"""WITH RECURSIVE grid AS (SELECT v::BIGINT AS n, (0.4 / sqrt(v::DOUBLE) + v / 2000::DOUBLE) AS d FROM range(1, 201) t(v)), {ks_sql('grid', 'n').replace('SELECT n, n, d', 'SELECT n, d').replace('SELECT n, n, k', 'SELECT n, k')}
+SELECT n, d, {sr('p')} AS p FROM grid JOIN ks_p USING (n)""")
 def ks_prob(spark, d):
-    """P(D < d) on a grid; tested against published values."""
+    """P(D < d) on a grid; tested against published values too."""
     import numpy as np
 
     from quantalake.functions import special
@@ -312,13 +321,24 @@ def ks_prob(spark, d):
     return own.withColumn("p", r(special.column(f, F.col("n").cast("double"), F.col("d"))))
 
 
-QUERIES["ks_prob"] = ks_prob
+
+def _choose(n: str, k: str) -> str:
+    """Combinations, 0 outside 0..n."""
+    return f"(CASE WHEN {k} < 0 OR {k} > {n} THEN 0.0 ELSE exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)) END)"
+
+
+def _both(k: str, m: str) -> str:
+    return f"{_choose('(n_true - 1.0::DOUBLE)', k)} * {_choose('(n_false - 1.0::DOUBLE)', m)}"
+
+
+#: The ways to have r runs, with h = r // 2.
+WAYS = f"CASE WHEN n_true = 0 OR n_false = 0 THEN 0.0 WHEN r % 2 = 0 THEN 2 * {_both('(h - 1)', '(h - 1)')} ELSE {_both('h', '(h - 1)')} + {_both('(h - 1)', 'h')} END"
 
 
 @query(f"""WITH {CUSTOMERS}, c AS (SELECT g, x, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE NOT a) AS nb FROM cu GROUP BY g, x),
 s AS (SELECT g, sum(na) OVER w / sum(na) OVER (PARTITION BY g) - sum(nb) OVER w / sum(nb) OVER (PARTITION BY g) AS d, sum(na) OVER (PARTITION BY g) AS n1, sum(nb) OVER (PARTITION BY g) AS n2 FROM c WINDOW w AS (PARTITION BY g ORDER BY x)),
 m AS (SELECT g, max(n1)::BIGINT AS n1, max(n2)::BIGINT AS n2, max(abs(d)) AS d, sqrt(max(n1) * max(n2) / (max(n1) + max(n2))) AS en FROM s GROUP BY g), z AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN d * (en + 0.12 + 0.11 / en) END AS z FROM m)
-SELECT g, n1, n2, {sr('z')} AS stat, {sr('CASE WHEN z < 1.18 THEN 1 - 2.25675833419102515e0 * sqrt(1.23370055013616983e0 / (z * z)) * (exp(-1.23370055013616983e0 / (z*z)) + exp(-9 * 1.23370055013616983e0 / (z*z)) + exp(-25 * 1.23370055013616983e0 / (z*z)) + exp(-49 * 1.23370055013616983e0 / (z*z))) ELSE 2 * (exp(-2*z*z) - exp(-8*z*z) + exp(-18*z*z)) END')} AS p FROM z""")
+SELECT g, n1, n2, {sr('z')} AS stat, {sr('CASE WHEN z < 1.18 THEN 1 - sqrt(2 * pi()) / z * (exp(-pi() * pi() / (8 * z * z)) + exp(-9 * pi() * pi() / (8 * z * z)) + exp(-25 * pi() * pi() / (8 * z * z)) + exp(-49 * pi() * pi() / (8 * z * z))) ELSE 2 * (exp(-2*z*z) - exp(-8*z*z) + exp(-18*z*z)) END')} AS p FROM z""")
 def ks_two(spark, d):
     return rounded(T.ks_two_test(customers(spark, d), ["g"], F.col("a"), "x"), "stat", "p")
 
@@ -336,15 +356,28 @@ def chi2(spark, d):
     return rounded(T.chi2_test(_bins(spark, d), ["g", "s"], "o", "e"), "stat", "p", digits=5)
 
 
-@query(f"{BINS} SELECT g, s, {sr('sum((o - e) * (o - e) / (10 * e))', 5)} AS stat, count(*) - 2 AS df FROM e GROUP BY g, s")
+@query(f"{BINS}, t AS (SELECT g, s, sum((o - e) * (o - e) / (10 * e)) AS stat, count(*) - 2 AS df FROM e GROUP BY g, s) SELECT g, s, {sr('stat', 5)} AS stat, df, CASE WHEN df > 0 THEN {sr('1 - ' + gamma_p('(df / 2)', '(stat / 2)', 3000), 5)} END AS p FROM t")
 def chi2_cont(spark, d):
     own = _bins(spark, d).withColumn("sigma", F.sqrt(10 * F.col("e")))
-    return rounded(T.chi2_test(own, ["g", "s"], "o", "e", 1, "sigma"), "stat", digits=5).select("g", "s", "stat", "df")
+    return rounded(T.chi2_test(own, ["g", "s"], "o", "e", 1, "sigma"), "stat", "p", digits=5)
 
 
-@query(f"""WITH {CUSTOMERS}, o AS (SELECT g, k, a, lag(a) OVER (PARTITION BY g ORDER BY k) AS b FROM cu)
-SELECT g, count(*) FILTER (WHERE b IS NULL OR a <> b) AS runs, count(*) FILTER (WHERE a) AS n_true, count(*) FILTER (WHERE NOT a) AS n_false FROM o GROUP BY g""")
+@query(f"""WITH {CUSTOMERS}, o AS (SELECT g, k, a, lag(a) OVER (PARTITION BY g ORDER BY k) AS b FROM cu),
+c AS (SELECT g, count(*) FILTER (WHERE b IS NULL OR a <> b) AS runs, count(*) FILTER (WHERE a) AS n_true, count(*) FILTER (WHERE NOT a) AS n_false FROM o GROUP BY g),
+w AS (SELECT *, r, r // 2 AS h, {WAYS} AS ways FROM c, LATERAL (SELECT unnest(range(2, n_true + n_false + 1)) AS r)),
+p AS (SELECT g, sum(ways) FILTER (WHERE r <= runs) / sum(ways) AS p FROM w GROUP BY g)
+SELECT g, runs, n_true, n_false, CASE WHEN n_true = 0 OR n_false = 0 THEN 1.0 ELSE {sr('coalesce(p, 0)')} END AS p FROM c LEFT JOIN p USING (g)""")
 def runs(spark, d):
     from quantalake.operators.ranks import indexed
 
-    return T.runs_test(indexed(customers(spark, d).select("g", "k", "a"), ["g"], "k"), ["g"], "idx", "a").drop("p")
+    return rounded(T.runs_test(indexed(customers(spark, d).select("g", "k", "a"), ["g"], "k"), ["g"], "idx", "a"), "p")
+
+
+@query(f"""{TWO}, s AS (SELECT g, n1 + n2 - 2.0 AS df, CASE WHEN n1 > 1 AND n2 > 1 THEN (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) END AS t FROM t),
+p AS (SELECT *, {t_two('t', 'df')} AS p FROM s)
+SELECT g, {sr('t')} AS statistic, {sr('p')} AS p, 'StudentT' AS family, CASE WHEN t IS NOT NULL THEN df::DOUBLE END AS parameter, p <= 0.05 AS significant FROM p""")
+def ttest_result(spark, d):
+    """The record of a test, and whether it is significant."""
+    own = T.student_t_test(customers(spark, d), ["g"], F.col("a"), "x")
+    own = own.select("g", T.test_result("stat", "p", "StudentT", "df").alias("t"), T.significant("p", 0.05).alias("significant"))
+    return own.select("g", r("t.statistic").alias("statistic"), r("t.p").alias("p"), F.col("t.distribution.family").alias("family"), F.col("t.distribution.parameters")[0].alias("parameter"), "significant")

@@ -1 +1 @@
-"""Statistics over Spark DataFrames: summaries, quantiles, tests, distributions, densities, transforms, resampling."""
+"""Samples in Spark DataFrames: summaries, quantiles, tests, distributions, densities, transforms, resampling."""

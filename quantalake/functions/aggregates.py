@@ -6,8 +6,10 @@ Nulls are skipped, as Spark's aggregates do. Where the plain formula divides by
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from quantalake.functions import ieee
 from quantalake.functions.ieee import col
 
 X = Column | str
+#: Parts of a group in exact sums.
+PARTS = 256
 
 
 def sample_range(x: X) -> Column:
@@ -118,16 +122,41 @@ def sum_squares_about(m: X | float, x: X) -> Column:
     return F.coalesce(F.sum((col(x) - col(m)) * (col(x) - col(m))), F.lit(0.0))
 
 
-def exact_sum(x: X) -> Column:
-    """A compensated sum (Neumaier's) in two doubles. The values are gathered by group: for groups that fit a task."""
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("c"))
-
-    def add(acc: Column, v: Column) -> Column:
-        t = acc["s"] + v
-        lost = F.when(F.abs(acc["s"]) >= F.abs(v), (acc["s"] - t) + v).otherwise((v - t) + acc["s"])
-        return F.struct(t.alias("s"), (acc["c"] + lost).alias("c"))
-
-    return F.aggregate(F.collect_list(col(x).cast("double")), zero, add, lambda a: a["s"] + a["c"])
+def exact_sums(df: DataFrame, by: list[str], x: str, out: str = "total") -> DataFrame:
+    """``by`` and the sum of x, right to the last bit or nearly so; a group without values has no row.
+
+    Each batch of rows, then each of PARTS parts of a group, is summed exactly into a pair (the sum and what it lacks),
+    so a group of any size ends as PARTS pairs.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "__s double, __c double"
+
+    def pairs(table: pa.Table) -> pa.Table:
+        """A row a group: its values' sum and the rest."""
+        place = np.zeros(len(table), np.int64)
+        for b in by:
+            codes = table[b].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            place = np.unique(place * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+        values = np.concatenate([table[c].to_numpy() for c in ("__s", "__c")])
+        order = np.argsort(np.tile(place, 2), kind="stable")
+        firsts = np.unique(place, return_index=True)[1]
+        s, c = [], []
+        for own in np.split(values[order], np.cumsum(np.bincount(np.tile(place, 2)))[:-1]) if len(place) else []:
+            s.append(total := math.fsum(own))
+            c.append(math.fsum([*own, -total]) if math.isfinite(total) else 0.0)
+        keys = table.select(by).take(pa.array(firsts)) if by else None
+        return pa.table([*(keys.columns if by else []), pa.array(s, pa.float64()), pa.array(c, pa.float64())], names=[*by, "__s", "__c"])
+
+    def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from pairs(pa.Table.from_batches([batch])).combine_chunks().to_batches()
+
+    own = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__s"), F.lit(0.0).alias("__c")).mapInArrow(by_batch, schema)
+    parts = own.withColumn("__part", F.pmod(F.xxhash64("__s", "__c", F.spark_partition_id()), F.lit(PARTS)))
+    summed = parts.groupBy(*by, "__part").applyInArrow(lambda t: pairs(t.drop(["__part"])), schema)
+    last = summed.withColumn("__all", F.lit(0)).groupBy(*by, "__all").applyInArrow(lambda t: pairs(t.drop(["__all"])), schema)
+    return last.select(*by, (F.col("__s") + F.col("__c")).alias(out))
 
 
 def with_mean(df: DataFrame, by: list[str], x: str, name: str, w: str | None = None) -> DataFrame:
@@ -196,7 +225,7 @@ def merge_powers(k: int) -> list[Column]:
 
 
 class Powers:
-    """Statistics of power-sum columns p0, ..., pk; ``order`` is k."""
+    """What power-sum columns p0, ..., pk tell of a sample; ``order`` is k."""
 
     def __init__(self, order: int):
         self.order = order
@@ -217,6 +246,25 @@ class Powers:
             total = term if total is None else total + term
         return ieee.divide(total, F.col("p0"))
 
+    def moments(self, df: DataFrame) -> DataFrame:
+        """``df`` with mean, variance, variance_unbiased, std_dev, skewness and kurtosis: each is computed once, from
+        those before. Skewness needs order 3 and kurtosis order 4."""
+        n, own = F.col("p0"), df.withColumn("mean", self.mean)
+        mean, sums = F.col("mean"), {2: None, 3: None, 4: None}
+        for k in sums:
+            if k <= self.order:  # by Horner's rule in -mean
+                total = F.col("p0")
+                for i in range(1, k + 1):
+                    total = total * -mean + math.comb(k, i) * F.col(f"p{i}")
+                own = own.withColumn(f"__m{k}", ieee.divide(total, n))
+        m2 = F.col("__m2")
+        out = own.withColumns({"variance": m2, "variance_unbiased": F.when(n > 1, m2 * n / F.when(n > 1, n - 1)).otherwise(F.lit(0.0)), "std_dev": F.sqrt(F.greatest(m2, F.lit(0.0)))})
+        if self.order > 2:
+            out = out.withColumn("skewness", ieee.divide("__m3", F.pow(m2, F.lit(1.5))))
+        if self.order > 3:
+            out = out.withColumn("kurtosis", ieee.divide("__m4", m2 * m2) - 3)
+        return out.drop("__m2", "__m3", "__m4")
+
     @property
     def variance(self) -> Column:
         return self.central_moment(2)

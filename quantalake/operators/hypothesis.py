@@ -1,7 +1,7 @@
 """Hypothesis tests of all groups at once.
 
 A test takes a long table: ``by`` columns, a value, and a column that tells the samples apart. Aggregates reduce each
-group to a row; an Arrow function turns that into a p-value. Tests return ``by``, the statistic ``stat``, the p-value
+group to a row; an Arrow function turns that into a p-value. Tests return ``by``, the test value ``stat``, the p-value
 ``p`` and, where there are some, degrees of freedom; where a sample is too small for the test they are null.
 
 ``position`` is DIFFER, A_GREATER or B_GREATER: the alternative.
@@ -34,9 +34,9 @@ def significant(p: Column | str, alpha: float) -> Column:
 
 
 def test_result(stat: Column | str, p: Column | str, family: str, *parameters: Column | str | float) -> Column:
-    """struct(statistic, p, distribution): what a test says, and how its statistic is distributed if nothing differs."""
+    """struct(value, p, distribution): what a test says, and how its value is distributed if nothing differs."""
     own = F.struct(F.lit(family).alias("family"), F.array(*[ieee.col(x).cast("double") for x in parameters]).alias("parameters"))
-    return F.struct(ieee.col(stat).cast("double").alias("statistic"), ieee.col(p).cast("double").alias("p"), own.alias("distribution"))
+    return F.struct(ieee.col(stat).cast("double").alias("value"), ieee.col(p).cast("double").alias("p"), own.alias("distribution"))
 
 
 def _t_tail(t, df):
@@ -254,8 +254,8 @@ def wilcoxon_signed_rank_test(df: DataFrame, by: list[str], x: str, y: str, posi
 
 
 def kruskal_rank(df: DataFrame, by: list[str], sample: str, x: str) -> DataFrame:
-    """``by``, sample and its sorted ranks among all values of the group. The ranks of a sample are gathered."""
-    return with_ranks(df, by, x).groupBy(*by, sample).agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    """``by``, sample, rank and n: the ranks among all values of the group, and how often the sample has each."""
+    return with_ranks(df, by, x, "__r").groupBy(*by, sample, F.col("__r").alias("rank")).agg(F.count("*").alias("n"))
 
 
 def kruskal_wallis(df: DataFrame, by: list[str], sample: str, x: str) -> DataFrame:

@@ -10,8 +10,9 @@ from quantalake.operators import resampling as K
 from quantalake.operators import transform as X
 from quantalake.operators.inference import CL90
 from quantalake.operators.ranks import indexed
-from quantalake.plans.common import CUSTOMERS, LINES, ORDERS, PARTS, customers, lines, orders, parts, r, rounded, sr
+from quantalake.plans.common import CUSTOMERS, LINES, ORDERS, PARTS, customers, lines, orders, parts, phi, r, rounded, sr
 from quantalake.plans.inference import EMBEDDINGS, _embeddings
+from quantalake.sources.scratch import scratch
 from quantalake.sources.tables import load
 
 QUERIES, SQL = {}, {}
@@ -192,12 +193,10 @@ _jackknife("jackknife_var_unb", "variance_unbiased", "({s2} - {s1} * {s1} / {n})
 _jackknife("jackknife_sd", "std_dev", "sqrt(({s2} - {s1} * {s1} / {n}) / ({n} - 1))")
 
 
-@query(f"WITH {CUSTOMERS}, f AS (SELECT g, s, count(*) AS n FROM cu GROUP BY g, s) SELECT g, s, n FROM f WHERE n > 1")
+@query(f"WITH {CUSTOMERS} SELECT a.g AS g, a.s AS s, a.k AS k, max(b.x) AS value FROM cu a JOIN cu b ON a.g = b.g AND a.s = b.s AND a.k <> b.k GROUP BY a.g, a.s, a.k")
 def jackknife_function(spark, d):
-    """Any estimator, each row left out in turn: as many values as rows."""
-    own = indexed(customers(spark, d).select("g", "s", "k", "x"), ["g", "s"], "k")
-    out = K.jackknife_by(own, ["g", "s"], "idx", "x", F.max)
-    return out.groupBy("g", "s").agg(F.count("value").alias("n"))
+    """The largest value, each row left out in turn."""
+    return K.jackknife_by(customers(spark, d), ["g", "s"], "k", "x", F.max, F.max)
 
 
 def _indexed_customers(spark, d):
@@ -214,10 +213,14 @@ def resample(spark, d):
     return joined.groupBy("g").agg(F.count("*").alias("replicates"), F.min((F.col("mean") >= F.col("a") - 1e-9) & (F.col("mean") <= F.col("b") + 1e-9)).alias("inside"), (F.abs(F.avg("mean") - F.max("m")) <= 5 * F.max(F.col("sd") / F.sqrt("n")) / 200**0.5).alias("near"))
 
 
-@query(f"WITH {CUSTOMERS} SELECT g, 50::BIGINT AS replicates FROM cu GROUP BY g")
+@query(f"WITH {CUSTOMERS}, b AS (SELECT g, count(*) AS n, min(x) AS a, max(x) AS z FROM cu GROUP BY g) SELECT g, rep::INTEGER AS rep, true AS inside, true AS own_draws FROM b, range(0, 50) t(rep)")
 def resample_each(spark, d):
-    own = K.resample_each(_indexed_customers(spark, d), ["g"], "idx", "x", {"mean": "mean", "std_dev": "std_dev"}, 50, 5)
-    return own.groupBy("g").agg(F.count("*").alias("replicates"))
+    """50 replicates a group, with draws of its own for each estimator: two means differ, unless there are few values."""
+    own = _indexed_customers(spark, d)
+    reps = K.resample_each(own, ["g"], "idx", "x", {"one": "mean", "two": "mean"}, 50, 5)
+    sample = own.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n"))
+    inside = F.least("one", "two") >= F.col("a") - 1e-9
+    return reps.join(sample, "g").select("g", "rep", (inside & (F.greatest("one", "two") <= F.col("b") + 1e-9)).alias("inside"), ((F.col("one") != F.col("two")) | (F.col("n") < 5)).alias("own_draws"))
 
 
 @query(f"WITH {LINES} SELECT g, s, 40::BIGINT AS replicates, true AS near FROM li GROUP BY g, s")
@@ -229,41 +232,74 @@ def resample_poisson(spark, d):
     return reps.join(sample, ["g", "s"]).groupBy("g", "s").agg(F.count("*").alias("replicates"), (F.max(F.abs(F.col("mean") - F.col("m")) / (F.col("sd") / F.sqrt("n"))) < 6).alias("near"))
 
 
-@query(f"WITH {CUSTOMERS} SELECT g, {sr('avg(x)')} AS point, true AS ordered, true AS around FROM cu GROUP BY g")
+# Bootstrap intervals of a given design of draws, which SQL can follow
+
+#: A step of a multiplicative generator over a mixed number of the replicate and the draw.
+PLACE = "({rep} * 7919 + {k} * 104729 + {rep} * {k} * 31 + {k} * {k} * 17 + 12345) * 48271 % 2147483647"
+
+
+def _draws(own, replicates: int):
+    """Groups g, rep and idx: draws that look random enough, from whole numbers alone."""
+    sizes = own.groupBy("g").agg(F.count("*").alias("n")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draws = sizes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return draws.select("g", "rep", (F.expr(PLACE.format(rep="rep", k="k")) % F.col("n")).alias("idx"))
+
+
+def _drawn(rel: str, replicates: int) -> str:
+    """CTEs: ix (rel with the place i), sz (its sizes) and dr (the rows that are drawn, with rep)."""
+    return f"""ix AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i FROM {rel}), sz AS (SELECT g, count(*) AS n FROM {rel} GROUP BY g),
+dr AS (SELECT ix.*, rep FROM (SELECT g, rep, ({PLACE.format(rep='rep', k='j')}) % n AS i FROM (SELECT g, n, rep, unnest(range(0, n)) AS j FROM sz, range(0, {replicates}) r(rep))) d JOIN ix ON ix.g = d.g AND ix.i = d.i)"""
+
+
+BCA = f"""{_drawn('cu', 200)}, re AS (SELECT g, rep, avg(x) AS v FROM dr GROUP BY g, rep), pt AS (SELECT g, avg(x) AS point, count(*) AS n FROM cu GROUP BY g),
+jk AS (SELECT g, (sum(x) OVER w - x) / (count(*) OVER w - 1) AS j FROM cu WINDOW w AS (PARTITION BY g)), jd AS (SELECT g, avg(j) OVER (PARTITION BY g) - j AS d FROM jk),
+js AS (SELECT g, sum(d * d * d) / (6 * pow(sum(d * d), 1.5)) AS accel FROM jd GROUP BY g),
+be AS (SELECT g, count(*) FILTER (WHERE v < point) / 200.0::DOUBLE AS below FROM re JOIN pt USING (g) GROUP BY g),
+zz(b, lo, hi, i) AS (SELECT DISTINCT below, -9.0::DOUBLE, 9.0::DOUBLE, 0 FROM be WHERE below > 0 AND below < 1 UNION ALL
+SELECT b, CASE WHEN {phi('((lo + hi) / 2)')} < b THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {phi('((lo + hi) / 2)')} < b THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM zz WHERE i < 60),
+sh AS (SELECT g, lo AS bias, accel, lo - 1.6448536269514722::DOUBLE AS b1, lo + 1.6448536269514722::DOUBLE AS b2 FROM be JOIN zz ON b = below AND i = 60 JOIN js USING (g)),
+pl AS (SELECT g, least(199, greatest(0, round_even(200 * {phi('(bias + b1 / (1 - accel * b1))')}, 0))) AS a, least(199, greatest(0, round_even(200 * {phi('(bias + b2 / (1 - accel * b2))')}, 0))) AS z FROM sh),
+od AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS nth FROM re)"""
+
+
+@query(f"WITH RECURSIVE {CUSTOMERS}, {BCA} SELECT pt.g AS g, {sr('point')} AS point, {sr('coalesce(a.v, point)')} AS lo, {sr('coalesce(z.v, point)')} AS hi FROM pt LEFT JOIN pl ON pl.g = pt.g AND pt.n > 1 LEFT JOIN od a ON a.g = pt.g AND a.nth = pl.a LEFT JOIN od z ON z.g = pt.g AND z.nth = pl.z")
 def bootstrap_bca(spark, d):
     own = _indexed_customers(spark, d)
-    reps = K.resample(own, ["g"], "idx", "x", {"mean": "mean"}, 200, 11)
-    out = K.bootstrap_bca(own, reps, ["g"], "x", "mean", 200, CL90)
-    return out.select("g", r("point").alias("point"), (F.col("lo") <= F.col("hi")).alias("ordered"), ((F.col("lo") <= F.col("point")) & (F.col("point") <= F.col("hi"))).alias("around"))
+    reps = K.resample(own, ["g"], "idx", "x", {"mean": "mean"}, 200, 11, _draws(own, 200))
+    return rounded(K.bootstrap_bca(own, reps, ["g"], "x", "mean", 200, CL90), "point", "lo", "hi")
 
 
-@query(f"WITH {CUSTOMERS} SELECT g, {sr('stddev_samp(x)')} AS point, true AS ordered FROM cu GROUP BY g")
+@query(f"WITH {CUSTOMERS}, {_drawn('cu', 200)}, re AS (SELECT g, rep, coalesce(stddev_samp(x), 0) AS v FROM dr GROUP BY g, rep), od AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS nth FROM re), pt AS (SELECT g, coalesce(stddev_samp(x), 0) AS point FROM cu GROUP BY g) SELECT g, {sr('point')} AS point, {sr('a.v')} AS lo, {sr('z.v')} AS hi FROM pt JOIN od a USING (g) JOIN od z USING (g) WHERE a.nth = 10 AND z.nth = 190")
 def bootstrap_basic(spark, d):
     own = _indexed_customers(spark, d)
-    reps = K.resample(own, ["g"], "idx", "x", {"std_dev": "std_dev"}, 200, 13)
-    out = K.basic_bootstrap(reps, own.groupBy("g").agg(K.estimate("std_dev", "x").alias("std_dev")), ["g"], "std_dev", 200, CL90)
-    return out.select("g", r("point").alias("point"), (F.col("lo") <= F.col("hi")).alias("ordered"))
+    reps = K.resample(own, ["g"], "idx", "x", {"std_dev": "std_dev"}, 200, 13, _draws(own, 200))
+    return rounded(K.basic_bootstrap(reps, own.groupBy("g").agg(K.estimate("std_dev", "x").alias("std_dev")), ["g"], "std_dev", 200, CL90), "point", "lo", "hi")
 
 
-@query(f"WITH {PARTS}, f AS (SELECT g, regr_slope(x, y) AS a, regr_intercept(x, y) AS b, regr_r2(x, y) AS c FROM pa GROUP BY g) SELECT g, name, round(v, 5) + 0.0 AS point, true AS ordered FROM (SELECT g, unnest(['coefficient0', 'coefficient1', 'r2']) AS name, unnest([a, b, c]) AS v FROM f)")
+@query(f"""WITH {PARTS}, {_drawn('pa', 50)}, f AS (SELECT g, -1 AS rep, regr_slope(x, y) AS a, regr_intercept(x, y) AS b, regr_r2(x, y) AS c FROM pa GROUP BY g UNION ALL SELECT g, rep, regr_slope(x, y), regr_intercept(x, y), regr_r2(x, y) FROM dr GROUP BY g, rep),
+v AS (SELECT g, rep, unnest(['coefficient0', 'coefficient1', 'r2']) AS name, unnest([a, b, c]) AS v FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY g, name, rep < 0 ORDER BY v) - 1 AS nth FROM v)
+SELECT g, name, round(max(v) FILTER (WHERE rep < 0), 5) + 0.0 AS point, round(max(v) FILTER (WHERE rep >= 0 AND nth = 2), 5) + 0.0 AS lo, round(max(v) FILTER (WHERE rep >= 0 AND nth = 47), 5) + 0.0 AS hi FROM o GROUP BY g, name""")
 def bootstrap_regress(spark, d):
     own = indexed(parts(spark, d), ["g"], "k").select("g", "idx", "x", "y")
-    out = K.bootstrap_regress(own, ["g"], "idx", ["y"], "x", 50, CL90, 17)
-    return out.select("g", "name", r("point", 5).alias("point"), (F.col("lo") <= F.col("hi")).alias("ordered"))
+    return rounded(K.bootstrap_regress(own, ["g"], "idx", ["y"], "x", 50, CL90, 17, draws=_draws(own, 50)), "point", "lo", "hi", digits=5)
 
 
-# Streams: a bounded run over the table's files; the result is the last state of the stream
+# Streams: a bounded run over the table's files, into a table of the shared folder
 
 
 def _events(spark, d):
+    """A stream of the table's files, by the folder's listing: a table is a file or a folder of its own."""
     schema = load(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*" if not d.startswith("viewfs") else f"{d}/events.parquet")
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
 
 
 def _run(stream, name: str, mode: str):
-    out = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """The rows that a stream has given when all files are read: its last state (complete), or all of them (append)."""
+    path = scratch(stream.sparkSession, name)
+    write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    out = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
     out.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
 @query(f"SELECT event_type AS g, count(value)::DOUBLE AS p0, {sr('sum(value)', 3)} AS p1, {sr('var_pop(value)', 3)} AS variance FROM events GROUP BY event_type")
@@ -281,3 +317,28 @@ def windowed_powers(spark, d):
 
     own = run(load(spark, d, "events").withColumnRenamed("event_type", "g"), "ts", ["g"], "value", 2, "1 day", "1 hour")
     return own.select("g", "start", "p0", r("p1", 3).alias("p1"))
+
+
+#: The instant whose UTC clock shows a time without zone, whatever the session's zone is.
+INSTANT = "timestamp_micros(CAST((unix_date(to_date(ts)) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + extract(SECOND FROM ts)) * 1000000 AS BIGINT))"
+
+
+@query(f"""WITH w AS (SELECT event_type AS g, date_trunc('day', ts)::TIMESTAMP AS start, count(value)::DOUBLE AS p0, {sr('sum(value)', 3)} AS p1 FROM events GROUP BY ALL)
+SELECT g, epoch(start)::BIGINT AS start_s, p0, p1 FROM w, (SELECT max(ts) AS last FROM events) WHERE start + INTERVAL 1 DAY <= last - INTERVAL 1 HOUR""")
+def stream_windows(spark, d):
+    """Daily windows of a stream, as they end: those that the watermark has passed."""
+    from quantalake.streaming.powers import windowed_powers as run
+
+    events = _events(spark, d).withColumnRenamed("event_type", "g").withColumn("ts", F.expr(INSTANT))
+    own = _run(run(events, "ts", ["g"], "value", 2, "1 day", "1 hour"), "stream_windows", "append")
+    return own.select("g", F.unix_seconds("start").alias("start_s"), "p0", r("p1", 3).alias("p1"))
+
+
+@query(f"""WITH o AS (SELECT user_id AS g, ts, value, CASE WHEN ts < lag(ts) OVER w + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY g ORDER BY ts) AS nth FROM o) SELECT g, min(ts)::TIMESTAMP AS start, count(value)::DOUBLE AS p0, {sr('sum(value)', 3)} AS p1 FROM s GROUP BY g, nth""")
+def session_powers(spark, d):
+    """Sessions of users with gaps below an hour."""
+    from quantalake.streaming.powers import session_powers as run
+
+    own = run(load(spark, d, "events").withColumnRenamed("user_id", "g"), "ts", ["g"], "value", 2, "1 hour", "1 hour")
+    return own.select("g", "start", "p0", r("p1", 3).alias("p1"))

@@ -253,10 +253,9 @@ def wilcoxon_crit(spark, d):
 
 
 
-@query(f"WITH {CUSTOMERS}, k AS (SELECT g, s, {ranks('cu', 'g', 'x')} AS r FROM cu) SELECT g, s, array_to_string([format('{{:.1f}}', v) FOR v IN list_sort(list(r))], ' ') AS ranks FROM k GROUP BY g, s")
+@query(f"WITH {CUSTOMERS}, k AS (SELECT g, s, {ranks('cu', 'g', 'x')} AS r FROM cu) SELECT g, s, r::DOUBLE AS rank, count(*) AS n FROM k GROUP BY g, s, r")
 def kruskal_rank(spark, d):
-    own = T.kruskal_rank(customers(spark, d), ["g"], "s", "x")
-    return own.select("g", "s", F.array_join(F.transform("ranks", lambda v: F.format_string("%.1f", v)), " ").alias("ranks"))
+    return T.kruskal_rank(customers(spark, d), ["g"], "s", "x")
 
 
 @query(f"""WITH {CUSTOMERS}, k AS (SELECT g, s, {ranks('cu', 'g', 'x')} AS r FROM cu), e AS (SELECT g, s, count(*) AS n, avg(r) AS m, sum(r * r) AS q FROM k GROUP BY g, s),
@@ -375,9 +374,9 @@ def runs(spark, d):
 
 @query(f"""{TWO}, s AS (SELECT g, n1 + n2 - 2.0 AS df, CASE WHEN n1 > 1 AND n2 > 1 THEN (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)) END AS t FROM t),
 p AS (SELECT *, {t_two('t', 'df')} AS p FROM s)
-SELECT g, {sr('t')} AS statistic, {sr('p')} AS p, 'StudentT' AS family, CASE WHEN t IS NOT NULL THEN df::DOUBLE END AS parameter, p <= 0.05 AS significant FROM p""")
+SELECT g, {sr('t')} AS value, {sr('p')} AS p, 'StudentT' AS family, CASE WHEN t IS NOT NULL THEN df::DOUBLE END AS parameter, p <= 0.05 AS significant FROM p""")
 def ttest_result(spark, d):
     """The record of a test, and whether it is significant."""
     own = T.student_t_test(customers(spark, d), ["g"], F.col("a"), "x")
     own = own.select("g", T.test_result("stat", "p", "StudentT", "df").alias("t"), T.significant("p", 0.05).alias("significant"))
-    return own.select("g", r("t.statistic").alias("statistic"), r("t.p").alias("p"), F.col("t.distribution.family").alias("family"), F.col("t.distribution.parameters")[0].alias("parameter"), "significant")
+    return own.select("g", r("t.value").alias("value"), r("t.p").alias("p"), F.col("t.distribution.family").alias("family"), F.col("t.distribution.parameters")[0].alias("parameter"), "significant")

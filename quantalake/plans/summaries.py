@@ -115,7 +115,9 @@ def standardize(spark, d):
 
 @query(f"WITH {CUSTOMERS} SELECT g, {sr('fsum(x)')} AS total, {sr('sum((x - 1) * (x - 1))')} AS squares FROM cu GROUP BY g")
 def exact_sum(spark, d):
-    return customers(spark, d).groupBy("g").agg(r(A.exact_sum("x")).alias("total"), r(A.sum_squares_about(1.0, "x")).alias("squares"))
+    own = customers(spark, d)
+    squares = own.groupBy("g").agg(r(A.sum_squares_about(1.0, "x")).alias("squares"))
+    return rounded(A.exact_sums(own, ["g"], "x"), "total").join(squares, "g")
 
 
 @query(f"WITH {LINES} SELECT g, s, count(x)::DOUBLE AS p0, {sr('sum(x)', 4)} AS p1, {sr('sum(x*x)', 3)} AS p2 FROM li GROUP BY g, s")
@@ -128,9 +130,9 @@ def powers_state(spark, d):
 SELECT g, s, count(*) AS n, {sr('avg(x)', 4)} AS mean, {sr('var_pop(x)', 4)} AS variance, {sr('var_samp(x)', 4)} AS variance_unbiased, {sr('stddev_pop(x)', 4)} AS std_dev,
 {sr(SKEW, 4)} AS skewness, {sr('kurtosis_pop(x)', 4)} AS kurtosis FROM c GROUP BY g, s""")
 def powers_moments(spark, d):
-    p = A.Powers(4)
-    own = lines(spark, d).groupBy("g", "s").agg(*A.powers(4, "x"))
-    return own.select("g", "s", p.count.alias("n"), r(p.mean, 4).alias("mean"), r(p.variance, 4).alias("variance"), r(p.variance_unbiased, 4).alias("variance_unbiased"), r(p.std_dev, 4).alias("std_dev"), r(p.skewness, 4).alias("skewness"), r(p.kurtosis, 4).alias("kurtosis"))
+    own = A.Powers(4).moments(lines(spark, d).groupBy("g", "s").agg(*A.powers(4, "x")))
+    names = ["mean", "variance", "variance_unbiased", "std_dev", "skewness", "kurtosis"]
+    return own.select("g", "s", A.Powers(4).count.alias("n"), *[r(c, 4).alias(c) for c in names])
 
 
 @query(f"WITH {LINES} SELECT g, s, count(*) AS n, {sr('avg(x)', 4)} AS mean, {sr('var_pop(x)', 4)} AS variance FROM li GROUP BY ROLLUP (g, s)")

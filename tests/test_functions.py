@@ -1,6 +1,7 @@
 """Special functions, distributions and aggregates against known values and properties."""
 
 import math
+import random
 from fractions import Fraction
 
 import numpy as np
@@ -90,7 +91,13 @@ def test_aggregates_at_the_edges(spark):
     assert (zero.h, zero.g) == (0, 0)
     assert math.isnan(_agg(spark, [-1, 2], A.geometric_mean("x").alias("g")).g)
     assert _agg(spark, [1, 100, 101, 102, 103], A.skewness("x").alias("w")).w == pytest.approx(-1.497681449918257)
-    assert _agg(spark, [1e16, 1, -1e16], A.exact_sum("x").alias("s")).s == 1.0
+    rng = random.Random(5)
+    wild = [(k % 3, rng.choice([1e300, -1e300, 1e16, -1e16, 1.0, 1e-9]) * rng.random()) for k in range(3000)]
+    wild = [(g, v) for g, v in wild for v in (v, -v)] + [(0, 1.0), (1, 0.1), (1, None), (2, 1e-30)]
+    got = {r.g: r.total for r in A.exact_sums(spark.createDataFrame(wild, "g int, x double").repartition(5), ["g"], "x").collect()}
+    assert got == {0: 1.0, 1: 0.1, 2: 1e-30}
+    assert A.exact_sums(spark.createDataFrame([(1e16,), (1.0,), (-1e16,)], "x double"), [], "x").first().total == 1.0
+    assert A.exact_sums(spark.createDataFrame([(None,)], "x double"), [], "x").count() == 0
     w = spark.createDataFrame([(1.0, 0.0), (2.0, 0.0)], "x double, w double").agg(A.weighted_mean("x", "w").alias("m")).first()
     assert w.m == 0
 

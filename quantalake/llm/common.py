@@ -7,14 +7,14 @@ changes A-Z alone; so the operators work on UTF-8 bytes and never depend on the
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantalake.sources.scratch import discard, scratch, stored  # noqa: F401 (operators have them from here)
+
 #: The prefix of working columns; a column of the input that has it is not supported.
 OWN = "__ql_"
 CACHE_WORDS = 1 << 17
@@ -25,26 +25,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-quantalake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: it cuts the lineage and is computed a single time."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_outputs(df: DataFrame, outputs: dict) -> DataFrame:
     """All columns of ``df`` but working ones, with ``outputs`` in place of columns of the same name."""
     taken = {name.lower() for name in outputs}

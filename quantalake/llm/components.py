@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import stored
+from quantalake.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,11 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _digest(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = stored(_oriented(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
+        nearest = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(_oriented(both.where("v > u").join(nearest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large")
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
-        e = stored(_oriented(small.select("v", F.col("m").alias("u")).unionByName(least.select("u", F.col("m").alias("v")))), "small")
+        old, e = e, stored(_oriented(small.select("v", F.col("m").alias("u")).unionByName(least.select("u", F.col("m").alias("v")))), "small")
+        discard(old, nearest, large, least)
         before, seen = seen, _digest(e)
         if before == seen:
             break

@@ -4,7 +4,7 @@ A repeat of ``window`` words holds, wherever it starts, one whole block of its t
 ``block`` = (window + 1) // 2 words. So the blocks of all texts are the index, and every rolling run of ``block`` words
 of all texts probes it. A run is an anchor if the index has it and it occurs twice; anchors are told apart by 32 bits
 and their bucket, so there may be too many, never too few. Around anchors, the runs of ``window`` words are compared
-over all texts by two independent hashes (128 bits, of words' 64-bit hashes); those that start at more than one place
+over all texts by two independent hashes (96 bits, of words' 64-bit hashes); those that start at more than one place
 are the exact repeats, and the words that they cover form the maximal ones.
 
 Documents are dealt over batches of a few megabytes. A batch sends each distinct run once, as packed hashes with two
@@ -28,8 +28,8 @@ BATCH_BYTES, BUCKET_BYTES, TASK_BYTES = 4 << 20, 8 << 20, 32 << 20
 _LOW, _OTHER = np.uint64(0xFFFFFFFF), np.uint64(0xD1342543DE82EF95)
 
 
-#: Entries of packs: the lower half of an anchor's hash; both hashes of a window, the first of which gives the bucket.
-SHORT, LONG = np.dtype("<u4"), np.dtype([("a", "<u8"), ("b", "<u8")])
+#: Entries of packs: the lower half of an anchor's hash; a window's hash, which gives its bucket, and half of another.
+SHORT, LONG = np.dtype("<u4"), np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def _buckets(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -45,21 +45,24 @@ def _short(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _long(words: np.ndarray, window: int) -> np.ndarray:
     """Both hashes of each run of ``window`` words."""
     out = np.empty(max(0, len(words) - window + 1), LONG)
-    out["a"], out["b"] = window_hashes(words, window), window_hashes(mix(words ^ _OTHER), window)
+    out["a"], out["b"] = window_hashes(words, window), window_hashes(mix(words ^ _OTHER), window) & _LOW
     return out
 
 
 def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What sorts the entries, and where each run of equal ones begins in that order."""
+    """What puts equal entries together, and where each run of equal ones begins in that order."""
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = x["a"] if x.dtype == LONG else x
+    order = np.argsort(first)
+    new = np.concatenate([[True], first[order[1:]] != first[order[:-1]]])
     if x.dtype == LONG:
-        order = np.lexsort((x["b"], x["a"]))
-        x = x[order]
-        new = (x["a"][1:] != x["a"][:-1]) | (x["b"][1:] != x["b"][:-1])
-    else:
-        order = np.argsort(x, kind="stable")
-        x = x[order]
-        new = x[1:] != x[:-1]
-    return order, np.flatnonzero(np.concatenate([[True], new])) if len(x) else np.zeros(0, np.int64)
+        other = x["b"][order]
+        if ((other[1:] != other[:-1]) & ~new[1:]).any():  # windows that share the first hash only
+            order = np.lexsort((x["b"], x["a"]))
+            first, other = x["a"][order], x["b"][order]
+            new = np.concatenate([[True], (first[1:] != first[:-1]) | (other[1:] != other[:-1])])
+    return order, np.flatnonzero(new)
 
 
 def _runs(x: np.ndarray) -> list[tuple[int, int]]:
@@ -82,7 +85,7 @@ def _packs(batch: int, hashes: np.ndarray, indexed: np.ndarray | None, buckets:
     ``hashes``: 64 bits, of which packs get the lower half; or LONG.
     """
     order, starts = _order(hashes)
-    values = hashes[order[starts]]
+    values = hashes[order[starts]]  # sorted, but for the second hash
     several = np.diff(np.append(starts, len(order))) > 1
     inside = np.logical_or.reduceat(indexed[order], starts) if indexed is not None and len(starts) else np.zeros(len(values), bool)
     long = hashes.dtype == LONG
@@ -151,7 +154,7 @@ def _anchors(replies: pa.Table) -> np.ndarray:
 
 def _repeats(replies: pa.Table) -> np.ndarray:
     own = np.concatenate([np.zeros(0, LONG), *[np.frombuffer(x, LONG) for x in replies["found"].to_pylist()]])
-    return own[np.argsort(own["a"], kind="stable")]
+    return own[np.argsort(own["a"])]
 
 
 def _texts(docs: pa.Table) -> Iterator[list[bytes]]:

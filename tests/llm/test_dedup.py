@@ -143,6 +143,20 @@ def brute_removed(texts, window):
     return words, gone
 
 
+def test_entries_of_two_hashes():
+    """Runs of equal entries, and membership, where first hashes collide and second ones don't."""
+    rng = np.random.default_rng(4)
+    x = np.zeros(500, substring.LONG)
+    x["a"], x["b"] = rng.integers(0, 20, 500), rng.integers(0, 20, 500)
+    order, starts = substring._order(x)
+    runs = np.split(x[order], starts[1:])
+    assert all(len(set(r.tolist())) == 1 for r in runs) and len(runs) == len(set(x.tolist()))
+    found = x[:200][np.argsort(x["a"][:200])]
+    have = set(found.tolist())
+    assert substring._within_long(x, found).tolist() == [e in have for e in x.tolist()]
+    assert substring._order(x[:0])[0].tolist() == substring._within_long(x[:0], found).tolist() == []
+
+
 @pytest.mark.parametrize("window", [35, 7])
 def test_substring_dedup(docs, prose, monkeypatch, window):
     monkeypatch.setattr(substring, "BATCH_BYTES", 2000)

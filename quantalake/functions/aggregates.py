@@ -122,41 +122,50 @@ def sum_squares_about(m: X | float, x: X) -> Column:
     return F.coalesce(F.sum((col(x) - col(m)) * (col(x) - col(m))), F.lit(0.0))
 
 
+def _expansion(values: np.ndarray) -> list[float]:
+    """Few doubles with exactly the sum of many; one where a value isn't finite, or the sum is beyond doubles."""
+    out, rest = [], values.tolist()
+    try:
+        while part := math.fsum(rest):
+            out.append(part)
+            rest.append(-part)
+    except (OverflowError, ValueError):
+        return [float(np.sum(values))]
+    return out or [0.0]
+
+
 def exact_sums(df: DataFrame, by: list[str], x: str, out: str = "total") -> DataFrame:
-    """``by`` and the sum of x, right to the last bit or nearly so; a group without values has no row.
+    """``by`` and the sum of x, rounded once; a group without values has no row.
 
-    Each batch of rows, then each of PARTS parts of a group, is summed exactly into a pair (the sum and what it lacks),
-    so a group of any size ends as PARTS pairs.
+    Each batch of rows, then each of PARTS parts of a group, is summed exactly into a few doubles, so a group of any
+    size ends as a few hundred.
     """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "__s double, __c double"
+    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "__s double"
 
-    def pairs(table: pa.Table) -> pa.Table:
-        """A row a group: its values' sum and the rest."""
+    def summed(table: pa.Table, last: bool = False) -> pa.Table:
+        """Rows with the sum of each group."""
         place = np.zeros(len(table), np.int64)
         for b in by:
             codes = table[b].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             place = np.unique(place * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
-        values = np.concatenate([table[c].to_numpy() for c in ("__s", "__c")])
-        order = np.argsort(np.tile(place, 2), kind="stable")
+        order = np.argsort(place, kind="stable")
         firsts = np.unique(place, return_index=True)[1]
-        s, c = [], []
-        for own in np.split(values[order], np.cumsum(np.bincount(np.tile(place, 2)))[:-1]) if len(place) else []:
-            s.append(total := math.fsum(own))
-            c.append(math.fsum([*own, -total]) if math.isfinite(total) else 0.0)
-        keys = table.select(by).take(pa.array(firsts)) if by else None
-        return pa.table([*(keys.columns if by else []), pa.array(s, pa.float64()), pa.array(c, pa.float64())], names=[*by, "__s", "__c"])
+        groups = np.split(table["__s"].to_numpy()[order], np.cumsum(np.bincount(place))[:-1]) if len(place) else []
+        sums = [_expansion(own)[:1] if last else _expansion(own) for own in groups]
+        keys = table.select(by).take(pa.array(np.repeat(firsts, [len(s) for s in sums]))) if by else None
+        return pa.table([*(keys.columns if by else []), pa.array([v for s in sums for v in s], pa.float64())], names=[*by, "__s"])
 
     def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from pairs(pa.Table.from_batches([batch])).combine_chunks().to_batches()
+                yield from summed(pa.Table.from_batches([batch])).combine_chunks().to_batches()
 
-    own = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__s"), F.lit(0.0).alias("__c")).mapInArrow(by_batch, schema)
-    parts = own.withColumn("__part", F.pmod(F.xxhash64("__s", "__c", F.spark_partition_id()), F.lit(PARTS)))
-    summed = parts.groupBy(*by, "__part").applyInArrow(lambda t: pairs(t.drop(["__part"])), schema)
-    last = summed.withColumn("__all", F.lit(0)).groupBy(*by, "__all").applyInArrow(lambda t: pairs(t.drop(["__all"])), schema)
-    return last.select(*by, (F.col("__s") + F.col("__c")).alias(out))
+    own = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__s")).mapInArrow(by_batch, schema)
+    parts = own.withColumn("__part", F.pmod(F.xxhash64("__s", F.spark_partition_id()), F.lit(PARTS)))
+    few = parts.groupBy(*by, "__part").applyInArrow(lambda t: summed(t.drop(["__part"])), schema)
+    total = few.withColumn("__all", F.lit(0)).groupBy(*by, "__all").applyInArrow(lambda t: summed(t.drop(["__all"]), True), schema)
+    return total.withColumnRenamed("__s", out)
 
 
 def with_mean(df: DataFrame, by: list[str], x: str, name: str, w: str | None = None) -> DataFrame:

@@ -883,5 +883,5 @@ class LinearTransform(Distribution):
     entropy = property(lambda s: None if s.base.entropy is None else s.base.entropy + math.log(s.scale))
 
 
-FAMILIES = {c.__name__: c for c in (Normal, Lognormal, Exponential, Gamma, Beta, ChiSquared, StudentT, FisherF, Cauchy, Laplace, Uniform, Weibull, Binomial, Poisson, Geometric, Geometric0, NegativeBinomial, Hypergeometric, DiscreteUniform, LinearTransform)}
-__all__ = [*FAMILIES, "FAMILIES", "Distribution", "from_json", "student_unstandardized", "uniform"]
+FAMILIES = {c.__name__: c for c in (Normal, Lognormal, Exponential, Gamma, ImproperGamma, Beta, ImproperBeta, ChiSquared, StudentT, FisherF, Cauchy, Laplace, Uniform, Weibull, Binomial, Poisson, Geometric, Geometric0, NegativeBinomial, Hypergeometric, DiscreteUniform, LinearTransform)}
+__all__ = [*FAMILIES, "FAMILIES", "Distribution", "find_root", "from_json", "student_unstandardized", "sum_probabilities", "uniform"]

@@ -37,7 +37,7 @@ def _bin(x: Column, bins: int, low: Column, high: Column) -> Column:
 
 
 def _counts(df: DataFrame, by: list[str], x: str, bins: int, limits: DataFrame) -> DataFrame:
-    """``by``, bin, lo, n for every bin; ``limits`` has ``by``, __lo and __hi."""
+    """``by``, bin, lo, n for every bin; ``limits`` has ``by``, __lo and __hi. Groups mustn't have the names of these."""
     low, high = F.col("__lo"), F.col("__hi")
     counted = _joined(df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__x")), limits, by)
     counted = counted.withColumn("bin", _bin(F.col("__x"), bins, low, high)).groupBy(*by, "bin").agg(F.count("*").alias("n"))
@@ -48,8 +48,8 @@ def _counts(df: DataFrame, by: list[str], x: str, bins: int, limits: DataFrame)
 
 def histogram(df: DataFrame, by: list[str], x: str, bins: int) -> DataFrame:
     """``by``, bin, lo (its lower end) and n, over the range of each group's sample."""
-    own = df.groupBy(*by).agg(F.min(F.col(x).cast("double")).alias("a"), F.max(F.col(x).cast("double")).alias("b")).where("a is not null")
-    low, high = histogram_range(bins, F.col("a"), F.col("b"))
+    own = df.groupBy(*by).agg(F.min(F.col(x).cast("double")).alias("__a"), F.max(F.col(x).cast("double")).alias("__b")).where("__a is not null")
+    low, high = histogram_range(bins, F.col("__a"), F.col("__b"))
     return _counts(df, by, x, bins, own.select(*by, low.alias("__lo"), high.alias("__hi")))
 
 
@@ -146,9 +146,9 @@ def kde(df: DataFrame, by: list[str], x: str, points: int, low: float | None = N
         raise ValueError("at least two points are needed")
     n = next_power_of_two(points)
     if low is None:
-        own = df.groupBy(*by).agg(F.min(F.col(x).cast("double")).alias("a"), F.max(F.col(x).cast("double")).alias("b"), F.count(x).alias("n")).where("n > 0")
-        wide = F.when((F.col("n") <= 1) | (F.col("a") == F.col("b")), F.lit(1.0)).otherwise(F.col("b") - F.col("a"))
-        limits = own.select(*by, (F.col("a") - wide / 10).alias("__lo"), (F.col("b") + wide / 10).alias("__hi"))
+        own = df.groupBy(*by).agg(F.min(F.col(x).cast("double")).alias("__a"), F.max(F.col(x).cast("double")).alias("__b"), F.count(x).alias("__n")).where("__n > 0")
+        wide = F.when((F.col("__n") <= 1) | (F.col("__a") == F.col("__b")), F.lit(1.0)).otherwise(F.col("__b") - F.col("__a"))
+        limits = own.select(*by, (F.col("__a") - wide / 10).alias("__lo"), (F.col("__b") + wide / 10).alias("__hi"))
     else:
         groups = df.select(*by).distinct() if by else df.sparkSession.range(1).select()
         limits = groups.select(*by, F.lit(float(low)).alias("__lo"), F.lit(float(high)).alias("__hi"))
@@ -198,18 +198,22 @@ def choose_points(low: Column, high: Column, n: int, h: Column) -> Column:
 
 def estimate_pdf(df: DataFrame, by: list[str], x: str, kernel: Callable, points: DataFrame) -> DataFrame:
     """``by``, i, x, density: the mean kernel at given points; ``points`` has ``by``, h, n and points (an array)."""
+    return _estimated(df, by, x, kernel, points.select(*by, F.col("h").alias("__h"), F.col("n").alias("__n"), F.col("points").alias("__points")))
+
+
+def _estimated(df: DataFrame, by: list[str], x: str, kernel: Callable, points: DataFrame) -> DataFrame:
     own = _joined(df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__v")), points, by)
-    own = own.select(*by, "__v", "h", "n", F.posexplode("points").alias("i", "p"))
-    f = 1 / (F.col("h") * F.col("n"))
-    out = own.groupBy(*by, "i").agg(F.max("p").alias("x"), F.sum(kernel(f, F.col("h"), F.col("p"), F.col("__v"))).alias("density"))
-    return out.select(*by, "i", "x", "density")
+    own = own.select(*by, "__v", "__h", "__n", F.posexplode("__points").alias("__i", "__p"))
+    f = 1 / (F.col("__h") * F.col("__n"))
+    out = own.groupBy(*by, "__i").agg(F.max("__p").alias("x"), F.sum(kernel(f, F.col("__h"), F.col("__p"), F.col("__v"))).alias("density"))
+    return out.withColumnRenamed("__i", "i").select(*by, "i", "x", "density")
 
 
 def simple_pdf(df: DataFrame, by: list[str], x: str, rule: Callable, kernel: Callable, padding: float, n: int) -> DataFrame:
     """Bandwidth by ``rule``, points padded by so many bandwidths. A group needs two values."""
-    own = df.groupBy(*by).agg(F.min(F.col(x).cast("double")).alias("a"), F.max(F.col(x).cast("double")).alias("b"), F.count(x).alias("n"), bandwidth(rule, x).alias("h")).where("n > 1")
-    points = own.select(*by, "h", "n", choose_points(F.col("a"), F.col("b"), n, padding * F.col("h")).alias("points"))
-    return estimate_pdf(df, by, x, kernel, points)
+    own = df.groupBy(*by).agg(F.min(F.col(x).cast("double")).alias("__a"), F.max(F.col(x).cast("double")).alias("__b"), F.count(x).alias("__n"), bandwidth(rule, x).alias("__h")).where("__n > 1")
+    points = own.select(*by, "__h", "__n", choose_points(F.col("__a"), F.col("__b"), n, padding * F.col("__h")).alias("__points"))
+    return _estimated(df, by, x, kernel, points)
 
 
 def epanechnikov_pdf(df: DataFrame, by: list[str], x: str, n: int) -> DataFrame:

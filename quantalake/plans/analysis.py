@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quantalake.operators import density as G
@@ -42,12 +44,30 @@ def histogram_fixed(spark, d):
     return rounded(G.histogram_fixed(customers(spark, d), ["g"], "x", 20, -2, 12), "lo")
 
 
-@query(f"WITH {ORDERS} SELECT g, 128::BIGINT AS points, {sr('min(x) - (max(x) - min(x)) / 10')} AS first, {sr('max(x) + (max(x) - min(x)) / 10')} AS last, 1.0::DOUBLE AS mass FROM ord GROUP BY g")
+def _functional(q: int, t: str) -> str:
+    """The norm of the q-th derivative at bandwidth t, from squared cosine coefficients sq."""
+    return f"2 * pow(pi(), {2 * q}) * list_sum([pow(i * i, {q}) * sq[i] * exp(-i * i * pi() * pi() * {t}) FOR i IN range(1, 128)])"
+
+
+def _botev_step() -> str:
+    """One halving of the interval that holds the fixed point: h of its middle m."""
+    out = f"SELECT *, {_functional(7, 'm')} AS h FROM (SELECT *, (lo + hi) / 2 AS m FROM root WHERE it < 50)"
+    for s in range(6, 1, -1):
+        factor = 2 * (1 + 0.5 ** (s + 0.5)) / 3 * math.prod(range(1, 2 * s, 2)) / math.sqrt(2 * math.pi)
+        out = f"SELECT * EXCLUDE (h, t), {_functional(s, 't')} AS h FROM (SELECT *, pow({factor!r}::DOUBLE / size / h, {2 / (3 + 2 * s)!r}::DOUBLE) AS t FROM ({out}))"
+    return out
+
+
+@query(f"""WITH RECURSIVE {ORDERS}, lim AS (SELECT g, count(*) AS size, min(x) - (max(x) - min(x)) / 10 AS a, max(x) + (max(x) - min(x)) / 10 AS z FROM ord GROUP BY g),
+bn AS (SELECT o.g, trunc((x - a) / ((z - a) / 128 * (1 + 2.220446049250313e-16::DOUBLE)))::INTEGER AS j, count(*) AS n FROM ord o JOIN lim USING (g) GROUP BY ALL),
+fr AS (SELECT g, i, 2 * sum(n / size::DOUBLE * cos(pi() * i * (2 * j + 1) / 256)) AS c FROM bn JOIN lim USING (g), range(0, 128) r(i) GROUP BY g, i), co AS (SELECT g, list(c ORDER BY i) AS c FROM fr GROUP BY g),
+root(g, size, sq, lo, hi, it) AS (SELECT g, size, [pow(c[i + 1] / 2, 2) FOR i IN range(1, 128)], 0.0::DOUBLE, 0.1::DOUBLE, 0 FROM co JOIN lim USING (g) UNION ALL
+SELECT g, size, sq, CASE WHEN m < pow(size * 2 * sqrt(pi()) * h, -0.4) THEN m ELSE lo END, CASE WHEN m < pow(size * 2 * sqrt(pi()) * h, -0.4) THEN hi ELSE m END, it + 1 FROM ({_botev_step()})), bw AS (SELECT g, lo AS t FROM root WHERE it = 50)
+SELECT g, i::INTEGER AS i, {sr('a + (z - a) / 127 * i')} AS x, {sr('(c[1] + 2 * list_sum([c[k + 1] * exp(-k * k * pi() * pi() * t / 2) * cos(pi() * k * (2 * i + 1) / 256) FOR k IN range(1, 128)])) / (2 * (z - a))', 9)} AS density
+FROM lim JOIN co USING (g) JOIN bw USING (g), range(0, 128) r(i)""")
 def kde_botev(spark, d):
     own = G.kde(orders(spark, d), ["g"], "x", 100)
-    step = (F.max("x") - F.min("x")) / (F.count("*") - 1)
-    mass = F.sum("density") * step * (F.count("*") - 1) / F.count("*")
-    return own.groupBy("g").agg(F.count("*").alias("points"), r(F.min("x")).alias("first"), r(F.max("x")).alias("last"), r(mass, 3).alias("mass"))
+    return own.select("g", "i", r("x").alias("x"), r("density", 9).alias("density"))
 
 
 def _simple_sql(bandwidth: str, padding: int, kernel: str) -> str:

@@ -123,3 +123,47 @@ def test_powers_merge(spark):
         A.powers(1, "x")
     with pytest.raises(ValueError):
         p.central_moment(5)
+
+
+def test_improper_distributions(spark):
+    from quantalake.functions.distributions import Beta, Gamma, ImproperBeta, ImproperGamma
+
+    x = np.array([-1.0, 0.2, 0.7, 1.0, 3.0])
+    for proper, own in ((Gamma(2.5, 1.3), ImproperGamma(2.5, 1.3)), (Beta(2.0, 3.0), ImproperBeta(2.0, 3.0))):
+        for name in ("cdf", "sf", "logpdf"):
+            assert np.array_equal(proper.host(name, x), own.host(name, x))
+        assert own.entropy == proper.entropy and own.host("ppf", 0.3) == proper.host("ppf", 0.3)
+    for own, cdf in ((ImproperGamma(0, 1), [0, 1, 1, 1, 1]), (ImproperGamma(2, 0), [0, 1, 1, 1, 1]), (ImproperBeta(0, 2), [0, 1, 1, 1, 1]), (ImproperBeta(2, 0), [0, 0, 0, 1, 1]), (ImproperBeta(0, 0), [0, 0.5, 0.5, 1, 1])):
+        assert own.host("cdf", x).tolist() == cdf and own.host("sf", x).tolist() == [1 - c for c in cdf]
+        assert own.entropy is None and (own.host("pdf", x) == 0).all()
+    row = spark.range(1).select(ImproperBeta(0, 0).cdf(F.lit(0.5)).alias("c"), ImproperGamma(0, 1).ppf(F.lit(0.5)).alias("q")).first()
+    assert (row.c, row.q) == (0.5, 0)
+    assert ImproperBeta(0, 0).mean == 0.5 and ImproperBeta(0, 0).variance == 0.25 and ImproperGamma(0, 1).mean == 0
+    for bad in (lambda: ImproperGamma(-1, 1), lambda: ImproperBeta(1, -1), lambda: Gamma(0, 1)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_roots_and_sums(spark):
+    from quantalake.functions.distributions import Binomial, find_root, sum_probabilities
+
+    df = spark.createDataFrame([(0.1,), (0.5,), (0.999,), (None,)], "p double")
+    got = df.select("p", find_root(lambda x: 1 - np.exp(-x * x), lambda x: 2 * x * np.exp(-x * x), "p", 0, 10).alias("x")).collect()
+    for r in got:
+        assert r.x is None if r.p is None else r.x == pytest.approx(math.sqrt(-math.log(1 - r.p)))
+    own = Binomial(9, 0.3)
+    ends = spark.createDataFrame([(0, 9), (2, 4), (5, 4), (-3, 0), (8, 100)], "a int, b int")
+    for r in ends.select("a", "b", sum_probabilities(own, "a", "b").alias("s")).collect():
+        assert r.s == pytest.approx(sum(float(own.host("pmf", k)) for k in range(max(0, r.a), min(9, r.b) + 1)), abs=1e-12)
+
+
+def test_power_moments(spark):
+    x = np.random.default_rng(6).normal(3, 2, 200)
+    d = x - x.mean()
+    rows = spark.createDataFrame([(float(v),) for v in x], "x double").agg(*A.powers(4, "x"))
+    r = A.Powers(4).moments(rows).first()
+    want = (x.mean(), x.var(), x.var(ddof=1), x.std(), (d**3).mean() / x.std() ** 3, (d**4).mean() / x.var() ** 2 - 3)
+    assert (r.mean, r.variance, r.variance_unbiased, r.std_dev, r.skewness, r.kurtosis) == pytest.approx(want)
+    assert "kurtosis" not in A.Powers(3).moments(rows).columns and A.Powers(4).order == 4
+    one = rows.select(A.Powers(4).central_moment(3).alias("m"), A.Powers(4).skewness.alias("s"), A.Powers(4).kurtosis.alias("k")).first()
+    assert (one.m, one.s, one.k) == pytest.approx(((d**3).mean(), r.skewness, r.kurtosis))

@@ -63,6 +63,41 @@ def test_ranks(spark):
     assert R.within(1, 1.0, np.nextafter(1.0, 2)) and not R.within(1, 1.0, 1.1)
 
 
+def test_ranges(spark, monkeypatch):
+    """The same ranks, quantiles and distances when a table is cut into many ranges; one value holds a third of rows."""
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 2]), float(rng.choice([7, rng.randrange(300), rng.randrange(300)])), rng.random() < 0.5) for _ in range(900)]
+    df = spark.createDataFrame([*rows, (3, None, True)], "g int, x double, a boolean")
+
+    def results() -> list:
+        every = [
+            Q.quantiles(df, ["g"], "x", [0, 1, 5, 9, 10], 10, Q.MEDIAN_UNBIASED), Q.quantiles(df, [], "x", [1, 2], 3), Q.mad(df, ["g"], "x"), R.with_ranks(df.where("x is not null"), ["g"], "x"),
+            T.rank_sums(df, ["g"], F.col("a"), "x"), T.ks_two_d(df, ["g"], F.col("a"), "x"), T.trimmed(df, ["g"], "x", 0.1), T.kruskal_rank(df.where("x is not null"), ["g"], "a", "x"),
+        ]
+        return [sorted(map(tuple, d.collect()), key=repr) for d in every]
+
+    whole = results()
+    monkeypatch.setattr(R, "ROWS", 60)
+    assert len(R.cut_points(df, "x")) > 8
+    assert results() == whole
+    points = [1.0, 3.0, 3.5, 9.0]
+    got = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 3.0, 3.2, 9.0, 10.0)], "v double").select(R.range_of(F.col("v"), points).alias("r")).collect()
+    assert [r.r for r in got] == [0, 0, 1, 1, 2, 3, 4]
+
+
+def test_kendall_in_stripes(spark, monkeypatch):
+    """Groups beyond a task's points are cut again and again; half of the points share a value of x."""
+    rng = np.random.default_rng(3)
+    x, y = np.where(rng.random(700) < 0.5, 5.0, rng.integers(0, 90, 700)), rng.integers(0, 60, 700).astype(float)
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(2, 1.0, 2.0), (2, 2.0, 1.0)], "g int, x double, y double")
+    whole = {r.g: r.tau for r in C.kendall(df, ["g"], "x", "y").collect()}
+    sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    assert whole[1] == pytest.approx((sx * sy).sum() / math.sqrt(float((sx != 0).sum()) * float((sy != 0).sum()))) and whole[2] == -1
+    monkeypatch.setattr(C, "POINTS", 200)
+    monkeypatch.setattr(C, "STRIPES", 16)
+    assert {r.g: r.tau for r in C.kendall(df, ["g"], "x", "y").collect()} == pytest.approx(whole)
+
+
 def test_kendall(spark):
     rng = random.Random(2)
     for n in (1, 2, 7, 200):
@@ -164,6 +199,54 @@ def test_ks(spark):
     assert T.ks_probability(5, 0.0) == 0
 
 
+def test_large_samples():
+    """Tests of samples beyond exact counting, against their limits; and both ways where they meet."""
+    for z in (0.3, 0.6, 1.0, 1.8):
+        assert T.ks_probability(2000, z / math.sqrt(2000)) == pytest.approx(T.ks_limit(2000, z / math.sqrt(2000)), abs=2e-8)
+        limit = 1 - 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 200))
+        assert T.ks_probability(10**9, z / math.sqrt(1e9)) == pytest.approx(limit, abs=2e-5)
+    assert T.ks_probability(10**6, 0.5) == 1 and T.ks_probability(10**6, 1e-6) == 0 and T.ks_probability(3, 1.5) == 1
+
+    def brute(r: int, a: int, b: int) -> float:
+        ways = lambda k: 2 * math.comb(a - 1, k // 2 - 1) * math.comb(b - 1, k // 2 - 1) if k % 2 == 0 else math.comb(a - 1, k // 2) * math.comb(b - 1, k // 2 - 1) + math.comb(a - 1, k // 2 - 1) * math.comb(b - 1, k // 2)
+        return sum(ways(k) for k in range(2, r + 1)) / math.comb(a + b, a)
+
+    for a, b in ((1, 1), (2, 9), (30, 31), (500, 700)):
+        for r in {2, 3, a, a + b // 2, 2 * min(a, b) + 1}:
+            assert T.runs_probability(r, a, b) == pytest.approx(brute(r, a, b), rel=1e-10)
+    for n in (10**6, 10**9):
+        sd = math.sqrt(n / 2)
+        for z in (-2.0, 0.0, 1.0):
+            assert T.runs_probability(int(n + 1 + z * sd), n, n) == pytest.approx(float(Normal().host("cdf", z)), abs=1e-3)
+    assert T.runs_probability(1, 0, 5) == 1
+
+
+def test_records_of_tests(spark):
+    df = spark.createDataFrame([(2.5, 0.03, 9.0), (0.1, 0.9, 9.0)], "stat double, p double, df double")
+    got = df.select(T.test_result("stat", "p", "StudentT", "df").alias("t"), T.significant("p", 0.05).alias("s"), T.significant(F.col("p"), 0.03).alias("at")).collect()
+    assert (got[0].t.value, got[0].t.p, got[0].t.distribution.family, got[0].t.distribution.parameters) == (2.5, 0.03, "StudentT", [9.0])
+    assert [r.s for r in got] == [True, False] and got[0]["at"]
+
+
+def test_paired_with_large_means(spark):
+    """Differences that are small beside their mean."""
+    rng = np.random.default_rng(9)
+    d = 1e8 + rng.normal(size=50)
+    df = spark.createDataFrame([(float(v), 0.0) for v in d], "x double, y double")
+    assert T.paired_t_test(df, [], "x", "y").first().stat == pytest.approx(d.mean() / math.sqrt(d.var(ddof=1) / 50), rel=1e-6)
+
+
+def test_names_that_operators_use(spark):
+    """Groups may have the names of working columns."""
+    rng = random.Random(4)
+    rows = [(*[k % 2] * 7, float(rng.randrange(9)), float(rng.randrange(9)), k // 2, rng.random() < 0.5) for k in range(40)]
+    df = spark.createDataFrame(rows, "a int, b int, n int, i int, d int, s int, rank int, v double, w double, k int, f boolean")
+    for by in (["a", "b", "n"], ["d", "s", "rank"], ["i"]):
+        for out in (C.kendall(df, by, "v", "w"), C.spearman(df, by, "v", "w"), Q.median(df, by, "v"), T.paired_t_test(df, by, "v", "w"), T.runs_test(df, by, "k", "f")):
+            assert out.count() == 2
+    assert G.histogram(df, ["a", "b"], "v", 3).count() == 6 and G.gaussian_pdf(df, ["a", "b", "n"], "v", 4).count() == 8
+
+
 def test_runs(spark):
     flags = [True, True, False, True, False, False]
     df = spark.createDataFrame(list(enumerate(flags)), "idx long, f boolean")
@@ -182,6 +265,13 @@ def test_intervals(spark):
     assert e.hi == pytest.approx(1) and e.lo == pytest.approx(0.025 ** (1 / 10))
     e = one.select(I.poisson_ci(I.CL95, F.lit(0)).alias("e")).select(I.interval(F.col("e")).alias("i")).first().i
     assert e.lo == 0 and e.hi == pytest.approx(-math.log(0.025))
+    point, sigma, low = F.lit(3.0), F.lit(0.5), F.lit(2.0)
+    e = one.select(I.normal_error(point, sigma).alias("n"), I.from_interval(point, low, F.lit(7.0), I.CL90).alias("e"), I.upper_limit(point, I.CL99).alias("u"), I.lower_limit(low, I.CL95).alias("l"))
+    e = e.select("n", "u", "l", I.asymmetric_errors(F.col("e")).alias("a"), I.scale(-3, F.col("n"), normal=True).alias("m")).first()
+    assert (e.n.point, e.n.sigma, e.a.ldx, e.a.udx, e.u.limit, e.l.limit, e.m.point, e.m.sigma) == (3, 0.5, 1, 4, 3, 2, -9, 1.5)
+    assert (e.u.alpha, e.l.alpha) == pytest.approx((0.01, 0.05))
+    assert I.n_sigma_1(2.0).value == pytest.approx(I.n_sigma(2.0).value / 2) == pytest.approx(0.022750131948179)
+    assert one.select(I.get_n_sigma_1(F.lit(0.022750131948179)).alias("z")).first().z == pytest.approx(2)
     with pytest.raises(Exception):  # noqa: B017
         one.select(I.naive_binomial_ci(F.lit(3), F.lit(5))).collect()
     assert I.CL90 < I.CL95 and I.CL.of(0.9).significance == pytest.approx(0.1)
@@ -209,6 +299,9 @@ def test_transforms(spark):
     row = spark.createDataFrame([(v,)], "v array<double>")
     back = row.select(X.idct(X.dct(F.col("v"))).alias("b")).first().b
     assert back == pytest.approx([8 * t for t in v])
+    two = spark.createDataFrame([(v, [9.0] * 4)], "re array<double>, im array<double>")
+    got = two.select(X.idct_complex(X.dct_complex(F.col("re"), F.col("im")), F.col("im")).alias("b"), X.dct_complex(F.col("re"), F.lit(None)).alias("n")).first()
+    assert got.b == pytest.approx([8 * t for t in v]) and got.n is None
     with pytest.raises(Exception, match="power of two"):
         spark.createDataFrame([([1.0, 2.0, 3.0],)], "v array<double>").select(X.dct(F.col("v"))).collect()
 
@@ -217,6 +310,17 @@ def test_matrix_and_regression(spark):
     a = M.from_lists(spark, [[1, 2], [3, 4]])
     assert {(r.i, r.j): r.v for r in M.power(a, 3).collect()} == {(0, 0): 37, (0, 1): 54, (1, 0): 81, (1, 1): 118}
     assert M.center(M.identity(spark, 3)).first().v == 1
+    entries = lambda m: {(r.i, r.j): r.v for r in m.collect()}
+    assert entries(M.from_vector(spark, 2, 2, [1, 2, 3, 4])) == entries(a)
+    assert {r.i: r.row for r in M.to_rows(a).collect()} == {0: [1, 2], 1: [3, 4]} and {r.j: r.column for r in M.to_columns(a).collect()} == {0: [1, 3], 1: [2, 4]}
+    assert entries(M.from_rows(M.to_rows(a), "i", "row")) == entries(M.from_columns(M.to_columns(a), "j", "column")) == entries(a)
+    vector = spark.createDataFrame([(0, 1.0), (1, -1.0)], "i long, v double")
+    assert {r.i: r.v for r in M.multiply_vector(a, vector).collect()} == {0: -1, 1: -1}
+    assert entries(M.diagonal(vector, "i", "v", 2)) == {(0, 0): 1, (0, 1): 0, (1, 0): 0, (1, 1): -1}
+    with pytest.raises(Exception, match="dimensions"):
+        M.multiply_vector(a, vector.where("i = 0")).collect()
+    with pytest.raises(ValueError):
+        M.from_vector(spark, 2, 2, [1])
     with pytest.raises(Exception, match="no such entry"):
         M.at(a, 5, 5).collect()
     with pytest.raises(ValueError):
@@ -241,6 +345,19 @@ def test_resampling(spark):
     assert len(set(K.split_seeds(1, 5))) == 5
 
 
+def test_jackknife_by(spark):
+    rng = random.Random(7)
+    rows = [(g, k, float(rng.randrange(50))) for g, n in ((1, 1), (2, 2), (3, 37)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g int, k int, x double")
+    for estimator, merge, brute in ((F.max, F.max, max), (F.count, F.sum, len), (F.sum, F.sum, sum), (F.max, None, max)):
+        got = {(r.g, r.k): r.value for r in K.jackknife_by(df, ["g"], "k", "x", estimator, merge).collect()}
+        want = {(g, k): brute(rest) for g, k, _ in rows if (rest := [v for h, j, v in rows if h == g and j != k])}
+        assert got == want
+    only = df.where("g = 3")
+    got = {r.k: r.value for r in K.jackknife_by(only, [], "k", "x", F.max, F.max).collect()}
+    assert got == {k: max(v for g, j, v in rows if g == 3 and j != k) for k in range(37)}
+
+
 def test_one_value_bootstrap(spark):
     df = sample(spark, [7.0]).withColumn("g", F.lit(1))
     reps = K.resample(df, ["g"], "idx", "x", {"mean": "mean"}, 20, 1)

@@ -82,6 +82,36 @@ def test_near_duplicates(docs, prose, monkeypatch, block, hubs):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, c, c == i)
 
 
+def test_long_near_duplicates(docs, prose):
+    """Texts of more shingles than are sampled at a time; near and far at the threshold."""
+    base = prose(9000, 1).split()
+    near, far = list(base), list(base)
+    for k in range(0, 9000, 36):  # 5 of 36 shingles change: 0.756
+        near[k] = "changed"
+    for k in range(0, 9000, 32):
+        far[k] = "other%d" % k
+    texts = [" ".join(x) for x in (base, near, far)] + ["y" * 300_000, "z" * 300_000]
+    sizes, want = brute_components(texts)
+    got = {r.doc_id: r for r in near_duplicates(docs(texts)).collect()}
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(5)] == list(zip(sizes, want, strict=True)) and want[:2] == [0, 0] and want[2] == 2
+
+
+def test_long_lines(docs):
+    """A text of many lines and one of a single very long one."""
+    texts = ["\n".join("line %d" % (k % 300) for k in range(20_000)), "x" * 500_000, *["line 7\nown"] * 9, *["line 8"] * 8]
+    got = {r.doc_id: r for r in line_dedup(docs(texts)).collect()}
+    assert (got[0].n_lines, got[0].n_dropped) == (20_000, 67) and got[1].kept_text == texts[1]
+    assert got[2].kept_text == "own" and got[11].kept_text == "line 8"
+
+
+def test_long_substrings(docs, prose):
+    passage = prose(3000, 1)
+    texts = [prose(30_000, 2) + " " + passage, passage + " " + prose(5000, 3), "w" * 400_000]
+    got = {r.doc_id: r for r in substring_dedup(docs(texts)).collect()}
+    assert [got[i].n_removed for i in range(3)] == [3000, 3000, 0]
+    assert got[1].kept_text == prose(5000, 3) and got[2].kept_text == texts[2]
+
+
 def test_near_duplicates_ids(docs, prose):
     t = prose(50, 1)
     got = near_duplicates(docs([t, t, t, "other words here", None], [4, None, 4, 2, 9])).collect()

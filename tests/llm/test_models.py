@@ -2,8 +2,10 @@
 
 import json
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,66 @@ def test_quality(spark):
     assert quality.score(docs.where("false"), model).count() == 0
 
 
+def brute_features(text: str) -> np.ndarray:
+    """Each word by its pieces, one after the other."""
+    words = (text or "").split()
+    vector = lambda p: quality.index_vectors(quality.hashed([p]))[0].astype(float)
+    rows = np.array([sum((vector(p) for p in quality.pieces(w)), np.zeros(quality.DIM)) for w in words]).reshape(-1, quality.DIM)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    if not words:
+        return np.zeros(2 * quality.DIM + 1)
+    return np.concatenate([(rows.sum(0) + quality.REPEAT * again * vector("\x01again")) / len(words), rows.std(0), [np.log1p(len(words)) / 10]])
+
+
+def test_features_by_brute_force(prose):
+    texts = [None, "", " \t", "Word word WORD wOrd w W.", "a1b2 12,345.67 don't é́É!! ...", "same same same other same", "x" * 200_000, prose(20_000, 3)]
+    got = quality.Words(None).features(pa.array(texts))
+    for row, t in zip(got, texts, strict=True):
+        assert np.allclose(row, brute_features(t), atol=2e-3)
+    halves = quality.Words(None)
+    sums = np.zeros((quality.BUCKETS, quality.DIM), np.float32)
+    halves.context_sums(pa.array(["the cat sat on the mat"]), sums)
+    vector = lambda w: sum(quality.index_vectors(quality.hashed([p]))[0] for p in quality.pieces(w))
+    words = "the cat sat on the mat".split()
+    want = np.zeros_like(sums)
+    for k, w in enumerate(words):
+        for j in (k - 2, k - 1, k + 1, k + 2):
+            if 0 <= j < len(words):
+                want[quality.buckets(quality.hashed([w]))[0]] += vector(words[j])
+    assert np.allclose(sums, want)
+
+
+def brute_grams(text: str) -> list[str]:
+    own = f" {' '.join(re.findall(r'[^\W\d_]+', text.lower()))} "
+    return [own[k : k + n] for n in (3, 4) for k in range(len(own) - n + 1) if " " not in own[k + 1 : k + n - 1]]
+
+
+def test_shares_by_brute_force(prose, monkeypatch):
+    """Shares from sets of n-grams; texts that end in the middle of a chunk, at its end and far beyond."""
+    rng = random.Random(2)
+    known = [" ".join(rng.choice(own) for _ in range(300)) for own in LANGUAGES.values()]
+    code = lambda g: np.concatenate(list(langid.grams(g)) or [np.zeros(0, np.uint64)])
+    filters = langid.Filters(list(LANGUAGES), [np.unique(code(t)) for t in known])
+    texts = ["der the und of", "Ich bin HIER, 12 x_y!", "auf für.", known[0] * 60, "x" * 70_000, prose(2000, 4)]
+    for text in texts:
+        grams, shares = brute_grams(text), filters.shares(text)
+        assert sum(len(x) for x in langid.grams(text)) == len(grams)
+        for k, t in enumerate(known):
+            have = set(brute_grams(t))
+            exact = sum(g in have for g in grams) / len(grams)
+            assert shares[k] == pytest.approx(exact, abs=5 * filters.false[k] + 0.01)
+    whole = [filters.shares(t) for t in texts]
+    monkeypatch.setattr(langid, "CHUNK", 37)
+    assert all(np.allclose(a, filters.shares(t)) for a, t in zip(whole, texts, strict=True))
+    assert filters.shares("1 2 3") is None and filters.predict(None) == ("und", 0.0)
+
+
+def test_identify_empty(spark):
+    docs = labelled(spark)
+    assert langid.identify(docs.where("false"), langid.fit(docs)).count() == 0
+    assert langid.cuts(docs.where("false"), langid.fit(docs)) == {}
+
+
 def test_quality_without_two_classes(spark):
     docs = labelled(spark, 20)
     for labels, want in ((docs.select("doc_id", F.lit(1).alias("quality")), 1.0), (docs.select("doc_id", "quality").where("false"), 0.5)):
@@ -332,6 +394,21 @@ def test_pipeline(spark, tmp_path, prose):
     assert sorted(map(tuple, p.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path, prose):
+    """Repeated rows, null ids and texts, and columns that clash; then a table without rows."""
+    import corpus_pipeline as p
+
+    texts = [(k, prose(60, k)) for k in range(40)] + [(3, prose(60, 3)), (None, prose(60, 77)), (None, prose(60, 77)), (None, None), (41, None), (42, ""), (43, prose(20_000, 5))]
+    rows = [(i, t, "en", "s", 0, "clash", True) for i, t in texts]
+    for name, own in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept boolean").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(0, prose(25, 900))], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = p.run(spark, folder).collect()
+        ids = sorted((r.doc_id for r in got if r.piece == 0), key=lambda x: (x is None, x))
+        assert ids == ([*sorted([*range(40), 3, 43]), None, None] if own else [])
+
+
 @pytest.mark.parametrize("name", ["op5_line_dedup", "op6_minhash_near_dedup", "op8_substring_dedup", "op10_chat_tool_calls"])
 def test_sql(spark, name):
     import os

@@ -52,7 +52,7 @@ class Table:
             own = numbers[a : a + WORDS]
             n = self.lengths[own]
             size = int(n.sum())
-            np.take(self.flat, np.repeat(self.starts[own] - np.cumsum(n) + n, n) + np.arange(size), out=out[at : at + size])
+            np.take(self.flat, np.repeat(self.starts[own] - np.cumsum(n) + n, n) + np.arange(size), out=out[at : at + size], mode="clip")
             at += size
         return out
 

@@ -53,7 +53,7 @@ def _order(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """What puts equal entries together, and where each run of equal ones begins in that order."""
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = x["a"] if x.dtype == LONG else x
+    first = np.ascontiguousarray(x["a"]) if x.dtype == LONG else x
     order = np.argsort(first)
     new = np.concatenate([[True], first[order[1:]] != first[order[:-1]]])
     if x.dtype == LONG:
@@ -135,15 +135,16 @@ def _within(hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
     return found[at] == hashes
 
 
-def _within_long(hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The same of LONG entries: each is sought among the few that share its first hash."""
-    if not len(found) or not len(hashes):
+def _within_long(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same of LONG entries, sought in ``a`` (sorted) and ``b``: each among the few that share its first hash."""
+    if not len(a) or not len(hashes):
         return np.zeros(len(hashes), bool)
-    low, high = (np.searchsorted(found["a"], hashes["a"], side) for side in ("left", "right"))
+    first, second = (np.ascontiguousarray(hashes[c]) for c in ("a", "b"))
+    low, high = (np.searchsorted(a, first, side) for side in ("left", "right"))
     out = np.zeros(len(hashes), bool)
     for k in range(int((high - low).max())):
-        at = np.minimum(low + k, len(found) - 1)
-        out |= (low + k < high) & (found["b"][at] == hashes["b"])
+        at = np.minimum(low + k, len(a) - 1)
+        out |= (low + k < high) & (b[at] == second)
     return out
 
 
@@ -152,9 +153,12 @@ def _anchors(replies: pa.Table) -> np.ndarray:
     return np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
 
 
-def _repeats(replies: pa.Table) -> np.ndarray:
+def _repeats(replies: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the repeated windows, by the first."""
     own = np.concatenate([np.zeros(0, LONG), *[np.frombuffer(x, LONG) for x in replies["found"].to_pylist()]])
-    return own[np.argsort(own["a"])]
+    a, b = (np.ascontiguousarray(own[c]) for c in ("a", "b"))
+    order = np.argsort(a)
+    return a[order], b[order]
 
 
 def _texts(docs: pa.Table) -> Iterator[list[bytes]]:
@@ -211,13 +215,13 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
         return out
 
     def remove(table: pa.Table, replies: pa.Table) -> pa.Table:
-        words, found = WordHashes(), _repeats(replies)
+        words, (first, second) = WordHashes(), _repeats(replies)
         total, gone, kept, spans = [], [], [], []
         for own in _texts(table):
-            h = words.of(own) if len(own) >= window and len(found) else None
-            hit = _within(window_hashes(h, window), found["a"]) if h is not None else None
+            h = words.of(own) if len(own) >= window and len(first) else None
+            hit = _within(window_hashes(h, window), first) if h is not None else None
             if hit is not None and hit.any():
-                hit = _within_long(_long(h, window), found)
+                hit = _within_long(_long(h, window), first, second)
             total.append(len(own))
             if hit is None or not hit.any():
                 gone.append(0)

@@ -183,8 +183,8 @@ def test_entries_of_two_hashes():
     assert all(len(set(r.tolist())) == 1 for r in runs) and len(runs) == len(set(x.tolist()))
     found = x[:200][np.argsort(x["a"][:200])]
     have = set(found.tolist())
-    assert substring._within_long(x, found).tolist() == [e in have for e in x.tolist()]
-    assert substring._order(x[:0])[0].tolist() == substring._within_long(x[:0], found).tolist() == []
+    assert substring._within_long(x, found["a"], found["b"]).tolist() == [e in have for e in x.tolist()]
+    assert substring._order(x[:0])[0].tolist() == substring._within_long(x[:0], found["a"], found["b"]).tolist() == []
 
 
 @pytest.mark.parametrize("window", [35, 7])

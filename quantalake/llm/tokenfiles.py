@@ -23,8 +23,8 @@ from quantalake.llm.common import release, tidy
 from quantalake.llm.tokens import Encoder, blocks, code_of, kind_of
 
 NULL_ID = -(1 << 63)
-#: Bytes of text of a part, and documents and ids that are read at a time.
-PART_BYTES, SLICE_DOCS, SLICE_IDS = 64 << 20, 2048, 1 << 21
+#: Bytes of text that are encoded at a time and of a part, and documents and ids that are read at a time.
+BLOCK_BYTES, PART_BYTES, SLICE_DOCS, SLICE_IDS = 20 << 20, 64 << 20, 2048, 1 << 21
 _PART = "part string, first_id long, tie long, docs long, tokens long, width int"
 
 
@@ -60,7 +60,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
                 fs.create_dir(root, recursive=True)
                 files = {x: fs.open_output_stream(f"{root}/.{name}.{x}.{mark}") for x in ("tokens", "offsets", "ids")}
                 key = (batch[0][0].as_py(), batch[1][0].as_py())
-            for part in blocks(batch, 2):
+            for part in blocks(batch, 2, BLOCK_BYTES):
                 for ident, own_ids in zip(part[0].to_pylist(), own.encode(part[2]), strict=True):
                     data = own_ids.tobytes() + end
                     files["tokens"].write(data)

@@ -81,6 +81,15 @@ def op10_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(calls, results, REPLY)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.convrepair import damage, digests, repair
+
+    report, repaired = repair(damage(load(spark, sf_dir, "conversations")), copies_col="copies")
+    found = digests(repaired).withColumnRenamed("conv_id", "k")
+    both = report.join(found, F.col("conv_id").eqNullSafe(F.col("k")), "left").drop("k")
+    return both.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -92,9 +101,61 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
     "op10_chat_tool_calls": op10_chat_tool_calls,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
+
+def _crc(text: str) -> str:
+    """crc32 of an ASCII text, where the table ``crc_table`` has been joined."""
+    codes = f"[ord(c_) FOR c_ IN string_split({text}, '')]"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, x: xor(c >> 8, v[1 + (xor(c, x) & 255)])), 4294967295)"
+
+
+#: The table of crc32, by eight steps of a bit, as CTEs.
+CRC_TABLE = ",\n".join(["crc_0 AS (SELECT i, i AS c FROM range(256) t(i))", *[f"crc_{k} AS (SELECT i, xor(c >> 1, 3988292384 * (c & 1)) AS c FROM crc_{k - 1})" for k in range(1, 9)], "crc_table AS (SELECT list(c ORDER BY i) AS v FROM crc_8)"])
+
+
+def _way(*ways: tuple[str, int | str, str]) -> str:
+    """The least of states after an edit: (state, cost, letter)."""
+    return "list_min([" + ", ".join(f"{{'c': {s}.c + {c}, 'a': {s}.a || {a}}}" for s, c, a in ways) + "])"
+
+
+_USER, _ASSISTANT = ("CASE s WHEN 'u' THEN 0 ELSE 1 END + cut", "CASE s WHEN 'u' THEN 'K' ELSE 'R' END"), ("CASE s WHEN 'a' THEN 0 ELSE 1 END + cut", "CASE s WHEN 'a' THEN 'K' ELSE 'R' END")
+#: The cheapest edits row by row: what turns may be inserted before a row, then what may become of it.
+REPAIR = f"""
+WITH RECURSIVE {CRC_TABLE},
+had AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS how FROM conversations, crc_table),
+hurt AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, how FROM had WHERE how <> 0),
+twice AS (SELECT conv_id, turn, role, text FROM hurt UNION ALL SELECT conv_id, turn, role, text FROM hurt WHERE how = 3),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen FROM twice),
+faults AS (SELECT *, CASE WHEN seen = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+left(role, 1) AS s, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'blank')::BIGINT AS blank, count(*) FILTER (WHERE fault = 'duplicate')::BIGINT AS duplicate,
+count(*) FILTER (WHERE fault = 'truncated')::BIGINT AS truncated, count(*) FILTER (WHERE i > 1 AND before || s NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM faults GROUP BY conv_id),
+best AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS s0, {{'c': 1000000000::BIGINT, 'a': ''}} AS s1, {{'c': 5::BIGINT, 'a': 'I'}} AS s2, {{'c': 10::BIGINT, 'a': 'II'}} AS s3 FROM (SELECT DISTINCT conv_id FROM faults)
+UNION ALL SELECT conv_id, i, n0, n1, two, list_min([n3, {{'c': two.c + 5, 'a': two.a || 'I'}}]) FROM (
+SELECT conv_id, i, n0, n1, list_min([n2, {{'c': n0.c + 5, 'a': n0.a || 'I'}}, {{'c': n1.c + 5, 'a': n1.a || 'I'}}, {{'c': n3.c + 5, 'a': n3.a || 'I'}}]) AS two, n3 FROM (
+SELECT conv_id, i, {_way(("s0", 2, "'D'"))} AS n0,
+CASE WHEN stays AND s = 's' THEN {_way(("s1", 2, "'D'"), ("s0", "cut", "'K'"))} ELSE {_way(("s1", 2, "'D'"))} END AS n1,
+CASE WHEN stays THEN {_way(("s2", 2, "'D'"), *[(q, *_USER) for q in ("s0", "s1", "s3")])} ELSE {_way(("s2", 2, "'D'"))} END AS n2,
+CASE WHEN stays THEN {_way(("s3", 2, "'D'"), ("s2", *_ASSISTANT))} ELSE {_way(("s3", 2, "'D'"))} END AS n3
+FROM (SELECT b.conv_id, f.i, s0, s1, s2, s3, s, fault NOT IN ('blank', 'duplicate') AS stays, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END AS cut
+FROM best b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1)))),
+ends AS (SELECT conv_id, list_min([s0, s3]) AS e FROM best QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+walk AS (SELECT conv_id, e.a AS audit, 0::BIGINT AS step, 0::BIGINT AS i, 'x' AS q, NULL::VARCHAR AS line FROM ends
+UNION ALL SELECT w.conv_id, audit, step + 1, w.i + CASE edit WHEN 'I' THEN 0 ELSE 1 END, CASE edit WHEN 'D' THEN q WHEN 'K' THEN left(f.role, 1) ELSE goes END,
+CASE edit WHEN 'D' THEN NULL WHEN 'K' THEN f.role || ':' || f.text ELSE CASE goes WHEN 'u' THEN 'user:' ELSE 'assistant:' END || CASE edit WHEN 'R' THEN f.text ELSE '' END END
+FROM (SELECT *, audit[step + 1] AS edit, CASE q WHEN 'u' THEN 'a' ELSE 'u' END AS goes FROM walk WHERE step < length(audit)) w
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY step) AS t FROM walk GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+coalesce(e.c, 0) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ends n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 SQL = {
+    "op11_conversation_repair": REPAIR,
     "op5_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

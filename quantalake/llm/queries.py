@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import load, scratch
+from quantalake.llm.common import load, scratch, stored
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.vectorcodes import label_errors, vector_codes
+
+    codes, books = vector_codes(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    found = label_errors(stored(codes, "codes"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -102,6 +110,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_chat_tool_calls": op10_chat_tool_calls,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 
@@ -154,7 +163,33 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv
 LEFT JOIN ends n ON n.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
+
+def _rounds(rounds: int = 4) -> str:
+    """CTEs of Lloyd's rounds over ``own`` (vec_id, p, v) from ``book_0`` (p, e, v)."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"near_{n} AS (SELECT vec_id, p, any_value(x.v) AS v, min({{'d': list_sum([(x.v[i_] - b.v[i_]) * (x.v[i_] - b.v[i_]) FOR i_ IN range(1, len(x.v) + 1)])::BIGINT, 'e': e}}) AS m FROM own x JOIN book_{n} b USING (p) GROUP BY vec_id, p)")
+        if n < rounds:
+            steps.append(f"mean_{n} AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY pos) AS v FROM (SELECT p, m.e AS e, pos, sum(v[pos])::BIGINT AS s, count(*) AS c FROM near_{n}, range(1, 1 + (SELECT max(len(v)) FROM own)) t(pos) GROUP BY p, m.e, pos) GROUP BY p, e)")
+            steps.append(f"book_{n + 1} AS (SELECT p, e, coalesce(m.v, b.v) AS v FROM book_{n} b LEFT JOIN mean_{n} m USING (p, e))")
+    return ",\n".join(steps)
+
+
+CODES = f"""
+WITH kept AS (SELECT vec_id, label, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+own AS (SELECT vec_id, p, v[1 + p * (len(v) // 4):(p + 1) * (len(v) // 4)] AS v FROM kept, range(4) t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 256),
+book_0 AS (SELECT p, e, v FROM own JOIN firsts USING (vec_id)),
+{_rounds()},
+codes AS (SELECT vec_id, string_agg(right('0' || lower(to_hex(m.e)), 2), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM near_4 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+(SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) FROM book_4) AS codebooks_sha256
+FROM codes JOIN kept USING (vec_id)
+"""
+
 SQL = {
+    "op13_vector_codes": CODES,
     "op11_conversation_repair": REPAIR,
     "op5_line_dedup": r"""
 WITH lines AS (

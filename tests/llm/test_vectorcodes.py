@@ -127,7 +127,7 @@ def test_few_parts_are_looked_at_again(spark):
     rng = np.random.default_rng(8)
     centres = rng.integers(-40_000, 40_000, (16, 8))
     x = np.vstack([centres, centres[rng.integers(0, 16, 2000)] + rng.integers(-3000, 3000, (2000, 8))])
-    books = Books(x[:16], 1)
+    books = Books(x[:16] + 12_000, 1)
     near, first, second = nearest(x, books.books[0])
     heaps = Heaps.of(np.sqrt(second) - np.sqrt(first), near, 16)
     looked = []
@@ -140,4 +140,4 @@ def test_few_parts_are_looked_at_again(spark):
         heaps.push(np.sqrt(second) - np.sqrt(first) + books.seen[0][at], popped, at)
         near[popped] = at
         assert (near == nearest(x, books.books[0])[0]).all()
-    assert looked[0] > 0 and looked[-1] == 0
+    assert looked[0] > looked[-1] == 0

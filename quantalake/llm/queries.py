@@ -90,6 +90,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)))
 
 
+def op12_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quantalake.llm.pagetext import page_texts
+
+    return page_texts(load(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quantalake.llm.vectorcodes import label_errors, vector_codes
 
@@ -110,6 +116,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_chat_tool_calls": op10_chat_tool_calls,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_page_text": op12_page_text,
     "op13_vector_codes": op13_vector_codes,
 }
 

@@ -1,7 +1,7 @@
 """Flat token-id files with 64-bit document offsets, written by range of document id and memory-mapped on reading.
 
-A part has three files: ``part-N.tokens`` (unsigned 16- or 32-bit little-endian ids, documents end to end),
-``part-N.offsets`` (int64, one more than documents: where each begins in the part) and ``part-N.ids`` (int64 document
+A part has three files, named by the manifest: ``part-N-X.tokens`` (unsigned 16- or 32-bit little-endian ids, documents end to end),
+``part-N-X.offsets`` (int64, one more than documents: where each begins in the part) and ``part-N-X.ids`` (int64 document
 ids; the smallest int64 stands for null). ``manifest`` (Parquet, a row a part) has counts, the id width, and ``base``:
 the ids in all parts before, a prefix sum over the parts.
 """
@@ -43,37 +43,38 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     ordered by a hash of their text, and repeated rows stay; an empty table gives no parts.
 
     Parts are about PART_BYTES of text; rows that are equal in id and text are in one, which streams through its task.
-    Each task streams one range of ids into files of its own name and moves them into place when they are complete, so
-    a task that runs twice leaves one copy. The driver sees one row a part.
+    Each run of a task streams one range of ids into files of a name of its own, and the manifest names those of the run
+    that Spark took: a task that runs again leaves files that nothing reads, and replaces none. The driver sees one row
+    a part.
     """
     kind, code = kind_of(tokenizer_path), code_of(tokenizer_path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _store(out_dir)
         own, end = Encoder(tokenizer_path, kind, code), np.array([end_id], code).tobytes()
-        name, mark = f"part-{TaskContext.get().partitionId():06d}", uuid.uuid4().hex
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         files, ids, offsets, at, key = {}, array("q"), array("q", [0]), 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if not files:
                 fs.create_dir(root, recursive=True)
-                files = {x: fs.open_output_stream(f"{root}/.{name}.{x}.{mark}") for x in ("tokens", "offsets", "ids")}
+                files = {x: fs.open_output_stream(f"{root}/{name}.{x}") for x in ("tokens", "offsets", "ids")}
                 key = (batch[0][0].as_py(), batch[1][0].as_py())
             for part in blocks(batch, 2, BLOCK_BYTES):
-                for ident, own_ids in zip(part[0].to_pylist(), own.encode(part[2]), strict=True):
-                    data = own_ids.tobytes() + end
-                    files["tokens"].write(data)
-                    at += len(data) // len(end)
-                    ids.append(NULL_ID if ident is None else ident)
-                    offsets.append(at)
+                encoded = own.encode(part[2])
+                files["tokens"].write(b"".join(x for ids_of in encoded for x in (ids_of, end)))
+                places = at + np.cumsum([len(x) + 1 for x in encoded], dtype=np.int64)
+                at = int(places[-1])
+                offsets.frombytes(places.tobytes())
+                ids.frombytes(np.array([NULL_ID if x is None else x for x in part[0].to_pylist()], np.int64).tobytes())
+                del encoded
                 release()
         if files:
             files["offsets"].write(offsets.tobytes())
             files["ids"].write(ids.tobytes())
-            for x, f in files.items():
+            for f in files.values():
                 f.close()
-                fs.move(f"{root}/.{name}.{x}.{mark}", f"{root}/{name}.{x}")
             row = [[name], [key[0]], [key[1]], [len(ids)], [at], [len(end)]]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["part", "first_id", "tie", "docs", "tokens", "width"])

@@ -16,8 +16,10 @@ import pyarrow.compute as pc
 
 #: Bytes of text of a block, words that are encoded as one text, and words whose ids are put together at a time.
 BLOCK_BYTES, JOINED, WORDS = 8 << 20, 400, 1 << 17
-#: White space before a space or a newline: only there could cutting change the pieces of byte-level vocabularies.
-_ODD = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}][ \n]"
+#: White space before a space or a newline, or after a newline: only there could cutting change the pieces of byte-level
+#: vocabularies.
+_WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = rf"{_WHITE}[ \n]|\n{_WHITE}"
 #: Letters whose lower case depends on others, or that rules for text may change.
 _CARE = r"[\x{130}\x{3a3}\x{2000}-\x{10ffff}]"
 #: ASCII characters that are neither letters nor digits nor white space.
@@ -64,7 +66,7 @@ class Encoder:
 
     ``kind`` says where a text may be cut without changing its ids. ``spaced``: byte-level vocabularies whose pieces
     may start with one space and never hold a space after another character; cuts are before single spaces and at
-    single newlines, and a text that has white space before a space or newline is encoded in one go. ``words``:
+    single newlines, and a text that has white space before a space or newline, or after a newline, is encoded in one go. ``words``:
     vocabularies that drop white space and mark the ends of words.
 
     Parts that are one run of letters, marks at its end apart, are encoded many at a time by the bare merges: the

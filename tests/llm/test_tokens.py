@@ -25,6 +25,10 @@ ODD = [
     "\x1ca \x1c b", "tab\tx \ty", "Å Ångström. ...", "١٢٣ a1b2,c", ".", ",", "a.\n.b", "\n", "a\n", "x's", "a--b--", "THE!!\nON%%%", "é%%% ÉA!!", "퟿ end", "𝔘nicode 😀!!",
 ]
 
+#: All white space, and characters that show nothing.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+CONTROLS = "".join(map(chr, range(32))) + "\x7f\x80\x9f\u200b\u200d\ufeff\u180e"
+
 
 @pytest.fixture(scope="module", params=FILES)
 def pair(request):
@@ -50,6 +54,17 @@ def test_encoder_on_any_text(name, texts):
 _encoders: dict = {}
 
 
+def test_encoder_on_white_space_and_controls(pair):
+    """Runs of white space of all kinds, control characters and emoji, against an unchanged tokenizer."""
+    own, plain = pair
+    rng = random.Random(3)
+    kinds = [SPACES, CONTROLS, "abcÉé'.,!1", "\n\xa0 a", "😀👍🏽é́ñ"]
+    for _ in range(15):
+        texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randrange(14))) for _ in range(2000)]
+        for t, a, b in zip(texts, own.encode(pa.array(texts)), plain.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert a.tolist() == b.ids, ascii(t)
+
+
 SPECIAL = [*ODD, "see <|endoftext|> here", "<|endoftext|>", " <|endoftext|>\n<|startoftext|>x", "a<|endoftext|>b  c", "<|ENDOFTEXT|> <|endoftext |>", "é<|startoftext|>É!!", "x\n<|endoftext|>\n\n y"]
 
 
@@ -110,6 +125,18 @@ def test_slices_of_any_store(tmp_path, monkeypatch):
         assert got == [(0, [0, 2, 4]), (2, [4, 30]), (3, [30, 31, 32, 33]), (6, [33, 34]), (7, [34, 44])]
 
 
+def test_token_files_of_a_task_that_ran_twice(spark, docs, prose, tmp_path):
+    """What another run of a task left in the folder is neither read nor replaced."""
+    out, path = tmp_path / "files", public_tokenizers.path("byte_bpe_50k.json")
+    out.mkdir()
+    for n in range(8):
+        for x in ("tokens", "offsets", "ids"):
+            (out / f"part-{n:06d}-lost.{x}").write_bytes(b"half")
+    write_token_files(docs([prose(9, k) for k in range(9)]), f"file://{out}", path)
+    assert sorted(r.doc_id for r in read_token_files(spark, f"file://{out}").collect()) == list(range(9))
+    assert all(f.read_bytes() == b"half" for f in out.glob("*-lost.*"))
+
+
 def test_empty_token_files(spark, docs, tmp_path):
     write_token_files(docs([]), f"file://{tmp_path}/none", public_tokenizers.path("byte_bpe_50k.json"))
     assert read_token_files(spark, f"file://{tmp_path}/none").count() == 0

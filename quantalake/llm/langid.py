@@ -30,7 +30,9 @@ UNKNOWN = "und"
 CHUNK = 1 << 16
 #: Texts that are Python objects at a time, and n-grams that a task holds before it sums them up.
 ROWS, HELD = 512, 1 << 21
-_OTHER = re.compile(r"[\W\d_]+")
+#: What isn't a letter, by category: besides what \w leaves out, digits and number signs of any kind.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
+_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
@@ -90,7 +92,8 @@ class Filters:
         return np.clip((hits / total - self.false) / (1 - self.false), 0, 1) if total else None
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """The language with the largest share, and that share; ``und`` for a text without letters."""
+        """The language with the largest share (the first in alphabetical order among equals) and that share; ``und`` for a
+        text without letters."""
         own = self.shares(text) if self.languages else None
         if own is None:
             return UNKNOWN, 0.0

@@ -42,13 +42,18 @@ def shape(run: str) -> str:
     return f"\x01{case}{min(len(run), 12)}"
 
 
+def marks(run: str) -> str:
+    """The feature of a run of marks: the run, or a hash of a long one."""
+    return run if len(run) <= 8 else f"\x01{xxhash.xxh3_64_hexdigest(run.encode('utf-8', 'surrogatepass'))}"
+
+
 def pieces(word: str) -> list[str]:
     out = []
     for run in _PIECE.findall(word):
         if run.isalpha():
             out += [run.lower(), shape(run)]
         else:
-            out.append(f"\x01{min(len(run), 6)}d" if run.isdigit() else run[:8])
+            out.append(f"\x01{min(len(run), 6)}d" if run.isdigit() else marks(run))
     return out
 
 
@@ -86,8 +91,9 @@ class Words:
 
     def table(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The vector and the bucket of each word; -1 for a word without a letter run."""
-        body = pc.utf8_rtrim(words, MARKS)
-        simple = pc.utf8_is_alpha(body).to_numpy(zero_copy_only=False)  # a letter run, and marks after it
+        body = pc.utf8_rtrim(words, MARKS.replace("_", ""))  # underscores are pieces of their own
+        # a run of letters that Arrow and Python change alike, and marks after it
+        simple = pc.match_substring_regex(body, "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$").to_numpy(zero_copy_only=False)
         out, bucket = np.zeros((len(words), DIM), np.float32), np.full(len(words), -1)
         some = np.flatnonzero(simple)
         run = body.filter(pa.array(simple))
@@ -103,7 +109,7 @@ class Words:
         after = (pc.binary_length(words).to_numpy(zero_copy_only=False) - pc.binary_length(body).to_numpy(zero_copy_only=False))[some]
         marked = np.flatnonzero(after)
         ends: dict[str, int] = {}
-        numbers = [ends.setdefault(t[-n:][:8], len(ends)) for t, n in zip(words.take(pa.array(some[marked])).to_pylist(), after[marked].tolist(), strict=True)]
+        numbers = [ends.setdefault(marks(t[-n:]), len(ends)) for t, n in zip(words.take(pa.array(some[marked])).to_pylist(), after[marked].tolist(), strict=True)]
         if ends:
             vectors[marked] += index_vectors(hashed(list(ends)))[numbers]
         out[some] = vectors

@@ -68,6 +68,29 @@ def test_language_stage_drops_other_languages(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
 
 
+def test_letters_by_category():
+    """Number signs, digits and combining marks alone aren't letters; ties go to the first language."""
+    own = langid.Filters(["aa", "bb"], [np.concatenate(list(langid.grams("the of and"))), np.concatenate(list(langid.grams("the of and")))])
+    for text in ("½ ²", "①②", "Ⅷ", "\u0301\u0308", "١٢", "一二"[:0], "_ - !", "\u3007"):
+        assert own.predict(text) == ("und", 0.0), text
+    assert own.predict("the of")[0] == "aa" and own.predict("½x")[0] == "aa"
+    for c in map(chr, range(0x3000)):
+        assert bool(list(langid.grams(c))) == any(x.isalpha() for x in c.lower()), ascii(c)
+
+
+def test_pieces_are_those_of_blocks():
+    """Words have one vector however they are read, and runs of marks count whole."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aZéÉİıßſΣσςǅŉ1_!.'ªµ") for _ in range(rng.randrange(1, 7))) for _ in range(3000)] + ["no" + "!" * n for n in range(30)]
+    own = quality.Words(None)
+    table, bucket = own.table(pa.array(words))
+    for k, w in enumerate(words):
+        assert np.allclose(table[k], sum(quality.index_vectors(quality.hashed([p]))[0] for p in quality.pieces(w)), atol=1e-5), w
+    assert len({t.tobytes() for t in table[-30:]}) == 30
+
+
 def test_language_filters_hold_what_they_learned():
     rng = np.random.default_rng(1)
     members = [rng.integers(0, 1 << 63, 3000, np.uint64) for _ in range(70)]  # more than a word of bits

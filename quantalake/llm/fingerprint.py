@@ -22,6 +22,8 @@ from quantalake.llm.common import WordHashes, blobs, few, shingles, tidy
 K = 128
 #: Shingles of a long text that are hashed at a time, and bytes of text of a range of documents.
 PART, RANGE_BYTES = 1 << 16, 32 << 20
+#: Ranges at most: so many heads come to the driver, whatever the size of the table.
+RANGES = 1 << 15
 _SIGN = 1 << 63
 
 
@@ -98,7 +100,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated rows follow each other; a table of one row follows itself; an empty table gives no rows.
 
     The text moves once. Spark's range partitioning cuts the keys (ids and hashes of texts) into ranges of about
-    RANGE_BYTES of text; where they begin comes to the driver, 16 bytes a range. Each range is read by one task in
+    RANGE_BYTES of text, RANGES at most (larger ones stream through their tasks just as well); where they begin comes
+    to the driver, 17 bytes a range. Each range is read by one task in
     order, and its first row is also sent to the range before it. One id with very many texts spans ranges; only rows
     with equal text and id stay together, and they stream through their task.
     """
@@ -106,7 +109,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("d"), F.xxhash64(text).alias("tie"), text.alias("t"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    wanted = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
     keys = rows.select(F.col("d").isNull().alias("no_id"), F.bitwise_not("d").alias("down"), "tie")
     first = F.min(F.struct("no_id", "down", "tie")).alias("h")
     found = keys.repartitionByRange(wanted, "no_id", "down", "tie").groupBy(F.spark_partition_id().alias("p")).agg(first).collect()  # a row a range

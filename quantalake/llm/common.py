@@ -25,6 +25,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unprefixed(df: DataFrame) -> DataFrame:
+    """``df``; an error if it has columns with the prefix of working ones."""
+    if own := [c for c in df.columns if c.lower().startswith(OWN)]:
+        raise ValueError(f"columns may not begin with {OWN}: {', '.join(own)}")
+    return df
+
+
 def with_outputs(df: DataFrame, outputs: dict) -> DataFrame:
     """All columns of ``df`` but working ones, with ``outputs`` in place of columns of the same name."""
     taken = {name.lower() for name in outputs}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import OWN, WordHashes, blobs, few, mix, shingles, stored, tidy, with_outputs
+from quantalake.llm.common import OWN, WordHashes, blobs, few, mix, shingles, stored, tidy, unprefixed, with_outputs
 from quantalake.llm.components import components
 
 SAMPLES, ROWS = 128, 4
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, similarity: int = 75, size: int = 5, id_col
     """
     ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     most = most_bits(similarity / 100 - MARGIN)
-    own = docs.select(ident.alias("d"), text.alias("t"), F.xxhash64(text).alias("tie"))
+    own = unprefixed(docs).select(ident.alias("d"), text.alias("t"), F.xxhash64(text).alias("tie"))
     signed = stored(signatures(own, size), "signed")
     full = signed.where("n > 0 and d is not null")
     classes = stored(full.groupBy("s", "n").agg(F.min("d").alias("first")), "classes")  # equal sets

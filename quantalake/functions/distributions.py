@@ -18,6 +18,7 @@ from functools import partial
 from typing import ClassVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,7 +85,12 @@ class Distribution:
         return None if self.variance is None else math.sqrt(self.variance)
 
     def sample(self, seed: int, *keys: Column | str) -> Column:
-        return self.ppf(uniform(seed, *keys))
+        """Variates that the seed and the keys decide."""
+        return self.variate(uniform(seed, *keys))
+
+    def variate(self, u: Column | str) -> Column:
+        """The variate that each number in (0, 1) gives: those of uniform numbers are a sample."""
+        return self.ppf(u)
 
     def json(self) -> dict:
         return {"family": type(self).__name__} | {k: v.json() if isinstance(v, Distribution) else v for k, v in asdict_flat(self).items()}
@@ -103,6 +109,25 @@ def find_root(cdf, density, p: Column | str, low: float, high: float) -> Column:
     return special.column(solve, ieee.col(p))
 
 
+def moments(make, *parameters: Column | str) -> Column:
+    """struct(mean, variance, entropy) of the distribution that ``make`` gives for a row's parameters: for fitted ones, a
+    row a group. Null where parameters are null or no distribution's, and for moments that don't exist."""
+    kind = pa.struct([(n, pa.float64()) for n in ("mean", "variance", "entropy")])
+
+    def one(*values: float) -> dict | None:
+        try:
+            own = make(*values)
+        except (ValueError, TypeError, OverflowError):
+            return None
+        return {n: getattr(own, n) for n in ("mean", "variance", "entropy")}
+
+    @F.arrow_udf("struct<mean:double,variance:double,entropy:double>")
+    def run(own: pa.Array) -> pa.Array:
+        return pa.array([one(*v.values()) for v in own.to_pylist()], kind)
+
+    return run(F.struct(*[ieee.col(x).cast("double").alias(f"p{n}") for n, x in enumerate(parameters)]))
+
+
 def sum_probabilities(own: Discrete, low: Column | str, high: Column | str) -> Column:
     """The probability of the outcomes from ``low`` to ``high``, both included; at most 1."""
     low, high = F.ceil(ieee.col(low)).cast("double"), F.floor(ieee.col(high)).cast("double")
@@ -670,10 +695,10 @@ class Poisson(Discrete):
         k = m.where(ok, x, 0.0)
         return m.where(ok, k * math.log(self.rate) - self.rate - m.lgamma(k + 1), -math.inf)
 
-    def sample(self, seed: int, *keys: Column | str) -> Column:
-        """Inverse transform within Arrow batches: the least k whose cumulative probability exceeds the uniform."""
+    def variate(self, u: Column | str) -> Column:
+        """Inverse transform within Arrow batches: the least k whose cumulative probability reaches the uniform."""
         table = np.cumsum(self.host("pmf", self.support()))
-        return special.column(lambda u: np.searchsorted(table, u), uniform(seed, *keys)).cast("long")
+        return special.column(lambda u: np.searchsorted(table, u), ieee.col(u)).cast("long")
 
     mean = property(lambda s: s.rate)
     variance = property(lambda s: s.rate)
@@ -710,11 +735,10 @@ class Geometric(Discrete):
         k = self._shift(m, m.where(ok, x, self.low))
         return m.where(ok, math.log(self.p) + (k - 1) * math.log1p(-self.p), -math.inf)
 
-    def sample(self, seed: int, *keys: Column | str) -> Column:
+    def variate(self, u: Column | str) -> Column:
         if self.p == 1:
             return F.lit(int(self.low)).cast("long")
-        u = uniform(seed, *keys)
-        return (F.floor(F.ln(u) / math.log1p(-self.p)) + int(self.low)).cast("long")
+        return (F.floor(F.ln(ieee.col(u)) / math.log1p(-self.p)) + int(self.low)).cast("long")
 
     mean = property(lambda s: 1 / s.p + s.low - 1)
     variance = property(lambda s: (1 - s.p) / s.p**2)
@@ -830,8 +854,8 @@ class DiscreteUniform(Discrete):
     def support(self, mass: float = 0) -> np.ndarray:
         return np.arange(self.a, self.b + 1.0)
 
-    def sample(self, seed: int, *keys: Column | str) -> Column:
-        return (F.floor(uniform(seed, *keys) * self.size) + self.a).cast("long")
+    def variate(self, u: Column | str) -> Column:
+        return (F.floor(ieee.col(u) * self.size) + self.a).cast("long")
 
     mean = property(lambda s: (s.a + s.b) / 2)
     variance = property(lambda s: (s.size**2 - 1) / 12)

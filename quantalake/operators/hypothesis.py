@@ -139,6 +139,18 @@ def mann_whitney_critical(m: int, n: int, p: float) -> int | None:
     return at if at >= 0 else None
 
 
+def _or_null(f: Callable, *columns: Column | str) -> Column:
+    """A whole number by row from a cached function of whole numbers; null where it has none."""
+    each = lambda *own: np.array([np.nan if (c := f(*map(int, row))) is None else c for row in zip(*own, strict=True)], float)
+    found = special.column(each, *[ieee.col(c).cast("double") for c in columns])
+    return F.when(~F.isnan(found), found.cast("long"))
+
+
+def mann_whitney_critical_value(m: Column | str, n: Column | str, p: float) -> Column:
+    """``mann_whitney_critical`` of columns of sample sizes."""
+    return _or_null(lambda a, b: mann_whitney_critical(a, b, p), m, n)
+
+
 def _u_significant(position: str, p: float) -> Callable:
     z = Normal()
 
@@ -224,10 +236,15 @@ def signed_rank_significance(n: int, t: float) -> float:
     return float(Normal().host("cdf", (t - mean) / sigma))
 
 
+def signed_rank_critical_value(n: Column | str, p: float) -> Column:
+    """``signed_rank_critical`` of a column of numbers of pairs; null without any."""
+    return _or_null(lambda k: signed_rank_critical(k, p) if k > 0 else None, n)
+
+
 def _signed_p(position: str) -> Callable:
     def each(n: float, plus: float, minus: float) -> float:
         if n < 1:
-            raise ValueError("all pairs are equal")
+            return np.nan
         own = {DIFFER: min(plus, abs(minus)), A_GREATER: abs(minus), B_GREATER: plus}[position]
         p = signed_rank_significance(int(n), own)
         return min(1.0, 2 * p) if position == DIFFER else p
@@ -238,13 +255,14 @@ def _signed_p(position: str) -> Callable:
 def wilcoxon_signed_rank_test(df: DataFrame, by: list[str], x: str, y: str, position: str = DIFFER, p: float | None = None) -> DataFrame:
     """``by``, n, t_plus, t_minus, p and, with a level ``p``, significant by the critical value.
 
-    An error if all pairs of a group are equal.
+    Both are null for a group whose pairs are all equal.
     """
     own = signed_ranks(df, by, x, y)
-    out = own.withColumn("p", special.column(_signed_p(position), *[F.col(c).cast("double") for c in ("n", "t_plus", "t_minus")]))
+    found = special.column(_signed_p(position), *[F.col(c).cast("double") for c in ("n", "t_plus", "t_minus")])
+    out = own.withColumn("p", F.when(~F.isnan(found), found))
     if p is not None:
         level = p / 2 if position == DIFFER else p
-        critical = special.column(lambda n: np.array([np.nan if (c := signed_rank_critical(int(k), level)) is None else c for k in n], float), F.col("n").cast("double"))
+        critical = special.column(lambda n: np.array([np.nan if k < 1 or (c := signed_rank_critical(int(k), level)) is None else c for k in n], float), F.col("n").cast("double"))
         t = {DIFFER: F.least("t_plus", F.abs("t_minus")), A_GREATER: F.abs("t_minus"), B_GREATER: F.col("t_plus")}[position]
         out = out.withColumn("significant", F.when(~F.isnan(critical), t <= critical))
     return out
@@ -389,6 +407,12 @@ def ks_probability(n: int, d: float) -> float:
     return float(value * 10.0**exponent)
 
 
+def ks_probability_of(n: Column | str, d: Column | str) -> Column:
+    """``ks_probability`` of columns."""
+    each = lambda sizes, x: np.array([ks_probability(int(a), float(b)) for a, b in zip(sizes, x, strict=True)], float)
+    return special.column(each, ieee.col(n).cast("double"), ieee.col(d))
+
+
 def ks_limit(n: int, d: float) -> float:
     """Kolmogorov's limit at z = d sqrt(n) and the terms in n**-1/2, 1/n and n**-3/2."""
     z, pi2 = d * math.sqrt(n), math.pi**2

@@ -151,10 +151,17 @@ def matrix_access(spark, d):
     return a.crossJoin(b).crossJoin(M.row(m, 1).agg(r(F.sum("v")).alias("row_sum"))).crossJoin(M.column(m, 2).agg(r(F.sum("v")).alias("column_sum")))  # single rows
 
 
-@query("SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS identity, (least(i, j) * 10 + greatest(i, j))::DOUBLE AS symmetric FROM range(0, 6) a(i), range(0, 6) b(j)")
+@query("""WITH b AS (SELECT c_nationkey AS i, round(sum(c_acctbal), 2) AS v FROM customer GROUP BY 1), n AS (SELECT count(*) AS n FROM nation)
+SELECT i, j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS identity, (least(i, j) * 10 + greatest(i, j))::DOUBLE AS symmetric, (CASE WHEN i = j THEN v ELSE 0.0 END)::DOUBLE AS diagonal
+FROM (SELECT unnest(range(0, n)) AS i FROM n) JOIN (SELECT unnest(range(0, n)) AS j FROM n) ON true JOIN b USING (i)""")
 def matrix_generate(spark, d):
-    same = M.identity(spark, 6).withColumnRenamed("v", "identity")
-    return same.join(M.generate_symmetric(spark, 6, lambda i, j: i * 10 + j).withColumnRenamed("v", "symmetric"), ["i", "j"])
+    """Matrices with a row a nation: the identity, a symmetric one, and balances on the diagonal."""
+    n = load(spark, d, "nation").count()
+    balances = load(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.sum("c_acctbal"), 2).alias("v"))
+    own = M.diagonal(balances, "c_nationkey", "v", n).withColumnRenamed("v", "diagonal")
+    same = M.identity(spark, n).withColumnRenamed("v", "identity")
+    both = same.join(M.generate_symmetric(spark, n, lambda i, j: i * 10 + j).withColumnRenamed("v", "symmetric"), ["i", "j"])
+    return both.join(own, ["i", "j"])
 
 
 @query("SELECT l_suppkey AS g, true AS product, true AS orthogonal FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 3")

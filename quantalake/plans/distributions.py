@@ -1,4 +1,4 @@
-"""Queries of distributions: functions on a grid, moments, fits and variates."""
+"""Queries of distributions: functions of columns of the tables, moments of fitted parameters, fits and variates."""
 
 from __future__ import annotations
 
@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 
 from quantalake.functions import distributions as D
 from quantalake.operators.quantiles import MEDIAN_UNBIASED, fit_laplace
-from quantalake.plans.common import LINES, ORDERS, beta_i, digamma, gamma_p, lines, orders, phi, r, sr
+from quantalake.plans.common import LINES, ORDERS, PARTS, beta_i, digamma, gamma_p, lines, orders, parts, phi, r, sr
 from quantalake.plans.summaries import quantile_sql
+from quantalake.sources.tables import load
 
 QUERIES, SQL = {}, {}
 PI = repr(math.pi)
-#: The grids: x = i / 8 for i from -40 to 80, and probabilities (i + 40.5) / 121.
-GRID = "grid AS (SELECT v::BIGINT AS i, v / 8.0::DOUBLE AS x, (v + 40.5::DOUBLE) / 121 AS u FROM range(-40, 81) t(v))"
+#: An order's price as an argument from -4 to 8.5, its price within a thousand as a probability, and a whole or half
+#: number from -2 to 18.
+X, U, K = "o_totalprice / 40000 - 4", "(o_totalprice % 1000 + 0.5) / 1001", "floor(o_totalprice / 25000) - 2 + (o_orderkey % 2) / 2"
+POINTS = f"points AS (SELECT o_orderkey AS i, {X} AS x, {U} AS u FROM orders)"
+WHOLE = f"points AS (SELECT o_orderkey AS i, {K} AS x FROM orders)"
+#: A number in (0, 1) from a hash of the key of an order.
+HASHED = "hashed AS (SELECT o_orderkey AS i, (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 13))::BIGINT + 0.5::DOUBLE) / pow(2::DOUBLE, 52) AS u FROM orders)"
 
 
 def _normal_pdf(z: str) -> str:
@@ -36,7 +42,7 @@ CONTINUOUS = {
     "lognormal": (D.Lognormal(0.3, 0.6), _positive("x", phi("((ln(greatest(x, 1e-300)) - 0.3) / 0.6)")), _positive("x", _normal_pdf("((ln(greatest(x, 1e-300)) - 0.3) / 0.6)") + " / (0.6 * x)")),
     "exponential": (D.Exponential(0.7), _positive("x", "1 - exp(-0.7 * x)"), "(CASE WHEN x >= 0 THEN 0.7 * exp(-0.7 * x) ELSE 0.0 END)"),
     "gamma": (D.Gamma(2.5, 1.3), gamma_p("2.5", "(x / 1.3)"), _positive("x", "exp(1.5 * ln(greatest(x, 1e-300) / 1.3) - x / 1.3 - lgamma(2.5)) / 1.3")),
-    "beta": (D.Beta(2.2, 3.1), beta_i("2.2", "3.1", "x", 4000), "(CASE WHEN x > 0 AND x < 1 THEN exp(1.2 * ln(greatest(x, 1e-300)) + 2.1 * ln(greatest(1 - x, 1e-300)) + lgamma(5.3) - lgamma(2.2) - lgamma(3.1)) ELSE 0.0 END)"),
+    "beta": (D.Beta(2.2, 3.1), f"(CASE WHEN x > 0.5 THEN 1 - {beta_i('3.1', '2.2', '(1 - x)')} ELSE {beta_i('2.2', '3.1', 'x')} END)", "(CASE WHEN x > 0 AND x < 1 THEN exp(1.2 * ln(greatest(x, 1e-300)) + 2.1 * ln(greatest(1 - x, 1e-300)) + lgamma(5.3) - lgamma(2.2) - lgamma(3.1)) ELSE 0.0 END)"),
     "chi_squared": (D.ChiSquared(5), gamma_p("2.5", "(x / 2)"), _positive("x", "exp(1.5 * ln(greatest(x, 1e-300) / 2) - x / 2 - lgamma(2.5)) / 2")),
     "student_t": (D.StudentT(4.5), _t_cdf("x", "4.5"), f"exp(lgamma(2.75) - lgamma(2.25) - 2.75 * ln(1 + x * x / 4.5)) / sqrt(4.5 * {PI})"),
     "student_t_shifted": (D.student_unstandardized(4.5, 1, 2), _t_cdf("((x - 1) / 2)", "4.5"), f"exp(lgamma(2.75) - lgamma(2.25) - 2.75 * ln(1 + (x - 1) * (x - 1) / 18)) / sqrt(4.5 * {PI}) / 2"),
@@ -61,27 +67,30 @@ DISCRETE = {
 }
 
 
-def _grid(spark):
-    return spark.range(-40, 81).select(F.col("id").alias("i"), (F.col("id") / 8).alias("x"), ((F.col("id") + 40.5) / 121).alias("u"))
+def _orders(spark, d, **columns: str):
+    return load(spark, d, "orders").select(F.col("o_orderkey").alias("i"), *[F.expr(e).alias(n) for n, e in columns.items()])
 
 
 def _continuous(name: str, own: D.Distribution, cdf: str, pdf: str) -> None:
     def run(spark, d):
-        g = _grid(spark).select("i", "x", "u", own.ppf("u").alias("q"), own.isf("u").alias("t"))
-        return g.select("i", r(own.cdf("x")).alias("cdf"), r(own.sf("x")).alias("sf"), r(own.pdf("x")).alias("pdf"), r(F.exp(own.logpdf("x"))).alias("log_pdf"), r(own.cdf("q")).alias("quantile_back"), r(own.sf("t")).alias("upper_back"))
+        g = _orders(spark, d, x=X, u=U).select("i", "x", "u", own.ppf("u").alias("q"), own.isf("u").alias("t"))
+        columns = {"cdf": own.cdf("x"), "sf": own.sf("x"), "pdf": own.pdf("x"), "log_pdf": F.exp(own.logpdf("x")), "quantile_back": own.cdf("q"), "upper_back": own.sf("t")}
+        return g.select("i", *[r(c, 5).alias(n) for n, c in columns.items()])
 
     QUERIES[f"dist_{name}"] = run
-    SQL[f"dist_{name}"] = f"WITH {GRID} SELECT i, {sr(cdf)} AS cdf, {sr(f'1 - ({cdf})')} AS sf, {sr(pdf)} AS pdf, {sr(pdf)} AS log_pdf, {sr('u')} AS quantile_back, {sr('u')} AS upper_back FROM grid"
+    parts = {"cdf": cdf, "sf": f"1 - ({cdf})", "pdf": pdf, "log_pdf": pdf, "quantile_back": "u", "upper_back": "u"}
+    SQL[f"dist_{name}"] = f"WITH {POINTS} SELECT i, {', '.join(f'{sr(c, 5)} AS {n}' for n, c in parts.items())} FROM points"
 
 
 def _discrete(name: str, own: D.Discrete, mass: str, first: int, last: int) -> None:
     def run(spark, d):
-        g = _grid(spark)
+        g = _orders(spark, d, x=K)
         return g.select("i", r(own.cdf("x")).alias("cdf"), r(own.sf("x")).alias("sf"), r(own.pmf("x")).alias("pmf"))
 
     QUERIES[f"dist_{name}"] = run
-    SQL[f"dist_{name}"] = f"""WITH {GRID}, m AS (SELECT k::DOUBLE AS k, ({mass})::DOUBLE AS p FROM (SELECT v::DOUBLE AS k FROM range({first}, {last + 1}) t(v)))
-SELECT i, {sr('coalesce(sum(p) FILTER (WHERE k <= x), 0)')} AS cdf, {sr('1 - coalesce(sum(p) FILTER (WHERE k <= x), 0)')} AS sf, {sr('coalesce(sum(p) FILTER (WHERE k = x), 0)')} AS pmf FROM grid, m GROUP BY i, x"""
+    SQL[f"dist_{name}"] = f"""WITH {WHOLE}, m AS (SELECT k::DOUBLE AS k, ({mass})::DOUBLE AS p FROM (SELECT v::DOUBLE AS k FROM range({first}, {last + 1}) t(v))),
+e AS (SELECT x, coalesce(sum(p) FILTER (WHERE k <= x), 0) AS c, coalesce(sum(p) FILTER (WHERE k = x), 0) AS p FROM (SELECT DISTINCT x FROM points), m GROUP BY x)
+SELECT i, {sr('c')} AS cdf, {sr('1 - c')} AS sf, {sr('p')} AS pmf FROM points JOIN e USING (x)"""
 
 
 for _name, (_own, _cdf, _pdf) in CONTINUOUS.items():
@@ -90,37 +99,60 @@ for _name, (_own, _mass, _first, _last) in DISCRETE.items():
     _discrete(_name, _own, _mass, _first, _last)
 
 
-def dist_moments(spark, d):
-    """Mean, variance and entropy of every family above."""
-    rows = [(n, *(None if v is None else round(v, 5) + 0.0 for v in (x[0].mean, x[0].variance, x[0].entropy))) for n, x in {**CONTINUOUS, **DISCRETE}.items()]
-    return spark.createDataFrame(rows, "family string, mean double, variance double, entropy double")
-
-
 def _beta_prime_entropy(a: str, b: str) -> str:
     return f"lgamma({a}) + lgamma({b}) - lgamma({a} + {b}) - ({a} - 1) * ({digamma(a)} - {digamma(b)}) + ({a} + {b}) * ({digamma(f'({a} + {b})')} - {digamma(b)})"
 
 
-#: Closed forms in SQL; those of discrete families are sums of their masses.
+#: What families are fitted with, by brand: m and s, the mean and deviation of prices, and y, the mean size.
+STATS = {"m": "avg(x)", "s": "stddev_samp(x)", "y": "avg(y)"}
+#: Families: how they are made, their parameters a, b, c from m, s and y, and mean, variance and entropy in SQL.
 MOMENTS = {
-    "normal": ("1", "4", f"0.5 * ln(2 * {PI} * exp(1) * 4)"),
-    "lognormal": ("exp(0.3 + 0.18)", "(exp(0.36) - 1) * exp(0.6 + 0.36)", f"0.3 + 0.5 * ln(2 * {PI} * exp(1) * 0.36)"),
-    "exponential": ("1 / 0.7", "1 / 0.49", "1 - ln(0.7)"),
-    "gamma": ("2.5 * 1.3", "2.5 * 1.69", f"2.5 + ln(1.3) + lgamma(2.5) - 1.5 * {digamma('2.5')}"),
-    "beta": ("2.2 / 5.3", "2.2 * 3.1 / (5.3 * 5.3 * 6.3)", f"lgamma(2.2) + lgamma(3.1) - lgamma(5.3) - 1.2 * {digamma('2.2')} - 2.1 * {digamma('3.1')} + 3.3 * {digamma('5.3')}"),
-    "chi_squared": ("5", "10", f"2.5 + ln(2) + lgamma(2.5) - 1.5 * {digamma('2.5')}"),
-    "student_t": ("0", "4.5 / 2.5", f"2.75 * ({digamma('2.75')} - {digamma('2.25')}) + 0.5 * ln(4.5) + lgamma(2.25) + lgamma(0.5) - lgamma(2.75)"),
-    "student_t_shifted": ("1", "4 * 4.5 / 2.5", f"2.75 * ({digamma('2.75')} - {digamma('2.25')}) + 0.5 * ln(4.5) + lgamma(2.25) + lgamma(0.5) - lgamma(2.75) + ln(2)"),
-    "fisher_f": ("8 / 6.0", "2 * 64 * 11 / (5 * 36 * 4.0)", f"{_beta_prime_entropy('2.5', '4.0')} + ln(8 / 5.0)"),
-    "cauchy": ("NULL", "NULL", f"ln(4 * {PI} * 1.5)"),
-    "laplace": ("1", "2 * 1.44", "1 + ln(2.4)"),
-    "uniform": ("1.5", "25 / 12.0", "ln(5)"),
-    "weibull": ("2 * exp(lgamma(1 + 1 / 1.7))", "4 * (exp(lgamma(1 + 2 / 1.7)) - exp(2 * lgamma(1 + 1 / 1.7)))", "0.5772156649015329 * (1 - 1 / 1.7) + ln(2 / 1.7) + 1"),
-    "linear_transform": ("1", "4", f"0.5 * ln(2 * {PI} * exp(1) * 4)"),
+    "normal": (D.Normal, ["m", "s"], "a", "b * b", f"0.5 * ln(2 * {PI} * exp(1) * b * b)"),
+    "lognormal": (D.Lognormal, ["m / 10", "s / 10"], "exp(a + b * b / 2)", "(exp(b * b) - 1) * exp(2 * a + b * b)", f"a + 0.5 * ln(2 * {PI} * exp(1) * b * b)"),
+    "exponential": (D.Exponential, ["1 / m"], "1 / a", "1 / (a * a)", "1 - ln(a)"),
+    "gamma": (D.Gamma, ["m * m / (s * s) / 50", "s * s / m"], "a * b", "a * b * b", f"a + ln(b) + lgamma(a) + (1 - a) * {digamma('a')}"),
+    "beta": (D.Beta, ["1 + y / 20", "1 + m / 5"], "a / (a + b)", "a * b / ((a + b) * (a + b) * (a + b + 1))", f"lgamma(a) + lgamma(b) - lgamma(a + b) - (a - 1) * {digamma('a')} - (b - 1) * {digamma('b')} + (a + b - 2) * {digamma('(a + b)')}"),
+    "chi_squared": (D.ChiSquared, ["floor(y)"], "a", "2 * a", f"a / 2 + ln(2) + lgamma(a / 2) + (1 - a / 2) * {digamma('(a / 2)')}"),
+    "student_t": (D.StudentT, ["2.5 + y / 10"], "0", "a / (a - 2)", f"(a + 1) / 2 * ({digamma('((a + 1) / 2)')} - {digamma('(a / 2)')}) + 0.5 * ln(a) + lgamma(a / 2) + lgamma(0.5) - lgamma((a + 1) / 2)"),
+    "fisher_f": (D.FisherF, ["floor(y)", "5 + floor(m / 2)"], "b / (b - 2)", "2 * b * b * (a + b - 2) / (a * (b - 2) * (b - 2) * (b - 4))", f"{_beta_prime_entropy('(a / 2)', '(b / 2)')} + ln(b / a)"),
+    "cauchy": (D.Cauchy, ["m", "s"], "NULL", "NULL", f"ln(4 * {PI} * b)"),
+    "laplace": (D.Laplace, ["m", "s"], "a", "2 * b * b", "1 + ln(2 * b)"),
+    "uniform": (D.Uniform, ["m - s", "m + s"], "(a + b) / 2", "(b - a) * (b - a) / 12", "ln(b - a)"),
+    "weibull": (D.Weibull, ["1 + y / 20", "m"], "b * exp(lgamma(1 + 1 / a))", "b * b * (exp(lgamma(1 + 2 / a)) - exp(2 * lgamma(1 + 1 / a)))", "0.5772156649015329 * (1 - 1 / a) + ln(b / a) + 1"),
+    "linear_transform": (lambda a, b: D.LinearTransform.around(a, b, D.Normal(a, 1)), ["m", "s"], "a", "b * b", f"0.5 * ln(2 * {PI} * exp(1) * b * b)"),
+}
+#: Discrete families: parameters, the mass at k in SQL, and how many outcomes from the first one hold nearly all of it.
+MASSES = {
+    "binomial": (lambda n, p: D.Binomial(int(n), p), ["floor(y)", "y / 60"], "exp(lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1) + k * ln(b) + (a - k) * ln(1 - b))", "k <= a", 0),
+    "poisson": (D.Poisson, ["m / 4"], "exp(k * ln(a) - a - lgamma(k + 1))", "true", 0),
+    "geometric": (D.Geometric, ["y / 60"], "a * pow(1 - a, k - 1)", "true", 1),
+    "geometric0": (D.Geometric0, ["y / 60"], "a * pow(1 - a, k)", "true", 0),
+    "negative_binomial": (D.NegativeBinomial, ["s", "y / 60"], "exp(lgamma(k + a) - lgamma(k + 1) - lgamma(a) + a * ln(b) + k * ln(1 - b))", "true", 0),
+    "hypergeometric": (lambda m, l, k: D.Hypergeometric(int(m), int(l), int(k)), ["floor(y / 2)", "floor(y)", "floor(y / 3)"], "exp(lgamma(a + 1) - lgamma(k + 1) - lgamma(a - k + 1) + lgamma(b - a + 1) - lgamma(c - k + 1) - lgamma(b - a - c + k + 1) - lgamma(b + 1) + lgamma(c + 1) + lgamma(b - c + 1))", "k <= a AND k <= c AND k >= a + c - b", 0),
+    "discrete_uniform": (lambda a, b: D.DiscreteUniform(int(a), int(b)), ["floor(m)", "floor(m + y)"], "1 / (b - a + 1)", "k BETWEEN a AND b", 0),
 }
+
+
+def dist_moments(spark, d):
+    """Mean, variance and entropy of every family with parameters from each brand's prices and sizes."""
+    own = parts(spark, d).groupBy("g").agg(*[F.expr(e).alias(n) for n, e in STATS.items()])
+    made = {n: x[:2] for n, x in {**MOMENTS, **MASSES}.items()}
+    each = [F.struct(F.lit(n).alias("family"), D.moments(make, *map(F.expr, given)).alias("m")) for n, (make, given) in made.items()]
+    flat = own.select("g", F.explode(F.array(*each)).alias("e"))
+    return flat.select("g", "e.family", *[r(f"e.m.{n}", 5).alias(n) for n in ("mean", "variance", "entropy")])
+
+
+def _given(given: list[str]) -> str:
+    return ", ".join(f"({e})::DOUBLE AS {n}" for n, e in zip("abc", given, strict=False))
+
+
 QUERIES["dist_moments"] = dist_moments
-SQL["dist_moments"] = " UNION ALL ".join(
-    [f"SELECT '{n}' AS family, {sr(m, 5)} AS mean, {sr(v, 5)} AS variance, {sr(e, 5)} AS entropy" for n, (m, v, e) in MOMENTS.items()]
-    + [f"SELECT '{n}', {sr('sum(k * p)', 5)}, {sr('sum(k * k * p) - pow(sum(k * p), 2)', 5)}, {sr('-sum(p * ln(p))', 5)} FROM (SELECT k, ({x[1]})::DOUBLE AS p FROM (SELECT v::DOUBLE AS k FROM range({x[2]}, {x[3] + 1}) t(v)))" for n, x in DISCRETE.items()]
+SQL["dist_moments"] = f"WITH {PARTS}, st AS (SELECT g, {', '.join(f'{e} AS {n}' for n, e in STATS.items())} FROM pa GROUP BY g) " + " UNION ALL ".join(
+    [f"SELECT g, '{n}' AS family, {sr(m, 5)} AS mean, {sr(v, 5)} AS variance, {sr(e, 5)} AS entropy FROM (SELECT g, {_given(x)} FROM st)" for n, (_, x, m, v, e) in MOMENTS.items()]
+    + [
+        f"SELECT g, '{n}', {sr('sum(k * p)', 5)}, {sr('sum(k * k * p) - pow(sum(k * p), 2)', 5)}, {sr('-sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END)', 5)} FROM (SELECT g, k, ({mass})::DOUBLE AS p FROM (SELECT g, {_given(x)} FROM st), (SELECT v::DOUBLE AS k FROM range({low}, 400) t(v)) WHERE {where}) GROUP BY g"
+        for n, (_, x, mass, where, low) in MASSES.items()
+    ]
 )
 
 
@@ -148,21 +180,35 @@ QUERIES["fit_laplace"] = fit_laplace_query
 SQL["fit_laplace"] = f"WITH {ORDERS}, m AS ({quantile_sql('ord', 'g', 'x', 1, 2, MEDIAN_UNBIASED)}) SELECT g, {sr('max(v)')} AS location, {sr('avg(abs(x - v))')} AS scale FROM ord JOIN m USING (g) GROUP BY g"
 
 
+#: The variate that u gives, in SQL, where that is a formula; those of Poisson count cumulated masses.
+INVERSES = {
+    "exponential": "-ln(1 - u) / 0.7",
+    "cauchy": f"0.5 + 1.5 * tan({PI} * (u - 0.5))",
+    "laplace": "(CASE WHEN u < 0.5 THEN 1 + 1.2 * ln(2 * u) ELSE 1 - 1.2 * ln(2 * (1 - u)) END)",
+    "uniform": "5 * u - 1",
+    "weibull": "2 * pow(-ln(1 - u), 1 / 1.7)",
+    "geometric": "floor(ln(u) / ln(1 - 0.35)) + 1",
+    "geometric0": "floor(ln(u) / ln(1 - 0.35))",
+    "discrete_uniform": "floor(u * 7) + 2",
+    "poisson": "(SELECT count(*) FROM (SELECT sum(p) OVER (ORDER BY k) AS c FROM masses) WHERE c < u)",
+}
+
+
 def _sample(name: str, own: D.Distribution) -> None:
-    """Variates are near their distribution: the KS distance of 20,000 is below 0.012, and moments are near."""
+    """A variate an order, from a hash of its key: its value, and for continuous families its probability again."""
 
     def run(spark, d):
-        from quantalake.operators.hypothesis import ks_d
-
-        own_rows = spark.range(20000).select(own.sample(7, "id").cast("double").alias("v"))
-        if own.discrete:
-            near = own_rows.agg((F.abs(F.avg("v") - own.mean) < 0.05 * own.std + 0.01).alias("near"), F.count("*").alias("n"))
-        else:
-            near = ks_d(own_rows, [], "v", own.cdf).select((F.col("d") < 0.012).alias("near"), "n")
-        return near.select("near", "n")
+        u = (F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string").cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
+        own_rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("i"), u.alias("u")).withColumn("v", own.variate("u"))
+        columns = {"v": r(F.col("v").cast("double"), 5)} if name in INVERSES else {}
+        if not own.discrete:
+            columns["back"] = r(own.cdf("v"), 5)
+        return own_rows.select("i", *[c.alias(n) for n, c in columns.items()])
 
     QUERIES[f"sample_{name}"] = run
-    SQL[f"sample_{name}"] = "SELECT true AS near, 20000::BIGINT AS n"
+    columns = [f"{sr(INVERSES[n], 5)} AS v" for n in INVERSES if n == name] + [f"{sr('u', 5)} AS back"] * (not own.discrete)
+    masses = ", masses AS (SELECT k, (exp(k * ln(2.6) - 2.6 - lgamma(k + 1)))::DOUBLE AS p FROM (SELECT v::DOUBLE AS k FROM range(0, 61) t(v)))" if name == "poisson" else ""
+    SQL[f"sample_{name}"] = f"WITH {HASHED}{masses} SELECT i, {', '.join(columns)} FROM hashed"
 
 
 for _name, _x in {**CONTINUOUS, **{k: v for k, v in DISCRETE.items() if k in ("poisson", "geometric", "geometric0", "discrete_uniform")}}.items():

@@ -89,12 +89,16 @@ def autocorrelation(spark, d):
 # Confidence intervals: the ends are compared by the probabilities that they leave outside.
 
 
-@query(f"SELECT v::BIGINT AS n, {sr(f'2 * (1 - {phi("v / 2.0")})')} AS two, {sr(f'1 - {phi("v / 2.0")}')} AS one, v / 2.0 AS back FROM range(1, 9) t(v)")
+@query(f"""WITH {ORDERS}, z AS (SELECT k, abs(x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM ord WINDOW w AS (PARTITION BY g))
+SELECT k, {sr('z')} AS z, {sr(f'2 * (1 - {phi("z")})', 5)} AS two, {sr(f'1 - {phi("z")}', 5)} AS one, {sr('z', 5)} AS back, {sr('z', 5)} AS back_one FROM z""")
 def n_sigma(spark, d):
-    own = spark.range(1, 9).select(F.col("id").alias("n"), (F.col("id") / 2).alias("z"))
+    """How many deviations an order's price is from its priority's mean, as probabilities and back."""
+    own = orders(spark, d)
+    stats = own.groupBy("g").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    own = own.join(stats, "g").select("k", (F.abs(F.col("x") - F.col("mean")) / F.col("sd")).alias("z"))
     p = Normal().sf("z")
-    own = own.select("n", (2 * p).alias("two"), p.alias("one"))
-    return own.select("n", r("two").alias("two"), r("one").alias("one"), r(I.get_n_sigma("two")).alias("back"))
+    own = own.select("k", "z", (2 * p).alias("two"), p.alias("one"))
+    return own.select("k", r("z").alias("z"), r("two", 5).alias("two"), r("one", 5).alias("one"), r(I.get_n_sigma("two"), 5).alias("back"), r(I.get_n_sigma_1("one"), 5).alias("back_one"))
 
 
 LABELS = "la AS (SELECT lang AS g, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS k FROM labels JOIN documents USING (doc_id) GROUP BY lang)"
@@ -194,24 +198,32 @@ def mannwhitney_u(spark, d):
     return T.mann_whitney_u(customers(spark, d), ["g"], F.col("a"), "x")
 
 
-@query(f"""{RANKSUM.replace("WITH ", "WITH RECURSIVE ", 1)}, {SUBSETS}, lim AS (SELECT m, n, max(u) FILTER (WHERE below < 0.2::DOUBLE * ways) AS crit FROM cum_u GROUP BY m, n)
-SELECT g, n1, n2, u1, u2, CASE WHEN n1 > 20 OR n2 > 20 THEN 2 * (1 - {phi('abs(n1 * n2 / 2 - u1) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12)')}) < 0.2 ELSE least(u1, u2) <= crit END AS significant
+#: Each BUILDING customer stands in four groups, against one other segment of its nation each.
+RIVALS = """cp AS (SELECT c_nationkey AS g, s, c_mktsegment = 'BUILDING' AS a, c_acctbal / 1000 AS x FROM customer, (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment <> 'BUILDING') WHERE c_mktsegment IN ('BUILDING', s))"""
+RIVAL_SUMS = f"WITH RECURSIVE {RIVALS}, k AS (SELECT g, s, a, {ranks('cp', 'g, s', 'x')} AS r FROM cp), w AS (SELECT g, s, count(*) FILTER (WHERE a) AS n1, count(*) FILTER (WHERE NOT a) AS n2, coalesce(sum(r) FILTER (WHERE a), 0) AS w1, coalesce(sum(r) FILTER (WHERE NOT a), 0) AS w2 FROM k GROUP BY g, s), u AS (SELECT *, w1 - n1 * (n1 + 1) / 2 AS u1, w2 - n2 * (n2 + 1) / 2 AS u2 FROM w)"
+
+
+def _rivals(spark, d):
+    own = customers(spark, d)
+    others = [r.s for r in own.select("s").distinct().collect() if r.s != "BUILDING"]  # a row a segment
+    each = F.when(F.col("a"), F.array(*map(F.lit, sorted(others)))).otherwise(F.array("s"))
+    return own.select("g", F.explode(each).alias("s"), "a", "x")
+
+
+@query(f"""{RIVAL_SUMS}, {SUBSETS}, lim AS (SELECT m, n, max(u) FILTER (WHERE below < 0.2::DOUBLE * ways) AS crit FROM cum_u GROUP BY m, n)
+SELECT g, s, n1, n2, u1, u2, CASE WHEN n1 > 20 OR n2 > 20 THEN 2 * (1 - {phi('abs(n1 * n2 / 2 - u1) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12)')}) < 0.2 ELSE least(u1, u2) <= crit END AS significant
 FROM u LEFT JOIN lim ON m = n1 AND n = n2""")
 def mannwhitney_test(spark, d):
-    return T.mann_whitney_test(customers(spark, d), ["g"], F.col("a"), "x", 0.2)
+    """Pairs of segments of a nation: exact for small ones, by the normal approximation for others."""
+    return T.mann_whitney_test(_rivals(spark, d), ["g", "s"], F.col("a"), "x", 0.2)
 
 
-@query(f"WITH RECURSIVE {SUBSETS} SELECT m::BIGINT AS m, n::BIGINT AS n, (max(u) FILTER (WHERE below < 0.025::DOUBLE * ways))::BIGINT AS crit FROM cum_u GROUP BY m, n")
+@query(f"""{RIVAL_SUMS}, {SUBSETS}, lim AS (SELECT m, n, max(u) FILTER (WHERE below < 0.025::DOUBLE * ways) AS crit FROM cum_u GROUP BY m, n)
+SELECT g, s, n1, n2, crit::BIGINT AS crit FROM w LEFT JOIN lim ON m = n1 AND n = n2 WHERE n1 <= 20 AND n2 <= 20""")
 def mannwhitney_crit(spark, d):
-    """The table of critical values for samples of 1 to 20; tested against published ones too."""
-    import numpy as np
-
-    from quantalake.functions import special
-
-    own = spark.range(400).select((F.floor(F.col("id") / 20) + 1).alias("m"), (F.col("id") % 20 + 1).alias("n"))
-    f = lambda m, n: np.array([np.nan if (c := T.mann_whitney_critical(int(a), int(b), 0.025)) is None else c for a, b in zip(m, n, strict=True)], float)
-    v = special.column(f, F.col("m").cast("double"), F.col("n").cast("double"))
-    return own.withColumn("crit", F.when(~F.isnan(v), v.cast("long")))
+    """The critical values for the sizes of segments; those of published tables are in the tests."""
+    own = _rivals(spark, d).groupBy("g", "s").agg(F.count_if("a").alias("n1"), F.count_if(~F.col("a")).alias("n2")).where("n1 <= 20 and n2 <= 20")
+    return own.withColumn("crit", T.mann_whitney_critical_value("n1", "n2", 0.025))
 
 
 SIGNED = f"WITH {PAIRS}, dd AS (SELECT g, round(a - b, 6) AS d FROM pr WHERE round(a - b, 6) <> 0), k AS (SELECT g, d, {ranks('dd', 'g', 'abs(d)')} AS r FROM dd), t AS (SELECT g, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS t_plus, (0 - coalesce(sum(r) FILTER (WHERE d < 0), 0)) + 0.0 AS t_minus FROM k GROUP BY g)"
@@ -226,30 +238,34 @@ def wilcoxon_signed_rank(spark, d):
     return T.signed_ranks(_differences(spark, d), ["g"], "a", "b")
 
 
-@query(f"""{SIGNED.replace("WITH ", "WITH RECURSIVE ", 1)}, {SIGNS}, lim AS (SELECT n, max(t) FILTER (WHERE p <= 0.025::DOUBLE) AS crit FROM cum_t GROUP BY n),
-every AS (SELECT DISTINCT pr.g, coalesce(n, 0) AS n, coalesce(t_plus, 0) AS t_plus, coalesce(t_minus, 0) AS t_minus, least(t_plus, -t_minus) AS low FROM pr LEFT JOIN t ON pr.g = t.g)
-SELECT g, e.n, t_plus::DOUBLE AS t_plus, t_minus::DOUBLE AS t_minus,
+#: Half of the suppliers by year, half as a whole, so that there are few and many pairs.
+SPANS = "pr AS (SELECT l_suppkey AS g, CASE WHEN l_suppkey % 2 = 0 THEN year(l_shipdate) ELSE 0 END AS y, round(l_quantity - l_discount * 500, 6) AS d FROM lineitem)"
+SPAN_SUMS = f"""WITH RECURSIVE {SPANS}, dd AS (SELECT * FROM pr WHERE d <> 0), k AS (SELECT g, y, d, {ranks('dd', 'g, y', 'abs(d)')} AS r FROM dd),
+t AS (SELECT g, y, count(*) AS n, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS t_plus, (0 - coalesce(sum(r) FILTER (WHERE d < 0), 0)) + 0.0 AS t_minus FROM k GROUP BY g, y), {SIGNS}"""
+
+
+def _spans(spark, d):
+    year = F.when(F.col("l_suppkey") % 2 == 0, F.year("l_shipdate")).otherwise(0).cast("long")
+    return load(spark, d, "lineitem").select(F.col("l_suppkey").alias("g"), year.alias("y"), F.round(F.col("l_quantity") - F.col("l_discount") * 500, 6).alias("a"), F.lit(0.0).alias("b"))
+
+
+@query(f"""{SPAN_SUMS}, lim AS (SELECT n, max(t) FILTER (WHERE p <= 0.025::DOUBLE) AS crit FROM cum_t GROUP BY n),
+every AS (SELECT DISTINCT pr.g, pr.y, coalesce(n, 0) AS n, coalesce(t_plus, 0) AS t_plus, coalesce(t_minus, 0) AS t_minus, least(t_plus, -t_minus) AS low FROM pr LEFT JOIN t ON pr.g = t.g AND pr.y = t.y)
+SELECT g, y, e.n, t_plus::DOUBLE AS t_plus, t_minus::DOUBLE AS t_minus,
 {sr('least(1, 2 * CASE WHEN e.n < 100 THEN c.p ELSE ' + phi('((low - e.n * (e.n + 1) / 4) / sqrt(e.n * (e.n + 1) * (2 * e.n + 1) / 24))') + ' END)')} AS p,
 CASE WHEN e.n < 100 THEN low <= crit ELSE low <= round(e.n * (e.n + 1) / 4 - 1.959963984540054::DOUBLE * sqrt(e.n * (e.n + 1) * (2 * e.n + 1) / 24)) END AS significant
 FROM every e LEFT JOIN cum_t c ON c.n = e.n AND c.t = floor(low) LEFT JOIN lim ON lim.n = e.n""")
 def wilcoxon_test(spark, d):
-    pairs = _differences(spark, d)
-    own = T.wilcoxon_signed_rank_test(pairs.where("a <> b"), ["g"], "a", "b", p=0.05)
-    every = pairs.select("g").distinct().join(own, "g", "left")  # where no pair differs there is no test
-    return rounded(every.fillna({"n": 0, "t_plus": 0.0, "t_minus": 0.0}), "p")
+    """Exact for few pairs, by the normal approximation for many; null where no pair differs."""
+    return rounded(T.wilcoxon_signed_rank_test(_spans(spark, d), ["g", "y"], "a", "b", p=0.05), "p")
 
 
-@query(f"""WITH RECURSIVE {SIGNS} SELECT v::BIGINT AS n, CASE WHEN v < 100 THEN max(t) FILTER (WHERE p <= 0.05::DOUBLE) ELSE round(v * (v + 1) / 4 - 1.6448536269514722::DOUBLE * sqrt(v * (v + 1) * (2 * v + 1) / 24)) END::BIGINT AS crit
-FROM range(1, 121) r(v) LEFT JOIN cum_t ON n = v GROUP BY v""")
+@query(f"""{SPAN_SUMS}, lim AS (SELECT n, max(t) FILTER (WHERE p <= 0.05::DOUBLE) AS crit FROM cum_t GROUP BY n)
+SELECT g, y, t.n, CASE WHEN t.n < 100 THEN crit ELSE round(t.n * (t.n + 1) / 4 - 1.6448536269514722::DOUBLE * sqrt(t.n * (t.n + 1) * (2 * t.n + 1) / 24)) END::BIGINT AS crit FROM t LEFT JOIN lim ON lim.n = t.n""")
 def wilcoxon_crit(spark, d):
-    """The table of critical values for 1 to 120 pairs; tested against published ones too."""
-    import numpy as np
-
-    from quantalake.functions import special
-
-    f = lambda n: np.array([np.nan if (c := T.signed_rank_critical(int(k), 0.05)) is None else c for k in n], float)
-    v = special.column(f, F.col("n").cast("double"))
-    return spark.range(1, 121).withColumnRenamed("id", "n").withColumn("crit", F.when(~F.isnan(v), v.cast("long")))
+    """The critical values for the numbers of pairs that differ; those of published tables are in the tests."""
+    own = _spans(spark, d).where("a <> b").groupBy("g", "y").agg(F.count("*").alias("n"))
+    return own.withColumn("crit", T.signed_rank_critical_value("n", 0.05))
 
 
 
@@ -307,17 +323,12 @@ def ks_one(spark, d):
     return rounded(T.ks_test(customers(spark, d), ["g"], "x", Uniform(-1, 10).cdf), "d", "p")
 
 
-@query(f"""WITH RECURSIVE grid AS (SELECT v::BIGINT AS n, (0.4 / sqrt(v::DOUBLE) + v / 2000::DOUBLE) AS d FROM range(1, 201) t(v)), {ks_sql('grid', 'n').replace('SELECT n, n, d', 'SELECT n, d').replace('SELECT n, n, k', 'SELECT n, k')}
-SELECT n, d, {sr('p')} AS p FROM grid JOIN ks_p USING (n)""")
+@query(f"""WITH RECURSIVE {PARTS}, sizes AS (SELECT g, count(*) AS n, 0.4::DOUBLE / sqrt(count(*)) + avg(y) / 1000 AS d FROM pa GROUP BY g), {ks_sql('sizes', 'g')}
+SELECT g, n, {sr('d')} AS d, {sr('p')} AS p FROM sizes JOIN ks_p USING (g)""")
 def ks_prob(spark, d):
-    """P(D < d) on a grid; tested against published values too."""
-    import numpy as np
-
-    from quantalake.functions import special
-
-    own = spark.range(1, 201).select(F.col("id").alias("n"), (0.4 / F.sqrt(F.col("id")) + F.col("id") / 2000).alias("d"))
-    f = lambda n, x: np.array([T.ks_probability(int(a), float(b)) for a, b in zip(n, x, strict=True)], float)
-    return own.withColumn("p", r(special.column(f, F.col("n").cast("double"), F.col("d"))))
+    """P(D < d) for the number of parts of each brand; published values are in the tests."""
+    own = parts(spark, d).groupBy("g").agg(F.count("*").alias("n"), (0.4 / F.sqrt(F.count("*")) + F.avg("y") / 1000).alias("d"))
+    return own.select("g", "n", r("d").alias("d"), r(T.ks_probability_of("n", "d")).alias("p"))
 
 
 

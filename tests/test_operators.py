@@ -169,8 +169,8 @@ def test_rank_tests(spark):
     rank = lambda v: sum(abs(w) < abs(v) for w in d) + (sum(abs(w) == abs(v) for w in d) + 1) / 2
     assert (got[1].n, got[1].t_plus, got[1].t_minus) == (len(d), sum(rank(v) for v in d if v > 0), -sum(rank(v) for v in d if v < 0))
     assert (got[2].n, got[2].t_plus, got[2].t_minus) == (0, 0, 0)
-    with pytest.raises(Exception, match="equal"):
-        T.wilcoxon_signed_rank_test(pairs.where("g = 2"), ["g"], "x", "y").collect()
+    got = {r.g: r for r in T.wilcoxon_signed_rank_test(pairs, ["g"], "x", "y", p=0.05).collect()}
+    assert got[1].p is not None and (got[2].n, got[2].p, got[2].significant) == (0, None, None)  # all pairs are equal
 
 
 def test_t_tests(spark):

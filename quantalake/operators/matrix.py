@@ -6,7 +6,7 @@ Entries that aren't there aren't zeros: matrices are dense, with a row of the ta
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantalake.functions import ieee
+from quantalake.sources.scratch import stored
 
 
 def from_rows(df: DataFrame, i: str, values: str) -> DataFrame:
@@ -147,7 +148,8 @@ def _gram_schmidt(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def qr(a: DataFrame, by: list[str]) -> DataFrame:
-    """``by``, part (q or r), i, j, v of many small matrices, one a group, each in a task; a column of zeros gives NaN."""
+    """``by``, part (q or r), i, j, v of many small matrices, one a group, each in a task; a column of zeros gives NaN.
+    For a matrix with more rows than a task holds there is ``qr_tall``."""
     kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
 
     def solve(table: pa.Table) -> pa.Table:
@@ -163,63 +165,181 @@ def qr(a: DataFrame, by: list[str]) -> DataFrame:
     return a.groupBy(*by).applyInArrow(solve, "".join(f"{b} {kinds[b]}, " for b in by) + "part string, i long, j long, v double")
 
 
-# Least squares: a long table with a column for each predictor
+# Tall matrices: a table with a column for each column of the matrix, in as many partitions as it needs
 
+#: Rows of a group that are gathered before they are reduced, rows of all groups that a task holds, and how many factors
+#: of a group are merged at a time.
+GATHER, HELD, MERGE = 1024, 1 << 18, 64
+#: A column whose part that is new has less than this share of its length depends on those before it.
+DEPENDENT = 1e-13
 
-def _solve(k: int) -> Callable:
-    def run(xtx: pa.Array, xty: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(xtx.to_pylist(), xty.to_pylist(), strict=True):
-            m, y = np.array(a, float).reshape(k, k), np.array(b, float)
-            scale = 1 / np.sqrt(np.where(np.diag(m) > 0, np.diag(m), 1))
-            try:
-                own = scale * np.linalg.solve(m * np.outer(scale, scale), y * scale)
-            except np.linalg.LinAlgError:
-                own = np.full(k, np.nan)
-            out.append(own)
-        return pa.array(out, pa.list_(pa.float64()))
 
-    return run
+def _reduced(m: np.ndarray) -> np.ndarray:
+    """The factor R of some rows, with diagonal elements that aren't negative; the rows themselves while they are few."""
+    if len(m) <= m.shape[1]:
+        return m
+    r = np.linalg.qr(m, "r")
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 
 
-def ols(df: DataFrame, by: list[str], predictors: list[str], response: str) -> DataFrame:
-    """``by`` and coefficients (array, a number a predictor), by the normal equations: one aggregate, whatever n is.
+def _full(m: np.ndarray) -> np.ndarray:
+    """R as a square matrix, also of fewer rows than columns."""
+    k = m.shape[1]
+    return _reduced(np.vstack([m, np.zeros((k + 1, k))])) + 0.0
+
+
+def triangular(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """``by``, r (array: the square factor R of A = Q R, row by row, diagonal not negative) and n, the rows of A.
 
-    The sums are about the means where there is a constant predictor, so that they keep their digits. A group with
-    fewer rows than predictors is an error; dependent predictors give NaN.
+    A group's rows may lie in any number of partitions. Each task reduces what it has of a group, 1024 rows at a time,
+    to one small factor by Householder's reflections; factors are merged in a tree, MERGE at a time. So digits are lost
+    by the condition of A alone, not by its square, and a group with most of the rows is spread over tasks. Rows with
+    a null are left out.
     """
+    return _triangular(df, by, columns).withColumnsRenamed({"__r": "r", "__n": "n"})
+
+
+def _triangular(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    kinds, k = {f.name: f.dataType.simpleString() for f in df.schema.fields}, len(columns)
+    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "__task long, __n long, __r array<double>"
+    own = df.select(*by, F.spark_partition_id().cast("long").alias("__task"), *[F.col(c).cast("double").alias(f"__c{n}") for n, c in enumerate(columns)]).dropna(subset=[f"__c{n}" for n in range(k)])
+    names = [*by, "__task", "__n", "__r"]
+
+    def rows(found: dict) -> pa.Table:
+        keys = list(found)
+        columns = [pa.array([key[n] for key in keys], t) for n, t in enumerate(found.types)]
+        return pa.table([*columns, pa.array([n for n, _ in found.values()], pa.int64()), pa.array([_reduced(m).ravel().tolist() for _, m in found.values()], pa.list_(pa.float64()))], names=names)
+
+    class Found(dict):
+        types: list
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found()
+        held = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found.types = [batch.schema.field(n).type for n in range(len(by) + 1)]
+            m = np.column_stack([batch.column(len(by) + 1 + n).to_numpy() for n in range(k)])
+            keys = list(zip(*(batch.column(n).to_pylist() for n in range(len(by) + 1)), strict=True))
+            places: dict = {}
+            for at, key in enumerate(keys) if by else ():
+                places.setdefault(key, []).append(at)
+            for key, at in places.items() if by else ((keys[0], slice(None)),):
+                part = m[at]
+                for a in range(0, len(part), GATHER):
+                    n, r = found.get(key, (0, np.zeros((0, k))))
+                    piece = part[a : a + GATHER]
+                    joined = np.vstack([r, piece])
+                    held += len(piece)
+                    found[key] = (n + len(piece), _reduced(joined) if len(joined) >= GATHER else joined)
+            if held > HELD:
+                yield from rows(found).to_batches()
+                found, held = Found(), 0
+        if found:
+            yield from rows(found).to_batches()
+
+    def merge(table: pa.Table) -> pa.Table:
+        m = np.array(table["__r"].combine_chunks().flatten().to_pylist()).reshape(-1, k)
+        while len(m) > GATHER:
+            m = np.vstack([_reduced(m[a : a + GATHER]) for a in range(0, len(m), GATHER)])
+        same = [table[c].take(pa.array([0])) for c in [*by, "__task"]]
+        return pa.table([*same, pa.array([sum(table["__n"].to_pylist())], pa.int64()), pa.array([_reduced(m).ravel().tolist()], pa.list_(pa.float64()))], names=names)
+
+    parts = own.mapInArrow(reduce, schema)
+    for _ in range(2):  # up to MERGE factors a task, then the rest: 64 x 64 tasks, or 64 rows of them
+        parts = parts.withColumn("__task", F.floor(F.col("__task") / MERGE).cast("long")).groupBy(*by, "__task").applyInArrow(merge, schema)
+    last = parts.withColumn("__task", F.lit(0).cast("long")).groupBy(*by, "__task").applyInArrow(merge, schema)
+
+    @F.arrow_udf("array<double>")
+    def square(column: pa.Array) -> pa.Array:
+        return pa.array([_full(np.array(r, float).reshape(-1, k)).ravel().tolist() for r in column.to_pylist()], pa.list_(pa.float64()))
+
+    return last.select(*by, square("__r").alias("__r"), "__n")
+
+
+def qr_tall(df: DataFrame, by: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(q, r) of one tall matrix a group. q: ``df`` with the columns of the matrix replaced by those of Q; r: ``by``, i,
+    j, v. Dependent columns give NaN.
+
+    Rows of Q solve q R = a, column by column. They are orthonormal but for the condition of A; so Q is factored once
+    more, and both factors are multiplied: two passes over the rows, where they lie.
+    """
+    k = len(columns)
+    kept = df.dropna(subset=columns)
+
+    def solved(rows: DataFrame, factor: DataFrame) -> DataFrame:
+        own = factor.select(*by, F.col("__r").alias("__f"))
+        out = rows.join(own, by) if by else rows.crossJoin(F.broadcast(own))  # a single row
+        for j, c in enumerate(columns):
+            above = sum((F.col(f"__q{m}") * F.col("__f")[m * k + j] for m in range(j)), F.lit(0.0))
+            on = F.col("__f")[j * k + j]
+            size = F.sqrt(sum((F.col("__f")[m * k + j] * F.col("__f")[m * k + j] for m in range(j + 1)), F.lit(0.0)))
+            out = out.withColumn(f"__q{j}", F.when(on <= DEPENDENT * size, F.lit(float("nan"))).otherwise((F.col(c).cast("double") - above) / on))
+        return out.select(*[c for c in df.columns if c not in columns], *[F.col(f"__q{j}").alias(c) for j, c in enumerate(columns)])
+
+    first = stored(_triangular(kept, by, columns), "factors")
+    rough = solved(kept, first)
+    second = stored(_triangular(rough, by, columns), "factors")
+    last = second.select(*by, F.col("__r").alias("__second"))
+    pair = last.join(first, by) if by else last.crossJoin(F.broadcast(first))  # a single row
+    cells = pair.select(*by, "__second", "__r", F.explode(F.sequence(F.lit(0), F.lit(k * k - 1))).alias("__at"))
+    i, j = F.floor(F.col("__at") / k), F.col("__at") % k
+    value = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda acc, m: acc + F.get("__second", (i * k + m).cast("int")) * F.get("__r", (m * k + j).cast("int")))
+    return solved(rough, second), cells.select(*by, i.cast("long").alias("i"), j.cast("long").alias("j"), value.alias("v"))
+
+
+# Least squares: a long table with a column for each predictor
+
+
+def _solved(k: int, constant: bool):
+    """Coefficients and r2 from the factor of (predictors, response); with ``constant``, the first column is one, and its
+    coefficient comes last."""
+    kind = pa.struct([("coefficients", pa.list_(pa.float64())), ("r2", pa.float64())])
+
+    def one(m: np.ndarray) -> dict:
+        r, z, rest = m[:k, :k], m[:k, k], m[k, k] ** 2
+        size = np.sqrt((r * r).sum(0))
+        dependent = (np.diag(r) <= DEPENDENT * size).any()
+        own = np.full(k, np.nan) if dependent else np.linalg.solve(r / size, z) / size
+        total = (m[1:, k] ** 2).sum() if constant else np.nan
+        if total <= (1e-13 * np.abs(m[:, k]).max(initial=0)) ** 2:
+            r2 = 1.0  # a constant response
+        else:
+            r2 = min(1.0, max(0.0, 1 - rest / total))
+        return {"coefficients": [*own[1:], own[0]] if constant else own.tolist(), "r2": None if dependent else float(r2)}
+
+    @F.arrow_udf("struct<coefficients:array<double>,r2:double>")
+    def run(column: pa.Array) -> pa.Array:
+        with np.errstate(all="ignore"):
+            return pa.array([one(np.array(r, float).reshape(k + 1, k + 1)) for r in column.to_pylist()], kind)
+
+    return run
+
+
+def _fitted(df: DataFrame, by: list[str], predictors: list[str], response: str, constant: bool) -> DataFrame:
     if not predictors:
         raise ValueError("there must be a predictor")
-    k, xs = len(predictors), [F.col(p).cast("double") for p in predictors]
-    y = F.col(response).cast("double")
-    sums = [F.sum(a * b) for a in xs for b in xs]
-    own = df.groupBy(*by).agg(F.array(*sums).alias("xtx"), F.array(*[F.sum(a * y) for a in xs]).alias("xty"), F.count("*").alias("n"))
-    solve = F.arrow_udf(_typed(_solve(k)), "array<double>")
-    enough = F.assert_true(F.col("n") >= k, F.lit("fewer rows than columns")).isNull()
-    return own.select(*by, F.when(enough, solve("xtx", "xty")).alias("coefficients"))
+    names = ["__one"] * constant + predictors + [response]
+    own = _triangular(df.withColumn("__one", F.lit(1.0)) if constant else df, by, names)
+    k = len(names) - 1
+    enough = F.assert_true(F.col("__n") >= k, F.lit("fewer rows than columns")).isNull()
+    return own.select(*by, F.when(enough, _solved(k, constant)("__r")).alias("__f"))
 
 
-def _typed(f: Callable) -> Callable:
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        return f(a, b)
+def ols(df: DataFrame, by: list[str], predictors: list[str], response: str) -> DataFrame:
+    """``by`` and coefficients (array, a number a predictor), from the factor of (predictors, response): one pass.
 
-    return run
+    A group with fewer rows than predictors is an error; dependent predictors give NaN; rows with a null are left out.
+    """
+    return _fitted(df, by, predictors, response, False).select(*by, F.col("__f.coefficients").alias("coefficients"))
 
 
 def ols_regress(df: DataFrame, by: list[str], predictors: list[str], response: str) -> DataFrame:
-    """``by``, coefficients (the intercept is the last one) and r2."""
-    own = df.groupBy(*by).agg(*[F.avg(c).alias(f"__m_{c}") for c in [*predictors, response]])
-    centred = df.join(own, by) if by else df.crossJoin(F.broadcast(own))  # a single row
-    names = [f"__c{n}" for n in range(len(predictors))]
-    shifted = centred.select(*by, *[F.col(c) for c in [*predictors, response]], *[(F.col(p) - F.col(f"__m_{p}")).alias(n) for p, n in zip(predictors, names, strict=True)], (F.col(response) - F.col(f"__m_{response}")).alias("__y"), *[F.col(f"__m_{c}") for c in [*predictors, response]])
-    slopes = ols(shifted, by, names, "__y")
-    means = own
-    fitted = slopes.join(means, by) if by else slopes.crossJoin(F.broadcast(means))  # a single row
-    intercept = F.col(f"__m_{response}")
-    for n, p in enumerate(predictors):
-        intercept = intercept - F.col("coefficients")[n] * F.col(f"__m_{p}")
-    fitted = fitted.select(*by, F.concat("coefficients", F.array(intercept)).alias("coefficients"))
-    return r_square(df.withColumn("__one", F.lit(1.0)), by, [*predictors, "__one"], response, fitted)
+    """``by``, coefficients (the intercept is the last one) and r2, in one pass: below the row of the constant, the last
+    column of the factor has the response's sum of squares about its mean, and its last element what isn't explained.
+    A constant response has an r2 of 1."""
+    return _fitted(df, by, predictors, response, True).select(*by, "__f.coefficients", "__f.r2")
 
 
 def r_square(df: DataFrame, by: list[str], predictors: list[str], response: str, fitted: DataFrame) -> DataFrame:

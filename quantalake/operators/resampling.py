@@ -1,11 +1,19 @@
 """Jackknife and bootstrap.
 
-Replicate r draws n rows with replacement: draw k takes the row at floor(n u), where u is a hash of (seed, group, r, k);
-so results don't depend on partitions or retries. Replicates are rows, and draws are joined with the sample by place.
+A replicate draws n rows with replacement. For estimators of moments no draw is ever a row: how often a replicate draws
+from each block of places is a multinomial number, split by a tree of binomials that the seed, the group and the node
+decide; within its block a task draws that many places, counts them, and sums moments weighted by the counts. Every
+block finds its own numbers by walking down the tree, so blocks need nothing of each other, and results don't depend on
+partitions or retries. Other estimators join rows with draws: draw k of replicate r takes the row at floor(n u), where u
+is a hash of (seed, group, r, k).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +21,7 @@ from quantalake.functions import aggregates, ieee
 from quantalake.functions.distributions import Normal, uniform
 from quantalake.operators.inference import CL
 from quantalake.operators.matrix import interval_places, ols_regress
+from quantalake.sources.scratch import stored
 
 #: An estimator is a name of these, or a function from a column to an aggregate.
 ESTIMATORS = {"mean": aggregates.mean, "variance": aggregates.variance, "variance_unbiased": aggregates.variance_unbiased, "std_dev": aggregates.std_dev}
@@ -35,29 +44,100 @@ def _draws(df: DataFrame, by: list[str], idx: str, replicates: int, seed: int) -
     return draws.select(*by, "rep", place.alias(idx))
 
 
+#: What part of the sample's deviation rounding may make of equal estimates.
+TIE = 1e-9
+#: Places of a block, and replicates whose counts are held at a time.
+BLOCK, REPLICATES = 4096, 64
+
+
+def block_draws(seed: int, group: int, n: int, block: int, replicates: int) -> np.ndarray:
+    """How many of the n draws of each replicate fall into a block of places, by walking down a tree of binomials."""
+    low, high, own = 0, -(-n // BLOCK), np.full(replicates, n, np.int64)
+    while high - low > 1:
+        mid = (low + high) // 2
+        left, whole = min(n, mid * BLOCK) - low * BLOCK, min(n, high * BLOCK) - low * BLOCK
+        first = np.random.default_rng([seed, group, low, high]).binomial(own, left / whole)
+        if block < mid:
+            high, own = mid, first
+        else:
+            low, own = mid, own - first
+    return own
+
+
+def block_counts(seed: int, group: int, n: int, block: int, replicates: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first replicate, how often each of some replicates draws each place of the block: a row a replicate)."""
+    size = min(n, (block + 1) * BLOCK) - block * BLOCK
+    draws, rng = block_draws(seed, group, n, block, replicates), np.random.default_rng([seed, group, n, block, 1])
+    for a in range(0, replicates, REPLICATES):
+        own = draws[a : a + REPLICATES]
+        flat = np.repeat(np.arange(len(own)) * size, own) + rng.integers(0, size, int(own.sum()))
+        yield a, np.bincount(flat, minlength=len(own) * size).reshape(len(own), size)
+
+
+def resample_moments(df: DataFrame, by: list[str], idx: str, x: str, replicates: int, seed: int) -> DataFrame:
+    """``by``, rep, draws (always the group's number of rows), mean, variance, variance_unbiased and std_dev of
+    ``replicates`` resamples of each group. ``idx`` is the 0-based place, from 0 to n - 1 without gaps.
+
+    One pass: rows are grouped by blocks of BLOCK places, and a block sends three sums a replicate, which are added up
+    before and after the shuffle. Nulls of ``x`` are drawn like other values and left out of the sums. Unbiased moments
+    are null below two values.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    own = df.select(*by, F.col(idx).cast("long").alias("__i"), F.col(x).cast("double").alias("__x"))
+    sizes = own.groupBy(*by).agg(F.count("*").alias("__n"), F.avg("__x").alias("__m"))
+    own = _joined(own, sizes, by)
+    group = F.xxhash64(*by) if by else F.lit(0).cast("long")
+    own = own.select(*by, group.alias("__g"), F.floor(F.col("__i") / BLOCK).cast("long").alias("__b"), "__n", (F.col("__i") % BLOCK).alias("__i"), (F.col("__x") - F.col("__m")).alias("__d"))
+    names = [*by, "rep", "__draws", "__s0", "__s1", "__s2"]
+
+    def weigh(table: pa.Table) -> pa.Table:
+        n, block, key = (table[c][0].as_py() for c in ("__n", "__b", "__g"))
+        at = table["__i"].to_numpy()
+        d = table["__d"].to_numpy(zero_copy_only=False) if table["__d"].null_count == 0 else np.array([np.nan if v is None else v for v in table["__d"].to_pylist()])
+        valid = ~np.isnan(d) if table["__d"].null_count else np.ones(len(d), bool)
+        d = np.where(valid, d, 0.0)
+        parts = [np.concatenate(p) for p in zip(*[(w.sum(1), w[:, at] @ valid.astype(float), w[:, at] @ d, w[:, at] @ (d * d)) for _, w in block_counts(seed, key % (1 << 63), n, block, replicates)], strict=True)]
+        same = [table[b].take(pa.array(np.zeros(replicates, int))) for b in by]
+        return pa.table([*same, pa.array(np.arange(replicates), pa.int32()), pa.array(parts[0], pa.int64()), *[pa.array(p) for p in parts[1:]]], names=names)
+
+    schema = "".join(f"{b} {kinds[b]}, " for b in by) + "rep int, __draws long, __s0 double, __s1 double, __s2 double"
+    sums = own.groupBy(*by, "__b").applyInArrow(weigh, schema).groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in names[len(by) + 1 :]])
+    out = _joined(sums, sizes.select(*by, "__m"), by)
+    n = F.when(F.col("__s0") > 0, F.col("__s0"))
+    mean = F.col("__s1") / n
+    squares = F.greatest(F.lit(0.0), F.col("__s2") - F.col("__s1") * mean)
+    unbiased = squares / F.when(n > 1, n - 1)
+    # as the estimators of these names have it for one value
+    return out.select(*by, "rep", F.col("__draws").alias("draws"), (F.col("__m") + mean).alias("mean"), (squares / n).alias("variance"), unbiased.alias("variance_unbiased"), F.sqrt(unbiased).alias("std_dev"))
+
+
 def resample_rows(df: DataFrame, by: list[str], idx: str, replicates: int, seed: int, draws: DataFrame | None = None) -> DataFrame:
     """The rows of ``replicates`` resamples of each group, with ``rep``. ``idx`` is the 0-based place.
 
     ``draws`` (``by``, rep, idx) takes the place of random draws: a design of one's own, such as a stored one. The work
-    is that of replicates x rows: for large samples use ``resample_poisson``.
+    is that of replicates x rows: for large samples use ``resample_moments``.
     """
     own = df.withColumn(idx, F.col(idx).cast("long"))
     return (_draws(own, by, idx, replicates, seed) if draws is None else draws).join(own, [*by, idx])
 
 
 def resample(df: DataFrame, by: list[str], idx: str, x: str, estimators: dict, replicates: int, seed: int, draws: DataFrame | None = None) -> DataFrame:
-    """``by``, rep and a column an estimator; all estimators see the same resamples."""
+    """``by``, rep and a column an estimator; all estimators see the same resamples. Named estimators take one pass over
+    the sample, whatever the number of replicates is (``resample_moments``); others, and given draws, join rows."""
     if replicates < 1:
         raise ValueError("there must be a resample")
+    if draws is None and all(e in ESTIMATORS for e in estimators.values() if isinstance(e, str)) and all(isinstance(e, str) for e in estimators.values()):
+        own = resample_moments(df, by, idx, x, replicates, seed)
+        return own.select(*by, "rep", *[F.col(e).alias(n) for n, e in estimators.items()])
     own = resample_rows(df.select(*by, idx, x), by, idx, replicates, seed, draws)
     return own.groupBy(*by, "rep").agg(*[estimate(e, x).alias(n) for n, e in estimators.items()])
 
 
-def resample_each(df: DataFrame, by: list[str], idx: str, x: str, estimators: dict, replicates: int, seed: int) -> DataFrame:
-    """The same with draws of its own for each estimator."""
+def resample_each(df: DataFrame, by: list[str], idx: str, x: str, estimators: dict, replicates: int, seed: int, draws: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The same with draws of its own for each estimator; ``draws`` may give them by name."""
     out = None
     for n, (name, e) in enumerate(estimators.items()):
-        own = resample(df, by, idx, x, {name: e}, replicates, seed + 7919 * (n + 1))
+        own = resample(df, by, idx, x, {name: e}, replicates, seed + 7919 * (n + 1), (draws or {}).get(name))
         out = own if out is None else out.join(own, [*by, "rep"])
     return out
 
@@ -149,13 +229,15 @@ def basic_bootstrap(reps: DataFrame, point: DataFrame, by: list[str], value: str
 def bootstrap_bca(df: DataFrame, reps: DataFrame, by: list[str], x: str, estimator: str, replicates: int, cl: CL) -> DataFrame:
     """``by``, point, lo, hi: the bias-corrected and accelerated interval. ``reps`` has a column named ``estimator``.
 
-    With one value, or all replicates on one side of the point, the interval is the point itself.
+    With one value, or all replicates on one side of the point, the interval is the point itself. A replicate is below
+    the point if it is so by more than 1e-9 of the sample's deviation: what rounding tells apart is equal.
     """
-    point = df.groupBy(*by).agg(estimate(estimator, x).alias("point"), F.count(x).alias("n"))
+    reps = stored(reps, "replicates")
+    point = df.groupBy(*by).agg(estimate(estimator, x).alias("point"), F.count(x).alias("n"), (TIE * F.stddev_pop(x)).alias("tie"))
     jack = jackknife(df.select(*by, x), by, x, estimator, "__j")
     d = _joined(jack, jack.groupBy(*by).agg(F.avg("__j").alias("__m")), by).withColumn("__d", F.col("__m") - F.col("__j"))
     sums = d.groupBy(*by).agg(F.sum(F.col("__d") * F.col("__d")).alias("s2"), F.sum(F.col("__d") * F.col("__d") * F.col("__d")).alias("s3"))
-    below = _joined(reps, point, by).groupBy(*by).agg((F.count(F.when(F.col(estimator) < F.col("point"), 1)) / replicates).alias("below"))
+    below = _joined(reps, point, by).groupBy(*by).agg((F.count(F.when(F.col(estimator) < F.col("point") - F.col("tie"), 1)) / replicates).alias("below"))
     own = _joined(_joined(point, sums, by), below, by)
     z = Normal()
     own = own.withColumn("bias", z.ppf("below")).withColumn("accel", ieee.divide(F.col("s3"), 6 * F.pow("s2", 1.5)))

@@ -14,7 +14,7 @@ from quantalake.operators.inference import CL90
 from quantalake.operators.ranks import indexed
 from quantalake.plans.common import CUSTOMERS, LINES, ORDERS, PARTS, customers, lines, orders, parts, phi, r, rounded, sr
 from quantalake.plans.inference import EMBEDDINGS, _embeddings
-from quantalake.sources.scratch import scratch
+from quantalake.sources.scratch import scratch, stored
 from quantalake.sources.tables import load
 
 QUERIES, SQL = {}, {}
@@ -179,6 +179,31 @@ def qr_check(spark, d):
     return good.join(unit, "g")
 
 
+#: R of the matrix (1, x, q, w) of line items, as the Cholesky factor of its Gram matrix, by column.
+CHOLESKY = f"""{LINES}, s AS (SELECT g, count(*)::DOUBLE AS n, avg(x) AS mx, avg(q) AS mq, avg(w) AS mw FROM li GROUP BY g),
+c AS (SELECT li.g, sum((x - mx) * (x - mx)) AS xx, sum((x - mx) * (q - mq)) AS xq, sum((x - mx) * (w - mw)) AS xw, sum((q - mq) * (q - mq)) AS qq, sum((q - mq) * (w - mw)) AS qw, sum((w - mw) * (w - mw)) AS ww FROM li JOIN s USING (g) GROUP BY li.g),
+r1 AS (SELECT *, sqrt(n) AS r00, sqrt(n) * mx AS r01, sqrt(n) * mq AS r02, sqrt(n) * mw AS r03, sqrt(xx) AS r11, xq / sqrt(xx) AS r12, xw / sqrt(xx) AS r13 FROM s JOIN c USING (g)),
+r2 AS (SELECT *, sqrt(qq - r12 * r12) AS r22, (qw - r12 * r13) / sqrt(qq - r12 * r12) AS r23 FROM r1), r3 AS (SELECT *, sqrt(ww - r13 * r13 - r23 * r23) AS r33 FROM r2)"""
+
+
+def _with_one(spark, d):
+    return lines(spark, d).select("g", "orderkey", "line", F.lit(1.0).alias("one"), "x", "q", "w")
+
+
+@query(f"WITH {CHOLESKY}, e AS (SELECT g, unnest([r00, r01, r02, r03, 0, r11, r12, r13, 0, 0, r22, r23, 0, 0, 0, r33]) AS v, unnest(range(0, 16)) AS place FROM r3) SELECT g, place // 4 AS i, place % 4 AS j, {sr('v', 5)} AS v FROM e")
+def qr_lines(spark, d):
+    """R of one matrix a return flag, with a row a line item."""
+    return rounded(M.qr_tall(_with_one(spark, d), ["g"], ["one", "x", "q", "w"])[1], "v", digits=5)
+
+
+@query(f"""WITH {CHOLESKY}, q AS (SELECT orderkey, line, 1 / r00 AS one, (x - r01 / r00) / r11 AS x1, q, w, r00, r02, r03, r12, r13, r22, r23, r33 FROM li JOIN r3 USING (g))
+SELECT orderkey, line, {sr('one', 8)} AS one, {sr('x1', 8)} AS x, {sr('(q - r02 * one - r12 * x1) / r22', 8)} AS q, {sr('(w - r03 * one - r13 * x1 - r23 * ((q - r02 * one - r12 * x1) / r22)) / r33', 8)} AS w FROM q""")
+def qr_lines_q(spark, d):
+    """The rows of Q, a row a line item."""
+    q, _ = M.qr_tall(_with_one(spark, d), ["g"], ["one", "x", "q", "w"])
+    return rounded(q.drop("g"), "one", "x", "q", "w", digits=8)
+
+
 # Regression
 
 
@@ -230,24 +255,27 @@ def _indexed_customers(spark, d):
     return indexed(customers(spark, d).select("g", "k", "x"), ["g"], "k").select("g", "idx", "x")
 
 
-@query(f"WITH {CUSTOMERS} SELECT g, 200::BIGINT AS replicates, true AS inside, true AS near FROM cu GROUP BY g")
+@query(f"WITH {CUSTOMERS} SELECT g, 200::BIGINT AS replicates, count(*)::BIGINT AS least_draws, count(*)::BIGINT AS most_draws, true AS inside, true AS near FROM cu GROUP BY g")
 def resample(spark, d):
-    """200 replicates a group: the means stay within the sample, and their mean is near the sample's."""
-    own = _indexed_customers(spark, d)
-    reps = K.resample(own, ["g"], "idx", "x", {"mean": "mean", "variance": "variance"}, 200, 3)
+    """200 replicates a group: each draws as many as the group has, means stay within it, and their mean is near its."""
+    own = stored(_indexed_customers(spark, d), "indexed")
+    reps = K.resample_moments(own, ["g"], "idx", "x", 200, 3)
     sample = own.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.avg("x").alias("m"), F.stddev_pop("x").alias("sd"), F.count("*").alias("n"))
     joined = reps.join(sample, "g")
-    return joined.groupBy("g").agg(F.count("*").alias("replicates"), F.min((F.col("mean") >= F.col("a") - 1e-9) & (F.col("mean") <= F.col("b") + 1e-9)).alias("inside"), (F.abs(F.avg("mean") - F.max("m")) <= 5 * F.max(F.col("sd") / F.sqrt("n")) / 200**0.5).alias("near"))
+    inside = F.min((F.col("mean") >= F.col("a") - 1e-9) & (F.col("mean") <= F.col("b") + 1e-9))
+    near = F.abs(F.avg("mean") - F.max("m")) <= 5 * F.max(F.col("sd") / F.sqrt("n")) / 200**0.5 + 1e-12
+    return joined.groupBy("g").agg(F.count("*").alias("replicates"), F.min("draws").alias("least_draws"), F.max("draws").alias("most_draws"), inside.alias("inside"), near.alias("near"))
 
 
-@query(f"WITH {CUSTOMERS}, b AS (SELECT g, count(*) AS n, min(x) AS a, max(x) AS z FROM cu GROUP BY g) SELECT g, rep::INTEGER AS rep, true AS inside, true AS own_draws FROM b, range(0, 50) t(rep)")
-def resample_each(spark, d):
-    """50 replicates a group, with draws of its own for each estimator: two means differ, unless there are few values."""
-    own = _indexed_customers(spark, d)
-    reps = K.resample_each(own, ["g"], "idx", "x", {"one": "mean", "two": "mean"}, 50, 5)
-    sample = own.groupBy("g").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n"))
-    inside = F.least("one", "two") >= F.col("a") - 1e-9
-    return reps.join(sample, "g").select("g", "rep", (inside & (F.greatest("one", "two") <= F.col("b") + 1e-9)).alias("inside"), ((F.col("one") != F.col("two")) | (F.col("n") < 5)).alias("own_draws"))
+@query(f"""WITH {LINES}, t AS (SELECT g, avg(x) AS m, stddev_pop(x) / sqrt(count(*)) AS se FROM li GROUP BY g) SELECT g, {sr('m')} AS point, true AS low, true AS high FROM t""")
+def bootstrap_lines(spark, d):
+    """Intervals of the mean price of all line items, from 400 exact resamples: their ends are where the normal limit has
+    them, to three quarters of a standard error."""
+    own = stored(indexed(lines(spark, d).withColumn("k", F.col("orderkey") * 16 + F.col("line")), ["g"], "k").select("g", "idx", "x"), "indexed")
+    found = K.bootstrap_bca(own, K.resample(own, ["g"], "idx", "x", {"mean": "mean"}, 400, 21), ["g"], "x", "mean", 400, CL90)
+    se = own.groupBy("g").agg((F.stddev_pop("x") / F.sqrt(F.count("*"))).alias("se"))
+    near = lambda c, sign: F.abs(F.col(c) - F.col("point") - sign * 1.6448536269514722 * F.col("se")) < 0.75 * F.col("se")
+    return found.join(se, "g").select("g", r("point").alias("point"), near("lo", -1).alias("low"), near("hi", 1).alias("high"))
 
 
 @query(f"WITH {LINES} SELECT g, s, 40::BIGINT AS replicates, true AS near FROM li GROUP BY g, s")
@@ -265,11 +293,11 @@ def resample_poisson(spark, d):
 PLACE = "({rep} * 7919 + {k} * 104729 + {rep} * {k} * 31 + {k} * {k} * 17 + 12345) * 48271 % 2147483647"
 
 
-def _draws(own, replicates: int):
+def _draws(own, replicates: int, first: int = 0):
     """Groups g, rep and idx: draws that look random enough, from whole numbers alone."""
     sizes = own.groupBy("g").agg(F.count("*").alias("n")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draws = sizes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return draws.select("g", "rep", (F.expr(PLACE.format(rep="rep", k="k")) % F.col("n")).alias("idx"))
+    return draws.select("g", "rep", (F.expr(PLACE.format(rep=f"(rep + {first})", k="k")) % F.col("n")).alias("idx"))
 
 
 def _drawn(rel: str, replicates: int) -> str:
@@ -278,10 +306,20 @@ def _drawn(rel: str, replicates: int) -> str:
 dr AS (SELECT ix.*, rep FROM (SELECT g, rep, ({PLACE.format(rep='rep', k='j')}) % n AS i FROM (SELECT g, n, rep, unnest(range(0, n)) AS j FROM sz, range(0, {replicates}) r(rep))) d JOIN ix ON ix.g = d.g AND ix.i = d.i)"""
 
 
-BCA = f"""{_drawn('cu', 200)}, re AS (SELECT g, rep, avg(x) AS v FROM dr GROUP BY g, rep), pt AS (SELECT g, avg(x) AS point, count(*) AS n FROM cu GROUP BY g),
+@query(f"""WITH {CUSTOMERS}, ix AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i FROM cu), sz AS (SELECT g, count(*) AS n FROM cu GROUP BY g),
+pl AS (SELECT g, rep, ({PLACE.format(rep='rep', k='j')}) % n AS a, ({PLACE.format(rep='(rep + 50)', k='j')}) % n AS b FROM (SELECT g, n, rep, unnest(range(0, n)) AS j FROM sz, range(0, 50) r(rep)))
+SELECT pl.g AS g, rep::INTEGER AS rep, {sr('avg(one.x)', 12)} AS one, {sr('avg(two.x)', 12)} AS two FROM pl JOIN ix one ON one.g = pl.g AND one.i = pl.a JOIN ix two ON two.g = pl.g AND two.i = pl.b GROUP BY pl.g, rep""")
+def resample_each(spark, d):
+    """50 replicates a group, with draws of its own for each estimator."""
+    own = stored(_indexed_customers(spark, d), "indexed")
+    draws = {"one": _draws(own, 50), "two": _draws(own, 50, 50)}
+    return rounded(K.resample_each(own, ["g"], "idx", "x", {"one": "mean", "two": "mean"}, 50, 5, draws), "one", "two", digits=12)
+
+
+BCA = f"""{_drawn('cu', 200)}, re AS (SELECT g, rep, avg(x) AS v FROM dr GROUP BY g, rep), pt AS (SELECT g, avg(x) AS point, count(*) AS n, 1e-9::DOUBLE * stddev_pop(x) AS tie FROM cu GROUP BY g),
 jk AS (SELECT g, (sum(x) OVER w - x) / (count(*) OVER w - 1) AS j FROM cu WINDOW w AS (PARTITION BY g)), jd AS (SELECT g, avg(j) OVER (PARTITION BY g) - j AS d FROM jk),
 js AS (SELECT g, sum(d * d * d) / (6 * pow(sum(d * d), 1.5)) AS accel FROM jd GROUP BY g),
-be AS (SELECT g, count(*) FILTER (WHERE v < point) / 200.0::DOUBLE AS below FROM re JOIN pt USING (g) GROUP BY g),
+be AS (SELECT g, count(*) FILTER (WHERE v < point - tie) / 200.0::DOUBLE AS below FROM re JOIN pt USING (g) GROUP BY g),
 zz(b, lo, hi, i) AS (SELECT DISTINCT below, -9.0::DOUBLE, 9.0::DOUBLE, 0 FROM be WHERE below > 0 AND below < 1 UNION ALL
 SELECT b, CASE WHEN {phi('((lo + hi) / 2)')} < b THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {phi('((lo + hi) / 2)')} < b THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM zz WHERE i < 60),
 sh AS (SELECT g, lo AS bias, accel, lo - 1.6448536269514722::DOUBLE AS b1, lo + 1.6448536269514722::DOUBLE AS b2 FROM be JOIN zz ON b = below AND i = 60 JOIN js USING (g)),
@@ -291,14 +329,14 @@ od AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS nth FRO
 
 @query(f"WITH RECURSIVE {CUSTOMERS}, {BCA} SELECT pt.g AS g, {sr('point')} AS point, {sr('coalesce(a.v, point)')} AS lo, {sr('coalesce(z.v, point)')} AS hi FROM pt LEFT JOIN pl ON pl.g = pt.g AND pt.n > 1 LEFT JOIN od a ON a.g = pt.g AND a.nth = pl.a LEFT JOIN od z ON z.g = pt.g AND z.nth = pl.z")
 def bootstrap_bca(spark, d):
-    own = _indexed_customers(spark, d)
+    own = stored(_indexed_customers(spark, d), "indexed")
     reps = K.resample(own, ["g"], "idx", "x", {"mean": "mean"}, 200, 11, _draws(own, 200))
     return rounded(K.bootstrap_bca(own, reps, ["g"], "x", "mean", 200, CL90), "point", "lo", "hi")
 
 
 @query(f"WITH {CUSTOMERS}, {_drawn('cu', 200)}, re AS (SELECT g, rep, coalesce(stddev_samp(x), 0) AS v FROM dr GROUP BY g, rep), od AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) - 1 AS nth FROM re), pt AS (SELECT g, coalesce(stddev_samp(x), 0) AS point FROM cu GROUP BY g) SELECT g, {sr('point')} AS point, {sr('a.v')} AS lo, {sr('z.v')} AS hi FROM pt JOIN od a USING (g) JOIN od z USING (g) WHERE a.nth = 10 AND z.nth = 190")
 def bootstrap_basic(spark, d):
-    own = _indexed_customers(spark, d)
+    own = stored(_indexed_customers(spark, d), "indexed")
     reps = K.resample(own, ["g"], "idx", "x", {"std_dev": "std_dev"}, 200, 13, _draws(own, 200))
     return rounded(K.basic_bootstrap(reps, own.groupBy("g").agg(K.estimate("std_dev", "x").alias("std_dev")), ["g"], "std_dev", 200, CL90), "point", "lo", "hi")
 
@@ -307,7 +345,7 @@ def bootstrap_basic(spark, d):
 v AS (SELECT g, rep, unnest(['coefficient0', 'coefficient1', 'r2']) AS name, unnest([a, b, c]) AS v FROM f), o AS (SELECT *, row_number() OVER (PARTITION BY g, name, rep < 0 ORDER BY v) - 1 AS nth FROM v)
 SELECT g, name, round(max(v) FILTER (WHERE rep < 0), 5) + 0.0 AS point, round(max(v) FILTER (WHERE rep >= 0 AND nth = 2), 5) + 0.0 AS lo, round(max(v) FILTER (WHERE rep >= 0 AND nth = 47), 5) + 0.0 AS hi FROM o GROUP BY g, name""")
 def bootstrap_regress(spark, d):
-    own = indexed(parts(spark, d), ["g"], "k").select("g", "idx", "x", "y")
+    own = stored(indexed(parts(spark, d), ["g"], "k").select("g", "idx", "x", "y"), "indexed")
     return rounded(K.bootstrap_regress(own, ["g"], "idx", ["y"], "x", 50, CL90, 17, draws=_draws(own, 50)), "point", "lo", "hi", digits=5)
 
 

@@ -407,3 +407,101 @@ def test_mannwhitney_query_has_all_groups(spark, tmp_path):
         assert (got[g].n1, got[g].n2, got[g].u1, got[g].u2) == (n1, n2, u1, n1 * n2 - u1)
         assert got[g].significant == (min(u1, n1 * n2 - u1) <= lowest[-1] if lowest else None)
     assert got[3].significant is True and got[4].significant is not None and got[5].significant is None
+
+
+def test_block_draws_are_multinomial():
+    """Blocks of a replicate sum up to n, in proportion to their sizes, and counts within a block are even."""
+    from quantalake.operators import resampling as K
+
+    n, reps = 3 * K.BLOCK + 1000, 3000
+    each = np.array([K.block_draws(5, 77, n, b, reps) for b in range(4)])
+    assert (each.sum(0) == n).all()
+    for b, size in enumerate([K.BLOCK] * 3 + [1000]):
+        p = size / n
+        assert abs(each[b].mean() - n * p) < 5 * (n * p * (1 - p) / reps) ** 0.5
+        assert abs(each[b].var() / (n * p * (1 - p)) - 1) < 0.15
+    assert abs(np.corrcoef(each[0], each[1])[0, 1] + (K.BLOCK / n) / (1 - K.BLOCK / n)) < 0.1
+    counts = np.concatenate([w for _, w in K.block_counts(5, 77, n, 3, 200)])
+    assert (counts.sum(1) == K.block_draws(5, 77, n, 3, 200)).all()
+    assert abs(counts.sum(0) - counts.sum() / 1000).max() < 6 * (counts.sum() / 1000) ** 0.5
+    assert (K.block_draws(5, 77, 10, 0, 5) == 10).all()
+
+
+def test_resample_moments(spark):
+    """Against the same counts applied by hand; every replicate has n draws, in whatever partitions rows lie."""
+    from quantalake.operators import resampling as K
+
+    rng = np.random.default_rng(2)
+    x = {1: rng.normal(size=K.BLOCK * 2 + 37), 2: rng.normal(size=5) + 1e6, 3: np.array([4.0])}
+    rows = [(g, int(i), float(v)) for g, own in x.items() for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "n int, size long, rep double")  # names that working columns could have
+    got = {(r[0], r["rep"]): r for r in K.resample_moments(df.repartition(5), ["n"], "size", "rep", 7, 3).collect()}
+    again = {(r[0], r["rep"]): r for r in K.resample_moments(df.coalesce(1), ["n"], "size", "rep", 7, 3).collect()}
+    keys = {r.n: r.h for r in df.select("n").distinct().selectExpr("n", "xxhash64(n) AS h").collect()}
+    assert len(got) == 21
+    for g, own in x.items():
+        blocks = [np.concatenate([w for _, w in K.block_counts(3, keys[g] % (1 << 63), len(own), b, 7)]) for b in range(-(-len(own) // K.BLOCK))]
+        for k, w in enumerate(np.concatenate(blocks, 1)):
+            r, sample = got[g, k], np.repeat(own, w)
+            assert r.draws == len(own) == len(sample)
+            assert r.mean == pytest.approx(sample.mean(), abs=1e-9) and r.variance == pytest.approx(sample.var(), abs=1e-9)
+            assert again[g, k].mean == pytest.approx(r.mean, abs=1e-12)
+            if len(own) > 1:
+                assert r.std_dev == pytest.approx(sample.std(ddof=1), abs=1e-9)
+    whole = K.resample(df.where("n = 1").drop("n"), [], "size", "rep", {"m": "mean"}, 50, 9)
+    assert abs(whole.agg({"m": "avg"}).first()[0] - x[1].mean()) < 5 * x[1].std() / (len(x[1]) * 50) ** 0.5
+
+
+def test_bca_counts_equal_replicates_as_equal(spark):
+    """Replicates that draw the whole sample equal its mean, in whatever order they are summed."""
+    from quantalake.operators import resampling as K
+    from quantalake.operators.inference import CL90
+
+    x = [0.1, 0.2, 0.3, 0.7, 1.1]
+    df = spark.createDataFrame([(1, float(v)) for v in x], "g int, x double")
+    point = sum(x) / 5
+    reps = spark.createDataFrame([(1, k, point + e) for k, e in enumerate([-1e-16, 1e-16, 0.0, -2e-16, -0.2, 0.2, 0.1, -0.1, 0.3, -0.3])], "g int, rep int, mean double")
+    exact = spark.createDataFrame([(1, k, point + e) for k, e in enumerate([0.0, 0.0, 0.0, 0.0, -0.2, 0.2, 0.1, -0.1, 0.3, -0.3])], "g int, rep int, mean double")
+    a, b = (K.bootstrap_bca(df, r, ["g"], "x", "mean", 10, CL90).first() for r in (reps, exact))
+    assert a.lo == pytest.approx(b.lo, abs=1e-12) and a.hi == pytest.approx(b.hi, abs=1e-12)
+
+
+def test_tall_qr(spark):
+    """Many partitions, groups of few and many rows, a badly conditioned matrix, and dependent columns."""
+    rng = np.random.default_rng(6)
+    rows = [(1, *map(float, v)) for v in rng.normal(size=(5000, 3)) * [1, 1e3, 1e-3] + [5, 0, 1]]
+    near = rng.normal(size=(3000, 1))
+    rows += [(2, *map(float, v)) for v in np.hstack([near, near + 1e-7 * rng.normal(size=near.shape), rng.normal(size=near.shape)])]
+    rows += [(3, *map(float, v)) for v in rng.normal(size=(3, 3))] + [(4, 1.0, 2.0, 3.0), (4, 0.5, None, 1.0)]
+    rows += [(5, float(k), 2.0 * k, 1.0) for k in range(30)]
+    df = spark.createDataFrame([(g, k, *v) for k, (g, *v) in enumerate(rows)], "n long, i long, a double, b double, c double").repartition(7)
+    q, r = M.qr_tall(df, ["n"], ["a", "b", "c"])
+    factors = {}
+    for x in r.collect():
+        factors.setdefault(x.n, np.zeros((3, 3)))[x.i, x.j] = x.v
+    own = {x.i: x for x in q.collect()}
+    for g in (1, 2, 3):
+        keys = [k for k, x in enumerate(rows) if x[0] == g]
+        a, qq = np.array([rows[k][1:] for k in keys]), np.array([[own[k].a, own[k].b, own[k].c] for k in keys])
+        assert np.abs(np.tril(factors[g], -1)).max() == 0 and (np.diag(factors[g]) >= 0).all()
+        assert np.abs(qq.T @ qq - np.eye(3)).max() < 1e-12
+        assert np.abs(qq @ factors[g] - a).max() < 1e-11 * np.abs(a).max()
+    assert np.isnan(own[len(rows) - 1].b)
+    whole = M.triangular(df.where("n = 1"), [], ["a", "b", "c"]).first()
+    assert np.allclose(np.array(whole.r).reshape(3, 3), factors[1], rtol=1e-9) and whole.n == 5000
+    assert {x.n for x in M.triangular(df.where("n = 9"), ["n"], ["a", "b", "c"]).collect()} == set()
+
+
+def test_ill_conditioned_least_squares(spark):
+    """Predictors with a condition of 1e7: normal equations would lose all digits."""
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=20_000)
+    b = a + 1e-7 * rng.normal(size=20_000)
+    df = spark.createDataFrame([(float(x), float(y), float(2 * x + 3 * y + 4)) for x, y in zip(a, b, strict=True)], "a double, b double, y double").repartition(6)
+    got = M.ols_regress(df, [], ["a", "b"], "y").first()
+    assert np.allclose(got.coefficients, [2, 3, 4], atol=1e-6) and got.r2 == pytest.approx(1)
+    assert np.allclose(M.ols(df.withColumn("y", F.expr("2 * a + 3 * b")), [], ["a", "b"], "y").first().coefficients, [2, 3], atol=1e-6)
+    constant = M.ols_regress(df.withColumn("y", F.lit(7.0)), [], ["a"], "y").first()
+    assert constant.coefficients == pytest.approx([0, 7], abs=1e-9) and constant.r2 == 1
+    dependent = M.ols_regress(df.withColumn("b", F.col("a") * 2), [], ["a", "b"], "y").first()
+    assert np.isnan(dependent.coefficients).all() and dependent.r2 is None

@@ -202,7 +202,7 @@ def triangular(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 def _triangular(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     kinds, k = {f.name: f.dataType.simpleString() for f in df.schema.fields}, len(columns)
     schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "__task long, __n long, __r array<double>"
-    own = df.select(*by, F.spark_partition_id().cast("long").alias("__task"), *[F.col(c).cast("double").alias(f"__c{n}") for n, c in enumerate(columns)]).dropna(subset=[f"__c{n}" for n in range(k)])
+    own = df.select(*by, F.spark_partition_id().cast("long").alias("__task"), *[F.col(c).cast("double").alias(f"__c{n}") for n, c in enumerate(columns)]).where(" AND ".join(f"__c{n} IS NOT NULL" for n in range(k)))
     names = [*by, "__task", "__n", "__r"]
 
     def rows(found: dict) -> pa.Table:
@@ -260,13 +260,13 @@ def _triangular(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 def qr_tall(df: DataFrame, by: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(q, r) of one tall matrix a group. q: ``df`` with the columns of the matrix replaced by those of Q; r: ``by``, i,
-    j, v. Dependent columns give NaN.
+    j, v. Rows with a null are left out; a matrix with dependent columns gives NaN.
 
     Rows of Q solve q R = a, column by column. They are orthonormal but for the condition of A; so Q is factored once
     more, and both factors are multiplied: two passes over the rows, where they lie.
     """
     k = len(columns)
-    kept = df.dropna(subset=columns)
+    kept = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
 
     def solved(rows: DataFrame, factor: DataFrame) -> DataFrame:
         own = factor.select(*by, F.col("__r").alias("__f"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +12,12 @@ from pyspark.sql import functions as F
 from quantalake.functions import ieee
 from quantalake.functions.aggregates import correlation, with_mean
 from quantalake.operators.ranks import range_of, with_ranks
+from quantalake.sources.scratch import stored
 
 #: Points of a group that a task counts, and stripes into which a larger one is cut at a time.
 POINTS, STRIPES = 1 << 20, 256
+#: Blocks of a series, the shortest and the longest, and sums by lag that a task holds.
+BLOCKS, SHORTEST, LONGEST, HELD_LAGS = 32, 1024, 1 << 20, 1 << 22
 
 
 def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -87,13 +92,15 @@ def _discordant(own: DataFrame, by: list[str], depth: int = 0) -> DataFrame:
     cut = own.join(ends, by)
     small = cut.where(F.col("__points") <= POINTS).select(*own.columns).groupBy(*by).applyInArrow(counted, schema)
     cut = cut.where(F.col("__points") > POINTS).select(*own.columns, *[_stripe(c, f"__p{c}", stripes - 1).alias(n) for c, n in zip(("__x", "__y"), names, strict=True)])
+    cut = stored(cut, "stripes")
     cells = cut.groupBy(*by, *names).agg(F.sum("__n").alias("__n")).withColumnsRenamed({names[0]: "__x", names[1]: "__y"})
     parts = small.unionByName(cells.groupBy(*by).applyInArrow(counted, schema))  # at most (2 STRIPES)**2 cells a group
     inner = cut.select(*by, names[0], "__x", "__y", "__n")
     across = cut.groupBy(*by, names[1], names[0], "__y").agg(F.sum("__n").alias("__n")).withColumnRenamed(names[0], "__x")
     for rest, stripe in ((inner, names[0]), (across.select(*by, names[1], "__x", "__y", "__n"), names[1])):
         spread = rest.groupBy(*by, stripe).agg((F.min("__x") != F.max("__x")).alias("__a"), (F.min("__y") != F.max("__y")).alias("__b")).where("__a and __b").drop("__a", "__b")
-        parts = parts.unionByName(_discordant(rest.join(spread, [*by, stripe]), [*by, stripe], depth + 1).drop(stripe))
+        left = stored(rest.join(spread, [*by, stripe]), "level")
+        parts = parts.unionByName(_discordant(left, [*by, stripe], depth + 1).drop(stripe))
     return parts
 
 
@@ -121,19 +128,64 @@ def kendall(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return out.select(*by, F.when(n > 1, tau).otherwise(F.lit(ieee.NAN)).alias("tau"))
 
 
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of a_i b_{i+k} for k from 1 - len(a) to len(b) - 1, by transforms."""
+    size = 1 << (len(a) + len(b) - 2).bit_length() if len(a) + len(b) > 2 else 1
+    return np.fft.irfft(np.fft.rfft(a[::-1], size) * np.fft.rfft(b, size), size)[: len(a) + len(b) - 1] if size > 1 else a * b
+
+
 def autocovariance(df: DataFrame, by: list[str], idx: str, x: str, max_lag: int | None = None) -> DataFrame:
     """``by``, lag, c: the mean over n of (x_i - m)(x_{i+lag} - m), for lags 0 to n - 2, or to ``max_lag``.
 
-    ``idx`` is the 0-based place. Each row is joined with those up to the largest lag after it; long series should
-    say how many lags they want.
+    ``idx`` is the 0-based place, without gaps. A series is cut into at most about BLOCKS blocks, or blocks of LONGEST
+    values; each block meets those after it that the largest lag reaches, and a pair of blocks gives the sums for all
+    lags between them at once, by Fourier transforms. A task adds sums up by lag before they are shuffled.
     """
-    centred = with_mean(df.select(*by, idx, x), by, x, "__m").select(*by, F.col(idx).cast("long").alias("i"), (F.col(x) - F.col("__m")).alias("d"))
-    sizes = centred.groupBy(*by).agg(F.count("*").alias("n"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    centred = with_mean(df.select(*by, idx, x), by, x, "__m").select(*by, F.col(idx).cast("long").alias("__i"), (F.col(x) - F.col("__m")).alias("__d"))
+    sizes = centred.groupBy(*by).agg(F.count("*").alias("__n"))
+    block = F.least(F.lit(LONGEST), F.greatest(F.lit(SHORTEST), F.ceil(F.col("__n") / BLOCKS))).cast("long")
+    sizes = sizes.select(*by, "__n", block.alias("__b"), (F.col("__n") - 2 if max_lag is None else F.least(F.col("__n") - 2, F.lit(max_lag))).alias("__last")).where("__last >= 0")
     sized = centred.join(sizes, by) if by else centred.crossJoin(F.broadcast(sizes))  # a single row
-    last = F.col("n") - 2 if max_lag is None else F.least(F.col("n") - 2, F.lit(max_lag))
-    lagged = sized.where(last >= 0).select(*by, "n", F.col("d").alias("e"), "i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(last, F.col("i")))).alias("lag"))
-    lagged = lagged.withColumn("i", F.col("i") - F.col("lag"))
-    return centred.join(lagged, [*by, "i"]).groupBy(*by, "lag").agg((F.sum(F.col("d") * F.col("e")) / F.max("n")).alias("c"))
+    keys = [*by, "__n", "__b", "__last"]
+    values = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__d"))), lambda s: s["__d"])
+    blocks = stored(sized.groupBy(*keys, F.floor(F.col("__i") / F.col("__b")).alias("__p")).agg(values.alias("__x")), "blocks")
+    reach = F.least(F.floor((F.col("__n") - 1) / F.col("__b")), F.col("__p") + F.floor((F.col("__last") + F.col("__b") - 1) / F.col("__b")))
+    left = blocks.withColumn("__q", F.explode(F.sequence("__p", reach)))
+    pairs = left.join(blocks.select(*by, F.col("__p").alias("__q"), F.col("__x").alias("__y")), [*by, "__q"])
+    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "__n long, __first long, __sums array<double>"
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, np.ndarray] = {}
+        types = None
+
+        def rows() -> pa.RecordBatch:
+            columns = [pa.array([key[k] for key in found], t) for k, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))], names=[*by, "__n", "__first", "__sums"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                types = [*(one[b].type for b in by), pa.int64(), pa.int64()]
+                n, size, last, p, q = (one[c][0].as_py() for c in ("__n", "__b", "__last", "__p", "__q"))
+                a, b = (one[c].flatten().to_numpy() for c in ("__x", "__y"))
+                sums = _crossed(a, b)
+                for first in ((q - p) * size, (q - p - 1) * size):  # lags from here on, as many as a block has
+                    low = first - (q - p) * size + len(a) - 1
+                    own = np.zeros(size)
+                    part = sums[max(low, 0) : low + size] if low + size > 0 else sums[:0]
+                    own[max(0, -low) : max(0, -low) + len(part)] = part
+                    if 0 <= first <= last:
+                        key = (*(one[c][0].as_py() for c in by), n, first)
+                        found[key] = found.get(key, 0.0) + own[: last - first + 1]
+                if sum(map(len, found.values())) > HELD_LAGS:
+                    yield rows()
+                    found.clear()
+        if found:
+            yield rows()
+
+    lags = pairs.mapInArrow(cross, schema).select(*by, "__n", "__first", F.posexplode("__sums").alias("__at", "__v"))
+    return lags.groupBy(*by, (F.col("__first") + F.col("__at")).alias("lag")).agg((F.sum("__v") / F.max("__n")).alias("c"))
 
 
 def autocorrelation(df: DataFrame, by: list[str], idx: str, x: str, max_lag: int | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from quantalake.operators import transform as X
 from quantalake.operators.inference import CL90
 from quantalake.operators.ranks import indexed
 from quantalake.plans.common import CUSTOMERS, LINES, ORDERS, PARTS, customers, lines, orders, parts, phi, r, rounded, sr
-from quantalake.plans.inference import EMBEDDINGS, _embeddings
+from quantalake.plans.inference import EMBEDDINGS, _embeddings, prices
 from quantalake.sources.scratch import scratch, stored
 from quantalake.sources.tables import load
 
@@ -123,6 +123,42 @@ def idct_roundtrip(spark, d):
     return rounded(own, "v", digits=5)
 
 
+#: Prices of all orders by key, as one series that is padded to n, a power of two.
+PADDED = f"{ORDERS}, pd AS (SELECT row_number() OVER (ORDER BY k) - 1 AS j, x FROM ord), sz AS (SELECT pow(2, ceil(log2(count(*))))::BIGINT AS n FROM ord), fr AS (SELECT unnest(range(0, n)) AS k, n FROM sz)"
+
+
+def _padded(spark, d):
+    own = prices(spark, d)
+    return own, 1 << max(0, own.count() - 1).bit_length()
+
+
+@query(f"WITH {PADDED} SELECT k, {sr('sum(x * cos(2 * pi() * ((j * k) % n) / n))', 3)} AS re, {sr('-sum(x * sin(2 * pi() * ((j * k) % n) / n))', 3)} AS im FROM pd, fr GROUP BY k")
+def fft_long(spark, d):
+    """The transform of one long series, a row a frequency."""
+    own, n = _padded(spark, d)
+    return rounded(X.fft_long(own, [], "idx", "x", n), "re", "im", digits=3)
+
+
+@query(f"WITH {PADDED} SELECT f.k AS k, {sr('coalesce(x, 0)')} AS x FROM fr f LEFT JOIN pd ON j = f.k")
+def ifft_long(spark, d):
+    own, n = _padded(spark, d)
+    back = X.ifft_long(X.fft_long(own, [], "idx", "x", n), [], "k", "re", "im", n)
+    return back.select("k", r("re").alias("x"))
+
+
+@query(f"WITH {PADDED} SELECT k, {sr('2 * sum(x * cos(pi() * ((k * (2 * j + 1)) % (4 * n)) / (2 * n)))', 3)} AS v FROM pd, fr GROUP BY k")
+def dct_long(spark, d):
+    own, n = _padded(spark, d)
+    return rounded(X.dct_long(own, [], "idx", "x", n), "v", digits=3)
+
+
+@query(f"WITH {PADDED} SELECT f.k AS k, {sr('coalesce(x, 0)')} AS x FROM fr f LEFT JOIN pd ON j = f.k")
+def idct_long(spark, d):
+    own, n = _padded(spark, d)
+    back = X.idct_long(X.dct_long(own, [], "idx", "x", n), [], "k", "v", n)
+    return back.select("k", r(F.col("v") / (2 * n)).alias("x"))
+
+
 # Matrices: the mean embeddings, a row a label
 
 

@@ -86,6 +86,22 @@ def autocorrelation(spark, d):
     return rounded(C.autocorrelation(_series(spark, d), ["g"], "idx", "x"), "r", "lo", "hi")
 
 
+#: The series of all orders' prices, by key.
+PRICES = f"{ORDERS}, ps AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, x - avg(x) OVER () AS e, count(*) OVER () AS n FROM ord)"
+
+
+def prices(spark, d):
+    from quantalake.operators.ranks import indexed
+
+    return indexed(orders(spark, d).select("k", "x"), [], "k").select("idx", "x")
+
+
+@query(f"WITH {PRICES} SELECT b.i - a.i AS lag, {sr('sum(a.e * b.e) / max(a.n)', 2)} AS c FROM ps a JOIN ps b ON b.i BETWEEN a.i AND a.i + a.n - 2 GROUP BY b.i - a.i")
+def autocovariance_long(spark, d):
+    """All lags of one long series, by blocks."""
+    return rounded(C.autocovariance(prices(spark, d), [], "idx", "x"), "c", digits=2)
+
+
 # Confidence intervals: the ends are compared by the probabilities that they leave outside.
 
 

@@ -505,3 +505,61 @@ def test_ill_conditioned_least_squares(spark):
     assert constant.coefficients == pytest.approx([0, 7], abs=1e-9) and constant.r2 == 1
     dependent = M.ols_regress(df.withColumn("b", F.col("a") * 2), [], ["a", "b"], "y").first()
     assert np.isnan(dependent.coefficients).all() and dependent.r2 is None
+
+
+@pytest.mark.parametrize("n", [1, 2, 8, 64, 2048])
+def test_long_transforms(spark, n, monkeypatch):
+    """Against arrays, in bundles of several sizes; shorter series are padded; groups by names of working columns."""
+    from quantalake.operators import transform as X
+
+    monkeypatch.setattr(X, "BUNDLE", 64)
+    rng = np.random.default_rng(n)
+    series = {g: rng.normal(size=max(1, n - 3 * g)) + 1j * rng.normal(size=max(1, n - 3 * g)) for g in (0, 1)}
+    rows = [(g, i, float(v.real), float(v.imag)) for g, own in series.items() for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "rows int, j long, a double, b double").repartition(3)
+    for call, f in ((lambda: X.fft_long(df, ["rows"], "j", "a", n, "b"), np.fft.fft), (lambda: X.ifft_long(df, ["rows"], "j", "a", "b", n), np.fft.ifft)):
+        got = {(r.rows, r.k): complex(r.re, r.im) for r in call().collect()}
+        assert len(got) == 2 * n
+        for g, own in series.items():
+            want = f(own, n)
+            assert max(abs(got[g, k] - want[k]) for k in range(n)) < 1e-9 * max(1, np.abs(want).max())
+    got = {(r.rows, r.k): r.v for r in X.dct_long(df, ["rows"], "j", "a", n).collect()}
+    back = {(r.rows, r.k): r.v for r in X.idct_long(X.dct_long(df, ["rows"], "j", "a", n), ["rows"], "k", "v", n).collect()}
+    for g, own in series.items():
+        x = np.zeros(n)
+        x[: len(own)] = own.real
+        want = [2 * sum(x * np.cos(np.pi * k * (2 * np.arange(n) + 1) / (2 * n))) for k in range(n)]
+        assert max(abs(got[g, k] - want[k]) for k in range(n)) < 1e-8
+        assert max(abs(back[g, k] - 2 * n * x[k]) for k in range(n)) < 1e-8 * n
+
+
+def test_long_transforms_refuse(spark):
+    from quantalake.operators import transform as X
+
+    df = spark.createDataFrame([(0, 1.0), (9, 2.0)], "i long, x double")
+    with pytest.raises(ValueError, match="power"):
+        X.fft_long(df, [], "i", "x", 12)
+    with pytest.raises(Exception, match="outside"):
+        X.fft_long(df, [], "i", "x", 8).collect()
+
+
+@pytest.mark.parametrize("most", [None, 0, 3, 40])
+def test_autocovariance_by_blocks(spark, most, monkeypatch):
+    """Blocks of four values: all lags, few lags, series shorter than a block and of one value."""
+    from quantalake.operators import correlation as C
+
+    monkeypatch.setattr(C, "SHORTEST", 4)
+    monkeypatch.setattr(C, "BLOCKS", 9)
+    rng = np.random.default_rng(4)
+    series = {g: rng.normal(size=n) + 7 for g, n in enumerate([1, 2, 3, 4, 5, 9, 37, 100])}
+    df = spark.createDataFrame([(g, i, float(v)) for g, own in series.items() for i, v in enumerate(own)], "n int, lag long, c double").repartition(3)
+    got = {}
+    for r in C.autocovariance(df, ["n"], "lag", "c", most).toDF("g", "k", "v").collect():
+        got[r.g, r.k] = r.v
+    want = {}
+    for g, own in series.items():
+        d = own - own.mean()
+        for k in range(0, min(len(own) - 2, len(own) if most is None else most) + 1):
+            want[g, k] = (d[: len(d) - k] * d[k:]).sum() / len(d)
+    assert set(got) == set(want)
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-10

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import OWN, unprefixed, with_outputs
+from quantalake.llm.common import OWN, stored, unprefixed, with_outputs
 
 #: White space is 0x20 and 0x09-0x0D; only A-Z are lower-cased.
 WHITE = " \t\n\x0b\x0c\r"
@@ -41,7 +41,7 @@ def line_dedup(
     share an ``id_col`` value, null included, count as one document and each keeps its own lines; a text all of whose
     lines go becomes empty; an empty table gives an empty table.
 
-    Plan: lines are exploded as hashes and places only. (hash, document) pairs are made distinct and counted per hash
+    Plan: lines are exploded and stored once, as hashes and places only. (hash, document) pairs are made distinct and counted per hash
     with partial aggregates, so that a line found in a third of all rows is summed before the shuffle. Dropped places
     are gathered by (id, hashes of the text), so rows with one id or none are spread by their texts, and equal rows
     share one set of places. The text moves once, for the join by that key.
@@ -56,6 +56,7 @@ def line_dedup(
         .where("h is not null")
         .select("d", "t1", "t2", "at", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     )
+    placed = stored(placed, "lines")
     frequent = placed.select("d", "a", "b").distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b")
     drops = placed.join(frequent, ["a", "b"]).groupBy("d", "t1", "t2").agg(F.collect_set("at").alias(f"{OWN}drop"))
     drops = drops.select(F.col("d").alias(f"{OWN}d"), F.col("t1").alias(f"{OWN}t1"), F.col("t2").alias(f"{OWN}t2"), f"{OWN}drop")

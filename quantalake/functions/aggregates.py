@@ -17,8 +17,6 @@ from quantalake.functions import ieee
 from quantalake.functions.ieee import col
 
 X = Column | str
-#: Parts of a group in exact sums.
-PARTS = 256
 
 
 def sample_range(x: X) -> Column:
@@ -122,50 +120,40 @@ def sum_squares_about(m: X | float, x: X) -> Column:
     return F.coalesce(F.sum((col(x) - col(m)) * (col(x) - col(m))), F.lit(0.0))
 
 
-def _expansion(values: np.ndarray) -> list[float]:
-    """Few doubles with exactly the sum of many; one where a value isn't finite, or the sum is beyond doubles."""
-    out, rest = [], values.tolist()
-    try:
-        while part := math.fsum(rest):
-            out.append(part)
-            rest.append(-part)
-    except (OverflowError, ValueError):
-        return [float(np.sum(values))]
-    return out or [0.0]
+def _rounded_once(parts: pa.Array) -> pa.Array:
+    """The double nearest to the sum of (high 2**28 + low) 2**exponent, over the few exponents of a group."""
+    out = []
+    for own in parts.to_pylist():
+        least = min((p["e"] for p in own), default=0)
+        total = sum(((p["high"] << 28) + p["low"]) << (p["e"] - least) for p in own)
+        try:
+            out.append(float(total << least) if least >= 0 else total / (1 << -least))
+        except OverflowError:
+            out.append(math.inf if total > 0 else -math.inf)
+    return pa.array(out, pa.float64())
 
 
 def exact_sums(df: DataFrame, by: list[str], x: str, out: str = "total") -> DataFrame:
-    """``by`` and the sum of x, rounded once; a group without values has no row.
+    """``by`` and the sum of x, rounded once; a group without values has no row. A sum with values that aren't finite is
+    what doubles make of them; one beyond doubles is infinite.
 
-    Each batch of rows, then each of PARTS parts of a group, is summed exactly into a few doubles, so a group of any
-    size ends as a few hundred.
+    A double is a whole number times a power of two. Whole numbers are added up by group and exponent, in two halves, so
+    sums of up to 2**35 rows fit; that is an aggregate like any other, with partial sums before its shuffle. Only the
+    exponents of a group (some twenty, two thousand at most) are put together at the end.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "__s double"
-
-    def summed(table: pa.Table, last: bool = False) -> pa.Table:
-        """Rows with the sum of each group."""
-        place = np.zeros(len(table), np.int64)
-        for b in by:
-            codes = table[b].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            place = np.unique(place * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
-        order = np.argsort(place, kind="stable")
-        firsts = np.unique(place, return_index=True)[1]
-        groups = np.split(table["__s"].to_numpy()[order], np.cumsum(np.bincount(place))[:-1]) if len(place) else []
-        sums = [_expansion(own)[:1] if last else _expansion(own) for own in groups]
-        keys = table.select(by).take(pa.array(np.repeat(firsts, [len(s) for s in sums]))) if by else None
-        return pa.table([*(keys.columns if by else []), pa.array([v for s in sums for v in s], pa.float64())], names=[*by, "__s"])
-
-    def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from summed(pa.Table.from_batches([batch])).combine_chunks().to_batches()
-
-    own = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__s")).mapInArrow(by_batch, schema)
-    parts = own.withColumn("__part", F.pmod(F.xxhash64("__s", F.spark_partition_id()), F.lit(PARTS)))
-    few = parts.groupBy(*by, "__part").applyInArrow(lambda t: summed(t.drop(["__part"])), schema)
-    total = few.withColumn("__all", F.lit(0)).groupBy(*by, "__all").applyInArrow(lambda t: summed(t.drop(["__all"]), True), schema)
-    return total.withColumnRenamed("__s", out)
+    own = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__v"))
+    v, finite = F.col("__v"), ~F.isnan("__v") & (F.abs("__v") < float("inf"))
+    # about the binary exponent: m has 53 to 55 bits, and none behind the point
+    e = F.when(finite, F.when(v == 0, 0).otherwise(F.floor(F.log2(F.abs(v))).cast("int") - 53))
+    half = F.floor(-F.col("__e") / 2)
+    m = (v * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), -F.col("__e") - half)).cast("long")
+    own = own.withColumn("__e", e).withColumn("__m", F.when(F.col("__e").isNotNull(), m))
+    low, high = F.col("__m").bitwiseAND((1 << 28) - 1), F.shiftright("__m", 28)
+    parts = own.groupBy(*by, "__e").agg(F.sum(low).alias("__low"), F.sum(high).alias("__high"), F.sum(F.when(F.col("__e").isNull(), v)).alias("__odd"))
+    known = F.when(F.col("__e").isNotNull(), F.struct(F.col("__e").alias("e"), F.col("__low").alias("low"), F.col("__high").alias("high")))
+    gathered = parts.groupBy(*by).agg(F.collect_list(known).alias("__parts"), F.sum("__odd").alias("__odd"))
+    total = F.arrow_udf(_rounded_once, "double")
+    return gathered.select(*by, F.coalesce("__odd", total("__parts")).alias(out)).where(F.col(out).isNotNull())
 
 
 def with_mean(df: DataFrame, by: list[str], x: str, name: str, w: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quantalake.functions import ieee, special
 from quantalake.functions.distributions import Normal
 from quantalake.operators.quantiles import MEDIAN_UNBIASED, median
-from quantalake.operators.ranks import running, value_ranks, values, with_ranks
+from quantalake.operators.ranks import apart, running, value_ranks, values, with_ranks
 
 DIFFER, A_GREATER, B_GREATER = "differ", "a_greater", "b_greater"
 #: Values up to which Kolmogorov-Smirnov probabilities are exact, and terms up to which those of runs are all summed.
@@ -94,6 +94,7 @@ def paired_t_test(df: DataFrame, by: list[str], x: str, y: str, position: str =
 # Ranks of two samples
 
 
+@apart
 def rank_sums(df: DataFrame, by: list[str], is_a: Column, x: str) -> DataFrame:
     """``by``, n1, n2 and the sums w1, w2 of the ranks of both samples."""
     own = value_ranks(df, by, x, F.count(F.when(is_a, 1)).alias("na"))
@@ -101,6 +102,7 @@ def rank_sums(df: DataFrame, by: list[str], is_a: Column, x: str) -> DataFrame:
     return own.groupBy(*by).agg(F.sum("na").alias("n1"), F.sum(nb).alias("n2"), F.sum(F.col("na") * F.col("rank")).alias("w1"), F.sum(nb * F.col("rank")).alias("w2"))
 
 
+@apart
 def mann_whitney_u(df: DataFrame, by: list[str], is_a: Column, x: str) -> DataFrame:
     """``by``, n1, n2, u1, u2."""
     own = rank_sums(df, by, is_a, x)
@@ -170,6 +172,7 @@ def _u_significant(position: str, p: float) -> Callable:
     return lambda *own: np.array([each(*row) for row in zip(*own, strict=True)], float).reshape(len(own[0]))
 
 
+@apart
 def mann_whitney_test(df: DataFrame, by: list[str], is_a: Column, x: str, p: float, position: str = DIFFER) -> DataFrame:
     """``by``, n1, n2, u1, u2 and significant: exact up to 20 values a sample, else by the normal approximation.
 
@@ -183,6 +186,7 @@ def mann_whitney_test(df: DataFrame, by: list[str], is_a: Column, x: str, p: flo
 # Signed ranks
 
 
+@apart
 def signed_ranks(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """``by``, n (pairs that differ), t_plus, and t_minus, which isn't positive."""
     own = df.withColumn("__d", (F.col(x) - F.col(y)).cast("double"))
@@ -252,6 +256,7 @@ def _signed_p(position: str) -> Callable:
     return lambda *own: np.array([each(*row) for row in zip(*own, strict=True)], float)
 
 
+@apart
 def wilcoxon_signed_rank_test(df: DataFrame, by: list[str], x: str, y: str, position: str = DIFFER, p: float | None = None) -> DataFrame:
     """``by``, n, t_plus, t_minus, p and, with a level ``p``, significant by the critical value.
 
@@ -271,11 +276,13 @@ def wilcoxon_signed_rank_test(df: DataFrame, by: list[str], x: str, y: str, posi
 # Several samples
 
 
+@apart
 def kruskal_rank(df: DataFrame, by: list[str], sample: str, x: str) -> DataFrame:
     """``by``, sample, rank and n: the ranks among all values of the group, and how often the sample has each."""
     return with_ranks(df, by, x, "__r").groupBy(*by, sample, F.col("__r").alias("rank")).agg(F.count("*").alias("n"))
 
 
+@apart
 def kruskal_wallis(df: DataFrame, by: list[str], sample: str, x: str) -> DataFrame:
     """``by``, stat (ties are accounted for), k samples, df, p; p is null where a sample has fewer than 5 values."""
     own = values(df.where(F.col(sample).isNotNull()), [*by, sample], x)
@@ -353,6 +360,7 @@ def bartlett_test(df: DataFrame, by: list[str], sample: str, x: str) -> DataFram
 # Kolmogorov-Smirnov
 
 
+@apart
 def ks_d(df: DataFrame, by: list[str], x: str, cdf: Callable[[Column], Column]) -> DataFrame:
     """``by``, n, d: the largest distance of the empirical distribution function from a given one."""
     own = running(values(df, by, x), by, x, {"before": "n"})

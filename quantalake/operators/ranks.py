@@ -8,6 +8,9 @@ Smaller tables are one range.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cmp_to_key, wraps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,6 +95,48 @@ def with_ranks(df: DataFrame, by: list[str], x: str, out: str = "rank") -> DataF
     return df.withColumn("__v", F.col(x).cast("double") + 0.0).join(own, [*by, "__v"]).drop("__v")
 
 
+def apart(f: Callable) -> Callable:
+    """A function of (df, by, ...) that gives group columns names of their own while it works, so that those of its
+    working columns (n, rank, size) are free for groups. An error if a group has the name of a column that it returns."""
+
+    @wraps(f)
+    def run(df: DataFrame, by: list[str], *args, **options) -> DataFrame:
+        names = {b: f"__by_{n}" for n, b in enumerate(by)}
+        out = f(df.withColumnsRenamed(names), list(names.values()), *args, **options)
+        if taken := [b for b in by if b in set(out.columns) - set(names.values())]:
+            raise ValueError(f"a group has the name of a result: {', '.join(taken)}")
+        return out.withColumnsRenamed({own: b for b, own in names.items()})
+
+    return run
+
+
+def custom_order(df: DataFrame, x: str, compare: Callable[[object, object], int], most: int = 100_000) -> DataFrame:
+    """(x, place): a number a distinct value that rises as ``compare`` (negative, zero or positive for two values, as
+    ``functools.cmp_to_key`` takes it) has it; values that compare equal share one. For ranks, sorts and equivalences
+    of one's own: join it, and use the place. An error beyond ``most`` distinct values, as they are sorted on the
+    driver; orders of more values need a key that a column expression gives."""
+    found = [r[0] for r in df.select(x).where(F.col(x).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} distinct values")
+    rows, place = [], -1
+    for v in sorted(found, key=cmp_to_key(compare)):
+        place += not rows or compare(rows[-1][0], v) != 0
+        rows.append((v, place))
+    kind = T.StructType([T.StructField(x, df.schema[x].dataType), T.StructField("place", T.LongType())])
+    return df.sparkSession.createDataFrame(rows, kind)
+
+
+def ranks_by(df: DataFrame, by: list[str], x: str, key: Column | Callable[[object, object], int], out: str = "rank") -> DataFrame:
+    """``df`` with the average rank of each row in an order of one's own: by a key (a number, or a date or time, that
+    rises with the order; equal keys are ties), or by a comparison of two values. Nulls of ``x`` are left out."""
+    if isinstance(key, Column):
+        return with_ranks(df.where(F.col(x).isNotNull()).withColumn("__key", key), by, "__key", out).drop("__key")
+    places = custom_order(df, x, key)
+    small = places.select(F.col(x).alias("__own"), F.col("place").alias("__key"))
+    joined = df.join(F.broadcast(small), F.col(x) == F.col("__own")).drop("__own")  # at most 100,000 distinct values
+    return with_ranks(joined, by, "__key", out).drop("__key")
+
+
 def top_k(df: DataFrame, by: list[str], x: str, k: int) -> DataFrame:
     """The k smallest rows of each group, with their 1-based ``nth``; one bounded list a task and group."""
     w = Window.partitionBy(*by).orderBy(x)

@@ -10,7 +10,7 @@ is a hash of (seed, group, r, k).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,33 @@ from quantalake.operators.inference import CL
 from quantalake.operators.matrix import interval_places, ols_regress
 from quantalake.sources.scratch import stored
 
-#: An estimator is a name of these, or a function from a column to an aggregate.
+#: An estimator is a name of these, a function from a column to an aggregate, or a ``numpy_estimator``.
 ESTIMATORS = {"mean": aggregates.mean, "variance": aggregates.variance, "variance_unbiased": aggregates.variance_unbiased, "std_dev": aggregates.std_dev}
 
 
+class numpy_estimator:  # noqa: N801 (used like a function)
+    """An estimator from a function of a NumPy array of a sample's values (nulls left out) to a number: a grouped
+    aggregate in Arrow batches. A resample, or a sample with a row left out, is held by one task."""
+
+    def __init__(self, f: Callable[[np.ndarray], float]) -> None:
+        @F.arrow_udf("double")
+        def run(column: pa.Array) -> float:
+            return float(f(column.drop_null().to_numpy(zero_copy_only=False)))
+
+        self.aggregate = run
+
+    def __call__(self, x: Column) -> Column:
+        return self.aggregate(x.cast("double"))
+
+
+def _estimates(df: DataFrame, by: list[str], x: str, estimators: dict) -> DataFrame:
+    """``by`` and a column an estimator; those in Python are aggregated apart, as Spark wants it."""
+    own = {n: e for n, e in estimators.items() if isinstance(e, numpy_estimator)}
+    parts = [part for part in ({n: e for n, e in estimators.items() if n not in own}, own) if part]
+    found = [df.groupBy(*by).agg(*[estimate(e, x).alias(n) for n, e in part.items()]) for part in parts]
+    return found[0] if len(found) == 1 else _joined(found[0], found[1], by)
+
+
 def estimate(estimator, x: str) -> Column:
     return ESTIMATORS[estimator](x) if isinstance(estimator, str) else estimator(F.col(x))
 
@@ -130,7 +153,7 @@ def resample(df: DataFrame, by: list[str], idx: str, x: str, estimators: dict, r
         own = resample_moments(df, by, idx, x, replicates, seed)
         return own.select(*by, "rep", *[F.col(e).alias(n) for n, e in estimators.items()])
     own = resample_rows(df.select(*by, idx, x), by, idx, replicates, seed, draws)
-    return own.groupBy(*by, "rep").agg(*[estimate(e, x).alias(n) for n, e in estimators.items()])
+    return _estimates(own, [*by, "rep"], x, estimators).select(*by, "rep", *estimators)
 
 
 def resample_each(df: DataFrame, by: list[str], idx: str, x: str, estimators: dict, replicates: int, seed: int, draws: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -86,6 +86,18 @@ def kde_epanechnikov_simple(spark, d):
     return rounded(G.epanechnikov_pdf(customers(spark, d), ["g"], "x", 16), "x", "density")
 
 
+#: At 1000 points, of the values within a window of each only.
+MANY = f"""WITH {LINES}, s AS (SELECT g, min(x) AS a, max(x) AS z, count(*) AS n, stddev_samp(x) * pow(80 / (count(*) * 2 / sqrt(pi())), 0.2) AS h FROM li GROUP BY g),
+p AS (SELECT g, n, h, i, a - h + (z - a + 2 * h) / 999 * i AS p FROM s, range(0, 1000) t(i))"""
+
+
+@query(f"{MANY} SELECT p.g, p.i::INTEGER AS i, {sr('max(p.p)')} AS x, {sr('coalesce(sum(1 - pow((li.x - p.p) / (0.75 * p.h), 2)) / max(p.h * p.n), 0)', 8)} AS density FROM p LEFT JOIN li ON li.g = p.g AND li.x BETWEEN p.p - 0.75 * p.h AND p.p + 0.75 * p.h GROUP BY p.g, p.i")
+def kde_epanechnikov_lines(spark, d):
+    """The density of prices of all line items at 1000 points a return flag."""
+    own = G.epanechnikov_pdf(lines(spark, d), ["g"], "x", 1000)
+    return own.select("g", "i", r("x").alias("x"), r("density", 8).alias("density"))
+
+
 # Transforms of the mean embedding of each label, and of its neighbour as the imaginary part
 
 VECTORS = f"{EMBEDDINGS}, ve AS (SELECT i, j, v, v * (j + 1) / 8.0 AS w, count(*) OVER (PARTITION BY i) AS n FROM m)"
@@ -385,6 +397,28 @@ def bootstrap_regress(spark, d):
     return rounded(K.bootstrap_regress(own, ["g"], "idx", ["y"], "x", 50, CL90, 17, draws=_draws(own, 50)), "point", "lo", "hi", digits=5)
 
 
+def trimmed(x):
+    """The mean without the lowest and the highest tenth."""
+    import numpy as np
+
+    k = len(x) // 10
+    return float(np.sort(x)[k : len(x) - k].mean()) if len(x) else float("nan")
+
+
+@query(f"WITH {CUSTOMERS}, {_drawn('cu', 40)}, o AS (SELECT g, rep, x, row_number() OVER (PARTITION BY g, rep ORDER BY x) - 1 AS nth, count(*) OVER (PARTITION BY g, rep) AS n FROM dr) SELECT g, rep, {sr('avg(x) FILTER (WHERE nth >= n // 10 AND nth < n - n // 10)', 12)} AS trimmed, {sr('avg(x)', 12)} AS mean FROM o GROUP BY g, rep")
+def resample_trimmed(spark, d):
+    """An estimator in NumPy beside one of Spark's, on given draws."""
+    own = stored(_indexed_customers(spark, d), "indexed")
+    reps = K.resample(own, ["g"], "idx", "x", {"trimmed": K.numpy_estimator(trimmed), "mean": F.avg}, 40, 19, _draws(own, 40))
+    return rounded(reps, "trimmed", "mean", digits=12)
+
+
+@query(f"WITH {CUSTOMERS}, lo AS (SELECT a.g AS g, a.k AS k, b.x AS x, row_number() OVER (PARTITION BY a.g, a.k ORDER BY b.x) - 1 AS nth, count(*) OVER (PARTITION BY a.g, a.k) AS n FROM cu a JOIN cu b ON a.g = b.g AND a.k <> b.k) SELECT g, k, {sr('avg(x) FILTER (WHERE nth >= n // 10 AND nth < n - n // 10)', 9)} AS value FROM lo GROUP BY g, k")
+def jackknife_trimmed(spark, d):
+    """The trimmed mean, each row left out in turn."""
+    return rounded(K.jackknife_by(customers(spark, d), ["g"], "k", "x", K.numpy_estimator(trimmed)), "value", digits=9)
+
+
 # Streams: a bounded run over the table's files, into a table of the shared folder
 
 
@@ -420,6 +454,16 @@ def windowed_powers(spark, d):
     return own.select("g", "start", "p0", r("p1", 3).alias("p1"))
 
 
+@query(f"""WITH h AS (SELECT event_type AS g, date_trunc('hour', ts)::TIMESTAMP AS hr, count(value)::DOUBLE AS p0, sum(value) AS p1 FROM events GROUP BY ALL),
+w AS (SELECT g, unnest(generate_series(hr - INTERVAL 23 HOUR, hr, INTERVAL 1 HOUR)) AS start, p0, p1 FROM h) SELECT g, start, sum(p0) AS p0, {sr('sum(p1)', 3)} AS p1 FROM w GROUP BY g, start""")
+def sliding_powers(spark, d):
+    """Windows of a day that begin every hour, from panes of an hour."""
+    from quantalake.streaming.powers import sliding_powers as run
+
+    own = run(load(spark, d, "events").withColumnRenamed("event_type", "g"), "ts", ["g"], "value", 2, "1 day", "1 hour", "1 hour")
+    return own.select("g", "start", "p0", r("p1", 3).alias("p1"))
+
+
 #: The instant whose UTC clock shows a time without zone, whatever the session's zone is.
 INSTANT = "timestamp_micros(CAST((unix_date(to_date(ts)) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + extract(SECOND FROM ts)) * 1000000 AS BIGINT))"
 

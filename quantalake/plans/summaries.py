@@ -120,6 +120,12 @@ def exact_sum(spark, d):
     return rounded(A.exact_sums(own, ["g"], "x"), "total").join(squares, "g")
 
 
+@query(f"WITH {LINES} SELECT g, s, {sr('fsum(x)')} AS total FROM li GROUP BY g, s")
+def exact_sum_lines(spark, d):
+    """Exact sums of all line items' prices."""
+    return rounded(A.exact_sums(lines(spark, d), ["g", "s"], "x"), "total")
+
+
 @query(f"WITH {LINES} SELECT g, s, count(x)::DOUBLE AS p0, {sr('sum(x)', 4)} AS p1, {sr('sum(x*x)', 3)} AS p2 FROM li GROUP BY g, s")
 def powers_state(spark, d):
     own = lines(spark, d).groupBy("g", "s").agg(*A.powers(2, "x"))
@@ -202,6 +208,26 @@ def rank_avg(spark, d):
     return R.with_ranks(parts(spark, d), ["g"], "y").select("g", "k", "rank")
 
 
+#: Types of parts from small to special; the last three are as good as each other.
+SIZES = ["SMALL", "MEDIUM", "LARGE", "STANDARD", "ECONOMY", "PROMO"]
+
+
+def by_size(a: str, b: str) -> int:
+    """A comparison of two types."""
+    place = lambda t: min(SIZES.index(t), 3)
+    return place(a) - place(b)
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_brand AS g, CASE p_type WHEN 'SMALL' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LARGE' THEN 2 ELSE 3 END AS o FROM part)
+SELECT k, rank() OVER (PARTITION BY g ORDER BY o) + (count(*) OVER (PARTITION BY g, o) - 1) / 2.0 AS rank FROM k""")
+def rank_custom(spark, d):
+    """Ranks of types within brands by a comparison of one's own, with ties where it finds two equal."""
+    from quantalake.operators.ranks import ranks_by
+
+    own = load(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("g"), "p_type")
+    return ranks_by(own, ["g"], "p_type", by_size).select("k", "rank")
+
+
 @query(f"WITH {ORDERS} SELECT g, k, x, nth FROM (SELECT g, k, x, row_number() OVER (PARTITION BY g ORDER BY x)::INTEGER AS nth FROM ord) WHERE nth <= 5")
 def partial_sort_topk(spark, d):
     return R.top_k(orders(spark, d), ["g"], "x", 5).select("g", "k", "x", "nth")

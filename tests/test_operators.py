@@ -563,3 +563,90 @@ def test_autocovariance_by_blocks(spark, most, monkeypatch):
             want[g, k] = (d[: len(d) - k] * d[k:]).sum() / len(d)
     assert set(got) == set(want)
     assert max(abs(got[k] - want[k]) for k in want) < 1e-10
+
+
+def test_exact_sums_of_any_doubles(spark):
+    """Cancellation, subnormal and huge values, zeros, values that aren't finite, and groups named as working columns."""
+    from quantalake.functions.aggregates import exact_sums
+
+    rng = random.Random(8)
+    groups = {
+        1: [1e308, 1.0, -1e308, 1e-300, 5e-324, -5e-324],
+        2: [rng.uniform(-1, 1) * 2.0 ** rng.randrange(-1070, 1000) for _ in range(3000)],
+        3: [0.1] * 10 + [-0.0, 0.0],
+        4: [1e308, 1e308],
+        5: [math.inf, 1.0],
+        6: [math.inf, -math.inf],
+        7: [-(2.0**53), 1.0, 1.0, 2.0**53 - 1, 5e-324],
+        8: [5e-324] * 3,
+        9: [2.0**k * (1 - 2.0**-53) for k in range(-1020, 1020, 7)],
+    }
+    rows = [(g, v) for g, own in groups.items() for v in own] + [(10, None)]
+    got = {r.low: r.total for r in exact_sums(spark.createDataFrame(rows, "low int, x double").repartition(5), ["low"], "x").collect()}
+    want = {g: math.fsum(v) for g, v in groups.items() if g not in (4, 5, 6)} | {4: math.inf, 5: math.inf}
+    assert {g: v for g, v in got.items() if g != 6} == want and math.isnan(got[6])
+    assert exact_sums(spark.createDataFrame(rows, "low int, x double").where("low = 3"), [], "x").first().total == math.fsum(groups[3])
+
+
+def test_densities_by_running_moments(spark):
+    """Against the kernel at each point; ties, a group of equal values apart."""
+    from quantalake.operators import density as G
+
+    rng = np.random.default_rng(9)
+    groups = {1: rng.normal(size=500), 2: np.round(rng.normal(size=300), 1) * 1e3, 3: np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, own in groups.items() for v in own] + [(4, 1.0), (1, None)], "g int, x double")
+    for n in (2, 17, 400):
+        got = {(r.g, r.i): r for r in G.epanechnikov_pdf(df, ["g"], "x", n).collect()}
+        want = {(r.g, r.i): r for r in G.simple_pdf(df, ["g"], "x", G.epanechnikov_bandwidth, G.epanechnikov_kernel, 1, n).collect()}
+        assert set(got) == set(want)
+        for k, r in want.items():
+            assert got[k].x == pytest.approx(r.x, abs=1e-9 * max(1, abs(r.x)))
+            assert got[k].density == pytest.approx(r.density, rel=1e-8, abs=1e-9 / np.ptp(groups[k[0]]))
+
+
+def test_orders_of_ones_own(spark):
+    from quantalake.operators import ranks as R
+
+    words = ["b", "AA", "a", "c", "B", None, "ccc", "A"]
+    df = spark.createDataFrame([(k % 2, k, w) for k, w in enumerate(words)], "g int, k int, w string")
+    compare = lambda a, b: (a.lower() > b.lower()) - (a.lower() < b.lower())
+    got = {r.k: r.rank for r in R.ranks_by(df, [], "w", compare).collect()}
+    assert got == {2: 1.5, 7: 1.5, 1: 3, 0: 4.5, 4: 4.5, 3: 6, 6: 7}
+    assert {r.k: r.rank for r in R.ranks_by(df, ["g"], "w", F.length("w")).collect()} == {0: 2, 2: 2, 4: 2, 6: 4, 1: 3, 3: 1.5, 7: 1.5}
+    with pytest.raises(ValueError, match="more than 2"):
+        R.custom_order(df, "w", compare, 2)
+
+
+def test_groups_named_as_working_columns(spark):
+    from quantalake.operators import hypothesis as T
+    from quantalake.functions.distributions import Normal
+
+    rng = np.random.default_rng(10)
+    rows = [(g, k % 2 == 0, float(v), float(w)) for g in (1, 2) for k, (v, w) in enumerate(rng.normal(size=(9, 2)))]
+    for name in ("n", "size", "rank", "na", "before", "all", "up", "__n"):
+        df = spark.createDataFrame(rows, f"{name} int, a boolean, x double, y double")
+        plain = spark.createDataFrame(rows, "g int, a boolean, x double, y double")
+        for call in (
+            lambda d, g: T.mann_whitney_u(d, [g], F.col("a"), "x"),
+            lambda d, g: T.rank_sums(d, [g], F.col("a"), "x"),
+            lambda d, g: T.signed_ranks(d, [g], "x", "y"),
+            lambda d, g: T.ks_d(d, [g], "x", Normal(0, 1).cdf),
+        ):
+            want = sorted(map(tuple, call(plain, "g").collect()))
+            if name in call(plain, "g").columns:
+                with pytest.raises(ValueError, match="name of a result"):
+                    call(df, name)
+            else:
+                assert sorted(map(tuple, call(df, name).collect())) == want
+
+
+def test_numpy_estimators(spark):
+    from quantalake.operators import resampling as K
+
+    x = [3.0, 1.0, 2.0, 10.0, None]
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(x)], "g int, idx long, x double")
+    median = K.numpy_estimator(lambda v: np.median(v) if len(v) else np.nan)
+    draws = spark.createDataFrame([(1, 0, i) for i in (0, 0, 1, 3, 4)] + [(1, 1, i) for i in (2, 2, 2, 2, 2)], "g int, rep int, idx long")
+    got = {r.rep: r for r in K.resample(df, ["g"], "idx", "x", {"m": median, "most": F.max}, 2, 0, draws).collect()}
+    assert (got[0].m, got[0].most, got[1].m) == (3.0, 10.0, 2.0)
+    assert {r.idx: r.value for r in K.jackknife_by(df.where("x is not null"), ["g"], "idx", "x", median).collect()} == {0: 2.0, 1: 3.0, 2: 3.0, 3: 2.0}

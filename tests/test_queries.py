@@ -59,6 +59,25 @@ def test_streams(spark, tmp_path):
         assert got <= want and len(got) >= 2  # the last window stays open
 
 
+def test_sliding_stream(spark, tmp_path):
+    """Panes and windows are states of one stream: what it gives are windows of the batch, all that the watermark passed."""
+    from pyspark.sql import functions as F
+
+    from quantalake.streaming.powers import sliding_powers
+
+    rows = [(f"2024-01-01 00:{m:02d}:{s:02d}", "ab"[m % 2], float(m + s)) for m in range(40) for s in (1, 31)]
+    batch = spark.createDataFrame(rows, "t string, k string, x double").select(F.to_timestamp("t").alias("t"), "k", "x")
+    batch.write.parquet(str(tmp_path / "in"))
+    want = {(r.k, r.start): (r.p0, r.p1) for r in sliding_powers(batch, "t", ["k"], "x", 2, "10 minutes", "2 minutes", "1 minute").collect()}
+    for (k, start), (n, total) in want.items():
+        own = [x for t, g, x in rows if g == k and 0 <= (__import__("datetime").datetime.fromisoformat(t) - start).total_seconds() < 600]
+        assert (n, total) == (len(own), sum(own))
+    stream = sliding_powers(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")), "t", ["k"], "x", 2, "10 minutes", "2 minutes", "1 minute")
+    stream.writeStream.format("memory").queryName("sliding").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.k, r.start): (r.p0, r.p1) for r in spark.table("sliding").collect()}
+    assert len(got) >= 10 and all(want[k] == v for k, v in got.items())
+
+
 def test_json_round_trip(spark, tmp_path):
     from pyspark.sql import functions as F
 

@@ -49,7 +49,7 @@ class Columns:
     gamma_p_inverse = staticmethod(lambda a, p: special.column(special.gamma_p_inverse, a, p))
     beta_i = staticmethod(lambda a, b, x: special.column(special.beta_i, a, b, x))
     beta_i_inverse = staticmethod(lambda a, b, p: special.column(special.beta_i_inverse, a, b, p))
-    erfc = staticmethod(lambda x: special.column(special.erfc, x))
+    erfc = staticmethod(lambda x: special.erfc_by(Columns, _c(x)))
     erfc_inverse = staticmethod(lambda p: special.column(special.erfc_inverse, p))
 
     @staticmethod

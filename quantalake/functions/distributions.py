@@ -142,7 +142,7 @@ def from_json(value: dict) -> Distribution:
 
 @dataclass(frozen=True)
 class Normal(Distribution):
-    ARROW = ("cdf", "sf", "ppf", "isf")
+    ARROW = ("ppf", "isf")
     mu: float = 0.0
     sigma: float = 1.0
 

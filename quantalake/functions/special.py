@@ -18,20 +18,64 @@ def _lgamma(x: float) -> float:
 
 
 _lgamma_all = np.vectorize(_lgamma, otypes=[float])
-_erf_all = np.vectorize(math.erf, otypes=[float])
-_erfc_all = np.vectorize(math.erfc, otypes=[float])
 
 
 def lgamma(x):
     return _lgamma_all(x)
 
 
-def erf(x):
-    return _erf_all(x)
+#: Cody's rational approximations (1969) of erf to 15/32, of erfc to 4, and of erfc beyond, by falling
+#: powers; numerators and denominators.
+NEAR = (
+    [1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3],
+    [1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3],
+)
+MIDDLE = (
+    [2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2, 8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3],
+    [1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3, 4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3],
+)
+FAR = (
+    [1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4],
+    [1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3],
+)
+
+
+def _ratio(parts: tuple[list[float], list[float]], x):
+    up, down = parts
+    a, b = up[0], down[0]
+    for c, d in zip(up[1:], down[1:], strict=True):
+        a, b = a * x + c, b * x + d
+    return a / b
+
+
+def erfc_by(m, x):
+    """erfc of a column or an array, by a backend's where, exp, floor and abs: arithmetic alone."""
+    y = m.abs(x)
+    near = 1 - x * _ratio(NEAR, x * x)
+    # exp(-y**2) without the rounding of the square: y is cut behind the fourth binary place
+    y = m.where(y < 27.3, y, 27.3)  # beyond, it is zero
+    cut = m.floor(y * 16) / 16
+    falls = m.exp(-(cut * cut)) * m.exp(-((y - cut) * (y + cut)))
+    inverse = 1 / m.where(y > 0.1, y * y, 1.0)
+    far = falls * (0.5641895835477563 - inverse * _ratio(FAR, inverse)) / m.where(y > 0.1, y, 1.0)  # 1 / sqrt(pi)
+    above = m.where(y <= 4, falls * _ratio(MIDDLE, y), far)
+    return m.where(m.abs(x) <= 0.46875, near, m.where(x > 0, above, 2 - above))
+
+
+class _Arrays:
+    where, exp, floor, abs = np.where, np.exp, np.floor, np.abs
 
 
 def erfc(x):
-    return _erfc_all(x)
+    x = np.asarray(x, float)
+    with np.errstate(all="ignore"):
+        return np.where(np.isnan(x), np.nan, erfc_by(_Arrays, x))
+
+
+def erf(x):
+    x = np.asarray(x, float)
+    with np.errstate(all="ignore"):
+        return np.where(np.abs(x) <= 0.46875, x * _ratio(NEAR, x * x), 1 - erfc(x))
 
 
 def digamma(x):

@@ -82,6 +82,16 @@ def _continuous(name: str, own: D.Distribution, cdf: str, pdf: str) -> None:
     SQL[f"dist_{name}"] = f"WITH {POINTS} SELECT i, {', '.join(f'{sr(c, 5)} AS {n}' for n, c in parts.items())} FROM points"
 
 
+def normal_prices(spark, d):
+    """How likely a lower price is than that of each line item, by a normal distribution: arithmetic in Spark alone."""
+    own = lines(spark, d)
+    return own.select("orderkey", "line", r(D.Normal(50, 25).cdf("x"), 9).alias("cdf"), r(D.Normal(50, 25).sf("x"), 9).alias("sf"))
+
+
+QUERIES["normal_prices"] = normal_prices
+SQL["normal_prices"] = f"WITH {LINES} SELECT orderkey, line, {sr(phi('((x - 50) / 25)'), 9)} AS cdf, {sr('1 - ' + phi('((x - 50) / 25)'), 9)} AS sf FROM li"
+
+
 def _discrete(name: str, own: D.Discrete, mass: str, first: int, last: int) -> None:
     def run(spark, d):
         g = _orders(spark, d, x=K)

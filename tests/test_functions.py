@@ -167,3 +167,25 @@ def test_power_moments(spark):
     assert "kurtosis" not in A.Powers(3).moments(rows).columns and A.Powers(4).order == 4
     one = rows.select(A.Powers(4).central_moment(3).alias("m"), A.Powers(4).skewness.alias("s"), A.Powers(4).kurtosis.alias("k")).first()
     assert (one.m, one.s, one.k) == pytest.approx(((d**3).mean(), r.skewness, r.kurtosis))
+
+
+def test_error_functions():
+    """Within an ulp or so of the C library's, and as columns in plans without Python."""
+    x = np.concatenate([np.linspace(-7, 27, 20_001), [0.0, -0.0, 5e-324, 0.46875, -0.46875, 4.0, -4.0, 30.0, -30.0, math.inf, -math.inf, math.nan]])
+    got, want = special.erfc(x), np.array([math.erfc(v) for v in x])
+    fine = want > 1e-300
+    assert (np.abs(got[fine] / want[fine] - 1) < 2e-15).all()
+    assert ((got == want) | fine | (want < 1e-300) | np.isnan(want)).all() and np.isnan(got[-1])
+    got, want = special.erf(x[:-1]), np.array([math.erf(v) for v in x[:-1]])
+    assert (np.abs(got - want) <= 1e-15 * np.abs(want)).all()
+
+
+def test_normal_columns_are_expressions(spark):
+    own = D.Normal(1, 2)
+    x = [1.0, 1.3, -40.0, 55.0, 0.0, math.inf, -math.inf]
+    df = spark.createDataFrame([(v,) for v in x], "x double").select("x", own.cdf("x").alias("p"), own.sf("x").alias("q"))
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan.replace("ArrowConverters", "")
+    for r in df.collect():
+        assert r.p == pytest.approx(0.5 * math.erfc((1 - r.x) / (2 * math.sqrt(2))), rel=1e-14, abs=1e-307)
+        assert r.q == pytest.approx(0.5 * math.erfc((r.x - 1) / (2 * math.sqrt(2))), rel=1e-14, abs=1e-307)

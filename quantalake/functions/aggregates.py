@@ -153,7 +153,7 @@ def exact_sums(df: DataFrame, by: list[str], x: str, out: str = "total") -> Data
     known = F.when(F.col("__e").isNotNull(), F.struct(F.col("__e").alias("e"), F.col("__low").alias("low"), F.col("__high").alias("high")))
     gathered = parts.groupBy(*by).agg(F.collect_list(known).alias("__parts"), F.sum("__odd").alias("__odd"))
     total = F.arrow_udf(_rounded_once, "double")
-    return gathered.select(*by, F.coalesce("__odd", total("__parts")).alias(out)).where(F.col(out).isNotNull())
+    return gathered.select(*by, F.when(F.col("__odd").isNotNull(), F.col("__odd")).when(F.size("__parts") > 0, total("__parts")).alias(out)).where(F.col(out).isNotNull())
 
 
 def with_mean(df: DataFrame, by: list[str], x: str, name: str, w: str | None = None) -> DataFrame:

@@ -30,16 +30,23 @@ UNKNOWN = "und"
 CHUNK = 1 << 16
 #: Texts that are Python objects at a time, and n-grams that a task holds before it sums them up.
 ROWS, HELD = 512, 1 << 21
-#: What isn't a letter, by category: besides what \w leaves out, digits and number signs of any kind.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha())
-_OTHER = re.compile(rf"[\W\d_{_NUMBERS}]+")
+#: What isn't a letter: first what \w leaves out, digits and underscores, then number signs of other kinds, which few
+#: texts have.
+_OTHER = re.compile(r"[\W\d_]+")
+_NUMBERS = re.compile("[ " + "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha()) + "]+")
+
+
+def letters(text: str) -> str:
+    """The runs of letters of a text, in lower case, by category, with a space between them."""
+    own = _OTHER.sub(" ", text.lower()).strip()
+    return own if own.replace(" ", "").isalpha() else _NUMBERS.sub(" ", own).strip()
 
 
 def grams(text: str | None) -> Iterator[np.ndarray]:
     """Hashes of the n-grams of a text's letter runs, in lower case, each between two spaces; in chunks."""
     if not text:
         return
-    own = np.frombuffer(f" {_OTHER.sub(' ', text.lower()).strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.frombuffer(f" {letters(text)} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(own) < 3:
         return
     for a in range(0, len(own), CHUNK):

@@ -32,15 +32,16 @@ def _checked(k: int, q: int) -> None:
         raise ValueError(f"k must be from 0 to {q}: {k}")
 
 
-def quantiles(df: DataFrame, by: list[str], x: str, ks: list[int], q: int, param: ContParam = S) -> DataFrame:
-    """``by`` and an array ``quantiles``: the k-th q-quantiles for ``ks``, in their order.
+def quantiles(df: DataFrame, by: list[str], x: str, ks: list[int], q: int, param: ContParam = S, times: str | None = None) -> DataFrame:
+    """``by`` and an array ``quantiles``: the k-th q-quantiles for ``ks``, in their order. ``times``: a column that says how
+    often a row's value stands there, for samples that are kept as counts.
 
     Nulls are left out; NaN is an error; a group without values has no row.
     """
     for k in ks:
         _checked(k, q)
     points = cut_points(df, x)
-    own, every = numbers(df, x).select(*by, F.col(x).alias("__x")), Window.partitionBy(*by)
+    own, every = numbers(df, x).select(*by, F.col(x).alias("__x"), (F.lit(1) if times is None else F.col(times)).cast("long").alias("__t")), Window.partitionBy(*by)
     places = []  # of each quantile: two places and what part of the second
     for k in ks:
         h = F.lit(param.alpha) + F.lit(k / q) * (F.col("__size") + 1 - param.alpha - param.beta)
@@ -49,13 +50,16 @@ def quantiles(df: DataFrame, by: list[str], x: str, ks: list[int], q: int, param
     held = lambda i: (F.col("__from") <= i) & (i < F.col("__from") + F.col("__n"))
     if points:
         own = own.withColumn("__range", range_of(F.col("__x"), points))
-        ranges = own.groupBy(*by, "__range").agg(F.count("*").alias("__n"))  # a row a group and range
+        ranges = own.groupBy(*by, "__range").agg(F.sum("__t").alias("__n"))  # a row a group and range
         placed = ranges.select("*", (F.sum("__n").over(every.orderBy("__range")) - F.col("__n")).alias("__from"), F.sum("__n").over(every).alias("__size"))
         wanted = placed.where(F.exists(F.array(*[i for low, high, _ in places for i in (low, high)]), held))
         chosen = own.join(wanted.withColumnRenamed("__from", "__before").drop("__n"), [*by, "__range"])
-        counted = chosen.groupBy(*by, "__range", "__before", "__size", "__x").agg(F.count("*").alias("__n"))
+        counted = chosen.groupBy(*by, "__range", "__before", "__size", "__x").agg(F.sum("__t").alias("__n"))
         within = F.sum("__n").over(Window.partitionBy(*by, "__range").orderBy("__x")) - F.col("__n")
         ranked = counted.withColumn("__from", F.col("__before") + within)
+    elif times is not None:
+        counted = own.groupBy(*by, "__x").agg(F.sum("__t").alias("__n")).where("__n > 0")
+        ranked = counted.select("*", (F.sum("__n").over(every.orderBy("__x")) - F.col("__n")).alias("__from"), F.sum("__n").over(every).alias("__size"))
     else:  # at most ROWS rows
         ranked = own.select("*", F.lit(1).alias("__n"), F.row_number().over(every.orderBy("__x")).alias("__to"), F.count("*").over(every).alias("__size")).withColumn("__from", F.col("__to") - 1)
     out = [F.sum(F.when(held(low), (1 - part) * F.col("__x")).otherwise(0.0) + F.when(held(high), part * F.col("__x")).otherwise(0.0)) for low, high, part in places]

@@ -12,8 +12,10 @@ from quantalake.operators import resampling as K
 from quantalake.operators import transform as X
 from quantalake.operators.inference import CL90
 from quantalake.operators.ranks import indexed
+from quantalake.operators.quantiles import MEDIAN_UNBIASED
 from quantalake.plans.common import CUSTOMERS, LINES, ORDERS, PARTS, customers, lines, orders, parts, phi, r, rounded, sr
 from quantalake.plans.inference import EMBEDDINGS, _embeddings, prices
+from quantalake.plans.summaries import quantile_sql
 from quantalake.sources.scratch import scratch, stored
 from quantalake.sources.tables import load
 
@@ -446,6 +448,20 @@ def stream_powers(spark, d):
     return own.select("g", "p0", r("p1", 3).alias("p1"), r(Powers(2).variance, 3).alias("variance"))
 
 
+EVENT_QUARTILES = [f"({quantile_sql('events', 'event_type', 'value', k, 4, MEDIAN_UNBIASED)})" for k in (1, 2, 3)]
+
+
+@query(f"SELECT a.event_type AS g, {sr('a.v')} AS q1, {sr('b.v')} AS q2, {sr('c.v')} AS q3 FROM {EVENT_QUARTILES[0]} a JOIN {EVENT_QUARTILES[1]} b USING (event_type) JOIN {EVENT_QUARTILES[2]} c USING (event_type)")
+def stream_quantiles(spark, d):
+    """Quartiles of a stream, from the counts of values that it keeps."""
+    from quantalake.streaming.values import count_values, stream_quantiles as read
+
+    path = scratch(spark, "counts")
+    count_values(_events(spark, d), ["event_type"], "value", path).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start().awaitTermination()
+    own = read(spark, path, ["event_type"], "value", [1, 2, 3], 4, MEDIAN_UNBIASED)
+    return own.select(F.col("event_type").alias("g"), *[r(F.col("quantiles")[k]).alias(f"q{k + 1}") for k in range(3)])
+
+
 @query(f"SELECT event_type AS g, date_trunc('day', ts)::TIMESTAMP AS start, count(value)::DOUBLE AS p0, {sr('sum(value)', 3)} AS p1 FROM events GROUP BY ALL")
 def windowed_powers(spark, d):
     from quantalake.streaming.powers import windowed_powers as run

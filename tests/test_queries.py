@@ -78,6 +78,35 @@ def test_sliding_stream(spark, tmp_path):
     assert len(got) >= 10 and all(want[k] == v for k, v in got.items())
 
 
+def test_counts_of_a_stream_survive_restarts(spark, tmp_path):
+    """A batch that runs again, a stop between two runs, and bases in the middle: the quantiles are those of all rows."""
+    import random
+
+    from quantalake.operators.quantiles import quantiles
+    from quantalake.streaming.values import count_values, keep_counts, stream_quantiles, value_counts
+
+    rng, path = random.Random(3), f"file://{tmp_path}/counts"
+    rows = [[(rng.choice("ab"), rng.choice([None, float(rng.randrange(9))])) for _ in range(20)] for _ in range(7)]
+    frames = [spark.createDataFrame(own, "g string, x double") for own in rows]
+    for number, df in enumerate(frames):
+        keep_counts(df, number, ["g"], "x", path, 3)
+        if number in (1, 2, 4):  # the last one before a restart runs again
+            keep_counts(df, number, ["g"], "x", path, 3)
+        every = spark.createDataFrame([r for own in rows[: number + 1] for r in own], "g string, x double")
+        want = {(r.g, r.x): r.n for r in every.where("x is not null").groupBy("g", "x").count().toDF("g", "x", "n").collect()}
+        assert {(r.g, r.x): r.times for r in value_counts(spark, path, ["g"], "x").collect()} == want
+    assert {r.g: r.quantiles for r in stream_quantiles(spark, path, ["g"], "x", [1, 2, 3], 4).collect()} == {r.g: r.quantiles for r in quantiles(every, ["g"], "x", [1, 2, 3], 4).collect()}
+    folder, kept = str(tmp_path / "in"), f"file://{tmp_path}/kept"
+    for df in frames[:4]:
+        df.coalesce(1).write.mode("append").parquet(folder)
+    for more in (frames[4:], []):
+        stream = spark.readStream.schema("g string, x double").option("maxFilesPerTrigger", 1).parquet(folder)
+        count_values(stream, ["g"], "x", kept, 3).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+        for df in more:
+            df.coalesce(1).write.mode("append").parquet(folder)
+    assert {(r.g, r.x): r.times for r in value_counts(spark, kept, ["g"], "x").collect()} == want
+
+
 def test_json_round_trip(spark, tmp_path):
     from pyspark.sql import functions as F
 

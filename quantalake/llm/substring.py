@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import WordHashes, blobs, mix, release, window_hashes
+from quantalake.llm.common import WordHashes, blobs, mix, release, stored, window_hashes
 
+#: Rows with one id and text that are worked one by one.
+COPIES = 8
 #: Bytes of text of a batch, of a bucket, and of a task's batches.
 BATCH_BYTES, BUCKET_BYTES, TASK_BYTES = 4 << 20, 8 << 20, 32 << 20
 _LOW, _OTHER = np.uint64(0xFFFFFFFF), np.uint64(0xD1342543DE82EF95)
@@ -177,17 +179,43 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     has no words and an empty kept_text; runs are judged on the input; repeated rows repeat each other; null and
     repeated ids are fine, as ids are only carried along; other columns are ignored; an empty table gives no rows.
 
-    Rows are dealt by their id and text, so copies with ids of their own are spread; rows equal in both share a batch,
-    which a task holds whole.
+    Rows are dealt by their id and text, so copies with ids of their own are spread over batches, which tasks hold
+    whole. Of rows that are equal in both more than COPIES times two go that way, for others to be compared with; all of
+    them have the same result, which needs no comparison: every run of theirs starts elsewhere too.
     """
+    ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    own = docs.select(ident.alias("d"), text.alias("t"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"))
+    equal = stored(own.groupBy("d", "h1", "h2").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes")), "equal")
+    hot = equal.where(F.col("n") > COPIES).select(F.col("d").alias("d1"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    size = equal.agg(F.sum("bytes")).first()[0] or 0
+    if hot.isEmpty():
+        return _dedup(own.select("d", "t"), window, size)
+    same = F.col("d").eqNullSafe(F.col("d1")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))
+    few, many = own.join(hot, same, "left_anti").select("d", "t"), own.join(hot, same, "left_semi")
+    two = many.groupBy("d", "h1", "h2").agg(F.first("t").alias("t"))
+    two = two.select("d", "t", F.explode(F.array(F.lit(1), F.lit(2)))).select(F.lit(True).alias("two"), "d", "t")
+    found = _dedup(few.select(F.lit(False).alias("two"), "d", "t").unionByName(two), window, size).where("not two").drop("two")
+    words = F.filter(F.split(F.coalesce("t", F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
+    n = F.size("w").cast("long")
+    covered = F.array(F.struct(F.lit(0).cast("long").alias("first"), (n - 1).alias("last")))
+    alike = many.select(F.col("d").alias("doc_id"), words.alias("w")).select(
+        "doc_id",
+        n.alias("n_words"),
+        F.when(n >= window, n).otherwise(0).alias("n_removed"),
+        F.when(n >= window, "").otherwise(F.array_join("w", " ")).alias("kept_text"),
+        F.when(n >= window, covered).otherwise(F.array().cast("array<struct<first:bigint,last:bigint>>")).alias("removed"),
+    )
+    return found.unionByName(alike)
+
+
+def _dedup(docs: DataFrame, window: int, size: int) -> DataFrame:
+    """The result of rows d and t, with column ``two`` if they have it."""
     spark = docs.sparkSession
-    block = (window + 1) // 2
-    text = F.col(f"`{text_col}`").cast("string")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    block, marked = (window + 1) // 2, "two" in docs.columns
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = max(partitions, -(-size // BATCH_BYTES))
     buckets = max(partitions, -(-size // BUCKET_BYTES))
-    dealt = docs.select(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(batches)).alias("batch"), F.col(f"`{id_col}`").cast("long").alias("d"), text.alias("t"))
+    dealt = docs.select(F.pmod(F.xxhash64("d", "t"), F.lit(batches)).alias("batch"), *docs.columns)
 
     def probe(table: pa.Table) -> pa.Table:
         words, hashes, indexed = WordHashes(), [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
@@ -238,11 +266,11 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
             spans.append([{"first": int(a), "last": int(b) - 1} for a, b in zip(step[::2], step[1::2], strict=True)])
         columns = [table["d"], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))]
         release()
-        return pa.table(columns, names=["doc_id", "n_words", "n_removed", "kept_text", "removed"])
+        return pa.table(([table["two"]] if marked else []) + columns, names=["two"] * marked + ["doc_id", "n_words", "n_removed", "kept_text", "removed"])
 
     by_batch = dealt.repartition(max(partitions, -(-size // TASK_BYTES)), "batch").groupBy("batch")
     probes = by_batch.applyInArrow(probe, _PACK)
     anchors = probes.groupBy("bucket").applyInArrow(lambda t: _repeated(t, SHORT, True), _REPLY)
     windows = by_batch.cogroup(anchors.groupBy("batch")).applyInArrow(extend, _PACK)
     repeats = windows.groupBy("bucket").applyInArrow(lambda t: _repeated(t, LONG, False), _REPLY)
-    return by_batch.cogroup(repeats.groupBy("batch")).applyInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<first:long,last:long>>")
+    return by_batch.cogroup(repeats.groupBy("batch")).applyInArrow(remove, "two boolean, " * marked + "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<first:long,last:long>>")

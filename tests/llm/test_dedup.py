@@ -214,3 +214,19 @@ def test_substring_dedup_repeated_rows(docs, prose):
     got = substring_dedup(docs([t, t, None], [None, None, 3])).collect()
     assert sorted(r.n_removed for r in got) == [0, 40, 40]
     assert hashlib.sha256(got[0].kept_text.encode()).hexdigest()
+
+
+def test_many_equal_rows(spark, docs, prose):
+    """100,000 rows with no id and one text, and others equal in both: no batch holds them, and all are worked right."""
+    long, short = prose(60, 1), "too  short\tto repeat "
+    texts = [long, short, prose(50, 2) + " " + " ".join(long.split()[5:45]), prose(80, 3), None]
+    many = spark.range(100_000).selectExpr("cast(null as bigint) AS doc_id").crossJoin(docs(texts[:1]).select("text"))
+    some = docs([short] * 20 + [None] * 20 + [long] * 3 + texts[2:], [7] * 20 + [8] * 20 + [9] * 3 + [10, 11, 12]).select("doc_id", "text")
+    got = substring_dedup(many.unionByName(some)).groupBy("doc_id", "n_words", "n_removed", "kept_text", "removed").count().collect()
+    found = {r.doc_id: r for r in got}
+    assert len(got) == len(found) == 7
+    assert (found[None]["count"], found[None].n_words, found[None].n_removed, found[None].kept_text) == (100_000, 60, 60, "")
+    assert [tuple(x) for x in found[None].removed] == [(0, 59)]
+    assert (found[7]["count"], found[7].n_words, found[7].n_removed, found[7].kept_text) == (20, 4, 0, "too short to repeat")
+    assert (found[8]["count"], found[8].n_words, found[8].kept_text) == (20, 0, "")
+    assert (found[9]["count"], found[9].n_removed, found[10].n_removed, found[11].n_removed) == (3, 60, 40, 0)

@@ -113,14 +113,14 @@ def _beta_prime_entropy(a: str, b: str) -> str:
     return f"lgamma({a}) + lgamma({b}) - lgamma({a} + {b}) - ({a} - 1) * ({digamma(a)} - {digamma(b)}) + ({a} + {b}) * ({digamma(f'({a} + {b})')} - {digamma(b)})"
 
 
-#: What families are fitted with, by brand: m and s, the mean and deviation of prices, and y, the mean size.
-STATS = {"m": "avg(x)", "s": "stddev_samp(x)", "y": "avg(y)"}
+#: What families are fitted with, by brand: m and s, the geometric mean and the deviation of prices, and y, the mean size.
+STATS = {"m": "exp(avg(ln(x)))", "s": "stddev_samp(x)", "y": "avg(y)"}
 #: Families: how they are made, their parameters a, b, c from m, s and y, and mean, variance and entropy in SQL.
 MOMENTS = {
     "normal": (D.Normal, ["m", "s"], "a", "b * b", f"0.5 * ln(2 * {PI} * exp(1) * b * b)"),
     "lognormal": (D.Lognormal, ["m / 10", "s / 10"], "exp(a + b * b / 2)", "(exp(b * b) - 1) * exp(2 * a + b * b)", f"a + 0.5 * ln(2 * {PI} * exp(1) * b * b)"),
     "exponential": (D.Exponential, ["1 / m"], "1 / a", "1 / (a * a)", "1 - ln(a)"),
-    "gamma": (D.Gamma, ["m * m / (s * s) / 50", "s * s / m"], "a * b", "a * b * b", f"a + ln(b) + lgamma(a) + (1 - a) * {digamma('a')}"),
+    "gamma": (D.Gamma, ["1 + y / 20", "m / 5"], "a * b", "a * b * b", f"a + ln(b) + lgamma(a) + (1 - a) * {digamma('a')}"),
     "beta": (D.Beta, ["1 + y / 20", "1 + m / 5"], "a / (a + b)", "a * b / ((a + b) * (a + b) * (a + b + 1))", f"lgamma(a) + lgamma(b) - lgamma(a + b) - (a - 1) * {digamma('a')} - (b - 1) * {digamma('b')} + (a + b - 2) * {digamma('(a + b)')}"),
     "chi_squared": (D.ChiSquared, ["floor(y)"], "a", "2 * a", f"a / 2 + ln(2) + lgamma(a / 2) + (1 - a / 2) * {digamma('(a / 2)')}"),
     "student_t": (D.StudentT, ["2.5 + y / 10"], "0", "a / (a - 2)", f"(a + 1) / 2 * ({digamma('((a + 1) / 2)')} - {digamma('(a / 2)')}) + 0.5 * ln(a) + lgamma(a / 2) + lgamma(0.5) - lgamma((a + 1) / 2)"),

@@ -375,7 +375,10 @@ def test_wilcoxon_query_has_all_groups(spark, tmp_path):
     for g, n in ((1, 3), (2, 7), (3, 9), (4, 130)):
         rows += [(k, g, float(k + 1 if rng.random() < 0.85 else -k - 1), 0.0) for k in range(n)]  # differences without ties
     rows += [(0, 5, 0.0, 0.0), (1, 5, 0.0, 0.0)]
-    _folder(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_suppkey long, l_quantity double, l_discount double")
+    import datetime
+
+    dated = [(*r, datetime.datetime(2020, 1, 1 + r[0] % 28)) for r in rows]  # one year, so that each supplier is a group
+    _folder(spark, tmp_path, "lineitem", dated, "l_orderkey long, l_suppkey long, l_quantity double, l_discount double, l_shipdate timestamp")
     got = {r.g: r for r in registry.queries()["wilcoxon_test"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3, 4, 5}
     assert got[5].n == 0 and got[5].p is None and got[5].significant is None

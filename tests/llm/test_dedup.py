@@ -230,3 +230,19 @@ def test_many_equal_rows(spark, docs, prose):
     assert (found[7]["count"], found[7].n_words, found[7].n_removed, found[7].kept_text) == (20, 4, 0, "too short to repeat")
     assert (found[8]["count"], found[8].n_words, found[8].kept_text) == (20, 0, "")
     assert (found[9]["count"], found[9].n_removed, found[10].n_removed, found[11].n_removed) == (3, 60, 40, 0)
+
+
+@pytest.mark.parametrize("union", [4, 8, 16, 40, 400, 4000])
+def test_recall_at_the_threshold(union):
+    """Pairs at exactly 0.75, small and large: all share a key and pass the sketch (a miss has a chance of 5e-6)."""
+    from quantalake.llm.neardup import MARGIN, band_keys
+
+    rng, most = np.random.default_rng(union), most_bits(0.75 - MARGIN)
+    for _ in range(40 if union == 4000 else 400):
+        own = rng.integers(0, 1 << 63, union, np.uint64)
+        common, rest = own[: 3 * union // 4], own[3 * union // 4 :]
+        left = rest[: int(rng.integers(0, len(rest) + 1))]
+        a, b = np.concatenate([common, left]), np.concatenate([common, rest[len(left) :]])
+        x, y = samples(a), samples(b)
+        assert (band_keys(x) == band_keys(y)).any()
+        assert np.bitwise_count(odd_sketch(x) ^ odd_sketch(y)).sum() <= most

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quantalake.functions import distributions as D
 from quantalake.operators.quantiles import MEDIAN_UNBIASED, fit_laplace
-from quantalake.plans.common import LINES, ORDERS, PARTS, beta_i, digamma, gamma_p, lines, orders, parts, phi, r, sr
+from quantalake.plans.common import LINES, ORDERS, PARTS, beta_i, digamma, gamma_p, lines, orders, parts, phi, r, r_scaled, sr
 from quantalake.plans.summaries import quantile_sql
 from quantalake.sources.tables import load
 
@@ -75,7 +75,7 @@ def _continuous(name: str, own: D.Distribution, cdf: str, pdf: str) -> None:
     def run(spark, d):
         g = _orders(spark, d, x=X, u=U).select("i", "x", "u", own.ppf("u").alias("q"), own.isf("u").alias("t"))
         columns = {"cdf": own.cdf("x"), "sf": own.sf("x"), "pdf": own.pdf("x"), "log_pdf": F.exp(own.logpdf("x")), "quantile_back": own.cdf("q"), "upper_back": own.sf("t")}
-        return g.select("i", *[r(c, 5).alias(n) for n, c in columns.items()])
+        return g.select("i", *[r_scaled(c, 5).alias(n) for n, c in columns.items()])
 
     QUERIES[f"dist_{name}"] = run
     parts = {"cdf": cdf, "sf": f"1 - ({cdf})", "pdf": pdf, "log_pdf": pdf, "quantile_back": "u", "upper_back": "u"}

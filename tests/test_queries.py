@@ -119,3 +119,15 @@ def test_json_round_trip(spark, tmp_path):
     assert all(r.e == r.b for r in back.collect())
     tables.save(df.select("e.point"), str(tmp_path / "c"), "csv")
     assert tables.load_csv(spark, str(tmp_path / "c"), "point double").count() == 3
+
+
+def test_uniform_probabilities_on_ties(spark, tmp_path):
+    """Prices in whole units: every other probability ends in a 5 that is rounded, and SQL scales before it rounds."""
+    prices = [240979, 134593, 215273, 228827, 178821, 180011, *range(119_000, 321_000, 7)]
+    path = str(tmp_path / "orders.parquet")
+    spark.createDataFrame([(k, float(p)) for k, p in enumerate(prices)], "o_orderkey long, o_totalprice double").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{path}/*.parquet'")
+    out = con.execute(SQL["dist_uniform"])
+    names = [c[0] for c in out.description]
+    assert sorted(out.fetchall()) == sorted(tuple(x) for x in QUERIES["dist_uniform"](spark, str(tmp_path)).select(*names).collect())

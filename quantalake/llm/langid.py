@@ -4,8 +4,8 @@ Slot i of the table has a bit for each language; a language's n-gram sets its bi
 n-gram's slots is the bitmask of all languages that have it. Over a text's n-grams, the set bits are counted for each
 language, corrected for the filter's false positives, and the largest share decides.
 
-The filters are fitted on at most about ``PER_LANGUAGE`` labelled texts of each language (a documented bound); every
-text is judged whole.
+The filters are fitted on every text with a language that isn't held out, cuts come from the scores of the same texts,
+and every text is judged whole.
 """
 
 from __future__ import annotations
@@ -15,18 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantalake.llm.common import few, mix, release, tidy
-from quantalake.llm.sampling import held_out, share
+from quantalake.llm.common import OWN, few, mix, release, stored, tidy
+from quantalake.llm.sampling import held_out
 
 SIZES = (3, 4)
 SLOTS, HASHES = 1 << 18, 4
-PER_LANGUAGE, GRAMS, LEAST, RELATIVE = 2000, 8192, 3, 0.1
+GRAMS, LEAST, RELATIVE = 8192, 3, 0.1
 #: Cuts: half of what 99 % of a language's own texts reach. Sentences in languages that aren't learned score 0.1 to 0.4.
 LOWEST, PART, FLOOR = 0.01, 0.5, 0.1
+#: Scores are counted in steps of 1 / STEPS for the cuts; a language's n-grams are put in order by so many tasks.
+STEPS, PARTS = 10_000, 64
 UNKNOWN = "und"
+JUDGED = OWN + "judged"
 CHUNK = 1 << 16
 #: Texts that are Python objects at a time, and n-grams that a task holds before it sums them up.
 ROWS, HELD = 512, 1 << 21
@@ -108,54 +111,68 @@ class Filters:
         return self.languages[best], float(own[best])
 
 
-def _sample(docs: DataFrame, lang_col: str, per_language: int, id_col: str, text_col: str) -> tuple[DataFrame | None, dict[str, int]]:
-    """The languages ``l`` and texts ``t`` that are learned from, and how many texts each language has."""
-    ident, lang = F.col(f"`{id_col}`").cast("long"), F.col(f"`{lang_col}`").cast("string")
-    rows = docs.select(ident.alias("d"), lang.alias("l"), F.col(f"`{text_col}`").cast("string").alias("t")).where("l is not null and d is not null").where(~held_out(F.col("d")))
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not sizes:
-        return None, sizes
-    limits = docs.sparkSession.createDataFrame([(k, min(1.0, per_language / n)) for k, n in sizes.items()], "l string, most double")
-    return rows.join(F.broadcast(limits), "l").where(share(F.col("d")) <= F.col("most")).select("l", "t"), sizes
+def _learned(lang_col: str, id_col: str) -> Column:
+    """Whether a row has a language and isn't held out."""
+    return F.col(f"`{lang_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`").cast("long"))
 
 
-def _counts(by: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+def _merge(counted: dict[str, tuple[np.ndarray, np.ndarray]], more: dict[str, list[np.ndarray]]) -> None:
+    """Count the n-grams of ``more`` into ``counted``: sorted hashes and how often each occurs, by language."""
+    for k, own in more.items():
+        h, n = np.unique(np.concatenate(own), return_counts=True)
+        if k in counted:
+            h, n = np.concatenate([counted[k][0], h]), np.concatenate([counted[k][1], n])
+            order = np.argsort(h)
+            h, n = h[order], n[order]
+            first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+            h, n = h[first], np.add.reduceat(n, first) if len(first) else n
+        counted[k] = h, n
+
+
+def _counts(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """How often each language has each n-gram: l, h, n."""
-    each = [(k, *np.unique(np.concatenate(own), return_counts=True)) for k, own in by.items()]
-    langs = [k for k, h, _ in each for _ in range(len(h))]
-    h, n = (np.concatenate([np.zeros(0, t), *[x[i] for x in each]]) for i, t in ((1, np.uint64), (2, np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(h.view(np.int64)), pa.array(n)], names=["l", "h", "n"])
+    for k, (h, n) in counted.items():
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(k, pa.string()), len(h)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["l", "h", "n"])
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> Filters:
-    """Learn from texts with a language that aren't held out: at most about ``per_language`` of each.
+def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Filters:
+    """Learn from all texts with a language that aren't held out.
 
     A language keeps its GRAMS most frequent n-grams that occur LEAST times and at least RELATIVE as often as in the
     language where they are most frequent. The driver gets those hashes only: so many for each language.
     """
-    sample, sizes = _sample(docs, lang_col, per_language, id_col, text_col)
-    if not sizes:
+    rows = docs.where(_learned(lang_col, id_col)).select(F.col(f"`{lang_col}`").cast("string").alias("l"), F.col(f"`{text_col}`").cast("string").alias("t"))
+    languages = sorted(r.l for r in rows.select("l").distinct().collect())  # a row a language
+    if not languages:
         return Filters([], [])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        new: dict[str, list[np.ndarray]] = {}
+        held = 0
         for batch in few(batches, ROWS):
-            by: dict[str, list[np.ndarray]] = {}
-            held = 0
             for k, text in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
                 for own in grams(text):
-                    by.setdefault(k, []).append(own)
+                    new.setdefault(k, []).append(own)
                     held += len(own)
                     if held > HELD:
-                        yield _counts(by)
-                        by, held = {}, 0
-            yield _counts(by)
-
-    counted = sample.mapInArrow(tidy(count), "l string, h long, n long").groupBy("l", "h").agg(F.sum("n").alias("n"))
-    rate = F.col("n") / F.sum("n").over(Window.partitionBy("l"))
-    frequent = counted.withColumn("rate", rate).withColumn("top", F.max("rate").over(Window.partitionBy("h"))).where(F.col("n") >= LEAST).where(F.col("rate") >= RELATIVE * F.col("top"))
-    best = frequent.withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "h"))).where(F.col("nth") <= GRAMS).select("l", "h")
-    languages, members = sorted(sizes), {k: [] for k in sizes}
-    for r in best.collect():  # GRAMS rows a language
+                        _merge(counted, new)
+                        new, held = {}, 0
+                        if sum(len(h) for h, _ in counted.values()) > HELD // 2:
+                            yield from _counts(counted)
+                            counted = {}
+        _merge(counted, new)
+        yield from _counts(counted)
+
+    counted = stored(rows.mapInArrow(tidy(count), "l string, h long, n long").groupBy("l", "h").agg(F.sum("n").alias("n")), "grams")
+    totals = counted.groupBy("l").agg(F.sum("n").alias("total"))  # a row a language
+    rates = counted.join(F.broadcast(totals), "l").withColumn("rate", F.col("n") / F.col("total"))
+    frequent = rates.withColumn("top", F.max("rate").over(Window.partitionBy("h"))).where(F.col("n") >= LEAST).where(F.col("rate") >= RELATIVE * F.col("top"))
+    best = frequent.select("l", "h", "n", F.pmod("h", F.lit(PARTS)).alias("part"))
+    for keys in (["l", "part"], ["l"]):  # what isn't among the best of its part isn't among the best
+        best = best.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "h"))).where(F.col("nth") <= GRAMS)
+    members: dict[str, list[int]] = {k: [] for k in languages}
+    for r in best.select("l", "h").collect():  # GRAMS rows a language
         members[r.l].append(r.h)
     return Filters(languages, [np.array(sorted(members[k]), np.int64).view(np.uint64) for k in languages])
 
@@ -176,41 +193,55 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
     return docs.select(ident.alias("d"), held_out(ident).alias("h"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(tidy(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def cuts(docs: DataFrame, filters: Filters, lang_col: str = "lang", per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
-    """For each language, the score below which a text isn't taken to be in it: PART of what all but LOWEST of the texts
-    that were learned from reach in their own language, and at least FLOOR. The driver gets a row a language."""
-    sample, _ = _sample(docs, lang_col, per_language, id_col, text_col)
-    if sample is None:
-        return {}
+def judge(docs: DataFrame, filters: Filters, lang_col: str | None = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a working column for ``cuts`` and ``keep_known``: the language and score of the text,
+    and its score in the language that the row names. Store it where both are wanted, so that texts are scored once."""
     places = {k: n for n, k in enumerate(filters.languages)}
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in few(batches, ROWS):
-            found = [(k, None if (x := filters.shares(t)) is None else float(x[places[k]])) for k, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True) if k in places]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["l", "score"])
+    def one(text: str | None, lang: str | None) -> dict:
+        own = filters.shares(text) if filters.languages else None
+        if own is None:
+            return {"lang": UNKNOWN, "score": 0.0, "own": None}
+        best = int(np.argmax(own))
+        return {"lang": filters.languages[best], "score": float(own[best]), "own": float(own[places[lang]]) if lang in places else None}
+
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("own", pa.float64())])
+
+    @F.arrow_udf("struct<lang:string,score:double,own:double>")
+    def run(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        found = [one(t, k) for a in range(0, len(texts), ROWS) for t, k in zip(texts.slice(a, ROWS).to_pylist(), langs.slice(a, ROWS).to_pylist(), strict=True)]
+        release()
+        return pa.array(found, kind)
 
-    low = sample.mapInArrow(tidy(own), "l string, score double").groupBy("l").agg(F.percentile_approx("score", LOWEST).alias("low"))
-    return dict.fromkeys(filters.languages, FLOOR) | {r.l: max(FLOOR, PART * (r.low or 0.0)) for r in low.collect()}
+    lang = F.lit(None) if lang_col is None else F.col(f"`{lang_col}`")
+    return docs.withColumn(JUDGED, run(F.col(f"`{text_col}`").cast("string"), lang.cast("string")))
+
+
+def cuts(docs: DataFrame, filters: Filters, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> dict[str, float]:
+    """For each language, the score below which a text isn't taken to be in it: PART of what all but LOWEST of the texts
+    that were learned from reach in their own language, in steps of 1 / STEPS, and at least FLOOR. The driver gets a row
+    a language."""
+    if not filters.languages:
+        return {}
+    rows = docs.where(_learned(lang_col, id_col))
+    own = rows if JUDGED in docs.columns else judge(rows, filters, lang_col, text_col)
+    steps = own.select(F.col(f"`{lang_col}`").cast("string").alias("l"), F.floor(F.col(JUDGED)["own"] * STEPS).alias("v"))
+    # exact, as a language has STEPS + 1 values at most, which are counted
+    low = steps.groupBy("l").agg(F.expr(f"percentile_disc({LOWEST}) WITHIN GROUP (ORDER BY v)").alias("low"))
+    found = {r.l: max(FLOOR, PART * (r.low or 0) / STEPS) for r in low.collect()}
+    return {k: found.get(k, FLOOR) for k in filters.languages} if found else {}
 
 
 def keep_known(docs: DataFrame, filters: Filters, least: float | dict[str, float] = FLOOR, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a known language with a score of ``least`` or more, with all columns.
 
-    ``least``: one number, or a number a language (``cuts``). Null texts and texts without letters go. If no language
+    ``least``: one number, or a number a language (``cuts``; FLOOR for others). Null texts and texts without letters go. If no language
     was learned, all rows stay.
     """
     if not filters.languages:
-        return docs
-    lowest = least if isinstance(least, dict) else dict.fromkeys(filters.languages, least)
-
-    def enough(text: str | None) -> bool:
-        lang, score = filters.predict(text)
-        return lang != UNKNOWN and score >= lowest[lang]
-
-    @F.arrow_udf("boolean")
-    def known(column: pa.Array) -> pa.Array:
-        own = [enough(x) for a in range(0, len(column), ROWS) for x in column.slice(a, ROWS).to_pylist()]
-        release()
-        return pa.array(own, pa.bool_())
-
-    return docs.where(known(F.col(f"`{text_col}`").cast("string")))
+        return docs.drop(JUDGED)
+    lowest = dict.fromkeys(filters.languages, FLOOR) | least if isinstance(least, dict) else dict.fromkeys(filters.languages, least)
+    own = F.col(JUDGED)
+    enough = own["score"] >= F.create_map(*[F.lit(x) for k, v in lowest.items() for x in (k, float(v))])[own["lang"]]
+    rows = docs if JUDGED in docs.columns else judge(docs, filters, None, text_col)
+    return rows.where(own["lang"] != UNKNOWN).where(enough).drop(JUDGED)

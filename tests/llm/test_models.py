@@ -3,6 +3,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -171,6 +172,30 @@ def test_shares_by_brute_force(prose, monkeypatch):
     assert filters.shares("1 2 3") is None and filters.predict(None) == ("und", 0.0)
 
 
+def test_language_learns_from_all_texts(spark, monkeypatch):
+    """Of thousands of texts, words that three of them have are learned, words of two aren't; cuts are those of all texts."""
+    rng = random.Random(8)
+    learned = [i for i in range(6000) if not is_held_out(i)]
+    texts = {i: " ".join(rng.choices(LANGUAGES["aa"], k=rng.randrange(1, 9))) for i in range(6000)}
+    rare = ["".join(rng.sample("абвгдежзиклмнопрстуфхцчшщыэюя", 6)) for _ in range(160)]
+    for k, word in enumerate(rare):
+        for i in rng.sample(learned, 3 if k < 80 else 2):
+            texts[i] += " " + word
+    docs = spark.createDataFrame([(i, t, "aa") for i, t in texts.items()] + [(6000 + i, "der die", "bb") for i in range(9)], "doc_id long, text string, lang string").repartition(5)
+    monkeypatch.setattr(langid, "PARTS", 7, raising=False)
+    filters = langid.fit(docs)
+    codes = lambda w: np.concatenate(list(langid.grams(w)))
+    whole = [(filters.masks(codes(w))[:, 0] & np.uint64(1)).astype(bool) for w in rare]
+    assert all(x.all() for x in whole[:80]) and np.mean([x.all() for x in whole[80:]]) < 0.05
+    own = sorted(int(filters.shares(texts[i])[0] * langid.STEPS) for i in learned)
+    assert langid.cuts(docs, filters)["aa"] == max(langid.FLOOR, langid.PART * own[int(np.ceil(langid.LOWEST * len(own))) - 1] / langid.STEPS)
+    counts = Counter(h for i in learned for own in langid.grams(texts[i]) for h in own.view(np.int64).tolist())
+    monkeypatch.setattr(langid, "GRAMS", 60)
+    best = np.array(sorted(counts, key=lambda h: (-counts[h], h)), np.int64).view(np.uint64)
+    bits = (langid.fit(docs).masks(best)[:, 0] & np.uint64(1)).astype(bool)
+    assert bits[:60].all() and bits[60:].mean() < 0.01
+
+
 def test_identify_empty(spark):
     docs = labelled(spark)
     assert langid.identify(docs.where("false"), langid.fit(docs)).count() == 0

@@ -653,3 +653,14 @@ def test_numpy_estimators(spark):
     got = {r.rep: r for r in K.resample(df, ["g"], "idx", "x", {"m": median, "most": F.max}, 2, 0, draws).collect()}
     assert (got[0].m, got[0].most, got[1].m) == (3.0, 10.0, 2.0)
     assert {r.idx: r.value for r in K.jackknife_by(df.where("x is not null"), ["g"], "idx", "x", median).collect()} == {0: 2.0, 1: 3.0, 2: 3.0, 3: 2.0}
+
+
+def test_draws_are_not_broadcast(spark):
+    """Spark sees a row a group where draws are replicates x rows: they neither meet in the driver nor in one task."""
+    df = spark.createDataFrame([(g, i) for g, n in (("a", 30), ("b", 9)) for i in range(n)], "g string, idx long")
+    rows = K.resample_rows(df, ["g"], "idx", 40, 3)
+    found = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert found and all("ShuffledHashJoin" in line for line in found)
+    assert {(r.g, r.rep): r["count"] for r in rows.groupBy("g", "rep").count().collect()} == {(g, rep): n for g, n in (("a", 30), ("b", 9)) for rep in range(40)}
+    sizes = df.groupBy("g").count()
+    assert K.replicated(sizes, ["g"], 40).withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1

@@ -131,3 +131,16 @@ def test_uniform_probabilities_on_ties(spark, tmp_path):
     out = con.execute(SQL["dist_uniform"])
     names = [c[0] for c in out.description]
     assert sorted(out.fetchall()) == sorted(tuple(x) for x in QUERIES["dist_uniform"](spark, str(tmp_path)).select(*names).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+@pytest.mark.parametrize("name", ["bootstrap_basic"])
+def test_queries_do_not_broadcast_draws(spark, monkeypatch, name):
+    """Of any number of draws: in the plan of the query, and in those of the tables that it stores."""
+    from quantalake.operators import resampling
+
+    plans = []
+    monkeypatch.setattr(resampling, "stored", lambda df, _: plans.append(df) or df)
+    plans.append(QUERIES[name](spark, DATA))
+    found = [line for df in plans for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "idx#" in line]
+    assert found and all("ShuffledHashJoin" in line for line in found)

@@ -134,7 +134,7 @@ def test_uniform_probabilities_on_ties(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-@pytest.mark.parametrize("name", ["bootstrap_basic", "bootstrap_bca", "resample_each", "bootstrap_regress"])
+@pytest.mark.parametrize("name", ["bootstrap_basic", "bootstrap_bca", "resample_each", "bootstrap_regress", "resample_trimmed"])
 def test_queries_do_not_broadcast_draws(spark, monkeypatch, name):
     """Of any number of draws: in the plan of the query, and in those of the tables that it stores."""
     from quantalake.operators import resampling

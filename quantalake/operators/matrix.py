@@ -165,6 +165,31 @@ def qr(a: DataFrame, by: list[str]) -> DataFrame:
     return a.groupBy(*by).applyInArrow(solve, "".join(f"{b} {kinds[b]}, " for b in by) + "part string, i long, j long, v double")
 
 
+def qr_rows(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """``by``, ``columns``, q (array: the row of Q) and r (array: the group's R, row by row, diagonal not negative) of many
+    small matrices, one a group, each in a task: rows are shuffled once, by group, and come back with their part of Q, so
+    neither their order nor a key of theirs matters.
+
+    By Householder's reflections: columns of Q are orthonormal also where those of the matrix are dependent. Rows with a
+    null are left out, and groups with fewer rows than columns.
+    """
+    kinds, k = {f.name: f.dataType.simpleString() for f in df.schema.fields}, len(columns)
+    own = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    names = [*by, *columns, "q", "r"]
+
+    def solve(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        if n < k:
+            table, n = table.slice(0, 0), 0
+        q, r = np.linalg.qr(np.column_stack([table[c].to_numpy() for c in columns])) if n else (np.zeros((0, k)), np.zeros((k, k)))
+        sign = np.where(np.diag(r) < 0, -1.0, 1.0)
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size), pa.int32()), pa.array(flat.ravel())) for size, flat in ((k, q * sign), (k * k, np.tile(r * sign[:, None], (n, 1))))]
+        return pa.table([*[table[c] for c in [*by, *columns]], *lists], names=names)
+
+    schema = "".join(f"`{b}` {kinds[b]}, " for b in by) + "".join(f"`{c}` double, " for c in columns) + "q array<double>, r array<double>"
+    return own.groupBy(*by).applyInArrow(solve, schema)
+
+
 # Tall matrices: a table with a column for each column of the matrix, in as many partitions as it needs
 
 #: Rows of a group that are gathered before they are reduced, rows of all groups that a task holds, and how many factors

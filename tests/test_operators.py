@@ -664,3 +664,22 @@ def test_draws_are_not_broadcast(spark):
     assert {(r.g, r.rep): r["count"] for r in rows.groupBy("g", "rep").count().collect()} == {(g, rep): n for g, n in (("a", 30), ("b", 9)) for rep in range(40)}
     sizes = df.groupBy("g").count()
     assert K.replicated(sizes, ["g"], 40).withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
+
+
+def test_qr_of_rows(spark):
+    """Equal and dependent columns, nulls, and a group with too few rows; R is that of ``qr`` where columns don't depend."""
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=(40, 3)), "b": np.column_stack([rng.normal(size=9), np.full(9, 7.0), np.ones(9)]), "c": np.ones((4, 3)), "d": rng.normal(size=(2, 3))}
+    rows = [(g, *map(float, v)) for g, m in groups.items() for v in m] + [("a", None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double").repartition(3)
+    found = {}
+    for r in M.qr_rows(df, ["g"], ["x", "y", "z"]).collect():
+        found.setdefault(r.g, []).append(r)
+    assert {g: len(own) for g, own in found.items()} == {"a": 40, "b": 9, "c": 4}
+    for own in found.values():
+        a, q, r = np.array([x[1:4] for x in own]), np.array([x.q for x in own]), np.array(own[0].r).reshape(3, 3)
+        assert np.abs(q @ r - a).max() < 1e-12 and np.abs(q.T @ q - np.eye(3)).max() < 1e-12
+        assert (np.diag(r) >= 0).all() and np.abs(np.tril(r, -1)).max() < 1e-14
+    cells = M.from_rows(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(groups["a"])], "i long, v array<double>"), "i", "v").withColumn("g", F.lit("a"))
+    want = {(r.i, r.j): r.v for r in M.qr(cells, ["g"]).where("part = 'r'").collect()}
+    assert found["a"][0].r == pytest.approx([want[i, j] for i in range(3) for j in range(3)], abs=1e-12)

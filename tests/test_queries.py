@@ -144,3 +144,14 @@ def test_queries_do_not_broadcast_draws(spark, monkeypatch, name):
     plans.append(QUERIES[name](spark, DATA))
     found = [line for df in plans for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "idx#" in line]
     assert found and all("ShuffledHashJoin" in line for line in found)
+
+
+def test_qr_of_suppliers(spark, tmp_path):
+    """Line items that share a key, a supplier whose quantities are all the same, one with two line items."""
+    path = str(tmp_path / "lineitem.parquet")
+    rows = [(1, 5, 1, float(k % 7), 100.0 * k * k) for k in range(30)] + [(2, k, 1, 4.0, 10.0 * k) for k in range(9)] + [(3, k, 1, 1.0 + k, 5.0) for k in range(2)]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double").repartition(4).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/*.parquet'")
+    got = QUERIES["qr_check"](spark, str(tmp_path))
+    assert sorted(con.execute(SQL["qr_check"]).fetchall()) == sorted(tuple(r) for r in got.select("g", "product", "orthogonal").collect()) == [(1, True, True), (2, True, True)]

@@ -683,3 +683,31 @@ def test_qr_of_rows(spark):
     cells = M.from_rows(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(groups["a"])], "i long, v array<double>"), "i", "v").withColumn("g", F.lit("a"))
     want = {(r.i, r.j): r.v for r in M.qr(cells, ["g"]).where("part = 'r'").collect()}
     assert found["a"][0].r == pytest.approx([want[i, j] for i in range(3) for j in range(3)], abs=1e-12)
+
+
+def test_jackknife_trimmed(spark):
+    """Against each sample by hand: groups around the sizes where one more value is cut, ties, nulls, one row, no value."""
+    rng = random.Random(11)
+    sizes = {0: 1, 1: 2, 2: 9, 3: 10, 4: 11, 5: 12, 6: 20, 7: 21, 8: 22, 9: 57, 10: 121}
+    rows = [(g, k, rng.choice([None, 1.0, float(rng.randrange(9)), rng.random() * 9])) for g, n in sizes.items() for k in range(n)] + [(11, k, None) for k in range(3)] + [(12, 0, 4.0), (12, 1, None)]
+    df = spark.createDataFrame(rows, "g int, k int, x double")
+    for parts in (10, 3):
+        for own, by in ((df, ["g"]), (df.where("g = 9"), [])):
+            got = {(r.g if by else 9, r.k): r.value for r in K.jackknife_trimmed(own, by, "k", "x", parts).collect()}
+            want = {}
+            for g, k, _ in rows:
+                rest = sorted(v for h, j, v in rows if h == g and j != k and v is not None)
+                if (by or g == 9) and sum(h == g for h, _, _ in rows) > 1:
+                    cut = len(rest) // parts
+                    want[g, k] = pytest.approx(float(np.mean(rest[cut : len(rest) - cut])), rel=1e-12) if rest else None
+            assert got == want
+    with pytest.raises(ValueError):
+        K.jackknife_trimmed(df, ["g"], "k", "x", 2)
+    ends = sample(spark, [-math.inf, 1e-320, 3.0, *[0.1] * 6, 1.0, -1.0, math.inf])
+    assert [r.value for r in K.jackknife_trimmed(ends, [], "idx", "x").orderBy("idx").collect()][2] == pytest.approx(0.6 / 9)
+
+
+def test_jackknife_trimmed_is_not_quadratic(spark):
+    """The plan of the query has no join of a group's rows with its rows."""
+    plan = registry.queries()["jackknife_trimmed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT (" not in plan and "arrow_udf" not in plan.lower() and plan.count("Join Inner") <= 4

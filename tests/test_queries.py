@@ -155,3 +155,10 @@ def test_qr_of_suppliers(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/*.parquet'")
     got = QUERIES["qr_check"](spark, str(tmp_path))
     assert sorted(con.execute(SQL["qr_check"]).fetchall()) == sorted(tuple(r) for r in got.select("g", "product", "orthogonal").collect()) == [(1, True, True), (2, True, True)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
+def test_qr_shuffles_rows_once(spark):
+    """A row a line item is shuffled, then a row a supplier; nothing is joined or unfolded."""
+    plan = QUERIES["qr_check"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "Join" not in plan and "Generate" not in plan
